@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, html_extract, line_dedup, packing, quality, sharding
+from shelfwise.llm import chat, html_extract, jaccard_join, line_dedup, packing, quality, sharding
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -91,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": op1_line_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_html_extraction": op4_html_extraction,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_chat_formatting": op6_chat_formatting,
         "op8_quality_classifier": op8_quality_classifier,
         "op10_sharding": op10_sharding,
