@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, html_extract, jaccard_join, line_dedup, packing, quality, sharding
+from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, sharding
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ FROM m GROUP BY doc_id
 """
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_html_extraction": op4_html_extraction,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
