@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, sharding
+from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, sharding, spotsigs
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ FROM n GROUP BY conv_id
 """
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -103,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op4_html_extraction": op4_html_extraction,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_document_fingerprints": op7_document_fingerprints,
         "op8_quality_classifier": op8_quality_classifier,
         "op10_sharding": op10_sharding,
     }
