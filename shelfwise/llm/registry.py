@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality, sharding, spotsigs
+from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, pitman_yor, quality, sharding, spotsigs
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality.fold(F.col("doc_id"))
+    scored = pitman_yor.score(table(spark, sf_dir, "documents"), fold != 1)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -109,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op6_chat_formatting": op6_chat_formatting,
         "op7_document_fingerprints": op7_document_fingerprints,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_sharding": op10_sharding,
     }
 
