@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.sources.catalog import Library, sql
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("scans", "filters", "joins", "aggregates", "windows", "scalars", "library", "search", "feed", "duplicates", "sync", "jobs", "retention", "streams")
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, twin: str | None = None):
+    """Register a function of a Library as query name; twin: SQL over the logical and the generic tables."""
+
+    def register(function: Callable[[Library], DataFrame]):
+        _QUERIES[name] = lambda spark, path: function(Library(spark, path))
+        if twin:
+            _SQL[name] = sql(twin)
+        return function
+
+    return register
+
+
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"shelfwise.plans.{module}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
