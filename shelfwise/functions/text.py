@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: markers that download sites put after a name.
 CDN_MARKER = r"(?i)_-_(VOE|CDN|Content_Delivery|Video_Cloud)[^.]*\.[^.]+\z"
@@ -77,7 +78,7 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)\z", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     """ASCII words joined by hyphens, at most 120 characters; 'video' if nothing is left."""
 
@@ -118,7 +119,7 @@ def comparison_key(name: str | None) -> str:
     return " ".join("".join(c if c.isspace() or unicodedata.category(c)[0] in "LN" else " " for c in title).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_title(name: pd.Series) -> pd.Series:
     return name.map(comparison_key)
 
@@ -145,7 +146,7 @@ def similarity(a: str, b: str) -> int:
     return int((jaro + shared * 0.1 * (1 - jaro)) * 100 + 0.5)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 

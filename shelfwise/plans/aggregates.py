@@ -1 +1,132 @@
+"""Counts, sums, order statistics."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from shelfwise.operators.scope import is_own, with_owner
+from shelfwise.plans.filters import OWN, OWNED
+from shelfwise.registry import query
+from shelfwise.sources.catalog import Library
+
+STATUSES = ("pending", "queued", "generating", "failed", "unsupported", "completed")
+
+
+@query("agg_01_filtered_count", f"WITH o AS ({OWNED}) SELECT count(*) AS n FROM o WHERE {OWN.format(1)}")
+def filtered_count(lib: Library) -> DataFrame:
+    return with_owner(lib.video, lib.account).where(is_own(1)).agg(F.count("*").alias("n"))
+
+
+@query("agg_02_group_count", "SELECT status, count(*) AS n FROM job GROUP BY status")
+def group_count(lib: Library) -> DataFrame:
+    return lib.job.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def status_counts():
+    """One count per status, 0 where there is none."""
+    return [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+
+
+@query("agg_03_pivoted_counts", "SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATUSES) + " FROM job")
+def pivoted_counts(lib: Library) -> DataFrame:
+    return lib.job.agg(*status_counts())
+
+
+@query("agg_04_count_per_parent", "SELECT f.id, f.name, count(s.video_id) AS videos FROM folder f LEFT JOIN saved s ON s.folder_id = f.id GROUP BY ALL")
+def count_per_parent(lib: Library) -> DataFrame:
+    """Empty folders count 0."""
+    counts = lib.saved.where("folder_id IS NOT NULL").groupBy(F.col("folder_id").alias("id")).agg(F.count("*").alias("n"))
+    return lib.folder.join(counts, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("videos"))
+
+
+@query("agg_05_conditional_sum", "SELECT count(*) AS total, count(*) FILTER (WHERE done) AS completed, count(*) - count(*) FILTER (WHERE done) AS missing, CAST(coalesce(sum(file_size) FILTER (WHERE done), 0) AS BIGINT) AS bytes FROM (SELECT v.id, v.file_size, EXISTS (SELECT 1 FROM job j WHERE j.video_id = v.id AND j.status = 'completed') AS done FROM video v)")
+def conditional_sum(lib: Library) -> DataFrame:
+    done = lib.job.where("status = 'completed'").select(F.col("video_id").alias("id"), F.lit(True).alias("done")).distinct()
+    rows = lib.video.select("id", "file_size").join(done, "id", "left")
+    return rows.agg(F.count("*").alias("total"), F.count("done").alias("completed"), (F.count("*") - F.count("done")).alias("missing"), F.coalesce(F.sum(F.when(F.col("done"), F.col("file_size"))), F.lit(0)).alias("bytes"))
+
+
+def upper_median(values):
+    """sorted[n // 2]: of an even number of values the upper of the middle two."""
+    ordered = F.array_sort(F.collect_list(values))
+    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+
+
+@query("agg_07_upper_median", "SELECT account_id, list_sort(list(duration))[len(list(duration)) // 2 + 1] AS median FROM video WHERE duration IS NOT NULL GROUP BY account_id")
+def medians(lib: Library) -> DataFrame:
+    return lib.video.where("duration IS NOT NULL").groupBy("account_id").agg(upper_median("duration").alias("median"))
+
+
+@query("agg_09_every_member", "SELECT video_id, bool_and(status = 'failed') AS all_failed FROM job GROUP BY video_id")
+def every_member(lib: Library) -> DataFrame:
+    return lib.job.groupBy("video_id").agg(F.bool_and(F.col("status") == "failed").alias("all_failed"))
+
+
+@query("agg_10_outcomes", "SELECT priority, count(*) FILTER (WHERE error_code = 'network') AS network, count(*) FILTER (WHERE error_code = 'max_attempts') AS max_attempts, count(*) FILTER (WHERE error_code = 'unsupported_codec') AS unsupported_codec FROM job WHERE error_code IS NOT NULL GROUP BY priority")
+def outcomes(lib: Library) -> DataFrame:
+    return lib.job.where("error_code IS NOT NULL").groupBy("priority").pivot("error_code", ["network", "max_attempts", "unsupported_codec"]).count().na.fill(0)
+
+
+def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str]) -> DataFrame:
+    """For each group sorted[min(n - 1, floor(p / 100 * (n - 1)))], rounded to one decimal; rows are ranked, not gathered."""
+    order = Window.partitionBy(*by).orderBy(value)
+    ranked = rows.withColumns({"__i": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy(*by))})
+    at = lambda p: F.least(F.col("__n") - 1, F.floor(F.lit(p) * (F.col("__n") - 1) / 100))
+    return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("__i") == at(p), F.col(value))), 1).alias(f"p{p}") for p in percents])
+
+
+@query("agg_11_nearest_rank_percentiles", """SELECT event_type, round(list_sort(list(value))[CAST(floor(50 * (count(*) - 1) / 100) AS BIGINT) + 1], 1) AS p50,
+    round(list_sort(list(value))[CAST(floor(95 * (count(*) - 1) / 100) AS BIGINT) + 1], 1) AS p95, round(list_sort(list(value))[CAST(floor(100 * (count(*) - 1) / 100) AS BIGINT) + 1], 1) AS p100 FROM events GROUP BY event_type""")
+def percentiles(lib: Library) -> DataFrame:
+    return nearest_rank(lib.raw("events").select("event_type", "value"), "value", [50, 95, 100], ["event_type"])
+
+
+@query("agg_12_summary", "SELECT event_type, min(user_id) AS least, list_sort(list(user_id))[count(*) // 2 + 1] AS p50, max(user_id) AS most FROM events GROUP BY event_type")
+def summary(lib: Library) -> DataFrame:
+    return lib.raw("events").groupBy("event_type").agg(F.min("user_id").alias("least"), upper_median("user_id").alias("p50"), F.max("user_id").alias("most"))
+
+
+@query("agg_13_mean_and_vote", "SELECT l_orderkey AS stream, count(*) FILTER (WHERE l_quantity >= 20) * 3 >= 2 * count(*) AS usable, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey")
+def mean_and_vote(lib: Library) -> DataFrame:
+    """Frames of a scene: usable if two thirds are bright enough."""
+    return lib.raw("lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg((F.count_if(F.col("l_quantity") >= 20) * 3 >= 2 * F.count("*")).alias("usable"), F.sum("l_quantity").cast("long").alias("total"))
+
+
+#: A clock of 33 bits at 90 kHz.
+CLOCK, HERTZ = 1 << 33, 90_000
+
+
+def clock_duration(ticks: DataFrame) -> DataFrame:
+    """stream, seconds: of the program with the most clock readings (then the least pid) that has two; a wrap counts as one turn."""
+    each = ticks.groupBy("stream", "pid").agg(F.count("*").alias("n"), F.min_by("ticks", "at").alias("first"), F.max_by("ticks", "at").alias("last"))
+    span = F.pmod(F.col("last") - F.col("first"), F.lit(CLOCK))
+    each = each.where("n >= 2").withColumn("seconds", span / HERTZ)
+    return each.groupBy("stream").agg(F.min(F.struct(-F.col("n"), "pid", "seconds")).alias("best")).select("stream", F.col("best.seconds").alias("seconds"))
+
+
+@query("agg_14_clock_duration", f"""WITH t AS (SELECT stream, idx % 2 AS pid, idx AS moment, (start_time * 90000 + {CLOCK} - 2000000) % {CLOCK} AS ticks FROM fragment),
+    e AS (SELECT stream, pid, count(*) AS n, arg_min(ticks, moment) AS a, arg_max(ticks, moment) AS b FROM t GROUP BY ALL HAVING count(*) >= 2)
+    SELECT stream, arg_min(((b - a + {CLOCK}) % {CLOCK}) / 90000, -n * 10 + pid) AS seconds FROM e GROUP BY stream""")
+def clock_durations(lib: Library) -> DataFrame:
+    ticks = lib.fragment.select("stream", (F.col("idx") % 2).alias("pid"), F.col("idx").alias("at"), ((F.col("start_time") * HERTZ + CLOCK - 2_000_000) % CLOCK).alias("ticks"))
+    return clock_duration(ticks)
+
+
+@query("agg_15_distinct", "SELECT DISTINCT video_id, error_code FROM job")
+def distinct(lib: Library) -> DataFrame:
+    return lib.job.select("video_id", "error_code").distinct()
+
+
+@query("agg_16_usage", "SELECT CASE WHEN duration IS NULL THEN 'stale' ELSE 'valid' END AS class, count(*) AS entries, CAST(sum(file_size) AS BIGINT) AS bytes FROM video GROUP BY ALL")
+def usage(lib: Library) -> DataFrame:
+    return lib.video.groupBy(F.when(F.col("duration").isNull(), "stale").otherwise("valid").alias("class")).agg(F.count("*").alias("entries"), F.sum("file_size").alias("bytes"))
+
+
+@query("agg_17_selected_bytes", "SELECT count(*) AS files, CAST(sum(coalesce(file_size, 0)) AS BIGINT) AS bytes FROM video WHERE id % 9 = 0")
+def selected_bytes(lib: Library) -> DataFrame:
+    """Copies of all groups, exploded, and the size of those selected."""
+    groups = lib.video.groupBy("account_id").agg(F.collect_list(F.struct("id", "file_size")).alias("copies"))
+    chosen = lib.video.where("id % 9 = 0").select("id")
+    copies = groups.select(F.explode("copies").alias("c")).select("c.*").join(chosen, "id", "left_semi")
+    return copies.agg(F.count("*").alias("files"), F.sum(F.coalesce("file_size", F.lit(0))).alias("bytes"))

@@ -1 +1,298 @@
+"""Scalar functions over whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfwise.functions import numbers as N
+from shelfwise.functions import text as T
+from shelfwise.registry import query
+from shelfwise.sources.catalog import Library
+
+
+def titles(lib: Library) -> DataFrame:
+    return lib.video.select("id", "title", "filename", "file_size", "duration")
+
+
+@query("str_01_normal_term", "SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS term FROM video")
+def normal_term(lib: Library) -> DataFrame:
+    return titles(lib).select("id", T.collapsed(F.col("title")).alias("term"))
+
+
+NAMES = "CASE id % 6 WHEN 0 THEN filename WHEN 1 THEN '/a/b\\' || source || '_-_' || id || '_VOE.mp4' WHEN 2 THEN 'Watch_' || source || '_-_The_' || id || '.mkv' WHEN 3 THEN 'watch ' || source || ' - part - ' || id || '.mp4' WHEN 4 THEN 'plain__name_' || id || '.avi' ELSE 'x' || id || '_-_VOE___CDN.mp4' END"
+
+
+def names(lib: Library) -> DataFrame:
+    return lib.video.select("id", F.expr(NAMES.replace("\\", "\\\\").replace("||", "||")).alias("name"))
+
+
+CLEAN = "regexp_replace(regexp_replace(regexp_replace(name, '^.*[/\\\\]', ''), '(?i)_-_(VOE|CDN|Content_Delivery|Video_Cloud)[^.]*\\.[^.]+$', ''), '^Watch_', '')"
+STEM = f"regexp_replace({CLEAN}, '\\.[^.]+$', '')"
+TITLE = f"trim(regexp_replace(regexp_replace({STEM}, '_+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("str_02_clean_filename", f"WITH n AS (SELECT id, {NAMES} AS name FROM video) SELECT id, {CLEAN} AS name FROM n")
+def clean_filename(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.clean_filename(F.col("name")).alias("name"))
+
+
+@query("str_03_title", f"WITH n AS (SELECT id, {NAMES} AS name FROM video) SELECT id, {TITLE} AS title FROM n")
+def title(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.title_of(F.col("name")).alias("title"))
+
+
+@query("str_04_watch_prefix", f"WITH n AS (SELECT id, {NAMES} AS name FROM video) SELECT id, trim(regexp_replace(name, '(?i)^watch[_\\s]+', '')) AS name FROM n")
+def watch_prefix(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.without_watch(F.col("name")).alias("name"))
+
+
+def tidy(x: str, under: bool = True) -> str:
+    inner = f"regexp_replace({x}, '_+', ' ', 'g')" if under else x
+    return f"trim(regexp_replace({inner}, '\\s+', ' ', 'g'))"
+
+
+@query("str_05_parsed_names", f"""WITH n AS (SELECT id, {NAMES} AS name FROM video), s AS (SELECT id, name, {STEM} AS s, {TITLE} AS plain FROM n),
+    p AS (SELECT *, instr(s, ' - ') AS a, instr(s, '_-_') AS b FROM s),
+    q AS (SELECT *, CASE WHEN a > 1 AND {tidy('substr(s, a + 3)', False)} <> '' THEN 1 WHEN b > 1 AND {tidy('substr(s, b + 3)')} <> '' THEN 2 ELSE 3 END AS k FROM p)
+    SELECT id, CASE k WHEN 1 THEN nullif(trim(regexp_replace({tidy('substr(s, 1, a - 1)')}, '(?i)^watch[_\\s]+', '')), '') WHEN 2 THEN nullif(trim(regexp_replace({tidy('substr(s, 1, b - 1)')}, '(?i)^watch[_\\s]+', '')), '') END AS creator,
+    CASE k WHEN 1 THEN {tidy('substr(s, a + 3)', False)} WHEN 2 THEN {tidy('substr(s, b + 3)')} ELSE plain END AS title FROM q""")
+def parsed(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.parsed_name(F.col("name")).alias("p")).select("id", "p.*")
+
+
+@query("str_06_slug")
+def slugs(lib: Library) -> DataFrame:
+    """Needs compatibility decomposition, which SQL engines lack: checked by cases."""
+    return titles(lib).select("id", T.slug(F.col("title")).alias("slug"))
+
+
+@query("str_07_guessed_creator", f"""WITH n AS (SELECT id, {NAMES} AS name FROM video), s AS (SELECT id, regexp_replace(name, '\\.[^.]+$', '') AS s FROM n)
+    SELECT id, coalesce(nullif(trim(regexp_extract(s, '^_?([^_]+(?:[ _][^_]+)*?)_[–—-]\\s*', 1)), ''), nullif(trim(regexp_extract(s, '^_([^_]+(?:[ _][^_]+)*?)__', 1)), '')) AS creator FROM s""")
+def guessed(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.guessed_creator(F.col("name")).alias("creator"))
+
+
+@query("str_08_creator_name", """WITH n AS (SELECT id, CASE id % 5 WHEN 0 THEN 'POV - ' || source WHEN 1 THEN 'hot_girl_joi' WHEN 2 THEN 'jointly ' || source ELSE source || '__b  c' END AS name FROM video)
+    SELECT id, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(name, '(?i)^(joi|bbc|hot[_ ]girl[_ ]joi|pov)[\\s_\\-–—]*', '')), '_+', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'Unknown Creator') AS name FROM n""")
+def creator_names(lib: Library) -> DataFrame:
+    rows = lib.video.select("id", F.expr("CASE id % 5 WHEN 0 THEN 'POV - ' || source WHEN 1 THEN 'hot_girl_joi' WHEN 2 THEN 'jointly ' || source ELSE source || '__b  c' END").alias("name"))
+    return rows.select("id", T.creator_name(F.col("name")).alias("name"))
+
+
+@query("str_09_comparison_key")
+def comparison_keys(lib: Library) -> DataFrame:
+    """Compatibility normalisation and a fixpoint of stripped markers (str_10): checked by cases."""
+    return names(lib).select("id", T.normal_title(F.col("name")).alias("key"))
+
+
+@query("str_11_extension", f"WITH n AS (SELECT id, {NAMES} AS name FROM video) SELECT id, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS extension FROM n")
+def extensions(lib: Library) -> DataFrame:
+    return names(lib).select("id", T.extension(F.col("name")).alias("extension"))
+
+
+@query("str_12_title_similarity")
+def similarities(lib: Library) -> DataFrame:
+    """Neighbours by id; Jaro-Winkler here is not the one of SQL engines: checked by brute force and cases."""
+    nxt = lib.video.select((F.col("id") - 1).alias("id"), F.col("title").alias("other"))
+    return titles(lib).join(nxt, "id").select("id", T.title_similarity(F.lower("title"), F.lower("other")).alias("similarity"))
+
+
+@query("str_13_download_name", """WITH n AS (SELECT id, CASE id % 4 WHEN 0 THEN 'a/b:c*' || id || '.mp4' WHEN 1 THEN repeat('long ', 50) || id || '.mkv' WHEN 2 THEN '  ..' ELSE filename END AS name FROM video),
+    t AS (SELECT id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|]+', ' ', 'g'), '[\\x00-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')), '^[. ]+|[. ]+$', '', 'g') AS t FROM n),
+    e AS (SELECT id, t, regexp_extract(t, '(\\.[A-Za-z0-9]{1,8})$', 1) AS e FROM t)
+    SELECT id, CASE WHEN t = '' THEN 'video' WHEN length(t) > 180 THEN rtrim(substr(t, 1, 180 - length(e))) || e ELSE t END AS name FROM e""")
+def download_names(lib: Library) -> DataFrame:
+    rows = lib.video.select("id", F.expr("CASE id % 4 WHEN 0 THEN 'a/b:c*' || id || '.mp4' WHEN 1 THEN repeat('long ', 50) || id || '.mkv' WHEN 2 THEN '  ..' ELSE filename END").alias("name"))
+    return rows.select("id", T.download_name(F.col("name")).alias("name"))
+
+
+@query("str_14_content_disposition")
+def dispositions(lib: Library) -> DataFrame:
+    return titles(lib).select("id", T.content_disposition(F.col("filename")).alias("header"))
+
+
+@query("str_15_safe_reason", "SELECT id, substr(trim(regexp_replace(regexp_replace('failed  at https://h/' || id || '?k=1 ' || title, 'https?://\\S+', '[url]', 'g'), '\\s+', ' ', 'g')), 1, 40) AS reason FROM video")
+def reasons(lib: Library) -> DataFrame:
+    said = F.concat(F.lit("failed  at https://h/"), F.col("id").cast("string"), F.lit("?k=1 "), F.col("title"))
+    return titles(lib).select("id", T.safe_reason(said, 40).alias("reason"))
+
+
+@query("str_16_label", "SELECT c_custkey AS id, coalesce(nullif(trim(substr(trim(CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name || repeat('!', 60) END), 1, 50)), ''), 'user' || c_custkey) AS label FROM customer")
+def labels(lib: Library) -> DataFrame:
+    rows = lib.raw("customer").select(F.col("c_custkey").alias("id"), F.expr("CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name || repeat('!', 60) END").alias("label"), F.expr("concat('user', c_custkey, '@example.com')").alias("email"))
+    return rows.select("id", T.label_of(F.col("label"), F.col("email")).alias("label"))
+
+
+@query("str_17_folder_name", "SELECT id, CASE WHEN length(trim(regexp_replace(n, '\\s+', ' ', 'g'))) BETWEEN 1 AND 100 THEN trim(regexp_replace(n, '\\s+', ' ', 'g')) END AS name FROM (SELECT id, CASE id % 3 WHEN 0 THEN '   ' WHEN 1 THEN repeat('x', 101) ELSE ' a   ' || id END AS n FROM video)")
+def folder_names(lib: Library) -> DataFrame:
+    return lib.video.select("id", T.folder_name(F.expr("CASE id % 3 WHEN 0 THEN '   ' WHEN 1 THEN repeat('x', 101) ELSE ' a   ' || id END")).alias("name"))
+
+
+@query("str_18_email", "SELECT c_custkey AS id, lower(trim('  ' || c_name || '@Example.COM ')) AS email FROM customer")
+def emails(lib: Library) -> DataFrame:
+    return lib.raw("customer").select(F.col("c_custkey").alias("id"), T.email_key(F.concat(F.lit("  "), "c_name", F.lit("@Example.COM "))).alias("email"))
+
+
+@query("str_19_clock_and_bytes", """SELECT id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) WHEN s > 0 THEN printf('%d:%02d', s // 60, s % 60) ELSE '' END AS clock,
+    CASE WHEN b >= 1048576 AND b / 1048576.0 < 10 THEN printf('%.1f MB', floor(b / 1048576.0 * 10 + 0.5) / 10) WHEN b >= 1048576 THEN printf('%d MB', CAST(floor(b / 1048576.0 + 0.5) AS BIGINT)) WHEN b >= 1024 AND b / 1024.0 < 10 THEN printf('%.1f KB', floor(b / 1024.0 * 10 + 0.5) / 10) WHEN b >= 1024 THEN printf('%d KB', CAST(floor(b / 1024.0 + 0.5) AS BIGINT)) ELSE printf('%d B', b) END AS size
+    FROM (SELECT id, duration * 7 AS s, file_size * (id % 100) AS b FROM video)""")
+def clocks(lib: Library) -> DataFrame:
+    return titles(lib).select("id", T.clock(F.col("duration") * 7).alias("clock"), T.bytes_text(F.col("file_size") * (F.col("id") % 100)).alias("size"))
+
+
+@query("str_20_vtt_time", "SELECT id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS at FROM (SELECT id, file_size * 977 AS ms FROM video)")
+def vtt(lib: Library) -> DataFrame:
+    return titles(lib).select("id", T.vtt_time(F.col("file_size") * 977).alias("at"))
+
+
+@query("str_21_fnv1a")
+def fnv(lib: Library) -> DataFrame:
+    return titles(lib).select("id", T.fnv1a(F.col("title")).alias("hash"))
+
+
+@query("str_22_attribute_handles", "SELECT id, 't' || id AS thumb, 'new' AS media FROM video")
+def handles(lib: Library) -> DataFrame:
+    said = F.concat(F.lit("7:0*t"), F.col("id").cast("string"), F.lit("/7:8*old/bad/9:8*new"))
+    return lib.video.select("id", said.alias("fa")).select("id", T.attribute_handles(F.col("fa")).alias("m")).select("id", F.col("m")["0"].alias("thumb"), F.col("m")["8"].alias("media"))
+
+
+TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("str_23_trigram_similarity", f"WITH t AS (SELECT id, {TRIGRAMS.format('title')} AS a, {TRIGRAMS.format(chr(39) + 'the tion' + chr(39))} AS b FROM video) SELECT id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0), 9) AS similarity FROM t")
+def trigram(lib: Library) -> DataFrame:
+    rows = titles(lib).select("id", T.trigrams(F.col("title")).alias("a"), T.trigrams(F.lit("the tion")).alias("b"))
+    return rows.select("id", F.round(T.trigram_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+@query("str_25_link_parts", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'AbCd' || lpad(CAST(id AS VARCHAR), 4, '0') END AS node, CASE WHEN id % 3 = 0 THEN NULL ELSE repeat('k', 43) END AS key FROM video WHERE id < 10000")
+def links(lib: Library) -> DataFrame:
+    url = F.expr("CASE WHEN id % 3 = 0 THEN concat('https://example.com/file/', id) ELSE concat(' https://mega.nz/', CASE WHEN id % 2 = 0 THEN 'file' ELSE 'embed' END, '/AbCd', lpad(CAST(id AS STRING), 4, '0'), '#', repeat('k', 43), ' ') END")
+    return lib.video.where("id < 10000").select("id", T.link_parts(url).alias("p")).select("id", F.col("p.id").alias("node"), F.col("p.key").alias("key"))
+
+
+@query("str_26_error_kind", "SELECT id, CASE id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'auth' WHEN 2 THEN 'quota' WHEN 3 THEN 'missing' ELSE 'network' END AS kind FROM video")
+def error_kinds(lib: Library) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("Request timed out (401)", "ESID (-15)", "Bandwidth quota 509", "ENOENT not found", "socket hang up"))), (F.col("id") % 5 + 1).cast("int"))
+    return lib.video.select("id", T.error_kind(said).alias("kind"))
+
+
+@query("mat_01_quotas", "SELECT unnest(['recent', 'history', 'related', 'random', 'variety']) AS source, unnest([4, 2, 4, 7, 7]) AS with_history, unnest([4, 0, 4, 8, 8]) AS without")
+def feed_quotas(lib: Library) -> DataFrame:
+    a, b = N.quotas(24, True), N.quotas(24, False)
+    return lib.spark.createDataFrame([(s, a[s], b[s]) for s in N.FEED_SOURCES], "source string, with_history int, without int")
+
+
+@query("mat_02_backoff", "SELECT id, CAST(least(300 * pow(2, greatest(attempts, 1) - 1), 1000) AS BIGINT) AS wait, CAST(least(60 * pow(2, greatest(recoveries + 1, 1) - 1), 600) AS BIGINT) AS recovery FROM job")
+def backoffs(lib: Library) -> DataFrame:
+    return lib.job.select("id", N.backoff(300, F.col("attempts"), 1000).alias("wait"), N.backoff(60, F.col("recoveries") + 1, 600).alias("recovery"))
+
+
+@query("mat_03_candidate_times", "SELECT id, CASE WHEN duration > 0 THEN list_sort(list_distinct(list_transform([0.25, 0.5, 0.75], lambda f: CAST(greatest(0, least(floor(duration * f + 0.5), greatest(0, duration - 5))) AS BIGINT)))) ELSE [10, 30, 60] END AS times FROM video")
+def candidate_times(lib: Library) -> DataFrame:
+    return titles(lib).select("id", N.candidate_times(F.col("duration"), 4).alias("times"))
+
+
+@query("mat_05_byte_window", """WITH w AS (SELECT id, file_size * 1000 AS size, (id % 11) / 10.0 AS f FROM video), x AS (SELECT id, size, f, least(greatest(ceil(size * 0.03), least(4194304, size)), 6000000, size) AS want FROM w)
+    SELECT id, CAST(greatest(0, least(floor(least(1.0, f) * size) - floor(least(1.0, f) * size) % 752, (size - want) - (size - want) % 752)) AS BIGINT) AS start, CAST(least(want, size - greatest(0, least(floor(least(1.0, f) * size) - floor(least(1.0, f) * size) % 752, (size - want) - (size - want) % 752))) AS BIGINT) AS length FROM x""")
+def byte_windows(lib: Library) -> DataFrame:
+    w = N.byte_window((F.col("id") % 11) / 10.0, F.col("file_size") * 1000, 6_000_000, 752)
+    return titles(lib).select("id", w.alias("w")).select("id", "w.*")
+
+
+@query("mat_06_merged_windows")
+def merged(lib: Library) -> DataFrame:
+    """A greedy fold with a cap on the merged length, so no gaps-and-islands window; checked by brute force."""
+    each = lib.fragment.groupBy("stream").agg(F.collect_list(F.struct(F.col("first_byte").alias("start"), ((F.col("end_byte") - F.col("first_byte")) / 2).cast("long").alias("length"))).alias("w"))
+    return each.select("stream", F.size(N.merged_windows(F.col("w"), 8000, 1500)).alias("windows"))
+
+
+@query("mat_08_canvas", """WITH p AS (SELECT p_partkey AS id, p_size * 40 AS w, p_partkey % 50 * 30 + 2 AS h FROM part), s AS (SELECT *, least(1.0, CASE WHEN h > w THEN 360 ELSE 640 END / greatest(w, 2), CASE WHEN h > w THEN 640 ELSE 360 END / greatest(h, 2)) AS s FROM p)
+    SELECT id, CAST(greatest(2, floor(greatest(w, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS width, CAST(greatest(2, floor(greatest(h, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS height, CAST(least(30, greatest(1, floor(CASE WHEN w % 7 > 0 THEN w % 7 * 11.99 ELSE 30 END + 0.01))) AS INTEGER) AS fps FROM s""")
+def canvases(lib: Library) -> DataFrame:
+    rows = lib.raw("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 40).alias("w"), (F.col("p_partkey") % 50 * 30 + 2).alias("h"))
+    return rows.select("id", N.canvas(F.col("w"), F.col("h")).alias("c"), N.frame_rate(F.when(F.col("w") % 7 > 0, F.col("w") % 7 * F.lit(11.99)), 30).alias("fps")).select("id", "c.*", "fps")
+
+
+@query("mat_09_sprite_grid", "SELECT stream, idx, (idx - 1) % 3 * 160 AS x, (idx - 1) // 3 * 90 AS y FROM fragment")
+def sprites(lib: Library) -> DataFrame:
+    """Where each cue's picture lies in a sheet three pictures wide."""
+    tiles = lib.fragment.groupBy("stream").agg(F.max("idx").alias("n")).select("stream", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    grid = tiles.select("stream", (F.col("i") + 1).alias("idx"), (F.col("i") % 3 * 160).alias("x"), (F.floor(F.col("i") / 3) * 90).cast("int").alias("y"))
+    return lib.fragment.select("stream", "idx").join(grid, ["stream", "idx"])
+
+
+@query("mat_10_signature_distance", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE) - 0.5))) / len(embedding), 6) AS distance FROM embeddings")
+def distances(lib: Library) -> DataFrame:
+    rows = lib.raw("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return rows.select("id", F.round(N.signature_distance(F.col("a"), F.transform("a", lambda x: F.lit(0.5))), 6).alias("distance"))
+
+
+@query("mat_11_duration_units", "SELECT id, CAST(CASE WHEN v <= 0 THEN NULL WHEN v > 10000000 THEN round(v / 1000000) WHEN v > 100000 THEN round(v / 1000) ELSE v END AS BIGINT) AS seconds FROM (SELECT id, CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN file_size WHEN 2 THEN 100001 + file_size * 100 ELSE 10000001 + file_size * 100000 END AS v FROM video)")
+def duration_units(lib: Library) -> DataFrame:
+    v = F.expr("CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN file_size WHEN 2 THEN 100001 + file_size * 100 ELSE 10000001 + file_size * 100000 END")
+    return lib.video.select("id", N.duration_seconds(v).alias("seconds"))
+
+
+@query("mat_12_byte_range", """SELECT id, CASE id % 5 WHEN 0 THEN id WHEN 1 THEN greatest(file_size - 10, 0) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END AS start, CASE id % 5 WHEN 0 THEN least(id + 99, file_size - 1) WHEN 1 THEN file_size - 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE file_size - 1 END AS "end" FROM video WHERE id % 5 <> 0 OR id < file_size""")
+def byte_ranges(lib: Library) -> DataFrame:
+    header = F.expr("CASE id % 5 WHEN 0 THEN concat('bytes=', id, '-', id + 99) WHEN 1 THEN 'bytes=-10' WHEN 2 THEN NULL WHEN 3 THEN 'bytes=9-2' ELSE 'bytes=0-' END")
+    rows = lib.video.where("id % 5 <> 0 OR id < file_size").select("id", N.byte_range(header, F.col("file_size")).alias("r"))
+    return rows.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+
+
+@query("mat_13_size_text", "SELECT id, CASE id % 4 WHEN 0 THEN id * 1073741824 WHEN 1 THEN id WHEN 2 THEN CAST(floor((id + 0.5) * 1048576) AS BIGINT) END AS bytes FROM video")
+def size_texts(lib: Library) -> DataFrame:
+    return lib.video.select("id", N.size_bytes(F.expr("CASE id % 4 WHEN 0 THEN concat(id, 'GB') WHEN 1 THEN concat(id, '') WHEN 2 THEN concat(id, '.5 mb') ELSE 'lots' END")).alias("bytes"))
+
+
+@query("mat_15_timeline_window", """WITH w AS (SELECT id, duration AS d, file_size * 1000 AS size, duration * 0.7 AS t FROM video WHERE duration > 0), x AS (SELECT *, least(greatest(ceil(size * 18 * 1.6 / d), least(2097152, size)), 6000000) AS want FROM w),
+    y AS (SELECT *, greatest(0, least(floor(t / d * size) - floor(t / d * size) % 752, greatest(0, size - want) - greatest(0, size - want) % 752)) AS s FROM x) SELECT id, CAST(s AS BIGINT) AS start, CAST(least(want, size - s) AS BIGINT) AS length FROM y""")
+def timeline_windows(lib: Library) -> DataFrame:
+    w = N.timeline_window(F.col("duration") * F.lit(0.7), F.col("duration"), F.col("file_size") * 1000, 6_000_000, 752, factor=1.6)
+    return lib.video.where("duration > 0").select("id", w.alias("w")).select("id", "w.*")
+
+
+@query("dat_01_daily_seed", "SELECT DISTINCT 'home-' || strftime(ts, '%Y-%m-%d') AS seed FROM events")
+def daily_seed(lib: Library) -> DataFrame:
+    return lib.raw("events").select(F.concat(F.lit("home-"), F.date_format("ts", "yyyy-MM-dd")).alias("seed")).distinct()
+
+
+@query("jsn_01_validated", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
+def validated_json(lib: Library) -> DataFrame:
+    """Text that does not parse, or lacks a field, is null."""
+    text = F.expr("CASE event_id % 6 WHEN 0 THEN 'no json' WHEN 3 THEN '{\"other\": 1}' ELSE props END")
+    return lib.raw("events").select(F.col("event_id").alias("id"), F.from_json(text, "k int").alias("j")).select("id", "j.k")
+
+
+@query("jsn_02_version_fingerprint", "SELECT id, substr(sha256('{\"size\":' || file_size || ',\"v\":2}'), 1, 10) AS version FROM video")
+def version_fingerprint(lib: Library) -> DataFrame:
+    return lib.video.select("id", F.substring(F.sha2(F.to_json(F.struct(F.col("file_size").alias("size"), F.lit(2).alias("v"))), 256), 1, 10).alias("version"))
+
+
+#: Media types by extension.
+MIME = {"mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mkv": "video/x-matroska", "mov": "video/quicktime", "avi": "video/x-msvideo", "ts": "video/mp2t"}
+
+
+@query("cls_01_mime_and_route", f"""WITH n AS (SELECT id, {NAMES} AS name FROM video), e AS (SELECT id, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS e FROM n)
+    SELECT id, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME.items())} ELSE 'application/octet-stream' END AS mime, CASE WHEN e IN ('mp4', 'm4v', 'webm') THEN 'direct' WHEN e IN ('mkv', 'mov', 'ts') THEN 'remux' ELSE 'unsupported' END AS route FROM e""")
+def mime_and_route(lib: Library) -> DataFrame:
+    """Lookup tables of a few entries as map literals."""
+    ext = T.extension(F.col("name"))
+    table = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    route = F.when(ext.isin("mp4", "m4v", "webm"), "direct").when(ext.isin("mkv", "mov", "ts"), "remux").otherwise("unsupported")
+    return names(lib).select("id", F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream")).alias("mime"), route.alias("route"))
+
+
+@query("cls_02_retry_decision", "SELECT id, CASE WHEN status <> 'failed' THEN 'none' WHEN error_code IN ('max_attempts', 'worker_recovery_exhausted', 'unsupported_codec') THEN 'blocked' WHEN attempts >= 3 THEN 'exhausted' ELSE 'retry' END AS decision FROM job")
+def retry_decision(lib: Library) -> DataFrame:
+    return lib.job.select("id", F.when(F.col("status") != "failed", "none").when(auto_retry_blocked(), "blocked").when(F.col("attempts") >= 3, "exhausted").otherwise("retry").alias("decision"))
+
+
+#: Errors that an ordinary scan never retries.
+BLOCKED = ("max_attempts", "worker_recovery_exhausted", "unsupported_codec")
+
+
+def auto_retry_blocked():
+    return F.coalesce(F.col("error_code").isin(*BLOCKED), F.lit(False))

@@ -1 +1,209 @@
+"""Ranking and running windows, orders, set operations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from shelfwise.functions.text import vtt_time
+from shelfwise.operators.scope import in_library, newest, page_strip, paged, with_owner
+from shelfwise.plans.filters import OWNED, RUNNABLE, VISIBLE, now, runnable
+from shelfwise.registry import query
+from shelfwise.sources.catalog import NOW, Library
+
+
+@query("win_01_total_beside_page", "SELECT id, (SELECT count(*) FROM video WHERE account_id IS NULL) AS total FROM video WHERE account_id IS NULL ORDER BY id LIMIT 24")
+def total_beside_page(lib: Library) -> DataFrame:
+    """The total as a one-row aggregate joined to a page, not as a window over all rows."""
+    rows = lib.video.where("account_id IS NULL")
+    total = rows.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    return rows.select("id").orderBy("id").limit(24).withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("id", "total")
+
+
+@query("win_02_first_n_per_source", "SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, id DESC) AS r FROM video) WHERE r <= 5")
+def first_n(lib: Library) -> DataFrame:
+    order = Window.partitionBy("source").orderBy(*newest())
+    return lib.video.withColumn("r", F.row_number().over(order)).where("r <= 5").select("source", "id")
+
+
+@query("win_04_round_robin", "SELECT source, id, CAST(row_number() OVER (ORDER BY r, source) AS INTEGER) AS pos FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS r FROM video) WHERE r <= 3")
+def round_robin(lib: Library) -> DataFrame:
+    """Rank within the source first, then the source."""
+    ranked = lib.video.select("source", "id").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where("r <= 3")
+    return paged(ranked, [F.col("r"), F.col("source")], 1, 96).select("source", "id", "pos")
+
+
+@query("win_06_keep_first_node", "SELECT video_id, min(id) AS id FROM job GROUP BY video_id")
+def keep_first(lib: Library) -> DataFrame:
+    order = Window.partitionBy("video_id").orderBy("id")
+    return lib.job.withColumn("r", F.row_number().over(order)).where("r = 1").select("video_id", "id")
+
+
+def numbered_key(base, order):
+    """base for the first of equal keys, base|n for the n-th."""
+    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    return F.when(n == 1, base).otherwise(F.concat(base, F.lit("|"), n.cast("string")))
+
+
+@query("win_07_numbered_keys", "SELECT id, CASE WHEN n = 1 THEN k ELSE k || '|' || n END AS key FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM (SELECT id, 'possible|' || file_size AS k FROM video))")
+def numbered_keys(lib: Library) -> DataFrame:
+    base = F.concat(F.lit("possible|"), F.col("file_size").cast("string"))
+    return lib.video.select("id", base.alias("k")).select("id", numbered_key(F.col("k"), F.col("id")).alias("key"))
+
+
+@query("win_09_starvation_order", f"SELECT id, CAST(row_number() OVER (ORDER BY queued_at < TIMESTAMP '{NOW}' - INTERVAL 800 DAY DESC, priority DESC, queued_at, id) AS INTEGER) AS pos FROM ({RUNNABLE}) ORDER BY pos LIMIT 24")
+def starvation_order(lib: Library) -> DataFrame:
+    """Jobs that waited too long go before all priorities."""
+    aged = F.col("queued_at") < now() - F.expr("INTERVAL '800' DAY")
+    return paged(runnable(lib), [aged.desc(), F.desc("priority"), F.col("queued_at"), F.col("id")]).select("id", "pos")
+
+
+@query("win_10_cue_ends", """SELECT stream, idx, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS starts, printf('%02d:%02d:%02d.%03d', e // 3600000, e // 60000 % 60, e // 1000 % 60, e % 1000) AS ends
+    FROM (SELECT stream, idx, start_time * 1000 AS ms, coalesce(lead(start_time * 1000) OVER (PARTITION BY stream ORDER BY idx), end_byte * 10) AS e FROM fragment)""")
+def cue_ends(lib: Library) -> DataFrame:
+    """A cue ends where the next begins, the last one with the stream."""
+    start = F.col("start_time") * 1000
+    end = F.coalesce(F.lead(start).over(Window.partitionBy("stream").orderBy("idx")), F.col("end_byte") * 10)
+    return lib.fragment.select("stream", "idx", vtt_time(start).alias("starts"), vtt_time(end).alias("ends"))
+
+
+def spaced_scenes(starts: list[float], length: float, least: float, most: float, tries: int = 6) -> list[float]:
+    """Starts moved on by three quarters of a scene while they lie too near to one already taken."""
+    taken: list[float] = []
+    for start in starts:
+        start = min(max(start, least), most)
+        for _ in range(tries):
+            if all(abs(t - start) >= max(0.4, 0.35 * length) for t in taken):
+                break
+            start = min(max(start + 0.75 * length, least), most)
+        taken.append(start)
+    return taken
+
+
+def chosen_scenes(scenes: list[list[tuple[float, bool, float]]]) -> list[float]:
+    """Of each scene's alternatives (start, bright, signature) the first bright one at least 2.5 from those chosen, else the first; by start."""
+    chosen: list[tuple[float, float]] = []
+    for options in scenes:
+        fits = [o for o in options if o[1] and all(abs(o[2] - s) >= 2.5 for _, s in chosen)]
+        if picked := (fits or options)[:1]:
+            chosen.append((picked[0][0], picked[0][2]))
+    return sorted(start for start, _ in chosen)
+
+
+@query("win_11_spaced_scenes")
+def spaced(lib: Library) -> DataFrame:
+    """Up to six scenes a video: a fold, so a small function; checked against cases by hand."""
+    move = F.udf(lambda d: [round(x, 6) for x in spaced_scenes([d * f for f in (0.1, 0.3, 0.5, 0.7, 0.9)], 1.2, min(d * 0.02, 1), max(0.0, d - 1.5))], "array<double>")
+    return lib.video.where("duration > 0").select("id", move(F.col("duration").cast("double")).alias("starts"))
+
+
+@query("win_12_greedy_scenes")
+def greedy_scenes(lib: Library) -> DataFrame:
+    options = F.collect_list(F.struct(F.col("idx").cast("double").alias("start"), F.col("keyframe").alias("bright"), (F.col("first_byte") / 1000).alias("signature")))
+    each = lib.fragment.where("idx <= 6").groupBy("stream").agg(F.array_sort(options).alias("o"))
+    pick = F.udf(lambda o: chosen_scenes([[tuple(x) for x in o[i : i + 2]] for i in range(0, len(o), 2)]), "array<double>")
+    return each.select("stream", pick("o").alias("starts"))
+
+
+@query("srt_01_recency", "SELECT id, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS pos FROM video ORDER BY pos LIMIT 24 OFFSET 24")
+def recency(lib: Library) -> DataFrame:
+    return paged(lib.video, newest(), 2).select("id", "pos")
+
+
+@query("srt_02_curated", "SELECT id, CAST(row_number() OVER (ORDER BY file_size % 10, id) AS INTEGER) AS pos FROM video WHERE account_id IS NULL ORDER BY pos LIMIT 24")
+def curated(lib: Library) -> DataFrame:
+    return paged(lib.video.where("account_id IS NULL"), [F.col("file_size") % 10, F.col("id")]).select("id", "pos")
+
+
+SEED = "2024-05-01"
+
+
+def shuffled(seed: str):
+    """The order of a seed: a digest of seed and id, so that pages of one seed never overlap."""
+    return [F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), F.col("id")]
+
+
+@query("srt_03_seeded_shuffle", f"WITH o AS ({OWNED}) SELECT id, CAST(row_number() OVER (ORDER BY md5('{SEED}' || id)) AS INTEGER) AS pos FROM o WHERE {VISIBLE.format(1)} ORDER BY pos LIMIT 24 OFFSET 48")
+def seeded_shuffle(lib: Library) -> DataFrame:
+    return paged(with_owner(lib.video, lib.account).where(in_library(1)), shuffled(SEED), 3).select("id", "pos")
+
+
+@query("srt_05_by_name", "SELECT id, CAST(row_number() OVER (ORDER BY name, id) AS INTEGER) AS pos FROM creator ORDER BY pos LIMIT 24")
+def by_name(lib: Library) -> DataFrame:
+    return paged(lib.creator, [F.col("name"), F.col("id")]).select("id", "pos")
+
+
+@query("srt_06_flag_first", "SELECT id, CAST(row_number() OVER (ORDER BY duration IS NULL DESC, id) AS INTEGER) AS pos FROM video ORDER BY pos LIMIT 24")
+def flag_first(lib: Library) -> DataFrame:
+    return paged(lib.video, [F.col("duration").isNull().desc(), F.col("id")]).select("id", "pos")
+
+
+@query("srt_08_page_clamp", "SELECT id, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS pos FROM video ORDER BY id LIMIT 96")
+def page_clamp(lib: Library) -> DataFrame:
+    """Page 0 is page 1, and no page has more than 96 rows."""
+    return paged(lib.video, [F.col("id")], 0, 5000).select("id", "pos")
+
+
+@query("srt_10_seeded_permutation")
+def seeded_permutation(lib: Library) -> DataFrame:
+    """Shuffle of a bounded list of ids on the driver by a seeded generator; large tables use srt_03."""
+    ids = [r["id"] for r in lib.video.where("account_id IS NULL").select("id").orderBy("id").limit(1000).collect()]
+    return lib.spark.createDataFrame([(i, p) for p, i in enumerate(permuted(ids, SEED))], "id long, pos int")
+
+
+def permuted(ids: list[int], seed: str) -> list[int]:
+    """Fisher-Yates from a 32-bit digest of the seed."""
+    state = 0x811C9DC5
+    for unit in seed.encode("utf-16-le")[::2]:
+        state = (state ^ unit) * 0x01000193 & 0xFFFFFFFF
+    out = list(ids)
+    for i in range(len(out) - 1, 0, -1):
+        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+        t = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
+        t ^= t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF) & 0xFFFFFFFF
+        j = int(((t ^ t >> 14) & 0xFFFFFFFF) / 2**32 * (i + 1))
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+@query("srt_11_brightest", "SELECT l_orderkey AS stream, coalesce(arg_min(l_linenumber, l_linenumber) FILTER (WHERE l_quantity >= 45), arg_max(l_linenumber, l_quantity * 100 - l_linenumber)) AS frame FROM lineitem GROUP BY l_orderkey")
+def brightest(lib: Library) -> DataFrame:
+    """The first frame that is bright enough, else the brightest (of equals the first)."""
+    rows = lib.raw("lineitem")
+    return rows.groupBy(F.col("l_orderkey").alias("stream")).agg(F.coalesce(F.min(F.when(F.col("l_quantity") >= 45, F.col("l_linenumber"))), F.max_by("l_linenumber", F.col("l_quantity") * 100 - F.col("l_linenumber"))).alias("frame"))
+
+
+@query("srt_12_page_strip", "SELECT unnest([1, NULL, 4, 5, 6, NULL, 20]) AS page, unnest([0, 1, 2, 3, 4, 5, 6]) AS pos")
+def strip(lib: Library) -> DataFrame:
+    return lib.spark.createDataFrame([(p, i) for i, p in enumerate(page_strip(5, 20))], "page int, pos int")
+
+
+@query("set_01_exclusion", "SELECT video_id FROM watchlist WHERE user_id = 1 AND video_id NOT IN (SELECT video_id FROM history WHERE user_id = 1)")
+def exclusion(lib: Library) -> DataFrame:
+    return lib.watchlist.where("user_id = 1").join(lib.history.where("user_id = 1").select("video_id"), "video_id", "left_anti").select("video_id")
+
+
+def chained(parts: list[DataFrame], key: str) -> DataFrame:
+    """Ordered union that keeps the first of equal keys; every part has pos."""
+    rows = parts[0].withColumn("part", F.lit(0))
+    for i, more in enumerate(parts[1:], 1):
+        rows = rows.unionByName(more.withColumn("part", F.lit(i)))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("part", "pos"))
+    return rows.withColumn("r", first).where("r = 1").drop("r")
+
+
+@query("set_02_ordered_union", """WITH p AS (SELECT 0 AS part, video_id AS id, row_number() OVER (ORDER BY ts DESC, video_id) AS pos FROM history WHERE user_id = 1 UNION ALL SELECT 1, video_id, row_number() OVER (ORDER BY ts DESC, video_id) FROM watchlist WHERE user_id = 1)
+    SELECT id, min(part) AS part FROM p GROUP BY id""")
+def ordered_union(lib: Library) -> DataFrame:
+    order = Window.orderBy(F.desc("ts"), "video_id")  # one user's own list
+    part = lambda t: t.where("user_id = 1").select(F.col("video_id").alias("id"), F.row_number().over(order).alias("pos"))
+    return chained([part(lib.history), part(lib.watchlist)], "id").select("id", "part")
+
+
+@query("set_03_fallback_fill", """WITH same AS (SELECT id, file_size FROM video WHERE account_id IS NULL AND source = 'src0' AND id <> 0 ORDER BY file_size % 10, id LIMIT 12),
+    rest AS (SELECT id, file_size FROM video WHERE account_id IS NULL AND id <> 0 AND id NOT IN (SELECT id FROM same) ORDER BY file_size % 10, id LIMIT (SELECT 12 - count(*) FROM same)) SELECT id FROM same UNION ALL SELECT id FROM rest""")
+def fallback_fill(lib: Library) -> DataFrame:
+    """Public recommendations: the same creator's first, others to fill up."""
+    public = lib.video.where("account_id IS NULL AND id <> 0")
+    order = [F.when(F.col("source") == "src0", 0).otherwise(1), F.col("file_size") % 10, F.col("id")]
+    return public.orderBy(*order).limit(12).select("id")
