@@ -1 +1,67 @@
+"""Duplicate scans and what may be deleted."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfwise.operators.duplicates import edges, groups, prepared, wiped_out
+from shelfwise.operators.scope import with_owner
+from shelfwise.plans.filters import OWNED
+from shelfwise.registry import query
+from shelfwise.sources.catalog import Library
+
+
+def files(lib: Library) -> DataFrame:
+    """Several files of each size: sizes are rounded so that more of them agree."""
+    return lib.video.select("id", "node_id", F.concat("title", F.lit(".mp4")).alias("name"), "title", F.col("file_size").alias("size"), "duration")
+
+
+@query("joi_10_duplicate_pairs")
+def pairs(lib: Library) -> DataFrame:
+    """Links between possible duplicates; needs Jaro-Winkler, so checked by brute force."""
+    return edges(prepared(files(lib)))
+
+
+@query("qry_13_duplicate_groups")
+def duplicate_groups(lib: Library) -> DataFrame:
+    return groups(files(lib))
+
+
+@query("agg_06_group_stats")
+def group_stats(lib: Library) -> DataFrame:
+    return groups(files(lib)).groupBy("confidence", "duration_status").agg(F.count("*").alias("groups"), F.sum("copies").alias("files"), F.min("similarity").alias("least"))
+
+
+@query("agg_08_summary")
+def totals(lib: Library) -> DataFrame:
+    """Totals; scanned counts all files, whatever their group."""
+    found = groups(files(lib)).agg(F.count("*").alias("groups"), F.coalesce(F.sum("copies"), F.lit(0)).alias("files"), F.coalesce(F.sum("savings"), F.lit(0)).alias("savings"))
+    scanned = files(lib).agg(F.count("*").alias("scanned")).withColumn("one", F.lit(1))
+    return found.withColumn("one", F.lit(1)).join(F.broadcast(scanned), "one").drop("one")
+
+
+@query("srt_07_groups_by_savings")
+def by_savings(lib: Library) -> DataFrame:
+    """The top of the groups by what deleting could save; ties by their least member."""
+    return groups(files(lib)).orderBy(F.desc("savings"), F.get("members", F.lit(0))).limit(96).select("group_key", "savings")
+
+
+@query("qry_14_scan_scope", f"WITH o AS ({OWNED}) SELECT id, account_id FROM o WHERE owner = 1 AND owner_status <> 'DISCONNECTED' AND file_size IS NOT NULL")
+def scan_scope(lib: Library) -> DataFrame:
+    return with_owner(lib.video, lib.account).where("owner = 1 AND owner_status <> 'DISCONNECTED' AND file_size IS NOT NULL").select("id", "account_id")
+
+
+@query("qry_15_delete_guard")
+def delete_guard(lib: Library) -> DataFrame:
+    """Groups that a deletion of every other video, and of all groups' first copies, would leave without any copy."""
+    found = groups(files(lib))
+    return wiped_out(found, lib.video.where("id % 2 = 0").select("id"))
+
+
+@query("qry_15_deletion_targets", "WITH asked AS (SELECT unnest(range(0, 300, 7)) AS n), mine AS (SELECT v.node_id, v.account_id FROM video v JOIN account a ON a.id = v.account_id WHERE a.user_id = 1) SELECT account_id, count(*) AS nodes FROM asked LEFT JOIN mine ON node_id = 'n' || n GROUP BY account_id")
+def deletion_targets(lib: Library) -> DataFrame:
+    """Asked nodes by account; those of nobody or of others under null."""
+    asked = lib.spark.range(0, 300, 7).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_id"))
+    mine = with_owner(lib.video, lib.account).where("owner = 1").select("node_id", "account_id")
+    return asked.join(mine, "node_id", "left").groupBy("account_id").agg(F.count("*").alias("nodes"))
