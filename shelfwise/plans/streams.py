@@ -1 +1,116 @@
+"""State over event streams: in batches by windows and folds, and with Structured Streaming where state is kept."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from shelfwise.registry import query
+from shelfwise.sources.catalog import Library
+from shelfwise.streaming.limits import latest_value, limited, limited_stream, run_once
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+
+
+def event_stream(lib: Library) -> DataFrame:
+    """The events table as a stream of files."""
+    return lib.spark.readStream.schema(lib.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(lib.path)
+
+
+@query("stm_01_request_limit")
+def request_limit(lib: Library) -> DataFrame:
+    """Windows begin with a key's first request, so no tumbling window; checked by brute force and against the stream."""
+    return limited(requests(lib.raw("events")), 3, 3_600_000)
+
+
+@query("stm_01_request_limit_stream")
+def request_limit_stream(lib: Library) -> DataFrame:
+    return run_once(limited_stream(requests(event_stream(lib)), 3, 3_600_000), "limit")
+
+
+@query("stm_02_latest_per_key", "SELECT CAST(user_id % 5 AS INTEGER) AS user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS video_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY ALL")
+def latest_per_key(lib: Library) -> DataFrame:
+    """The history as it stands after the stream of views."""
+    views = event_stream(lib).where("event_type = 'view'").select((F.col("user_id") % 5).cast("int").alias("user_id"), F.get_json_object("props", "$.k").cast("long").alias("video_id"), "ts")
+    return run_once(views.groupBy("user_id", "video_id").agg(F.max("ts").alias("ts")), "latest", "complete")
+
+
+@query("stm_03_progress", """SELECT user_id, arg_max(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, event_id) FILTER (WHERE event_id % 3 <> 0) AS phase, max(event_id) AS last FROM events GROUP BY user_id""")
+def progress(lib: Library) -> DataFrame:
+    """Patches with gaps: each field keeps its last value that is not null."""
+    rows = lib.raw("events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("phase"))
+    return rows.groupBy("user_id").agg(latest_value("phase", "event_id").alias("phase"), F.max("event_id").alias("last"))
+
+
+#: What an estimate needs to begin, and the items that count as nearly none.
+WARM_MS, WARM_ITEMS, NEARLY = 4000, 5, 3
+
+
+def eta(span, done, left):
+    """struct<kind, ms>: no estimate before the warm-up; nearly done with at most NEARLY items left."""
+    ready = (span >= WARM_MS) & (done >= WARM_ITEMS)
+    kind = F.when(left <= NEARLY, "almost-done").when(ready, "estimate").otherwise("calculating")
+    return F.struct(kind.alias("kind"), F.when(kind == "estimate", F.ceil(left * span / done)).alias("ms"))
+
+
+@query("stm_04_eta", """WITH m AS (SELECT user_id, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS span, count(*) - 1 AS done, 120 - count(*) AS rest FROM events GROUP BY user_id)
+    SELECT user_id, CASE WHEN rest <= 3 THEN 'almost-done' WHEN span >= 4000 AND done >= 5 THEN 'estimate' ELSE 'calculating' END AS kind, CASE WHEN rest > 3 AND span >= 4000 AND done >= 5 THEN CAST(ceil(rest * span / done) AS BIGINT) END AS ms FROM m""")
+def etas(lib: Library) -> DataFrame:
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    each = lib.raw("events").groupBy("user_id").agg((ms(F.max("ts")) - ms(F.min("ts"))).alias("span"), (F.count("*") - 1).alias("done"), (120 - F.count("*")).alias("left"))
+    return each.select("user_id", eta(F.col("span"), F.col("done"), F.col("left")).alias("e")).select("user_id", "e.*")
+
+
+@query("stm_05_fragment_index", "SELECT stream, count(*) AS fragments, max(end_byte) AS frontier FROM fragment GROUP BY stream")
+def fragment_index(lib: Library) -> DataFrame:
+    """Fragments joined end to end from byte 0: how many, and how far they reach. Overlaps count once; a gap ends the run."""
+    order = Window.partitionBy("stream").orderBy("first_byte")
+    reached = F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    broken = F.sum((F.col("first_byte") > F.coalesce(reached, F.lit(0))).cast("int")).over(order)
+    return lib.fragment.withColumn("broken", broken).where("broken = 0").groupBy("stream").agg(F.count("*").alias("fragments"), F.max("end_byte").alias("frontier"))
+
+
+#: A job's states and what each event makes of them.
+MOVES = {("pending", "claim"): "generating", ("generating", "complete"): "completed", ("generating", "fail"): "failed", ("generating", "release"): "pending", ("failed", "retry"): "pending", ("generating", "unsupported"): "unsupported"}
+
+
+def machine(events):
+    """State after the events in order; one that the state does not allow changes nothing."""
+    table = F.create_map(*[F.lit(x) for (state, event), to in MOVES.items() for x in (f"{state}>{event}", to)])
+    return F.aggregate(events, F.lit("pending"), lambda state, e: F.coalesce(F.try_element_at(table, F.concat(state, F.lit(">"), e["name"])), state))
+
+
+@query("stm_08_job_states")
+def job_states(lib: Library) -> DataFrame:
+    """Events of a job folded into its state; checked by brute force."""
+    name = F.element_at(F.array(*map(F.lit, ("claim", "complete", "fail", "release", "retry", "unsupported"))), (F.col("event_id") % 6 + 1).cast("int"))
+    each = lib.raw("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", name.alias("name")))).alias("e"))
+    return each.select("user_id", machine(F.col("e")).alias("state"))
+
+
+@query("stm_11_resume_point", "SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN 'restart' WHEN p_size * 10 > p_partkey THEN 'resume' ELSE 'trust-file' END AS action, CASE WHEN p_size % 7 = 0 THEN 0 ELSE least(p_size * 10, p_partkey) END AS frontier FROM part")
+def resume_point(lib: Library) -> DataFrame:
+    """A file against its manifest: of another source, start again; else go on from the shorter of the two."""
+    other, manifest, file = F.col("p_size") % 7 == 0, F.col("p_size") * 10, F.col("p_partkey")
+    action = F.when(other, "restart").when(manifest > file, "resume").otherwise("trust-file")
+    return lib.raw("part").select(file.alias("id"), action.alias("action"), F.when(other, 0).otherwise(F.least(manifest, file)).alias("frontier"))
+
+
+@query("stm_13_trailing_rate", """WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    p AS (SELECT e.user_id, e.event_id, e.n, e.t, (SELECT max(f.n) FROM e f WHERE f.user_id = e.user_id AND f.n <= e.n AND f.t < e.t - 86400000) AS before FROM e)
+    SELECT user_id, event_id, CAST(n - greatest(1, least(coalesce(before, 1), n - 1)) AS BIGINT) AS done FROM p""")
+def trailing_rate(lib: Library) -> DataFrame:
+    """Items done since the last sample before the trailing day, which stays; at least two samples count."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = lib.raw("events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.row_number().over(own).alias("n"))
+    trailing = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -86_400_001)
+    before = F.coalesce(F.max("n").over(trailing), F.lit(1))
+    return rows.select("user_id", "event_id", (F.col("n") - F.greatest(F.lit(1), F.least(before, F.col("n") - 1))).cast("long").alias("done"))
+
+
+@query("stm_14_live_counters", "SELECT status, count(*) AS n FROM (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id) GROUP BY status")
+def live_counters(lib: Library) -> DataFrame:
+    """Events folded by key, and keys counted by what came last."""
+    return lib.raw("events").groupBy("user_id").agg(latest_value("event_type", "event_id").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
