@@ -9,8 +9,10 @@ from itertools import chain, zip_longest
 def fresh(ids: Iterable[int], taken: set[int], most: int | None = None) -> list[int]:
     """The first ids that are not taken; they are taken then."""
     out: list[int] = []
-    for one in ids:
-        if most is not None and len(out) >= most:
+    left = iter(ids)
+    while most is None or len(out) < most:
+        one = next(left, None)
+        if one is None:
             break
         if one not in taken:
             taken.add(one)
