@@ -48,3 +48,12 @@ def test_folds():
     assert chosen_scenes([[(5.0, False, 1.0), (6.0, True, 1.0)], [(1.0, True, 2.0), (2.0, True, 9.0)], [(9.0, False, 0.0)]]) == [2.0, 6.0, 9.0]
     out = permuted(list(range(50)), "seed")
     assert sorted(out) == list(range(50)) and out == permuted(list(range(50)), "seed") != permuted(list(range(50)), "other")
+
+
+def test_montage():
+    from shelfwise.plans.montage import alternatives, montage
+
+    assert [s for s, _, _ in montage(100.0, 5, 1.2)] == [pytest.approx(x) for x in (10, 30, 50, 70, 90)]
+    assert montage(None, 3, 1.2) == [(10.0, 1.2, True), (30.0, 1.2, True), (50.0, 1.2, True)] and len(montage(None, 9, 1)) == 5
+    assert montage(1.5, 5, 1.2) == [(pytest.approx(0.27), pytest.approx(1.2), False)] and len(montage(5.0, 5, 1.2)) == 2
+    assert alternatives(10.0, 1.2, None, 2) == [10.0, 11.5, 8.5] and alternatives(0.0, 1.0, 1.3, 9) == [0.0]
