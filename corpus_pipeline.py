@@ -16,13 +16,15 @@ from shelfwise.llm.line_dedup import LineDedup
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled ones among docs; an empty text is judged like any other."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.ACCEPT).select(docs.columns)
+    return quality.score(docs, model, to="__score").where(F.col("__score") >= quality.ACCEPT).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; lines that an earlier one has are gone from the text, and n_chars follows. A null text stays null."""
     state = LineDedup.of(docs)
-    kept = state.apply(docs, state.postings)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = state.apply(docs.select("doc_id", "text", F.struct(*others).alias("__others")), state.postings)  # out of the way of the columns that it adds
+    kept = kept.select("doc_id", "text", "__others.*")
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(docs.columns)
 
 

@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return Model(np.frombuffer(found[0]["value"], "<f4").astype(np.float64), found[0]["bias"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column score (probability of label 1, 0 to 1); a null text is an empty one, whose score is the model's bias."""
+def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with the column to (probability of label 1, 0 to 1); a null text is an empty one, whose score is the model's bias."""
     shared = docs.sparkSession.sparkContext.broadcast((model.value.astype(np.float32), model.bias))
 
     @F.pandas_udf("double")
@@ -168,4 +168,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [model.logits(features, batch.iloc[i : i + 500].tolist()) for i in range(0, len(batch), 500)]
             yield pd.Series(1 / (1 + np.exp(-np.concatenate(out)))) if out else pd.Series([], dtype=float)
 
-    return docs.withColumn("score", probability(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(to, probability(F.coalesce(F.col("text"), F.lit(""))))

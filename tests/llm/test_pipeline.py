@@ -32,6 +32,18 @@ def test_stages_by_hand(spark, tmp_path):
     assert quality.ACCEPT == 0.3
 
 
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines string, n_dropped string, class_id string, rep string, item_id string"
+    docs = frame(spark, [(1, "some clean text of a document", "en", "s", 3, "a", "b", "c", "d", "e", "f"), (None, None), (2, "another clean text of a document", "en", "s", 3, "a", "b", "c", "d", "e", "f")], schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of the kind in any of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect() if r["doc_id"]} == {("a", "b", "c", "d", "e", "f")}, name
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() == 3
+
+
 def test_empty(spark, tmp_path):
     frame(spark, [], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
