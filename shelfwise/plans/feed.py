@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import query_language as Q
 from shelfwise.functions.numbers import FEED_SOURCES, quotas
-from shelfwise.operators.scope import PER_PAGE, in_library, is_own, newest, paged, total_pages
+from shelfwise.operators.scope import PER_PAGE, is_own, newest, paged, total_pages
 from shelfwise.operators.selection import by_quota, fresh, patterned, round_robin, up_next
 from shelfwise.plans.filters import OWNED, VISIBLE
 from shelfwise.plans.library import POS
