@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,22 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Consecutive rows of equal key, each run as one table; batches must be sorted by key. Holds one run and one batch."""
-    held: list[pa.Table] = []
-    held_key = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if not rows.num_rows:
-            continue
-        ends = pc.run_end_encode(rows[key].combine_chunks())
-        starts = 0
-        for value, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
-            part = rows.slice(starts, end - starts)
-            if held and value != held_key:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(part)
-            held_key, starts = value, end
-    if held:
-        yield pa.concat_tables(held)
+def give_back() -> None:
+    """Return free memory to the system: Python workers live on after a task, and the next stage may need what this one has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass

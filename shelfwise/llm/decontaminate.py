@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import give_back
 from shelfwise.llm.shingles import mix
 
 WINDOW, MIN_RUN, MIN_COVER, LITERAL = 8, 13, 0.5, 4
@@ -45,7 +46,7 @@ class Kinds(dict):
             low = token.lower()
             kind = 1 if token[0].isdigit() else 2 if token[0].isupper() and token[1:].islower() else 3 if low in UNITS else 0
             found = (xxhash.xxh3_64_intdigest(low), kind)
-        if len(self) < 1_000_000:
+        if len(self) < 300_000:
             self[token] = found
         return found
 
@@ -146,6 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         out["place"].append(int(place))
                         out["literal"].append(_values(literal[place : place + width]))
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["place"], pa.int32()), pa.array(out["literal"], pa.list_(pa.int64()))], list(out))
+        kinds.clear()
+        give_back()
 
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     hits = narrow.mapInArrow(read, "doc_id long, window long, place int, literal array<long>").join(found, "window")

@@ -24,11 +24,12 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import give_back, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Keys that one shard's filter is meant for, and copies of a filter that one shard's postings are dealt to.
@@ -138,6 +139,7 @@ def postings_of(docs: DataFrame, shards: int, min_chars: int = 10) -> DataFrame:
                 keys += own
             shard = (_digests(keys)[:, 1] % np.uint64(shards)).astype(np.int32) if keys else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"])
+        give_back()
 
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return narrow.mapInArrow(emit, "shard int, key binary, doc_id long")
@@ -252,18 +254,25 @@ class LineDedup:
         joined = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(drops, "doc_id", "left")
         min_chars = self.min_chars
 
-        @F.pandas_udf("text string, n_lines long, n_dropped long")
-        def kept(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
-            out = []
-            for one, gone in zip(text, drop, strict=True):
-                if gone is None or not len(gone):
-                    out.append((one, (one or "").count("\n") + 1, 0))
-                    continue
-                gone = set(gone)
-                lines = one.split("\n")
-                stay = [line for line, key in zip(lines, line_keys(one, min_chars), strict=True) if key not in gone]
-                out.append(("\n".join(stay), len(lines), len(lines) - len(stay)))
-            return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
-
-        done = joined.withColumn("__kept", kept(F.col("text"), F.col("__drop")))
-        return done.select("doc_id", F.col("__kept.text").alias("text"), *rest, F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1000):
+                    yield cut_some(batch.slice(start, 1000))
+            give_back()
+
+        def cut_some(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Only texts that lose lines become Python strings."""
+            text, drop = batch["text"], batch["__drop"]
+            lines = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 1).cast(pa.int64())
+            touched = pc.is_valid(drop)
+            stay, lost = [], np.zeros(batch.num_rows, np.int64)
+            for i in np.flatnonzero(touched.to_numpy(zero_copy_only=False)):
+                one, gone = text[i].as_py(), set(drop[i].as_py())
+                left = [line for line, key in zip(one.split("\n"), line_keys(one, min_chars), strict=True) if key not in gone]
+                stay.append("\n".join(left))
+                lost[i] = lines[i].as_py() - len(left)
+            text = pc.replace_with_mask(text, touched, pa.array(stay, pa.string())) if stay else text
+            return pa.RecordBatch.from_arrays([batch["doc_id"], text, *(batch[c] for c in rest), lines, pa.array(lost)], ["doc_id", "text", *rest, "n_lines", "n_dropped"])
+
+        schema = joined.select("doc_id", "text", *rest).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+        return joined.select("doc_id", "text", *rest, "__drop").mapInArrow(cut, schema)

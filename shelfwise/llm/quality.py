@@ -12,15 +12,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import give_back
+
 #: Rows of the embedding table (a power of two), its width, character n-grams, words that a worker remembers.
-BUCKETS, WIDTH, GRAMS, WORDS = 1 << 18, 16, (3, 4), 500_000
+BUCKETS, WIDTH, GRAMS, WORDS = 1 << 18, 16, (3, 4), 250_000
 #: The bound of the labelled sample that a model is fitted on.
 SAMPLE = 2_000
 EPOCHS, RATE, SEED = 6, 0.5, 5
@@ -57,7 +59,7 @@ class Features:
             words = (text or "").split()
             rows.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
             ends.append(ends[-1] + len(words))
-        new = [np.array(self.of(w), np.int64) for w in list(ids)[known:]]
+        new = [np.array(self.of(w), np.int64) for w in islice(ids, known, None)]
         if new:
             self.hashes = np.append(self.hashes, [f[0] for f in new])
             masked = [f & (BUCKETS - 1) for f in new]
@@ -148,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         if rows:
             model = _fit(pd.concat(rows).sort_values(["order", "text"]))
             yield pd.DataFrame({"value": [model.value.astype("<f4").tobytes()], "bias": [model.bias]})
+        rows.clear()
+        give_back()
 
     found = chosen.repartition(1).mapInPandas(fit, "value binary, bias double").collect()
     if not found:
@@ -165,7 +169,9 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
         model = Model(value.astype(np.float64), bias)
         features = Features(model.value)
         for batch in batches:
-            out = [model.logits(features, batch.iloc[i : i + 500].tolist()) for i in range(0, len(batch), 500)]
+            out = [model.logits(features, batch.iloc[i : i + 200].tolist()) for i in range(0, len(batch), 200)]
             yield pd.Series(1 / (1 + np.exp(-np.concatenate(out)))) if out else pd.Series([], dtype=float)
+        features.clear()
+        give_back()
 
     return docs.withColumn(to, probability(F.coalesce(F.col("text"), F.lit(""))))
