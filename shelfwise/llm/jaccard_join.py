@@ -4,10 +4,12 @@
 2. A set is embedded as COORDS minimum hashes, its sampled tokens. A run starts with all sets in one node
    and splits each node on coordinates that the node's own hash picks: always one, a second one in a
    quarter of the nodes, so that a pair at the threshold shares one child on average and never thins out.
-   After DEPTH splits the nodes are buckets. A bucket with over LARGE sets is split DEPTH times more.
-   RUNS repeats make the expected loss at the threshold about one pair in 10 million (0.36 ** RUNS).
-3. Buckets are compared by brute force on one byte of each coordinate; pairs that may reach the
-   threshold join their sets into candidate groups.
+   After DEPTH splits the nodes are buckets. A bucket with over LARGE sets goes on DEPTH splits at a time,
+   AGAIN times from the start, where that at least halves the pairs to be compared; all its pairs are compared
+   where it does not. RUNS repeats make the expected loss at the threshold about one pair in 10 million
+   (0.36 ** RUNS); a step of a large bucket loses it a pair in 0.36 ** AGAIN of all cases (0.2 %).
+3. Buckets are compared by brute force on one byte of each coordinate, large ones in pairs of parts; pairs
+   that may reach the threshold join their sets into candidate groups.
 4. Within a group all sets are compared exactly, in blocks. Links are counted there and never written
    as pairs: each block gives one row for each of its sets.
 
@@ -16,6 +18,7 @@ Texts without words have no shingles and link to nothing. A null text has no wor
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,12 +30,14 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import give_back, written
 from shelfwise.llm.shingles import WordHashes, mix, shingles
 
-COORDS, RUNS, DEPTH, LARGE = 128, 16, 3, 4096
+COORDS, RUNS, DEPTH, LARGE, AGAIN = 128, 16, 3, 4096, 6
 #: Sets of up to SMALL[1] shingles have true minimum hashes, those from SMALL[0] binned ones; pairs of one similarity share a kind.
 SMALL = (128, 160)
 #: Estimated similarity that makes a candidate: four standard deviations below the threshold.
 SLACK = 0.15
 BLOCK = 512
+#: Sets of a bucket around which the others are gathered before pairs are compared.
+STARS = 16
 _MULT = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(77))
 _EDGES = (np.arange(COORDS, dtype=np.uint64)) << np.uint64(57)
@@ -154,20 +159,39 @@ def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def _alike(low: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket that may reach the threshold, some rows at a time."""
+    """Pairs of a bucket that may reach the threshold, some rows at a time; of sets that others already link, not all pairs."""
     n = len(sizes)
     small = sizes <= SMALL[1]
-    step = max(1, 4_000_000 // (n * COORDS))
-    for start in range(0, n, step):
-        rows = np.arange(start, min(start + step, n))
-        hits = np.zeros((len(rows), n), np.int16)
+
+    def near(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        hits = np.zeros((len(rows), len(columns)), np.int16)
         for kind, has in enumerate((small, sizes >= SMALL[0])):
             part = low[:, kind * COORDS : (kind + 1) * COORDS]
-            same = (part[rows][:, None, :] == part[None, :, :]).sum(2)
-            hits = np.maximum(hits, np.where(has[rows][:, None] & has[None, :], same, 0))
-        near = (hits >= (threshold - SLACK) * COORDS) & (np.minimum(sizes[rows][:, None], sizes) >= threshold * np.maximum(sizes[rows][:, None], sizes))
-        a, b = np.nonzero(near & (np.arange(n) > rows[:, None]))
-        yield rows[a], b
+            same = (part[rows][:, None, :] == part[columns][None, :, :]).sum(2)
+            hits = np.maximum(hits, np.where(has[rows][:, None] & has[columns][None, :], same, 0))
+        one, other = sizes[rows][:, None], sizes[columns]
+        return (hits >= (threshold - SLACK) * COORDS) & (np.minimum(one, other) >= threshold * np.maximum(one, other))
+
+    star = np.full(n, -1)
+    for k in range(STARS if n > 4 * STARS else 0):
+        left = np.flatnonzero(star < 0)
+        if not len(left):
+            break
+        own = left[near(left[:1], left)[0]]
+        star[own], star[left[0]] = k, k
+        yield np.repeat(left[:1], len(own)), own
+    order = np.concatenate([np.flatnonzero(star == k) for k in range(STARS)] + [np.flatnonzero(star < 0)])
+    ends = np.cumsum([(star == k).sum() for k in range(STARS)])
+    start = 0
+    while start < n:
+        inside = int(ends[np.searchsorted(ends, start, side="right")]) if start < ends[-1] else 0  # end of the star, whose pairs are linked
+        columns = order[inside or start :]
+        rows = order[start : min(inside or n, start + max(1, 4_000_000 // (max(1, len(columns)) * COORDS)))]
+        start += len(rows)
+        if len(columns):
+            close = near(rows, columns)
+            a, b = np.nonzero(close if inside else close & (np.arange(len(columns)) > np.arange(len(rows))[:, None]))
+            yield rows[a], columns[b]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,33 +211,55 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between representatives that some bucket finds alike. sets: rep, size, bytes, leaves."""
-    members = sets.select("rep", F.explode("leaves").alias("leaf"))
-    shared = members.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h")).where("n > 1")
-    shared = written(shared.groupBy("n", "h").agg(F.min("leaf").alias("leaf")), "buckets")  # of buckets with the same sets one is enough
-    kept = written(members.join(shared.select("leaf", "n"), "leaf"), "members")
-    kept = kept.join(sets.select("rep", "size", "bytes"), "rep").select("leaf", "n", "rep", "size", "bytes")
-
-    most = LARGE
+def _onward(times: int):
+    """Sets of large buckets (leaf, rep, size, bytes) go on along their paths; parent is the bucket. Bytes stand for the values: they part fewer sets and no pair."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of a large bucket go on along their paths; whatever stays together even so is dealt into bounded parts."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            large = batch["n"].to_numpy() > most
-            if not large.any():
-                yield batch
+            if not batch.num_rows:
                 continue
-            yield batch.filter(pa.array(~large))
-            some = batch.filter(pa.array(large))
-            low = np.frombuffer(b"".join(some["bytes"].to_pylist()), np.uint8).reshape(-1, 2 * COORDS).astype(np.uint64)
-            kind = (some["size"].to_numpy() > SMALL[1]).astype(np.int64)
-            own = np.where(kind[:, None] == 1, low[:, COORDS:], low[:, :COORDS])
-            rows, nodes = descend(own, np.arange(len(own)), some["leaf"].to_numpy().view(np.uint64).copy())
-            parts = (some["n"].to_numpy()[rows] // most + 1).astype(np.uint64)
-            nodes = mix(nodes ^ mix(some["rep"].to_numpy()[rows].view(np.uint64) ^ nodes) % parts)
-            some = some.take(pa.array(rows))
-            yield some.set_column(0, "leaf", pa.array(nodes.astype(np.int64)))
+            low = np.frombuffer(b"".join(batch["bytes"].to_pylist()), np.uint8).reshape(-1, 2 * COORDS)
+            kind = (batch["size"].to_numpy() > SMALL[1]).astype(np.uint64)
+            own = np.where(kind[:, None] == 1, low[:, COORDS:], low[:, :COORDS]).astype(np.uint64)
+            parent, rep = batch["leaf"].to_numpy(), batch["rep"].to_numpy()
+            for turn in range(times):
+                rows, nodes = descend(own, np.arange(len(own)), mix(parent.view(np.uint64) + np.uint64(turn + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(parent[rows]), pa.array(nodes.view(np.int64)), pa.array(rep[rows])], ["parent", "leaf", "rep"])
+
+    return read
+
+
+def _in_parts(members: DataFrame, size: int) -> DataFrame:
+    """(leaf, rep) for all pairs of parts of the buckets leaf, which have n sets. Each two sets of a bucket meet."""
+    parts = members.withColumn("g", F.expr(f"cast(ceil(n / {size}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(rep), g) as int)"))
+    parts = parts.withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
+    return parts.select(F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "rep")
+
+
+def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) between representatives that some bucket finds alike. sets: rep, size, bytes, leaves."""
+    members = sets.select("rep", F.explode("leaves").alias("leaf"))
+    most, again = LARGE, AGAIN
+    parts = []
+    while True:
+        shared = members.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h")).where("n > 1")
+        large = F.expr(f"CASE WHEN n > {most} THEN leaf END")
+        shared = written(shared.groupBy("n", "h", large.alias("large")).agg(F.min("leaf").alias("leaf")).selectExpr("leaf", "n", "nvl2(large, h, null) AS h"), "buckets")  # of buckets with the same sets one is enough, if all its pairs are compared
+        parts.append(members.join(shared.where(f"n <= {most}").select("leaf"), "leaf").select("leaf", "rep"))
+        if not shared.where(f"n > {most}").limit(1).count():
+            break
+        rows = members.join(shared.where(f"n > {most}"), "leaf").join(sets.select("rep", "size", "bytes"), "rep")
+        rows = written(rows.select("leaf", "n", "h", "rep", "size", "bytes"), "large")
+        tried = rows.mapInArrow(_onward(again), "parent long, leaf long, rep long").groupBy("parent", "leaf").agg(F.count("*").cast("double").alias("c"))
+        tried = tried.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("pairs")).withColumnRenamed("parent", "leaf")
+        fate = rows.groupBy("leaf").agg(F.first("n").alias("n"), F.first("h").alias("h")).join(tried, "leaf")
+        fate = written(fate.withColumn("whole", F.expr("pairs > 0.5D * n * n")), "fate")
+        whole = rows.select("leaf", "n", "rep").join(fate.where("whole").groupBy("n", "h").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf")
+        parts.append(_in_parts(whole, max(1, most // 4)))
+        onward = rows.join(fate.where("NOT whole").select("leaf"), "leaf").select(rows.columns)
+        members = written(onward.mapInArrow(_onward(again), "parent long, leaf long, rep long").select("leaf", "rep"), "members")
+    kept = written(functools.reduce(DataFrame.unionByName, parts), "members")
+    kept = kept.join(sets.select("rep", "size", "bytes"), "rep").select("leaf", "rep", "size", "bytes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list[np.ndarray] = []
@@ -233,8 +279,6 @@ def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    if shared.where(f"n > {most}").limit(1).count():
-        kept = kept.mapInArrow(split, kept.schema)
     return kept.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long")
 
 

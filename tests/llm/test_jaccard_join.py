@@ -48,6 +48,23 @@ def test_splits_large_buckets(spark, monkeypatch):
     assert out == brute(rows)
 
 
+def found_in_one_bucket(spark, sets, leaf):
+    """Links between sets (size, 256 bytes) that all share one bucket and nothing else."""
+    rows = [(i, size, bytes(low), [leaf]) for i, (size, low) in enumerate(sets)]
+    edges = jaccard_join._buckets(spark.createDataFrame(rows, "rep long, size int, bytes binary, leaves array<long>"), 0.8)
+    return {(min(r), max(r)) for r in edges.collect()}
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(jaccard_join, "LARGE", 8)
+    apart = [rng.randbytes(256) for _ in range(200)]  # splits well
+    alike = [low[:60] + bytes(68) + low[128:] for low in (rng.randbytes(256) for _ in range(100))]  # does not split, and no two are near
+    for lows in (apart, alike):
+        sets = [(100, low) for low in lows for _ in range(2)]
+        assert found_in_one_bucket(spark, sets, 4242) == {(i, i + 1) for i in range(0, len(sets), 2)}
+
+
 def test_odd_rows(spark, odd):
     rows = jaccard_join.join(odd).collect()
     assert len(rows) == 12
