@@ -67,12 +67,17 @@ def descend(signatures: np.ndarray, rows: np.ndarray, nodes: np.ndarray, depth:
     return rows, nodes
 
 
+def of_kind(nodes: np.ndarray, kind: np.ndarray | np.uint64) -> np.ndarray:
+    return nodes >> np.uint64(1) << np.uint64(1) | kind
+
+
 def leaves(signatures: np.ndarray, kind: int) -> list[np.ndarray]:
-    """Per row the buckets of all runs; kinds of signatures never share one."""
+    """Per row the buckets of all runs; kinds of signatures never share one, and a bucket's last bit is its kind."""
     n = len(signatures)
     rows = np.tile(np.arange(n), RUNS)
     roots = np.repeat(mix(np.arange(1, RUNS + 1, dtype=np.uint64) + np.uint64(1000 * (kind + 1))), n)
     rows, nodes = descend(signatures, rows, roots)
+    nodes = of_kind(nodes, np.uint64(kind))
     order = np.argsort(rows, kind="stable")
     return np.split(nodes[order].astype(np.int64), np.searchsorted(rows[order], np.arange(1, n))) if n else []
 
@@ -212,19 +217,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _onward(times: int):
-    """Sets of large buckets (leaf, rep, size, bytes) go on along their paths; parent is the bucket. Bytes stand for the values: they part fewer sets and no pair."""
+    """Sets of large buckets (leaf, rep, bytes) go on along their paths, by the bucket's kind; parent is the bucket. Bytes stand for the values: they part fewer sets and no pair."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             low = np.frombuffer(b"".join(batch["bytes"].to_pylist()), np.uint8).reshape(-1, 2 * COORDS)
-            kind = (batch["size"].to_numpy() > SMALL[1]).astype(np.uint64)
-            own = np.where(kind[:, None] == 1, low[:, COORDS:], low[:, :COORDS]).astype(np.uint64)
             parent, rep = batch["leaf"].to_numpy(), batch["rep"].to_numpy()
+            kind = parent.view(np.uint64) & np.uint64(1)
+            own = np.where(kind[:, None] == 1, low[:, COORDS:], low[:, :COORDS]).astype(np.uint64)
             for turn in range(times):
                 rows, nodes = descend(own, np.arange(len(own)), mix(parent.view(np.uint64) + np.uint64(turn + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(parent[rows]), pa.array(nodes.view(np.int64)), pa.array(rep[rows])], ["parent", "leaf", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(parent[rows]), pa.array(of_kind(nodes, kind[rows]).view(np.int64)), pa.array(rep[rows])], ["parent", "leaf", "rep"])
 
     return read
 
@@ -248,8 +253,8 @@ def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
         parts.append(members.join(shared.where(f"n <= {most}").select("leaf"), "leaf").select("leaf", "rep"))
         if not shared.where(f"n > {most}").limit(1).count():
             break
-        rows = members.join(shared.where(f"n > {most}"), "leaf").join(sets.select("rep", "size", "bytes"), "rep")
-        rows = written(rows.select("leaf", "n", "h", "rep", "size", "bytes"), "large")
+        rows = members.join(shared.where(f"n > {most}"), "leaf").join(sets.select("rep", "bytes"), "rep")
+        rows = written(rows.select("leaf", "n", "h", "rep", "bytes"), "large")
         tried = rows.mapInArrow(_onward(again), "parent long, leaf long, rep long").groupBy("parent", "leaf").agg(F.count("*").cast("double").alias("c"))
         tried = tried.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("pairs")).withColumnRenamed("parent", "leaf")
         fate = rows.groupBy("leaf").agg(F.first("n").alias("n"), F.first("h").alias("h")).join(tried, "leaf")

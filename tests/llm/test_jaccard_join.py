@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from shelfwise.llm import jaccard_join
 from shelfwise.llm.shingles import WordHashes, shingles
 
@@ -65,6 +67,16 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
         assert found_in_one_bucket(spark, sets, 4242) == {(i, i + 1) for i in range(0, len(sets), 2)}
 
 
+def test_large_buckets_are_split_by_their_own_kind(spark, monkeypatch):
+    """Sets of 155 and 165 shingles are alike in their binned values only, and so is their bucket (an odd one)."""
+    rng = random.Random(10)
+    monkeypatch.setattr(jaccard_join, "LARGE", 8)
+    binned = [rng.randbytes(128) for _ in range(200)]
+    sets = [(size, low) for b in binned for size, low in ((155, rng.randbytes(128) + b), (165, bytes(128) + b))]
+    assert found_in_one_bucket(spark, sets, 4243) == {(i, i + 1) for i in range(0, len(sets), 2)}
+    assert all((node & 1 == kind).all() for kind in (0, 1) for node in jaccard_join.leaves(np.arange(256, dtype=np.uint64).reshape(2, 128), kind))
+
+
 def test_odd_rows(spark, odd):
     rows = jaccard_join.join(odd).collect()
     assert len(rows) == 12
