@@ -3,7 +3,8 @@
 Words are canonicalised to templates: numbers, names (capitalised words inside a sentence) and units
 (a word from a list after a number) become typed placeholders. Windows of WINDOW template words of the
 benchmark items are hash-joined with those of the documents, so a question asked again with other
-numbers, names or units still meets its item. Of each pair the matched windows are put into runs with
+numbers, names or units still meets its item. Windows of the words themselves, in lower case, are joined
+beside them: a verbatim copy is found whatever its words are and wherever its capitals stand. Of each pair the matched windows are put into runs with
 one shift between item and document, and a run counts only as far as its slots are consistent: one
 value of the item always stands for one value of the document.
 
@@ -34,6 +35,7 @@ NUMBER, NAME, UNIT = (xxhash.xxh3_64_intdigest(f"slot {kind}") for kind in ("num
 #: Words, and the marks that end a sentence.
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_WORDS = np.uint64(0x6C6974657261)
 
 
 class Kinds(dict):
@@ -66,18 +68,23 @@ def templates(text: str | None, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     return literal[word], template[word]
 
 
-def windows(template: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """Hash of the window that starts at each word; 0 for one that is mostly placeholders."""
-    n = len(template) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total, literal = np.full(n, width, np.uint64), np.zeros(n, np.int64)
-    plain = ((template != NUMBER) & (template != NAME) & (template != UNIT)).astype(np.int64)
-    for i in range(width):
-        total += template[i : n + i] * _STEPS[i]
-        literal += plain[i : n + i]
-    return np.where(literal >= min(LITERAL, max(1, width // 2)), mix(total), 0)
-
+def windows(literal: np.ndarray, template: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, places, hashes, plain): of the words of each window, and of its template if it has a placeholder and is not
+    mostly placeholders. plain: the hash is that of the template (or the window has no placeholder)."""
+    slot = (template == NUMBER) | (template == NAME) | (template == UNIT)
+    before = np.concatenate([[0], np.cumsum(slot)])
+    total, masked = np.zeros(len(literal), np.uint64), np.zeros(len(literal), np.uint64)
+    for width in range(1, max(widths, default=0) + 1):
+        n = len(literal) - width + 1
+        if n <= 0:
+            return
+        total = total[:n] + literal[width - 1 :] * _STEPS[width - 1]
+        masked = masked[:n] + template[width - 1 :] * _STEPS[width - 1]
+        if width in widths:
+            slots = before[width:] - before[:-width]
+            some = np.flatnonzero((slots > 0) & (width - slots >= min(LITERAL, max(1, width // 2))))
+            hashes = np.concatenate([mix(total + _WORDS + np.uint64(width)), mix(masked[some] + np.uint64(width))])
+            yield width, np.concatenate([np.arange(n), some]), hashes.view(np.int64), np.concatenate([slots == 0, np.ones(len(some), bool)])
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
@@ -89,12 +96,11 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
             out = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 literal, template = templates(text, kinds)
-                for at, window in enumerate(windows(template, min(WINDOW, max(1, len(template))))):
-                    if window:
-                        out.append((int(np.int64(window.view(np.int64))), item, at, len(template), min(WINDOW, len(template))))
-            yield pd.DataFrame(out, columns=["window", "item_id", "at", "words", "width"])
+                for width, places, hashes, plain in windows(literal, template, [min(WINDOW, len(template))]):
+                    out += [(window, item, at, len(template), width, own) for window, at, own in zip(hashes.tolist(), places.tolist(), plain.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["window", "item_id", "at", "words", "width", "item_plain"])
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(read, "window long, item_id long, at int, words int, width int")
+    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(read, "window long, item_id long, at int, words int, width int, item_plain boolean")
 
 
 def _values(literal: np.ndarray) -> list[int]:
@@ -130,37 +136,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         kinds = Kinds()
         known = index.value if index is not None else None
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "window": [], "place": [], "literal": []}
+            out: dict[str, list] = {"doc_id": [], "window": [], "place": [], "plain": [], "literal": []}
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 literal, template = templates(text, kinds)
-                for width in widths:
-                    own = windows(template, width).view(np.int64)
+                for width, places, own, plain in windows(literal, template, widths):
                     if known is not None:
-                        if not len(known) or not len(own):
+                        if not len(known):
                             continue
                         hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
                     else:
-                        hit = np.flatnonzero(own)
-                    for place in hit:
+                        hit = np.arange(len(own))
+                    for i in hit:
+                        place = int(places[i])
                         out["doc_id"].append(doc)
-                        out["window"].append(int(own[place]))
-                        out["place"].append(int(place))
+                        out["window"].append(int(own[i]))
+                        out["place"].append(place)
+                        out["plain"].append(bool(plain[i]))
                         out["literal"].append(_values(literal[place : place + width]))
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["place"], pa.int32()), pa.array(out["literal"], pa.list_(pa.int64()))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["place"], pa.int32()), pa.array(out["plain"], pa.bool_()), pa.array(out["literal"], pa.list_(pa.int64()))], list(out))
         kinds.clear()
         give_back()
 
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    hits = narrow.mapInArrow(read, "doc_id long, window long, place int, literal array<long>").join(found, "window")
+    hits = narrow.mapInArrow(read, "doc_id long, window long, place int, plain boolean, literal array<long>").join(found, "window")
     # A run keeps one shift between document and item; its rows are the matched windows of one pair, at most one per word of the item and place of the document.
-    shifts = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "width", "literal"))).alias("found"), F.max("words").alias("words"))
+    shifts = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "width", "literal", (F.col("plain") & F.col("item_plain")).alias("template")))).alias("found"), F.max("words").alias("words"))
     pairs = shifts.join(_item_words(benchmark), "item_id")
 
     @F.pandas_udf("at array<int>, longest int")
     def consistent(found: pd.Series, item_literal: pd.Series, item_template: pd.Series) -> pd.DataFrame:
         slots = {np.uint64(s).astype(np.int64).item() for s in (NUMBER, NAME, UNIT)}
-        rows = []
-        for own, literal, template in zip(found, item_literal, item_template, strict=True):
+
+        def runs(own: list, literal: np.ndarray, template: np.ndarray) -> tuple[list[int], int]:
             here: dict[int, int] = {}
             for window in own:
                 for i, value in enumerate(window["literal"]):
@@ -179,7 +186,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         map_to[literal[at]], map_from[here[at]] = here[at], literal[at]
                 run.append(at)
             best += run if len(run) >= min(WINDOW, len(literal)) else []
-            rows.append((best, max(longest, len(run))))
+            return best, max(longest, len(run))
+
+        rows = []
+        for own, literal, template in zip(found, item_literal, item_template, strict=True):
+            # A verbatim window that closes a gap may make slots of both sides clash: each kind of window counts by itself, too.
+            verbatim = [w for w in own if list(w["literal"]) == list(literal[w["at"] : w["at"] + len(w["literal"])])]
+            kinds = [runs(k, literal, template) for k in (own, [w for w in own if w["template"]], verbatim)]
+            rows.append((sorted({at for best, _ in kinds for at in best}), max(longest for _, longest in kinds)))
         return pd.DataFrame(rows, columns=["at", "longest"])
 
     runs = pairs.withColumn("c", consistent("found", "item_literal", "item_template"))

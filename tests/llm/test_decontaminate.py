@@ -26,6 +26,25 @@ def test_finds_verbatim_partial_and_reparameterised(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 4, 6, 7, 8] and left.columns == frame(spark, []).columns
 
 
+def test_finds_verbatim_copies_of_any_words(spark):
+    rng = random.Random(4)
+    names = " ".join(words(rng, 1).capitalize() for _ in range(20))
+    mixed = "First we meet Anna and Boris. Then Clara asks Doris. After that Emil calls Franz. Later Gerda helps Hans. Soon Ida thanks Jonas."
+    items = [(1, "12 7 19 5"), (2, "3 14 15 92 65 35 89 79 32 38"), (3, "so " + names), (4, mixed)]
+    texts = [items[0][1], items[1][1], names, mixed.lower(), mixed.replace(".", ""), names.lower()]
+    docs = [(i, words(rng, 30) + " " + text + " " + words(rng, 30)) for i, text in enumerate(texts)] + [(9, "7 12 19 5 and 3 14 92 15 65 89 35")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, docs), bench).collect()}
+    assert out == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (5, 3)}
+
+
+def test_verbatim_windows_take_nothing_from_templates(spark):
+    item = "a b c d e f g 1 Ann Bob Cid Dan Eva Fay Gus Hal Ian 1 h i j k l"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (found,) = contaminated(frame(spark, [(1, item.replace("g 1", "g 2"))]), bench).collect()
+    assert found["covered"] == 23
+
+
 def test_odd_rows(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(odd, bench).count() == 0 and clean(odd, bench).count() == 12
