@@ -1,9 +1,16 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree. Every block with text of its own (a paragraph, a list item, a cell) earns
-points for its length and its commas and passes them to its ancestors, half as many for each step up;
-what it earns is discounted by the share of its text that stands in links. The container with the most
-points, and those of its siblings that look like part of the same article, are the main text.
+points for its length and its commas, discounted by the share of its text that stands in links, and
+passes them to the containers around it, half as many for each step up. The container with the most
+points, discounted by its own links, and those of its siblings that look like part of the same article
+are the main text.
+
+Elements that by tag, role or name look like adverts, notices, sidebars or comments weigh a fifth, and
+are left out, unless they hold most of the page's weighted points all the same: names alone never decide
+against the score. Menus, footers and what is never shown are left out in any case.
+
+A page is read in time and memory in proportion to its length, however deep it is nested; nothing is cut.
 """
 
 from __future__ import annotations
@@ -21,159 +28,193 @@ ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, or is never shown.
 RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("#root address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks that points are passed to.
+CONTAINERS = frozenset("#root article aside body center details dialog div fieldset form header html main section td".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Elements and roles that are never article text; a header inside an article belongs to it.
-ASIDE = frozenset("nav aside footer form menu dialog button fieldset head".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist form".split())
-#: Words in a class or id that mark menus, adverts, notices, sidebars and reader comments.
+#: Elements and roles that are never article text, and those that seldom are.
+NEVER = frozenset("nav footer menu dialog button head".split())
+SELDOM = frozenset("aside form fieldset".split())
+NEVER_ROLES = frozenset("navigation banner contentinfo search menu menubar toolbar tablist dialog alertdialog".split())
+SELDOM_ROLES = frozenset("complementary alert form".split())
+#: Names of adverts, notices, sidebars, menus and reader comments. A class or id is one if all its parts stand here or among the neutral ones.
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense adslot sponsor sponsored promo promotion banner nav navbar navigation navi menu menubar submenu breadcrumb breadcrumbs "
     "header masthead topbar footer colophon copyright sidebar aside rail widget widgets cookie cookies consent gdpr notice notices notification alert popup popover modal overlay lightbox "
-    "newsletter subscribe subscription signup signin login register share sharing social related recommend recommended recommendations more-like comment comments commentlist disqus reply replies respond discussion "
-    "reader-comments feedback pagination pager paging skip skiplink toolbar tags taglist search searchbox form hidden sr-only tracking legal disclaimer paywall".split()
+    "newsletter subscribe subscription signup signin login register share sharing social related recommend recommended recommendations comment comments commentlist disqus reply replies respond discussion "
+    "feedback pagination pager paging skip skiplink toolbar tags taglist search searchbox hidden paywall".split()
 )
-#: What an element start closes if it is still open, and where the search for it ends.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"})}
-SIBLING_SHARE = 0.2
+NEUTRAL = frozenset("site page main global top bottom left right upper lower primary secondary box bar block area section list container wrapper wrap inner outer slot unit item items link links button buttons icons media reader user form more posts stories text message policy".split())
+#: What an element start closes if it is still open; the search ends at the list, table or choice around it.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+FRAMES = frozenset("ul ol menu dl table".split())
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot".split()) | FRAMES
+#: Weight of what looks unwanted; share of the page's points, and characters, that keep it; bonus of an article; steps that points climb; share of the best's points that a sibling needs.
+UNWANTED, MOST, LEAST_CHARS, ARTICLE, STEPS, SIBLING_SHARE = 0.2, 0.5, 250, 1.5, 5, 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "links", "score", "length", "linked")
+    __slots__ = ("tag", "name", "parent", "block", "up", "part", "items", "drop", "unwanted", "gone", "inside", "in_link", "weight", "own", "own_linked", "commas", "points", "score", "length", "linked", "total", "heads")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, name: str, parent: Node | None):
+        self.tag, self.name, self.parent = tag, name, parent
         self.items: list[Node | str] = []
-        self.score, self.length, self.linked, self.links = 0.0, 0, 0, 0
+        self.unwanted = self.gone = False
+        #: own text of a block; sums over all that is inside
+        self.own = self.own_linked = self.commas = self.length = self.linked = self.heads = 0
+        self.points = self.score = self.total = 0.0
+        if parent is None:
+            self.block, self.up, self.part, self.drop, self.inside, self.in_link, self.weight = self, None, None, False, False, False, 1.0
+            return
+        self.block = self if tag in BLOCKS else parent.block
+        self.up = parent if parent.tag in CONTAINERS else parent.up
+        self.part = self if tag in PARTS else parent.part
+        self.drop, self.weight = parent.drop, parent.weight
+        self.inside = parent.inside or tag in ("article", "main")
+        self.in_link = tag == "a" or (parent.in_link and self.block is parent.block)
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element."""
-    if tag in ASIDE or (tag == "header" and not inside):
-        return True
-    if not attrs.strip() or tag in ("html", "body"):
-        return False
-    for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+def _unlikely(names: str) -> bool:
+    for name in names.split():
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", name) if p and not p.isdigit()]
+        if any(p in UNLIKELY for p in parts) and all(p in UNLIKELY or p in NEUTRAL for p in parts):
             return True
-        if name in ("class", "id") and tag != "main" and tag not in HEADINGS:
-            words = set(re.split(r"[^a-z0-9]+", value)) | set(value.split())
-            if words & UNLIKELY:
-                return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of the page. Unclosed and stray tags are mended as browsers do where it matters for text."""
-    root = at = Node("#root", None, False)
+def _looks(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
+    """(never article text, unwanted, class). inside: within an article or main element."""
+    never, unwanted, found = tag in NEVER, tag in SELDOM or (tag == "header" and not inside), ""
+    if not attrs.strip("/ \t\r\n") or tag in ("html", "body"):
+        return never, unwanted, found
+    for name, value in ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role":
+            never, unwanted = never or value in NEVER_ROLES, unwanted or value in SELDOM_ROLES
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            unwanted = True
+        elif name in ("class", "id"):
+            found = value if name == "class" else found
+            if tag == "header" and re.search(r"\b(?:article|entry|post|story)\b", value):
+                unwanted = False
+            elif tag != "main" and tag not in HEADINGS and _unlikely(value):
+                unwanted = True
+    return never, unwanted, found
+
+
+class _Tree:
+    """Nodes in page order while the page is read. Unclosed and stray tags are mended as browsers do where it matters for text."""
+
+    def __init__(self):
+        self.root = self.at = Node("#root", "", None)
+        self.nodes = [self.root]
+        self.open: dict[str, list[Node]] = {}
+
+    def text(self, data: str) -> None:
+        at = self.at
+        at.items.append(data)
+        block = at.block
+        if not at.drop and at.weight == block.weight and (n := len(data.strip())):
+            block.own += n
+            block.commas += data.count(",") + data.count("，") + data.count("、") + data.count("،")
+            if at.in_link:
+                block.own_linked += n
+
+    def leave(self, node: Node) -> None:
+        """Close node and all that is open inside it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def start(self, tag: str, attrs: str) -> None:
+        at = self.at
+        if tag in BLOCKS:  # a block ends an open paragraph, a heading an open heading
+            block = at.block
+            if block.tag == "p" or (block.tag in HEADINGS and tag in HEADINGS):
+                self.leave(block)
+        if tag in CLOSES:
+            node, last = self.at.part, None
+            while node is not None and node.tag not in FRAMES:
+                last = node if node.tag in CLOSES[tag] else last
+                node = node.parent.part
+            if last is not None:
+                self.leave(last)
+        at = self.at
+        never, unwanted, name = _looks(tag, attrs, at.inside)
+        node = Node(tag, name, at)
+        node.drop, node.unwanted = node.drop or never, unwanted
+        if unwanted:
+            node.weight *= UNWANTED
+        at.items.append(node)
+        self.nodes.append(node)
+        if tag != "hr" and (not attrs.endswith("/") or tag in BLOCKS):
+            self.at = node
+            self.open.setdefault(tag, []).append(node)
+
+    def end(self, tag: str) -> None:
+        if (found := self.open.get(tag)) and (tag in BLOCKS or found[-1].block is self.at.block):
+            self.leave(found[-1])
+
+
+def parse(page: str) -> list[Node]:
+    """The page's nodes in page order, the root first."""
+    tree = _Tree()
     place, length = 0, len(page)
-    inside = 0
+    unclosed: set[str] = set()
     while place < length:
         found = TOKEN.search(page, place)
         if found is None:
-            at.items.append(page[place:])
+            tree.text(page[place:])
             break
         if found.start() > place:
-            at.items.append(page[place : found.start()])
+            tree.text(page[place : found.start()])
         place = found.end()
-        if found[0].startswith("<![CDATA["):
-            at.items.append(html.escape(found[0][9:].removesuffix("]]>")))
         tag = found[2] or found[5]
         if tag is None:
+            if found[0].startswith("<![CDATA["):
+                tree.text(html.escape(found[0][9:].removesuffix("]]>")))
             continue
         tag, attrs = tag.lower(), found[3] or found[6] or ""
-        if found[1] or found[4]:  # an end tag
-            node = at
-            while node.parent is not None and node.tag != tag and not (tag not in BLOCKS and node.tag in BLOCKS):
-                node = node.parent
-            if node.parent is not None and node.tag == tag:
-                if tag in ("article", "main"):
-                    inside -= 1
-                at = node.parent
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, place)
-            place = end.end() if end else (length if tag in ("script", "style", "textarea", "title") else place)
-            continue
-        if tag == "br" or tag == "wbr":
-            at.items.append(" " if tag == "br" else "")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                at.items.append(Node("hr", at, False))
-            continue
-        if tag in BLOCKS:  # a block ends an open paragraph
-            node = at
-            while node.parent is not None and node.tag != "p" and node.tag not in BLOCKS:
-                node = node.parent
-            if node.tag == "p" or (node.tag in HEADINGS and tag in HEADINGS):
-                at = node.parent
-        if tag in CLOSES:
-            ends, limit = CLOSES[tag]
-            node, last = at, None
-            while node.parent is not None and node.tag not in limit:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                at = last.parent
-        child = Node(tag, at, _unwanted(tag, attrs, inside > 0))
-        at.items.append(child)
-        if not attrs.endswith("/") or tag in BLOCKS:
-            at = child
-            if tag in ("article", "main"):
-                inside += 1
-    return root
-
-
-def _own(node: Node, out: list[str], linked: bool) -> tuple[int, int]:
-    """Inline text straight below a block goes to out; gives its length and the length in links."""
-    total = in_links = 0
-    for item in node.items:
-        if isinstance(item, str):
-            out.append(item)
-            n = len(item.strip())
-            total, in_links = total + n, in_links + n * linked
-        elif not item.drop and item.tag not in BLOCKS:
-            a, b = _own(item, out, linked or item.tag == "a")
-            total, in_links = total + a, in_links + b
-    return total, in_links
-
-
-def _score(root: Node) -> list[Node]:
-    """Points for all containers; returns them in page order."""
-    seen: dict[int, Node] = {}
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for item in reversed(node.items):
-            if not isinstance(item, str) and not item.drop:
-                stack.append(item)
-        if node.tag not in BLOCKS and node.parent is not None:
-            continue
-        parts: list[str] = []
-        length, linked = _own(node, parts, False)
-        text = " ".join("".join(parts).split())
-        if not text:
-            continue
-        up: Node | None = node
-        while up is not None:
-            up.length, up.linked = up.length + length, up.linked + linked
-            up = up.parent
-        if node.tag in HEADINGS:
-            continue
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / max(1, length))
-        up, share = (node.parent if node.tag not in ("div", "section", "article", "main", "body") and node.parent else node), 1.0
-        while up is not None and share > 0.05:
-            if up.tag in BLOCKS or up.parent is None:
-                up.score += points * share
-                seen.setdefault(id(up), up)
-                share /= 2
-            up = up.parent
-    return list(seen.values())
+        if found[1] or found[4]:
+            tree.end(tag)
+        elif tag in RAW:
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, place)
+            if end:
+                place = end.end()
+            else:
+                unclosed.add(tag)
+                place = length if tag in ("script", "style", "textarea", "title") else place
+        elif tag == "br":
+            tree.at.items.append(" ")
+        elif tag not in VOID or tag == "hr":
+            tree.start(tag, attrs)
+    return tree.nodes
+
+
+def score(nodes: list[Node]) -> Node | None:
+    """Points of all nodes; gives the best container. Children come after their parents in nodes."""
+    for node in nodes:
+        if node.own and node.tag not in HEADINGS and not node.drop:
+            node.points = node.weight * (min(1, node.own / 25) + node.commas + min(node.own / 100, 3)) * (1 - node.own_linked / node.own)
+            up, share = (node if node.tag in CONTAINERS and node.tag != "td" else node.up), 1.0
+            for _ in range(STEPS):
+                if up is None:
+                    break
+                up.score += node.points * share
+                up, share = up.up, share / 2
+    for node in reversed(nodes):
+        node.length, node.linked, node.total, node.heads = node.length + node.own, node.linked + node.own_linked, node.total + node.points, node.heads + (node.tag == "h1")
+        if (up := node.parent) is not None:
+            up.length, up.linked, up.total, up.heads = up.length + node.length, up.linked + node.linked, up.total + node.total, up.heads + node.heads
+    best, most, whole = None, 0.0, nodes[0].total
+    for node in nodes:
+        holds = node.total > MOST * whole and node.length >= LEAST_CHARS
+        node.gone = node.drop or (node.unwanted and not holds) or (node.parent is not None and node.parent.gone)
+        if not node.gone and node.score:
+            value = node.score * (1 - node.linked / max(1, node.length)) * (ARTICLE if node.tag in ("article", "main") else 1)
+            if value > most:
+                best, most = node, value
+    return best
 
 
 def _menu(node: Node) -> bool:
@@ -181,6 +222,17 @@ def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "table") and node.length > 0 and node.linked / node.length > 0.8 and sum(not isinstance(i, str) for i in node.items) > 1
 
 
+def _belongs(item: Node, best: Node) -> bool:
+    """Whether a sibling of the best container is part of the same article."""
+    if item is best:
+        return True
+    if item.gone or not item.length or item.linked / item.length >= 0.5:
+        return False
+    alike = item.tag in ("section", "div") and (item.tag, item.name) == (best.tag, best.name) and (item.name or item.tag == "section")
+    text = item.tag in HEADINGS or item.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure")
+    return alike or text or item.heads > 0 or item.score >= SIBLING_SHARE * best.score
+
+
 def _blocks(node: Node, out: list[str]) -> None:
     """Texts of the blocks below node, in page order."""
     held: list[str] = []
@@ -197,7 +249,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             flush()
         elif isinstance(item, str):
             held.append(item)
-        elif not item.drop and not _menu(item):
+        elif not item.gone and not _menu(item):
             block = item.tag in BLOCKS
             if block:
                 flush()
@@ -210,31 +262,13 @@ def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; '' for a null or empty page, or one without article text."""
     if not page:
         return ""
-    root = parse(page)
-    found = _score(root)
-    if not found:
+    best = score(parse(page))
+    if best is None:
         return ""
-    best = max(found, key=lambda n: n.score * (1 - n.linked / max(1, n.length)))
-    node = best
-    while node is not None and node.tag not in ("article", "main"):  # sections of one article belong together
-        node = node.parent
-    best = node or best
-    parent = best.parent
     out: list[str] = []
-    if parent is None or best.tag in ("article", "main", "body", "html", "#root"):
-        chosen = [best]
-        if parent is not None and best.tag == "article":
-            chosen = [i for i in parent.items if i is best or (not isinstance(i, str) and not i.drop and i.tag == "article" and i.score >= SIBLING_SHARE * best.score and i.linked < 0.5 * max(1, i.length))]
-    else:
-        chosen = []
-        for item in parent.items:
-            if isinstance(item, str) or item.drop:
-                continue
-            alike = item.score >= SIBLING_SHARE * best.score or item.tag in HEADINGS or item.tag in ("p", "pre", "blockquote")
-            if item is best or (alike and item.length and item.linked / item.length < 0.5):
-                chosen.append(item)
-    for item in chosen:
-        _blocks(item, out)
+    for item in [best] if best.parent is None or best.tag in ("body", "html") else best.parent.items:
+        if not isinstance(item, str) and _belongs(item, best):
+            _blocks(item, out)
     return "\n".join(out)
 
 

@@ -1,4 +1,7 @@
-from shelfwise.llm.html_extract import extract, main_text
+import random
+import time
+
+from shelfwise.llm.html_extract import UNWANTED, extract, main_text, parse, score
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <header class="site-header"><h2>Site</h2></header><div class="cookie-notice">We use cookies, ok?</div>
@@ -27,3 +30,97 @@ def test_odd_rows(spark):
     assert len(out) == 5
     by = {r["page_id"]: r["text"] for r in out}
     assert by[1] == "" and by[2] == "" and len(by[3]) == 299_999 and by[None] == "a"
+
+
+LONG = "<p>" + "A long paragraph, with many words and, commas, that counts as text. " * 4 + "</p>"
+
+
+def test_names_never_decide_against_the_score():
+    three = main_text(f"<article>{LONG * 3}</article>")
+    assert len(three) > 800
+    assert main_text(f'<article class="post category-legal tag-search">{LONG * 3}</article>') == three
+    assert main_text(f'<div class="page has-sidebar">{LONG * 3}</div>') == three == main_text(f'<div class="no-sidebar">{LONG * 3}</div>')
+    assert main_text(f'<form id="all"><nav>menu</nav><div class="sidebar"><p>Side, bar.</p></div><div class="sidebar">{LONG * 3}</div></form>') == three
+    assert main_text(f'<article><div class="article-header"><h1>Title</h1><p>Lead.</p></div>{LONG}<p class="legal">Small print.</p></article>').split("\n")[::3] == ["Title", "Small print."]
+    assert main_text(f'<div><div class="article-header"><h1>Title</h1><p>Lead.</p></div><div class="body">{LONG * 2}</div></div>').startswith("Title\nLead.\n")
+    comments = "".join(f'<div class="comment">{LONG}</div>' for _ in range(4))
+    assert main_text(f'<main><div>{LONG * 3}</div><div id="comments">{comments}</div></main>') == three
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    n = 100_000
+    pages = {"<span>" * n + "x, y": "x, y", "<div>" * n + "text": "text", "<div><p>a</p>" * n: None, "<span>" * n + "<div></div>" * n: "", "<ul>" + "<div>" * n + "<li>x</li>" * n: None, "<span>" * n + "</b>" * n: "", "<svg>" * n: "", '<a "' * n: "", "<li><td>" * n: ""}
+    began = time.process_time()
+    for page, want in pages.items():
+        got = main_text(page)
+        assert want is None or got == want
+    assert time.process_time() - began < 60
+
+
+def brute(tree, above=(), weight=1.0, seen=None):
+    """(score, length, linked) of every node, by walking up from every block; tree: (tag, class, children)."""
+    seen = [] if seen is None else seen
+    tag, name, children = tree
+    weight *= UNWANTED if name == "sidebar" or tag == "aside" else 1
+    mine = {"tag": tag, "score": 0.0, "length": 0, "linked": 0}
+    seen.append(mine)
+    path = (*above, mine)
+
+    def texts(items, linked):
+        for item in items:
+            if isinstance(item, str):
+                yield item, linked
+            elif item[0] in ("a", "span"):
+                yield from texts(item[2], linked or item[0] == "a")
+
+    def blocks(items):
+        for item in items:
+            if not isinstance(item, str):
+                if item[0] in ("a", "span"):
+                    yield from blocks(item[2])
+                else:
+                    yield item
+
+    own = list(texts(children, False))
+    length, linked = sum(len(t) for t, _ in own), sum(len(t) for t, a in own if a)
+    for node in path:
+        node["length"] += length
+        node["linked"] += linked
+    if length:
+        points = weight * (min(1, length / 25) + sum(t.count(",") for t, _ in own) + min(length / 100, 3)) * (1 - linked / length)
+        holders = [x for x in path if x["tag"] in ("#root", "div", "section", "article", "aside")]
+        for step, node in enumerate(holders[::-1][:5]):
+            node["score"] += points / 2**step
+    for child in blocks(children):
+        brute(child, path, weight, seen)
+    return seen
+
+
+def test_points_by_brute_force():
+    rng = random.Random(3)
+
+    def made(depth):
+        def inline():
+            text = "".join(rng.choice(["word", ",", "xy"]) for _ in range(rng.randint(1, 60)))
+            return rng.choice([text, ("a", "", [text]), ("span", "", [text, ("a", "", ["z"])])])
+
+        tag = rng.choice(["div", "section", "article", "aside", "p", "p"]) if depth else "p"
+        if tag == "p":
+            return ("p", rng.choice(["", "sidebar"]), [inline() for _ in range(rng.randint(0, 3))])
+        return (tag, rng.choice(["", "sidebar", "body"]), [made(depth - 1) if rng.random() < 0.8 else inline() for _ in range(rng.randint(0, 4))])
+
+    def page(tree):
+        return tree if isinstance(tree, str) else f'<{tree[0]} class="{tree[1]}">' + "".join(map(page, tree[2])) + f"</{tree[0]}>"
+
+    for _ in range(300):
+        trees = [made(6) for _ in range(2)]
+        want = brute(("#root", "", trees))
+        nodes = parse("".join(map(page, trees)))
+        best = score(nodes)
+        blocks = [n for n in nodes if n.tag not in ("a", "span")]
+        assert [n.tag for n in blocks] == [w["tag"] for w in want]
+        for n, w in zip(blocks, want, strict=True):
+            assert abs(n.score - w["score"]) < 1e-9 and (n.length, n.linked) == (w["length"], w["linked"])
+        value = lambda n, w: w["score"] * (1 - w["linked"] / max(1, w["length"])) * (1.5 if n.tag == "article" else 1)
+        most = max((value(n, w) for n, w in zip(blocks, want, strict=True) if not n.gone), default=0)
+        assert (best is None and most < 1e-9) or abs(value(best, want[blocks.index(best)]) - most) < 1e-9
