@@ -1,25 +1,32 @@
 """Reversible line dedup: sharded cuckoo filters over an exact reference-count table.
 
-State, all of it tables in the shared folder, split into shards by a digest of the line's key:
+State, all of it tables in the shared folder, each row under a shard that a digest of its key picks:
 
-* postings   (shard, key, doc_id): which document holds which line, once each;
-* references (shard, key, refs, first_doc): the exact count of documents and the smallest of them;
-* filters    (shard, cells): a cuckoo filter of the keys that at least two documents hold.
+* postings   (shard, key, doc_id, change): which document holds which line, once each; change is 1, or -1 once deleted;
+* references (shard, key, refs, first_doc, last_doc, version): the exact count of documents and the smallest of them;
+* filters    (shard, cells, version): a cuckoo filter of the keys that at least two documents hold;
+* documents  (shard, doc_id, version, alive): under a shard of the document.
+
+Every change appends small tables and rewrites nothing: of references, filters and documents the highest version
+counts. A change reads only the shards that it touches (tables are sorted by shard, so the rest of a file is
+skipped), and after COMPACT changes the tables are written anew as one.
 
 Inserting documents adds postings and raises counts; a key whose count reaches two enters its filter.
-Deleting documents takes their postings away; a key that falls below two leaves the filter (which a
+Deleting documents adds postings that cancel theirs; a key that falls below two leaves the filter (which a
 Bloom filter could not do), and the smallest document is found again from the postings that remain,
 so a deletion brings back exactly the lines that would have stayed without those documents.
 Applying the state asks the filters first: only lines they may know go on to the exact table.
 
-Keys are 128-bit digests. A hot line costs one row of references; its postings are salted by document
-where they meet the filters, and the join with the exact table is one that Spark splits by itself.
+Keys are 128-bit digests. A hot line costs one row of references; its shard's postings are dealt to as many copies
+of the filter as their number asks for, and the join with the exact table is one that Spark splits by itself.
+Texts are read whole; a very long line is one digest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +39,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import give_back, written
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Keys that one shard's filter is meant for, and copies of a filter that one shard's postings are dealt to.
-SHARD_KEYS, SALTS = 100_000, 16
+#: Keys that one shard's filter is meant for, postings that meet one copy of it, changes until the tables are written as one.
+SHARD_KEYS, PROBE_ROWS, COMPACT = 100_000, 1_000_000, 8
+#: Touched shards up to which a change names them to the readers of the tables; beyond it whole tables are read.
+NAMED = 20_000
 SLOTS = 4
 
 
@@ -111,13 +120,19 @@ class CuckooFilter:
         return not len(at)
 
     def delete(self, keys: np.ndarray) -> None:
-        """Only of keys that were inserted, as the exact table knows."""
+        """Only of keys that were inserted, as the exact table knows. All keys at once: each takes one equal cell of its first bucket, what finds none one of its second."""
         at, finger = _places(keys, len(self.cells))
-        for bucket, mark in zip(at, finger, strict=True):
-            for place in (bucket, _other(np.array([bucket]), np.array([mark]), len(self.cells))[0]):
-                if len(slots := np.flatnonzero(self.cells[place] == mark)):
-                    self.cells[place, slots[0]] = 0
-                    break
+        for _ in range(2):
+            order = np.lexsort((finger, at))
+            at, finger = at[order], finger[order]
+            place = at * 65536 + finger
+            rank = np.arange(len(at)) - np.searchsorted(place, place)
+            equal = self.cells[at] == finger[:, None]
+            here = rank < equal.sum(1)
+            slot = np.argsort(~equal, axis=1, kind="stable")[np.arange(len(at)), np.minimum(rank, SLOTS - 1)]
+            self.cells[at[here], slot[here]] = 0
+            at, finger = at[~here], finger[~here]
+            at = _other(at, finger, len(self.cells))
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         at, finger = _places(keys, len(self.cells))
@@ -161,64 +176,150 @@ def _filters(references: DataFrame) -> DataFrame:
     return _repeated(references).select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, cells binary")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written so that a reader of some shards skips the rest."""
+    return written(df.sortWithinPartitions("shard"), name)
+
+
+def _union(tables: tuple[DataFrame, ...]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _latest(tables: tuple[DataFrame, ...], *keys: str) -> DataFrame:
+    """The rows of the highest version of each key."""
+    if len(tables) == 1:
+        return tables[0].drop("version")
+    rest = [c for c in tables[0].columns if c not in (*keys, "version")]
+    newest = _union(tables).groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("x"))
+    return newest.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+def _touched(change: DataFrame):
+    """A condition on shard that holds for all shards of the change, read from its own small table."""
+    shards = [r[0] for r in change.select("shard").distinct().limit(NAMED + 1).collect()]
+    return F.col("shard").isin(shards) if len(shards) <= NAMED else F.lit(True)
+
+
 @dataclass(frozen=True)
 class LineDedup:
     """The state after some insertions and deletions; every change gives a new one and leaves the old one whole."""
 
     shards: int
     min_chars: int
-    postings: DataFrame
-    references: DataFrame
-    filters: DataFrame
+    tables: dict[str, tuple[DataFrame, ...]]
+    version: int = 0
 
     @classmethod
     def of(cls, docs: DataFrame, min_chars: int = 10, shards: int | None = None) -> LineDedup:
         """The state that holds docs. shards: so many that a shard has about SHARD_KEYS keys (a document is taken for 16 lines)."""
         shards = shards or max(64, 16 * docs.count() // SHARD_KEYS)
-        postings = written(postings_of(docs, shards, min_chars), "line-postings")
-        references = written(_references(postings), "line-references")
-        return cls(shards, min_chars, postings, references, written(_filters(references), "line-filters"))
+        empty = cls(shards, min_chars, {})
+        postings = _kept(postings_of(docs, shards, min_chars).withColumn("change", F.lit(1)), "line-postings")
+        references = _kept(_references(postings), "line-references")
+        return replace(empty, tables={
+            "postings": (postings,),
+            "references": (references.withColumn("version", F.lit(0)),),
+            "filters": (_kept(_filters(references), "line-filters").withColumn("version", F.lit(0)),),
+            "documents": (empty._documents(docs, True),),
+        })
+
+    @property
+    def postings(self) -> DataFrame:
+        """(shard, key, doc_id) of the documents that the state holds."""
+        if len(self.tables["postings"]) == 1:
+            return self.tables["postings"][0].drop("change")
+        return _union(self.tables["postings"]).groupBy("shard", "key", "doc_id").agg(F.sum("change").alias("change")).where("change > 0").drop("change")
+
+    @property
+    def references(self) -> DataFrame:
+        """(shard, key, refs, first_doc, last_doc)."""
+        return _latest(self.tables["references"], "shard", "key").where("refs > 0")
+
+    @property
+    def filters(self) -> DataFrame:
+        """(shard, cells)."""
+        return _latest(self.tables["filters"], "shard")
+
+    def _documents(self, docs: DataFrame, alive: bool) -> DataFrame:
+        """Rows of the table of documents. Only a later change asks for them, so the first ones are not written before."""
+        ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        return ids.select(F.expr(f"cast(pmod(xxhash64(doc_id), {self.shards}) as int)").alias("shard"), "doc_id", F.lit(alive).alias("alive"), F.lit(self.version).alias("version"))
+
+    def _held(self, ids: DataFrame) -> DataFrame:
+        """Those of the documents in ids (rows of the table of documents) that the state holds."""
+        here = _touched(ids)
+        known = _latest(tuple(t.where(here) for t in self.tables["documents"]), "shard", "doc_id").where("alive").select("shard", "doc_id")
+        return ids.select("shard", "doc_id").join(known, ["shard", "doc_id"], "left_semi")
 
     def insert(self, docs: DataFrame) -> LineDedup:
         """Documents whose doc_id the state has already are left out."""
-        new = docs.join(self.postings.select("doc_id").distinct(), "doc_id", "left_anti")
-        added = written(postings_of(new, self.shards, self.min_chars), "line-postings")
-        return self._changed(self.postings.unionByName(added), added)
+        state = replace(self, version=self.version + 1)
+        ids = _kept(state._documents(docs, True), "line-ids")
+        new = _kept(ids.join(self._held(ids), ["shard", "doc_id"], "left_anti").select(*ids.columns), "line-documents")
+        added = postings_of(docs.join(new.select("doc_id"), "doc_id", "left_semi"), self.shards, self.min_chars)
+        added = _kept(added.withColumn("change", F.lit(1)), "line-postings")
+        return state._changed(added, new)
 
     def delete(self, doc_ids: DataFrame) -> LineDedup:
-        """doc_ids: a table with doc_id. Unknown ones change nothing."""
-        gone = written(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("shard", "key", "doc_id"), "line-gone")
-        left = self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("shard", "key", "doc_id")
-        return self._changed(left, gone)
-
-    def _changed(self, postings: DataFrame, touched: DataFrame) -> LineDedup:
-        """Count the touched keys anew from the postings, keep the rest, and move what crossed two documents in or out of the filters."""
-        postings = written(postings, "line-postings")
-        keys = touched.select("shard", "key").distinct()
-        counted = _references(postings.join(keys, ["shard", "key"], "left_semi"))
-        references = written(self.references.join(keys, ["shard", "key"], "left_anti").unionByName(counted), "line-references")
-        was, now = (_repeated(r).join(keys, ["shard", "key"], "left_semi").select("shard", "key") for r in (self.references, references))
+        """doc_ids: a table with doc_id. Unknown ones change nothing. Where documents are known by their ids alone, finding their lines reads all postings once."""
+        state = replace(self, version=self.version + 1)
+        ids = _kept(state._documents(doc_ids, False), "line-ids")
+        gone = _kept(ids.join(self._held(ids), ["shard", "doc_id"], "left_semi").select(*ids.columns), "line-documents")
+        lost = self.postings.join(gone.select("doc_id"), "doc_id", "left_semi").select("shard", "key", "doc_id")
+        return state._changed(_kept(lost.withColumn("change", F.lit(-1)), "line-postings"), gone)
+
+    def _changed(self, change: DataFrame, documents: DataFrame) -> LineDedup:
+        """Append the change, count its keys anew, and move what crossed two documents in or out of the filters of its shards."""
+        here, keys = _touched(change), change.select("shard", "key").distinct()
+        tables = self.tables | {"postings": (*self.tables["postings"], change), "documents": (*self.tables["documents"], documents)}
+        grown = replace(self, tables=tables | {"postings": tuple(t.where(here) for t in tables["postings"])})
+        old = _latest(tuple(t.where(here) for t in self.tables["references"]), "shard", "key").join(keys, ["shard", "key"], "left_semi")
+        counted = _references(grown.postings.join(keys, ["shard", "key"], "left_semi"))
+        none = keys.join(counted, ["shard", "key"], "left_anti").select("shard", "key", F.lit(0).cast("long").alias("refs"), F.lit(None).cast("long").alias("first_doc"), F.lit(None).cast("long").alias("last_doc"))
+        new = _kept(counted.unionByName(none), "line-references")
+        was, now = (_repeated(r).select("shard", "key") for r in (old, new))
         moves = now.join(was, ["shard", "key"], "left_anti").withColumn("into", F.lit(True)).unionByName(was.join(now, ["shard", "key"], "left_anti").withColumn("into", F.lit(False)))
+        moves = _kept(moves, "line-moves")
 
         def move(key: tuple, filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
-            into, out = ([k for k, i in zip(moved["key"], moved["into"], strict=True) if i == w] for w in (True, False))
-            cells = CuckooFilter.read(filters["cells"].iloc[0]) if len(filters) else CuckooFilter.of(_digests(into))
+            into, out = (_digests(moved["key"][moved["into"] == w]) for w in (True, False))
+            cells = CuckooFilter.read(filters["cells"].iloc[0]) if len(filters) else CuckooFilter.of(into)
             if len(filters):
-                cells.delete(_digests(out))
-                if not cells.insert(_digests(into)):
+                cells.delete(out)
+                if not cells.insert(into):
                     return pd.DataFrame({"shard": [key[0]], "cells": [None]})
             return pd.DataFrame({"shard": [key[0]], "cells": [cells.data()]})
 
-        filters = written(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(move, "shard int, cells binary"), "line-filters")
-        full = filters.where("cells is null").select("shard")
-        rebuilt = _filters(references.join(full, "shard", "left_semi"))  # a filter that overflowed is made again, larger
-        return replace(self, postings=postings, references=references, filters=written(filters.where("cells is not null").unionByName(rebuilt), "line-filters"))
+        moving = _touched(moves)
+        before = _latest(tuple(t.where(moving) for t in self.tables["filters"]), "shard").join(moves.select("shard").distinct(), "shard", "left_semi")
+        filters = _kept(before.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(move, "shard int, cells binary"), "line-filters")
+        tables |= {"references": (*self.tables["references"], new.withColumn("version", F.lit(self.version)))}
+        full = filters.where("cells is null").select("shard")  # a filter that overflowed is made again, larger
+        if full.limit(1).count():
+            current = _latest(tuple(t.where(moving) for t in tables["references"]), "shard", "key").join(full, "shard", "left_semi")
+            filters = _kept(filters.where("cells is not null").unionByName(_filters(current)), "line-filters")
+        tables |= {"filters": (*self.tables["filters"], filters.withColumn("version", F.lit(self.version)))}
+        state = replace(self, tables=tables)
+        return state.compacted() if len(tables["postings"]) > COMPACT else state
+
+    def compacted(self) -> LineDedup:
+        """The same state in one table of each kind."""
+        version = F.lit(self.version)
+        documents = _latest(self.tables["documents"], "shard", "doc_id").where("alive")
+        return replace(self, tables={
+            "postings": (_kept(self.postings.withColumn("change", F.lit(1)), "line-postings"),),
+            "references": (_kept(self.references, "line-references").withColumn("version", version),),
+            "filters": (_kept(self.filters, "line-filters").withColumn("version", version),),
+            "documents": (_kept(documents, "line-documents").withColumn("version", version),),
+        })
 
     def suspects(self, postings: DataFrame) -> DataFrame:
         """The postings whose key its shard's filter may hold: all repeated ones, and about one in 8,000 others."""
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        lists = self.filters.select("shard", salts, F.lit(0).alias("kind"), "cells", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
-        asked = postings.select("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("cells"), "key", "doc_id")
+        large = self.references.groupBy("shard").agg(F.sum("refs").alias("n")).where(f"n > {PROBE_ROWS}").select("shard", F.expr(f"cast(ceil(n / {PROBE_ROWS}) as int)").alias("salts"))
+        large = written(large, "line-large")  # one row for each shard of more than PROBE_ROWS postings
+        salts = F.coalesce("salts", F.lit(1))
+        lists = self.filters.join(large, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "cells", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+        asked = postings.join(large, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("cells"), "key", "doc_id")
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, salt, cells = None, None, None

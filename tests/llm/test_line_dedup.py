@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 
+from shelfwise.llm import line_dedup
 from shelfwise.llm.line_dedup import CuckooFilter, LineDedup
 
 from .conftest import frame
@@ -61,3 +64,41 @@ def test_cuckoo_filter():
     made.delete(keys[:2000])
     assert made.contains(keys[2000:4000]).all() and made.contains(keys[:2000]).mean() < 0.01
     assert CuckooFilter.read(made.data()).contains(keys[2000:4000]).all()
+
+
+def files(state, name):
+    return {f for t in state.tables[name] for f in t.inputFiles()}
+
+
+def test_changes_append_and_touch_only_their_shards(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "\n".join(f"line number {rng.randrange(150)} of the many" for _ in range(6))) for i in range(80)]
+    state = LineDedup.of(frame(spark, rows[:60]), shards=16)
+    versions = {"filters": {r["shard"]: bytes(r["cells"]) for r in state.filters.collect()}}
+    more = state.insert(frame(spark, rows[60:61] + rows[:3]))
+    for name in ("postings", "references", "filters"):
+        assert files(state, name) < files(more, name)  # old files stay as they are
+    touched = {r["shard"] for r in more.tables["postings"][-1].collect()}
+    assert touched and {r["doc_id"] for r in more.tables["postings"][-1].collect()} == {60}
+    assert {r["shard"] for t in ("references", "filters") for r in more.tables[t][-1].collect()} <= touched
+    assert all(bytes(r["cells"]) == versions["filters"][r["shard"]] for r in more.filters.collect() if r["shard"] not in touched)
+    monkeypatch.setattr(line_dedup, "COMPACT", 3)
+    held = dict(rows[:61])
+    for turn in range(4):
+        new, gone = rows[61 + 4 * turn : 65 + 4 * turn], rng.sample(sorted(held), 5)
+        more = more.insert(frame(spark, new)).delete(spark.createDataFrame([(g,) for g in [*gone, 9999]], "doc_id long"))
+        held = {d: t for d, t in (*held.items(), *new) if d not in gone}
+        if turn % 2:
+            assert texts(more.apply(frame(spark, list(held.items())))) == brute(list(held.items()))
+    assert all(len(t) <= 3 for t in more.tables.values())
+    fresh = LineDedup.of(frame(spark, list(held.items())), shards=16)
+    key = lambda s: {(r["shard"], bytes(r["key"]), r["refs"], r["first_doc"], r["last_doc"]) for r in s.references.collect()}
+    assert key(more) == key(fresh)
+
+
+def test_hot_shards_are_dealt_to_more_tasks(spark, monkeypatch):
+    rows = [(i, f"the one line that all have\nand one of its own {i}") for i in range(50)]
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 7)
+    state = LineDedup.of(frame(spark, rows), shards=2)
+    assert texts(state.apply(frame(spark, rows))) == brute(rows)
+    assert state.suspects(state.postings).count() >= 50
