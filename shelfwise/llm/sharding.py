@@ -4,55 +4,67 @@ Rows are put in a seeded order within their source, each gets the fraction of it
 before it, and the order of those fractions over all sources is cut into equal runs. Every run then
 holds each source in proportion, and row counts of shards differ by one at most.
 
+Row k of a source of m rows has the fraction (k - u) / m. The shift u of a source, between 0 and 1, comes
+from its digest, so that sources of a few rows do not all ask for the same places.
+
 No source, however large, is ranked in one task: a row's rank is the number of rows of its source in
 earlier hash buckets (a small table of counts) plus its place in its own bucket. The place in the
-whole order is found in the same way, and there the counts follow from the sizes of the sources alone.
+whole order is found in the same way over buckets of fractions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one window is meant to hold; more rows mean more buckets.
-BUCKET_ROWS = 20_000
+#: Rows that one window is meant to hold; more rows mean more buckets. Buckets whose counts one window adds up.
+BUCKET_ROWS, RUN = 20_000, 4096
+
+
+def earlier(counts: DataFrame, keys: list[str], bucket: str, n: str) -> DataFrame:
+    """counts with __before: the sum of n over the lower buckets of the same keys, by runs of buckets, so that no window holds all of them."""
+    counts = counts.withColumn("__run", F.expr(f"{bucket} div {RUN}"))
+    runs = counts.groupBy(*keys, "__run").agg(F.sum(n).alias("__n"))
+    below = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*keys, "__run", F.coalesce(below, F.lit(0)).alias("__base"))
+    inside = F.sum(n).over(Window.partitionBy(*keys, "__run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.join(runs, [*keys, "__run"]).withColumn("__before", F.col("__base") + F.coalesce(inside, F.lit(0))).drop("__run", "__base")
+
+
+def shift(source: Column) -> Column:
+    """Between 0 and 1, never either."""
+    return (F.conv(F.substring(F.md5(source.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
 
 
 def interleave(rows: DataFrame, stratum: str, order: list[str], n_shards: int = 16, seed: int = 17) -> DataFrame:
-    """rows with the columns shard and slot (place in the shard, from 0).
+    """rows with the columns shard and slot (place in the shard, from 0), which replace columns of those names.
 
     order: columns whose values set the seeded order; rows that agree in all of them and in stratum
     are interchangeable copies and get neighbouring places. A null stratum counts as the stratum ''.
-    An empty table gives an empty result. Columns named like the helper ones are kept: helpers start with __.
+    An empty table gives an empty result. All other columns stay, whatever their names are.
     """
-    rows = rows.withColumns({"__s": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "__h": F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in order]))})
-    n = rows.select("__s").count()
-    if not n:
-        return rows.drop("__s", "__h").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    rest = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in order]))
+    ties = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rows = rows.select(F.struct(*rest).alias("row"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("source"), digest.alias("digest"), ties.alias("ties"))
+    n = rows.select("source").count()
     digits = max(2, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
-    rows = rows.withColumn("__b", F.substring("__h", 1, digits))
-    counts = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
-    in_order = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__s", "__b", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("__s")).alias("__of"))
-    own = Window.partitionBy("__s", "__b").orderBy("__h", *order)
-    ranked = rows.join(before, ["__s", "__b"]).withColumn("__k", F.col("__before") + F.row_number().over(own))
-
-    # Row k of a source of m rows has the fraction (2k - 1) / 2m; of those, floor(ceil(2mj / B) / 2) come before j / B.
-    parts = max(64, 16**digits)
-    sizes = counts.groupBy("__s").agg(F.sum("__n").alias("__of"))
-    earlier = sizes.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__j"), "__of")
-    earlier = earlier.groupBy("__j").agg(F.sum(F.expr(f"((2 * __of * __j + {parts - 1}) div {parts}) div 2")).alias("__start"))
-    ranked = ranked.withColumns({"__j": F.expr(f"cast(((2 * __k - 1) * {parts}) div (2 * __of) as int)"), "__f": (2 * F.col("__k") - 1) / (2 * F.col("__of"))})
-    placed = ranked.join(earlier, "__j").withColumn("__p", F.col("__start") + F.row_number().over(Window.partitionBy("__j").orderBy("__f", "__s")) - 1)
-    placed = placed.withColumn("shard", F.expr(f"cast((__p * {n_shards}) div {n} as int)"))
-    placed = placed.withColumn("slot", F.expr(f"__p - (shard * {n}L + {n_shards - 1}) div {n_shards}"))
-    return placed.drop("__s", "__h", "__b", "__before", "__of", "__k", "__j", "__f", "__start", "__p")
+    rows = rows.withColumn("b", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
+    counts = rows.groupBy("source", "b").agg(F.count("*").alias("n"))
+    before = earlier(counts, ["source"], "b", "n").drop("n").withColumnRenamed("__before", "before").join(counts.groupBy("source").agg(F.sum("n").alias("of")), "source")
+    own = Window.partitionBy("source", "b").orderBy("digest", "ties")
+    ranked = rows.join(before, ["source", "b"]).withColumn("k", F.col("before") + F.row_number().over(own))
+    ranked = ranked.withColumn("f", (F.col("k") - shift(F.col("source"))) / F.col("of")).withColumn("j", F.floor(F.col("f") * max(64, 16**digits)).cast("long"))
+    starts = earlier(ranked.groupBy("j").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), ["all"], "j", "n").select("j", F.col("__before").alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("j").orderBy("f", "source")) - 1
+    placed = ranked.join(starts, "j").select("row", place.alias("p")).withColumn("shard", F.expr(f"cast((p * {n_shards}) div {max(1, n)} as int)"))
+    return placed.select("row.*", "shard", F.expr(f"p - (shard * {n}L + {n_shards - 1}) div {n_shards}").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 17) -> DataFrame:
-    """doc_id, source, size (UTF-8 bytes of the text plus 1), text_crc32, shard, slot. A null text is empty."""
+    """doc_id, source, size (UTF-8 bytes of the text plus 1), text_crc32, shard, slot. A null text is empty; a text of any length is one row of a few numbers."""
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return interleave(narrow, "source", ["doc_id", "text_crc32"], n_shards, seed)
