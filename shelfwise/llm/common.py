@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where that is unset (tests)."""
     if where := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     where = tempfile.mkdtemp(prefix="shelfwise-")
     atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{where}")
@@ -35,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written once, with the column __row: a number for each row, whatever other columns repeat or lack."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def give_back() -> None:
     """Return free memory to the system: Python workers live on after a task, and the next stage may need what this one has freed."""
     gc.collect()

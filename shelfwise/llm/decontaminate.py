@@ -9,7 +9,12 @@ one shift between item and document, and a run counts only as far as its slots a
 value of the item always stands for one value of the document.
 
 A document is contaminated by an item if consistent runs cover MIN_COVER of the item's words, or one of
-them is MIN_RUN words long. An item shorter than a window is one window as long as itself.
+them is MIN_RUN words long. An item shorter than a window is one window as long as itself; one of fewer than
+LEAST words says too little: it contaminates nothing, and undecidable() names it.
+
+Words are runs of letters, of scripts without spaces single characters. Where every noun has a capital letter
+all nouns count as names; then a template says little, and windows of the words themselves find the copies.
+Texts and items are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -24,16 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import give_back
+from shelfwise.llm.common import give_back, numbered, written
 from shelfwise.llm.shingles import mix
 
-WINDOW, MIN_RUN, MIN_COVER, LITERAL = 8, 13, 0.5, 4
+WINDOW, MIN_RUN, MIN_COVER, LITERAL, LEAST = 8, 13, 0.5, 4, 4
 #: Windows of the benchmark up to which their hashes go to every worker (8 bytes each); beyond it all windows are shuffled.
 INDEX_WINDOWS = 4_000_000
 UNITS = frozenset("mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles g mg kg t ton tons lb lbs oz pound pounds ounce ounces ml cl dl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph hz khz mhz ghz kb mb gb tb w kw kwh v a k c f degree degrees".split())
 NUMBER, NAME, UNIT = (xxhash.xxh3_64_intdigest(f"slot {kind}") for kind in ("number", "name", "unit"))
+#: Letters of scripts that write no spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Words, and the marks that end a sentence.
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
+TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{UNSPACED}]+|[{UNSPACED}]|[.!?\n。！？]")
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _WORDS = np.uint64(0x6C6974657261)
 
@@ -42,7 +49,7 @@ class Kinds(dict):
     """(literal hash, template hash inside a sentence, kind) of each token: 0 word, 1 number, 2 maybe a name, 3 maybe a unit, 4 mark."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if token in ".!?\n":
+        if token in ".!?\n。！？":
             found = (0, 4)
         else:
             low = token.lower()
@@ -87,34 +94,41 @@ def windows(literal: np.ndarray, template: np.ndarray, widths: list[int]) -> Ite
             yield width, np.concatenate([np.arange(n), some]), hashes.view(np.int64), np.concatenate([slots == 0, np.ones(len(some), bool)])
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """window, item_id, at, words (of the item), literal and slot (of its words; slot: the word is a placeholder)."""
+def _values(literal: np.ndarray) -> list[int]:
+    return literal.view(np.int64).tolist()
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_literal, item_template: the words of each row of the benchmark that has an item_id, and their templates."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = Kinds()
         for batch in batches:
-            out = []
-            for item, text in zip(batch["item_id"], batch["text"], strict=True):
-                literal, template = templates(text, kinds)
-                for width, places, hashes, plain in windows(literal, template, [min(WINDOW, len(template))]):
-                    out += [(window, item, at, len(template), width, own) for window, at, own in zip(hashes.tolist(), places.tolist(), plain.tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["window", "item_id", "at", "words", "width", "item_plain"])
+            found = [templates(t, kinds) for t in batch["text"]]
+            yield pd.DataFrame({"item_id": batch["item_id"], "item_literal": [_values(a) for a, _ in found], "item_template": [_values(b) for _, b in found]})
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(read, "window long, item_id long, at int, words int, width int, item_plain boolean")
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
+    return rows.mapInPandas(read, "item_id long, item_literal array<long>, item_template array<long>")
 
 
-def _values(literal: np.ndarray) -> list[int]:
-    return literal.view(np.int64).tolist()
+def undecidable(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words) of the items that are too short to contaminate anything."""
+    return _items(benchmark).select("item_id", F.size("item_literal").alias("words")).where(F.col("words") < LEAST)
 
 
-def _item_words(benchmark: DataFrame) -> DataFrame:
+def _item_windows(items: DataFrame) -> DataFrame:
+    """window, item_id, at, words (of the item), width, item_plain (the window has no placeholder, or its hash is the template's)."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = Kinds()
         for batch in batches:
-            found = [templates(t, kinds) for t in batch["text"]]
-            yield pd.DataFrame({"item_id": batch["item_id"], "item_literal": [_values(a) for a, _ in found], "item_template": [_values(b) for _, b in found]})
+            out = []
+            for item, *words in zip(batch["item_id"], batch["item_literal"], batch["item_template"], strict=True):
+                literal, template = (np.array(w, np.int64).view(np.uint64) for w in words)
+                for width, places, hashes, plain in windows(literal, template, [min(WINDOW, len(template))]):
+                    out += [(window, item, at, len(template), width, own) for window, at, own in zip(hashes.tolist(), places.tolist(), plain.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["window", "item_id", "at", "words", "width", "item_plain"])
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInPandas(read, "item_id long, item_literal array<long>, item_template array<long>")
+    return items.mapInPandas(read, "window long, item_id long, at int, words int, width int, item_plain boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -122,14 +136,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     covered: words of the item that consistent runs cover; longest: words of the longest run; words: of the item.
     Null texts have no words; rows without doc_id or item_id are left out. Documents that repeat a doc_id count together.
-    An empty benchmark finds nothing.
+    Items of fewer than LEAST words and an empty benchmark find nothing.
     """
-    found = _item_windows(benchmark)
+    items = written(_items(benchmark).where(F.size("item_literal") >= LEAST), "benchmark-items")
+    found = written(_item_windows(items), "benchmark-windows")
     n = found.count()
     widths = sorted(r[0] for r in found.select("width").distinct().collect())  # at most WINDOW of them
     index = None
     if n <= INDEX_WINDOWS:
-        hashes = np.array([r[0] for r in found.select("window").distinct().collect()], np.int64)
+        hashes = found.select("window").distinct().toArrow()["window"].to_numpy()
         index = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = narrow.mapInArrow(read, "doc_id long, window long, place int, plain boolean, literal array<long>").join(found, "window")
     # A run keeps one shift between document and item; its rows are the matched windows of one pair, at most one per word of the item and place of the document.
     shifts = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "width", "literal", (F.col("plain") & F.col("item_plain")).alias("template")))).alias("found"), F.max("words").alias("words"))
-    pairs = shifts.join(_item_words(benchmark), "item_id")
+    pairs = shifts.join(items, "item_id")
 
     @F.pandas_udf("at array<int>, longest int")
     def consistent(found: pd.Series, item_literal: pd.Series, item_template: pd.Series) -> pd.DataFrame:
@@ -202,5 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows without doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the contaminated rows. Rows are judged by themselves, those without doc_id or of a repeated one too."""
+    rows = numbered(docs, "clean-rows")
+    gone = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)

@@ -6,8 +6,9 @@
    quarter of the nodes, so that a pair at the threshold shares one child on average and never thins out.
    After DEPTH splits the nodes are buckets. A bucket with over LARGE sets goes on DEPTH splits at a time,
    AGAIN times from the start, where that at least halves the pairs to be compared; all its pairs are compared
-   where it does not. RUNS repeats make the expected loss at the threshold about one pair in 10 million
-   (0.36 ** RUNS); a step of a large bucket loses it a pair in 0.36 ** AGAIN of all cases (0.2 %).
+   where it does not. A run finds a pair at the threshold with the chance ONE_RUN, which a test measures, and runs are
+   independent: they are repeated until the chance of having found it reaches TARGET. A step of a large bucket is
+   repeated AGAIN times (it loses 0.2 % of such pairs).
 3. Buckets are compared by brute force on one byte of each coordinate, large ones in pairs of parts; pairs
    that may reach the threshold join their sets into candidate groups.
 4. Within a group all sets are compared exactly, in blocks. Links are counted there and never written
@@ -19,6 +20,7 @@ Texts without words have no shingles and link to nothing. A null text has no wor
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import give_back, written
+from shelfwise.llm.common import give_back, numbered, written
 from shelfwise.llm.shingles import WordHashes, mix, shingles
 
-COORDS, RUNS, DEPTH, LARGE, AGAIN = 128, 16, 3, 4096, 6
+COORDS, DEPTH, LARGE, AGAIN = 128, 3, 4096, 6
+#: Recall to be reached for pairs at the threshold, what one run reaches, and the runs that this takes (16).
+TARGET, ONE_RUN = 0.9999999, 0.64
+RUNS = math.ceil(math.log(1 - TARGET) / math.log(1 - ONE_RUN))
 #: Sets of up to SMALL[1] shingles have true minimum hashes, those from SMALL[0] binned ones; pairs of one similarity share a kind.
 SMALL = (128, 160)
 #: Estimated similarity that makes a candidate: four standard deviations below the threshold.
@@ -366,3 +371,16 @@ def join(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     none = F.lit(0).cast("long")
     texts = texts.select("d1", "d2", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("text_id"), (F.coalesce("linked", none) + F.greatest(F.col("copies") - 1, none)).alias("n_links"), F.coalesce("n_text_links", none).alias("n_text_links"))
     return rows.select("doc_id", "d1", "d2").join(texts, ["d1", "d2"]).drop("d1", "d2")
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """docs with one row of each class: of the rows with its least doc_id (a null one comes last) one of the least text.
+
+    Rows are told apart by themselves, not by doc_id: rows of one doc_id with texts of different classes all stay, and
+    exact repeats go. Rows without words all stay.
+    """
+    rows = numbered(docs, "near-rows")
+    found = join(rows.select(F.col("__row").alias("doc_id"), "text"), threshold, width).select(F.col("doc_id").alias("__row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "__row")
+    kept = rows.select("__row", order.alias("order")).join(found, "__row").groupBy("class_id").agg(F.min("order").alias("order"))
+    return rows.join(kept.select("order.__row"), "__row", "left_semi").select(docs.columns)

@@ -1,6 +1,8 @@
 import random
+from itertools import count, groupby
 
-from shelfwise.llm.decontaminate import clean, contaminated
+from shelfwise.llm import decontaminate
+from shelfwise.llm.decontaminate import clean, contaminated, undecidable
 
 from .conftest import frame
 
@@ -23,7 +25,7 @@ def test_finds_verbatim_partial_and_reparameterised(spark):
     partly = contaminated(frame(spark, [(1, broken)]), bench).collect()
     assert not partly or partly[0]["longest"] < out[3, 12]["longest"]  # one slot with two values ends the run
     left = clean(frame(spark, docs), bench)
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 4, 6, 7, 8] and left.columns == frame(spark, []).columns
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [1, 4, 6, 7, 8] and left.columns == frame(spark, []).columns
 
 
 def test_finds_verbatim_copies_of_any_words(spark):
@@ -50,3 +52,78 @@ def test_odd_rows(spark, odd):
     assert contaminated(odd, bench).count() == 0 and clean(odd, bench).count() == 12
     same = odd.where("doc_id = 6").selectExpr("doc_id as item_id", "text")
     assert [r["doc_id"] for r in contaminated(odd, same).collect()] == [6]
+
+
+def test_short_items_say_too_little(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "the"), (3, "a b c"), (4, "one two three four"), (5, None)], "item_id long, text string")
+    docs = frame(spark, [(1, "Yes the a b c is here"), (2, "or one two three four")])
+    assert [(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()] == [(2, 4)]
+    assert sorted(r["item_id"] for r in undecidable(bench).collect()) == [1, 2, 3, 5]
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    item = text(30)
+    docs = frame(spark, [(1, text(50) + item + text(50)), (2, text(130)), (3, text(20) + item[:10] + text(20))])
+    assert [r["doc_id"] for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
+def asked_again(rng, words):
+    """A question with numbers, names and units, and the same with others."""
+    names, units, numbers = rng.sample(["Anna", "Boris", "Clara", "Doris", "Emil", "Franz", "Gerda", "Hans"], 4), rng.sample(["kg", "km", "hours", "euros"], 4), rng.sample(range(10, 99), 6)
+    body = [rng.choice(words) for _ in range(40)]
+    places = sorted(rng.sample(range(1, 40, 4), 6))
+
+    def made(name, unit, number):
+        own = list(body)
+        for k, at in enumerate(places):
+            own[at] = name[k // 3] if k % 3 == 0 else f"{number[k]}" + (f" {unit[k // 3]}" if k % 3 == 1 else "")
+        return "the " + " ".join(own)
+
+    return made(names[:2], units[:2], numbers[:6]), made(names[2:], units[2:], [n + 100 for n in numbers])
+
+
+def test_recall_of_reparameterised_items_and_both_indexes(spark, monkeypatch):
+    rng = random.Random(11)
+    pool = words(rng, 400).split()
+    pairs = [asked_again(rng, pool) for _ in range(120)]
+    bench = spark.createDataFrame(list(enumerate(a for a, _ in pairs)), "item_id long, text string")
+    rows = [(i, words(rng, 60) + " " + b + " " + words(rng, 60)) for i, (_, b) in enumerate(pairs)] + [(1000 + i, " ".join(rng.choices(pool, k=200))) for i in range(60)]
+    found = {tuple(r) for r in contaminated(frame(spark, rows), bench).collect()}
+    hits = {(d, i) for d, i, *_ in found}
+    assert sum((i, i) in hits for i in range(120)) >= 0.95 * 120 and all(d == i for d, i in hits)
+    monkeypatch.setattr(decontaminate, "INDEX_WINDOWS", 0)
+    assert {tuple(r) for r in contaminated(frame(spark, rows), bench).collect()} == found
+
+
+def test_literal_matches_by_brute_force(spark):
+    """Random lower-case texts have no slots: covered and longest follow from equal windows alone."""
+    rng = random.Random(12)
+    pool = words(rng, 30).split()
+    item = [rng.choice(pool) for _ in range(24)]
+    rows = []
+    for i in range(60):
+        a, n = rng.randrange(16), rng.randint(5, 20)
+        rows.append((i, [rng.choice(pool) for _ in range(15)] + item[a : a + n] + [rng.choice(pool) for _ in range(15)]))
+    want = {}
+    for i, own in rows:
+        runs = {}
+        for p in range(len(own) - 7):
+            for a in range(len(item) - 7):
+                if own[p : p + 8] == item[a : a + 8]:
+                    runs.setdefault(p - a, set()).update(range(a, a + 8))
+        covered = set().union(*runs.values()) if runs else set()
+        longest = max((max(len(list(g)) for _, g in groupby(sorted(x), lambda v, c=count(): v - next(c))) for x in runs.values()), default=0)
+        if len(covered) >= 12 or longest >= 13:
+            want[i] = (len(covered), longest)
+    out = contaminated(frame(spark, [(i, " ".join(own)) for i, own in rows]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"]: (r["covered"], r["longest"]) for r in out.collect()} == want and 5 < len(want) < 60
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    rng = random.Random(13)
+    item = words(rng, 30)
+    docs = frame(spark, [(9, "x " + item), (9, "clean text"), (None, item), (None, None)])
+    left = clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (9, "clean text")]

@@ -1,7 +1,9 @@
+import os
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from shelfwise.llm import jaccard_join
 from shelfwise.llm.shingles import WordHashes, shingles
@@ -85,3 +87,41 @@ def test_odd_rows(spark, odd):
     assert all(by[d]["class_id"] == d and by[d]["n_links"] == 0 for d in (4, 5, 6, 7, 8, 9))
     assert {r["class_id"] for r in rows if r["doc_id"] is None} == {1, None}
     assert jaccard_join.join(frame(spark, [])).count() == 0
+
+
+def test_one_run_finds_what_it_should():
+    """Sets at the threshold, by simulation: the chance that a run puts both in one bucket."""
+    rng = np.random.default_rng(3)
+    met = total = 0
+    rates = []
+    for binned, n in ((False, 90), (True, 900)):
+        for _ in range(60):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
+            pair = [np.unique(np.concatenate([both[: n * 8 // 10], part])) for part in (both[n * 8 // 10 : n * 9 // 10], both[n * 9 // 10 :])]
+            a, b = (set(x.tolist()) for x in jaccard_join.leaves(np.array([jaccard_join.signature(s, binned) for s in pair]), int(binned)))
+            met, total = met + bool(a & b), total + 1
+            per_run = [jaccard_join.descend(np.array([jaccard_join.signature(s, binned) for s in pair]), np.arange(2), np.full(2, 1000 + r, np.uint64)) for r in range(40)]
+            assert all(len(nodes) >= 2 for _, nodes in per_run)
+            found = sum(bool(set(nodes[rows == 0].tolist()) & set(nodes[rows == 1].tolist())) for rows, nodes in per_run)
+            rates.append(found / 40)
+    assert met == total and np.mean(rates) >= jaccard_join.ONE_RUN - 0.02 and jaccard_join.RUNS == 16
+
+
+def test_recall_on_the_test_table(spark):
+    """Every id divisible by 100 against all rows, by brute force."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows, hashes = [tuple(r) for r in docs.collect()], WordHashes()
+    sets = {d: set(shingles(hashes.of(t)).tolist()) for d, t in rows}
+    links = {d: sum(o != d and sets[o] and len(sets[d] & sets[o]) >= 0.8 * len(sets[d] | sets[o]) - 1e-9 for o in sets) for d in sets if d % 100 == 0 and sets[d]}
+    found = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(docs).where("doc_id % 100 = 0").collect()}
+    assert {d: found[d] for d in links} == links
+
+
+def test_keep_one_tells_rows_apart(spark):
+    a, b = "the quick brown fox jumps over a lazy dog by the river", "an entirely other text that nobody has seen before today"
+    rows = [(1, a), (9, a), (9, b), (9, b), (None, a), (None, "one more text of its own that has no id at all"), (None, None), (None, None), (3, ""), (3, "")]
+    left = jaccard_join.keep_one(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(1, a), (9, b), (0, rows[5][1]), (0, ""), (0, ""), (3, ""), (3, "")])
