@@ -29,13 +29,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class. Documents without words or doc_id all stay."""
-    gone = jaccard_join.join(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate class, of the least doc_id; exact repeats go, whatever their doc_id is. Documents without words all stay."""
+    return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; each row is judged by its own text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
