@@ -91,6 +91,7 @@ def slug(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: Marks of numbered and copied files.
 _NUMBERED = (re.compile(r"^(.*\S)\s*[-._\s]*[(\[]\s*\d{1,3}\s*[)\]]\s*$"), re.compile(r"^(.*\S)\s+-\s*\d{1,3}\s*$"))
 _COPY_WORD = re.compile(r"^(.*\S)\s+[-._]?\s*\(?\s*(copy(\s*\d+)?|duplicates?)\s*\)?\s*$")
 #: Stem that a copy word needs to be a marker (fixed value).
@@ -205,10 +206,10 @@ def vtt_time(ms: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over code points, in hex (of UTF-16 units in texts without astral characters)."""
+    """32-bit FNV-1a over UTF-16 units, in hex."""
     start = F.lit(0x811C9DC5).cast("long")
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.lower(F.hex(F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)))
+    step = lambda h, unit: (h.bitwiseXOR(F.conv(unit, 16, 10).cast("long")) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.hex(F.aggregate(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})")), start, step)))
 
 
 def attribute_handles(attributes: Column) -> Column:
@@ -245,3 +246,13 @@ def error_kind(text: Column) -> Column:
     for kind, pattern in rules:
         out = out.when(text.rlike("(?i)" + pattern), kind)
     return out.otherwise("network")
+
+
+#: Media types by extension.
+MIME = {"mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mkv": "video/x-matroska", "mov": "video/quicktime", "avi": "video/x-msvideo", "ts": "video/mp2t"}
+
+
+def mime_of(name: Column) -> Column:
+    """Media type by extension; null for another."""
+    table = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
+    return F.try_element_at(table, extension(name))

@@ -47,15 +47,18 @@ def conditional_sum(lib: Library) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count("done").alias("completed"), (F.count("*") - F.count("done")).alias("missing"), F.coalesce(F.sum(F.when(F.col("done"), F.col("file_size"))), F.lit(0)).alias("bytes"))
 
 
-def upper_median(values):
-    """sorted[n // 2]: of an even number of values the upper of the middle two."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: sorted[n // 2], of an even number of values the upper of the middle two. Values are counted first, so that only different ones are put in order."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(key)
+    upto = F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    middle = counts.withColumns({"upto": upto, "half": F.floor(F.sum("n").over(own) / 2)}).where("upto > half")
+    return middle.groupBy(key).agg(F.min(value).alias("median"))
 
 
 @query("agg_07_upper_median", "SELECT account_id, list_sort(list(duration))[len(list(duration)) // 2 + 1] AS median FROM video WHERE duration IS NOT NULL GROUP BY account_id")
 def medians(lib: Library) -> DataFrame:
-    return lib.video.where("duration IS NOT NULL").groupBy("account_id").agg(upper_median("duration").alias("median"))
+    return upper_medians(lib.video.where("duration IS NOT NULL"), "account_id", "duration")
 
 
 @query("agg_09_every_member", "SELECT video_id, bool_and(status = 'failed') AS all_failed FROM job GROUP BY video_id")
@@ -84,7 +87,9 @@ def percentiles(lib: Library) -> DataFrame:
 
 @query("agg_12_summary", "SELECT event_type, min(user_id) AS least, list_sort(list(user_id))[count(*) // 2 + 1] AS p50, max(user_id) AS most FROM events GROUP BY event_type")
 def summary(lib: Library) -> DataFrame:
-    return lib.raw("events").groupBy("event_type").agg(F.min("user_id").alias("least"), upper_median("user_id").alias("p50"), F.max("user_id").alias("most"))
+    rows = lib.raw("events").select("event_type", "user_id")
+    ends = rows.groupBy("event_type").agg(F.min("user_id").alias("least"), F.max("user_id").alias("most"))
+    return ends.join(upper_medians(rows, "event_type", "user_id").withColumnRenamed("median", "p50"), "event_type")
 
 
 @query("agg_13_mean_and_vote", "SELECT l_orderkey AS stream, count(*) FILTER (WHERE l_quantity >= 20) * 3 >= 2 * count(*) AS usable, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey")

@@ -100,8 +100,8 @@ def runnable(lib: Library, live: bool = False) -> DataFrame:
     video = lib.video.select(F.col("id").alias("video_id"), "account_id").join(account, "account_id", "left_semi").select("video_id")
     rows = rows.join(video, "video_id", "left_semi")
     if live:
-        leases = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= now())).select(F.lit(1).alias("one")).limit(1)
-        rows = rows.withColumn("one", F.lit(1)).join(leases, "one", "left_anti").drop("one")
+        leases = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= now()))
+        rows = rows.where(~leases.exists())
     return rows
 
 

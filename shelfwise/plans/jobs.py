@@ -98,8 +98,16 @@ def retry_terminal(lib: Library) -> DataFrame:
     return jobs_of(lib, 3).where("status = 'failed'").orderBy("queued_at", "id").limit(100).select("id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
 
 
-@query("qry_24_stuck_syncs", "SELECT id, CASE WHEN failures >= 3 THEN 'ERROR' ELSE status END AS status FROM account WHERE status IN ('SYNCED', 'ERROR')")
+#: Fixed value: what an account says whose sync was cut off.
+INTERRUPTED = "Sync was interrupted by a server restart."
+
+
+def recovered_syncs(account: DataFrame, moment) -> DataFrame:
+    """The accounts found syncing at start-up, as they are written back: an error, one failure more, and an outcome that can be shown."""
+    stuck = account.where("status = 'SYNCING'")
+    return stuck.select("id", F.lit("ERROR").alias("status"), (F.col("failures") + 1).alias("failures"), F.lit(INTERRUPTED).alias("error"), moment.alias("error_at"), F.lit("interrupted").alias("outcome"))
+
+
+@query("qry_24_stuck_syncs", f"SELECT id, 'ERROR' AS status, failures + 1 AS failures, '{INTERRUPTED}' AS error, TIMESTAMP '{NOW}' AS error_at, 'interrupted' AS outcome FROM account WHERE status = 'SYNCING'")
 def stuck_syncs(lib: Library) -> DataFrame:
-    """At start-up, syncs that never ended become errors."""
-    rows = lib.account.where(F.col("status").isin("SYNCED", "ERROR"))
-    return rows.select("id", F.when(F.col("failures") >= 3, "ERROR").otherwise(F.col("status")).alias("status"))
+    return recovered_syncs(lib.account, now())

@@ -53,11 +53,11 @@ def claim_chain(lib: Library) -> DataFrame:
 
 @query("joi_07_no_live_lease", f"SELECT id FROM job WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM job WHERE status = 'generating' AND lease_expires_at >= TIMESTAMP '2100-01-01') UNION ALL SELECT id FROM job WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM job WHERE status = 'generating' AND lease_expires_at >= TIMESTAMP '{NOW}')")
 def no_live_lease(lib: Library) -> DataFrame:
-    """An anti-join with at most one row: all of the one side or nothing."""
+    """A condition of one value for all rows: whether a live lease exists."""
 
     def unless(rows: DataFrame, moment) -> DataFrame:
-        live = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= moment)).select(F.lit(1).alias("one")).limit(1)
-        return rows.withColumn("one", F.lit(1)).join(live, "one", "left_anti").select("id")
+        live = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= moment))
+        return rows.where(~live.exists()).select("id")
 
     return unless(lib.job.where("status = 'pending'"), F.lit("2100-01-01").cast("timestamp_ntz")).union(unless(lib.job.where("status = 'failed'"), now()))
 

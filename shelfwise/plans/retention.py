@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.order import running_total
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 
-#: Entries by which one task is expected to sum; the rest is settled by totals of earlier buckets.
-BUCKETS = 64
-
-
 def evicted(entries: DataFrame, budget: int, now: int, grace: int = 0) -> DataFrame:
     """id, stale of the entries to delete: all stale ones, then the least recently used until the rest fits the budget.
 
     entries: id, size, last_access, stale, readers. Entries in use, and live ones within the grace time, stay.
-    An entry goes if what remains after those before it is over budget. The running total is a sum within
-    ranges of last_access plus the totals of earlier ranges, so that no task orders all entries.
+    An entry goes if what remains after those before it is over budget. No task orders all entries.
     """
     free = entries.where("readers = 0").where(F.col("stale") | (now - F.col("last_access") >= grace))
-    total = entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.min("last_access").alias("low"), F.max("last_access").alias("high")).first()
-    if total["low"] is None:
-        return free.select("id", "stale")
-    width = max(1, (total["high"] - total["low"]) // BUCKETS + 1)
-    gone = entries.where("stale AND readers = 0").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
-    live = free.where("NOT stale").withColumn("bucket", F.floor((F.col("last_access") - total["low"]) / width))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS + 1 rows
-    earlier = live.groupBy("bucket").agg(F.sum("size").alias("s")).select("bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("earlier"))
-    inner = Window.partitionBy("bucket").orderBy("last_access", "id").rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.col("earlier") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    old = live.join(F.broadcast(earlier), "bucket").withColumn("left", F.lit(total["total"] - gone) - freed).where(F.col("left") > budget)
+    total = entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.expr("stale AND readers = 0"), F.col("size"))), F.lit(0)).alias("gone")).first()
+    live = running_total(free.where("NOT stale"), [F.col("last_access"), F.col("id")], F.col("size"), "upto")
+    old = live.where(F.lit(total["all"] - total["gone"]) - (F.col("upto") - F.col("size")) > budget)
     return free.where("stale").select("id", "stale").unionByName(old.select("id", "stale"))
 
 
@@ -51,8 +39,5 @@ def eviction(lib: Library) -> DataFrame:
 @query("win_08_running_budget", f"WITH e AS ({ENTRIES}), r AS (SELECT id, sum(size) OVER (ORDER BY last_access, id) AS upto FROM e WHERE NOT stale) SELECT id FROM r WHERE upto <= 500000")
 def within_budget(lib: Library) -> DataFrame:
     """The oldest live entries that fit a budget together."""
-    live = entries(lib).where("NOT stale").withColumn("bucket", F.floor(F.col("last_access") / 2048))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = live.groupBy("bucket").agg(F.sum("size").alias("s")).select("bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("earlier"))
-    upto = F.col("earlier") + F.sum("size").over(Window.partitionBy("bucket").orderBy("last_access", "id"))
-    return live.join(F.broadcast(earlier), "bucket").withColumn("upto", upto).where("upto <= 500000").select("id")
+    live = entries(lib).where("NOT stale")
+    return running_total(live, [F.col("last_access"), F.col("id")], F.col("size"), "upto").where("upto <= 500000").select("id")

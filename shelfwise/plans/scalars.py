@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import classify as C
 from shelfwise.functions import numbers as N
 from shelfwise.functions import text as T
 from shelfwise.registry import query
@@ -166,10 +167,10 @@ def trigram(lib: Library) -> DataFrame:
     return rows.select("id", F.round(T.trigram_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query("str_25_link_parts", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'AbCd' || lpad(CAST(id AS VARCHAR), 4, '0') END AS node, CASE WHEN id % 3 = 0 THEN NULL ELSE repeat('k', 43) END AS key FROM video WHERE id < 10000")
+@query("str_25_link_parts", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'AbCd' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') END AS node, CASE WHEN id % 3 = 0 THEN NULL ELSE repeat('k', 43) END AS key FROM video")
 def links(lib: Library) -> DataFrame:
-    url = F.expr("CASE WHEN id % 3 = 0 THEN concat('https://example.com/file/', id) ELSE concat(' https://mega.nz/', CASE WHEN id % 2 = 0 THEN 'file' ELSE 'embed' END, '/AbCd', lpad(CAST(id AS STRING), 4, '0'), '#', repeat('k', 43), ' ') END")
-    return lib.video.where("id < 10000").select("id", T.link_parts(url).alias("p")).select("id", F.col("p.id").alias("node"), F.col("p.key").alias("key"))
+    url = F.expr("CASE WHEN id % 3 = 0 THEN concat('https://example.com/file/', id) ELSE concat(' https://mega.nz/', CASE WHEN id % 2 = 0 THEN 'file' ELSE 'embed' END, '/AbCd', lpad(CAST(id % 10000 AS STRING), 4, '0'), '#', repeat('k', 43), ' ') END")
+    return lib.video.select("id", T.link_parts(url).alias("p")).select("id", F.col("p.id").alias("node"), F.col("p.key").alias("key"))
 
 
 @query("str_26_error_kind", "SELECT id, CASE id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'auth' WHEN 2 THEN 'quota' WHEN 3 THEN 'missing' ELSE 'network' END AS kind FROM video")
@@ -235,10 +236,10 @@ def duration_units(lib: Library) -> DataFrame:
     return lib.video.select("id", N.duration_seconds(v).alias("seconds"))
 
 
-@query("mat_12_byte_range", """SELECT id, CASE id % 5 WHEN 0 THEN id WHEN 1 THEN greatest(file_size - 10, 0) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END AS start, CASE id % 5 WHEN 0 THEN least(id + 99, file_size - 1) WHEN 1 THEN file_size - 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE file_size - 1 END AS "end" FROM video WHERE id % 5 <> 0 OR id < file_size""")
+@query("mat_12_byte_range", """SELECT id, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN id END WHEN 1 THEN greatest(file_size - 10, 0) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END END AS start, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN least(id + 99, file_size - 1) END WHEN 1 THEN file_size - 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE file_size - 1 END END AS "end" FROM video""")
 def byte_ranges(lib: Library) -> DataFrame:
     header = F.expr("CASE id % 5 WHEN 0 THEN concat('bytes=', id, '-', id + 99) WHEN 1 THEN 'bytes=-10' WHEN 2 THEN NULL WHEN 3 THEN 'bytes=9-2' ELSE 'bytes=0-' END")
-    rows = lib.video.where("id % 5 <> 0 OR id < file_size").select("id", N.byte_range(header, F.col("file_size")).alias("r"))
+    rows = lib.video.select("id", N.byte_range(header, F.col("file_size")).alias("r"))
     return rows.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
@@ -271,18 +272,13 @@ def version_fingerprint(lib: Library) -> DataFrame:
     return lib.video.select("id", F.substring(F.sha2(F.to_json(F.struct(F.col("file_size").alias("size"), F.lit(2).alias("v"))), 256), 1, 10).alias("version"))
 
 
-#: Media types by extension.
-MIME = {"mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mkv": "video/x-matroska", "mov": "video/quicktime", "avi": "video/x-msvideo", "ts": "video/mp2t"}
-
-
 @query("cls_01_mime_and_route", f"""WITH n AS (SELECT id, {NAMES} AS name FROM video), e AS (SELECT id, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS e FROM n)
-    SELECT id, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME.items())} ELSE 'application/octet-stream' END AS mime, CASE WHEN e IN ('mp4', 'm4v', 'webm') THEN 'direct' WHEN e IN ('mkv', 'mov', 'ts') THEN 'remux' ELSE 'unsupported' END AS route FROM e""")
+    SELECT id, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.MIME.items())} ELSE 'application/octet-stream' END AS mime, CASE WHEN e IN ('mp4', 'm4v', 'webm') THEN 'direct' WHEN e IN ('mkv', 'mov', 'ts') THEN 'remux' ELSE 'unsupported' END AS route FROM e""")
 def mime_and_route(lib: Library) -> DataFrame:
     """Lookup tables of a few entries as map literals."""
     ext = T.extension(F.col("name"))
-    table = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
     route = F.when(ext.isin("mp4", "m4v", "webm"), "direct").when(ext.isin("mkv", "mov", "ts"), "remux").otherwise("unsupported")
-    return names(lib).select("id", F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream")).alias("mime"), route.alias("route"))
+    return names(lib).select("id", F.coalesce(T.mime_of(F.col("name")), F.lit("application/octet-stream")).alias("mime"), route.alias("route"))
 
 
 @query("cls_02_retry_decision", "SELECT id, CASE WHEN status <> 'failed' THEN 'none' WHEN error_code IN ('max_attempts', 'worker_recovery_exhausted', 'unsupported_codec') THEN 'blocked' WHEN attempts >= 3 THEN 'exhausted' ELSE 'retry' END AS decision FROM job")
@@ -296,3 +292,34 @@ BLOCKED = ("max_attempts", "worker_recovery_exhausted", "unsupported_codec")
 
 def auto_retry_blocked():
     return F.coalesce(F.col("error_code").isin(*BLOCKED), F.lit(False))
+
+
+SAYINGS = ("Deadline exceeded after 90 s", "Unknown decoder: av9", "moov incomplete", "source size unknown", "Reconnect required", "read timed out", "ciphertext fetch truncated", "FFmpeg exit 1", "output empty", "attempt budget exhausted", "who knows")
+CODES = ("job_timeout", "unsupported_codec", "moov_missing", "source_size_unknown", "source_unavailable", "download_timeout", "download_failed", "encode_failed", "output_invalid", "max_attempts", "internal")
+
+
+def one_of(values: tuple, by):
+    """values[by], counted from 0."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), by.cast("int"))
+
+
+@query("cls_03_error_code", f"SELECT id, {list(CODES)}[id % 11 + 1] AS code, id % 11 NOT IN (1, 3, 4, 9) AS retryable FROM video")
+def error_codes(lib: Library) -> DataFrame:
+    return lib.video.select("id", C.outcome(one_of(SAYINGS, F.col("id") % 11)).alias("o")).select("id", "o.*")
+
+
+@query("cls_04_thumb_verdict", "SELECT id, CASE WHEN duration IS NULL THEN 'unknown' WHEN duration >= 16 THEN 'usable' ELSE 'black' END AS verdict FROM video")
+def thumb_verdicts(lib: Library) -> DataFrame:
+    return lib.video.select("id", C.thumb_verdict(F.col("duration"), 16).alias("verdict"))
+
+
+@query("cls_05_transient_network", "SELECT id, id % 6 IN (0, 3) AS transient FROM video")
+def transient_errors(lib: Library) -> DataFrame:
+    by = F.col("id") % 6
+    name, code, said = (one_of(v, by) for v in (("Error", "AbortError", "Error", "TypeError", "TypeError", None), ("ECONNRESET", "ECONNRESET", "EPERM", None, None, None), ("x", "fetch failed", "fetch failed", "Fetch failed", "bad", None)))
+    return lib.video.select("id", C.is_transient(name, code, said).alias("transient"))
+
+
+@query("cls_06_asset_status", "SELECT id, CASE status WHEN 'completed' THEN 'pending' WHEN 'failed' THEN 'failed' ELSE status END AS asset, CASE status WHEN 'completed' THEN 'artifact_missing' WHEN 'failed' THEN 'generation_failed' WHEN 'unsupported' THEN 'unsupported_codec' END AS code FROM job")
+def asset_statuses(lib: Library) -> DataFrame:
+    return lib.job.select("id", C.asset(F.col("status")).alias("a")).select("id", F.col("a.status").alias("asset"), "a.code")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import creator_name, parsed_name, slug
+from shelfwise.functions.text import attribute_handles, creator_name, mime_of, parsed_name, slug, title_of
 from shelfwise.operators.reconcile import plan_changes
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
@@ -20,12 +20,48 @@ def reconcile_plan(lib: Library) -> DataFrame:
     return plan_changes(lib.remote, lib.existing).select("node_id", "action", F.array_join("changes", ",").alias("changes"))
 
 
-@query("qry_17_applied_plan", f"WITH p AS ({PLAN}) SELECT node_id, id, coalesce(name, '') AS name, size, parent FROM p WHERE NOT gone")
+def as_stored(rows: DataFrame) -> DataFrame:
+    """Rows (node_id, name, fa ...) with what is derived from the name: title, creator, mime; and thumbnail from the attributes."""
+    parsed = parsed_name(F.col("name"))
+    rows = rows.withColumns({"title": F.coalesce(parsed["title"], title_of(F.col("name"))), "creator": F.coalesce(creator_name(parsed["creator"]), F.lit("Unknown Creator")), "mime": mime_of(F.col("name"))})
+    return rows.withColumn("thumbnail", F.coalesce(F.try_element_at(attribute_handles(F.coalesce("fa", F.lit(""))), F.lit("0")).isNotNull(), F.lit(False)))
+
+
+def applied_rows(plan: DataFrame) -> DataFrame:
+    """node_id, id, name, title, creator, mime, size, parent, thumbnail: the table after a plan of changes.
+
+    A new row takes all from the remote side; one without a readable name is called after its node. An update takes
+    the remote name (the old one where there is none), size and parent, keeps a media type that the new name does
+    not tell, and its thumbnail unless the attributes changed. Unchanged rows stay, removed ones go.
+    """
+    rows = plan.where("action <> 'remove'")
+    take = lambda c: F.when(F.col("action") == "unchanged", F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
+    name = F.when(F.col("action") == "add", F.coalesce("new.name", F.concat(F.lit("video-"), "node_id"))).when(F.col("action") == "update", F.coalesce("new.name", "old.name")).otherwise(F.col("old.name"))
+    fa = F.when(F.col("action") == "add", F.col("new.fa")).when(F.array_contains("changes", "file-attributes"), F.col("new.fa")).otherwise(F.col("old.fa"))
+    rows = rows.select("node_id", F.col("old.id").alias("id"), name.alias("name"), F.col("old.name").alias("old_name"), take("size").alias("size"), take("parent").alias("parent"), fa.alias("fa"))
+    out = as_stored(rows).withColumn("mime", F.coalesce("mime", mime_of(F.col("old_name"))))
+    return out.select("node_id", "id", "name", "title", "creator", "mime", "size", "parent", "thumbnail")
+
+
+NAMED = "CASE WHEN {1} % 43 = 0 THEN NULL WHEN {1} % 2 = 0 THEN 'Watch maker ' || ({1} % 7) || ' - ' || {0} || '.mkv' ELSE {0} || '.webm' END"
+PLAN_NAMED = PLAN.replace("remote r", "remote2 r").replace("existing e", "existing2 e")
+
+
+@query("qry_17_applied_plan", f"""WITH remote2 AS (SELECT node_id, {NAMED.format('name', 'CAST(substr(node_id, 2) AS BIGINT)')} AS name, size, ts, parent, fa FROM remote), existing2 AS (SELECT id, node_id, coalesce({NAMED.format('name', 'id')}, 'old.mp4') AS name, size, ts, parent, fa FROM existing),
+    p AS ({PLAN_NAMED}), a AS (SELECT node_id, id, coalesce(name, old_name, 'video-' || node_id) AS name, size, parent, CASE WHEN fresh THEN fa IS NOT NULL WHEN list_contains(changes, 'file-attributes') THEN fa IS NOT NULL ELSE TRUE END AS thumbnail, old_name FROM p WHERE NOT gone),
+    b AS (SELECT *, regexp_replace(name, '\\.[^.]+$', '') AS stem FROM a)
+    SELECT node_id, id, name, CASE WHEN contains(stem, ' - ') THEN trim(substr(stem, instr(stem, ' - ') + 3)) ELSE trim(stem) END AS title, CASE WHEN contains(stem, ' - ') THEN substr(stem, 7, instr(stem, ' - ') - 7) ELSE 'Unknown Creator' END AS creator,
+        CASE WHEN name LIKE '%.mkv' THEN 'video/x-matroska' WHEN name LIKE '%.webm' THEN 'video/webm' WHEN name LIKE '%.mp4' THEN 'video/mp4' END AS mime, size, parent, thumbnail FROM b""")
 def applied(lib: Library) -> DataFrame:
-    """The table after the plan: new rows, changed fields, rows of lost nodes gone."""
-    plan = plan_changes(lib.remote, lib.existing).where("action <> 'remove'")
-    field = lambda c: F.when(F.col("action") == "unchanged", F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
-    return plan.select("node_id", F.col("old.id").alias("id"), F.coalesce(field("name"), F.lit("")).alias("name"), field("size").alias("size"), field("parent").alias("parent"))
+    """The table after the plan, of names in two forms and some that cannot be read."""
+    number = F.substring("node_id", 2, 20).cast("long")
+
+    def named(n):
+        return F.when(n % 43 == 0, None).when(n % 2 == 0, F.concat(F.lit("Watch maker "), (n % 7).cast("string"), F.lit(" - "), "name", F.lit(".mkv"))).otherwise(F.concat("name", F.lit(".webm")))
+
+    remote = lib.remote.withColumn("name", named(number))
+    existing = lib.existing.withColumn("name", F.coalesce(named(F.col("id")), F.lit("old.mp4")))
+    return applied_rows(plan_changes(remote, existing))
 
 
 def unique_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
@@ -42,8 +78,8 @@ def unique_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
 
 @query("qry_17_unique_slugs")
 def slugs(lib: Library) -> DataFrame:
-    rows = lib.video.where("id % 2 = 0").select("id", slug(F.substring("title", 1, 4)).alias("base"))
-    return unique_slugs(rows, lib.video.where("id % 2 = 1").select(slug(F.substring("title", 1, 4)).alias("slug")).distinct())
+    rows = lib.video.where("id % 2 = 0").select("id", slug(F.col("title")).alias("base"))
+    return unique_slugs(rows, lib.video.where("id % 2 = 1").select(slug(F.col("title")).alias("slug")).distinct())
 
 
 @query("qry_18_creator_reconcile")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import vtt_time
+from shelfwise.operators.order import numbered
 from shelfwise.operators.scope import in_library, newest, page_strip, paged, with_owner
 from shelfwise.plans.filters import OWNED, RUNNABLE, VISIBLE, now, runnable
 from shelfwise.registry import query
@@ -30,7 +31,7 @@ def first_n(lib: Library) -> DataFrame:
 def round_robin(lib: Library) -> DataFrame:
     """Rank within the source first, then the source."""
     ranked = lib.video.select("source", "id").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("id"))).where("r <= 3")
-    return paged(ranked, [F.col("r"), F.col("source")], 1, 96).select("source", "id", "pos")
+    return numbered(ranked, [F.col("r"), F.col("source")]).select("source", "id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("win_06_keep_first_node", "SELECT video_id, min(id) AS id FROM job GROUP BY video_id")
@@ -67,42 +68,55 @@ def cue_ends(lib: Library) -> DataFrame:
     return lib.fragment.select("stream", "idx", vtt_time(start).alias("starts"), vtt_time(end).alias("ends"))
 
 
-def spaced_scenes(starts: list[float], length: float, least: float, most: float, tries: int = 6) -> list[float]:
-    """Starts moved on by three quarters of a scene while they lie too near to one already taken."""
-    taken: list[float] = []
-    for start in starts:
-        start = min(max(start, least), most)
-        for _ in range(tries):
-            if all(abs(t - start) >= max(0.4, 0.35 * length) for t in taken):
-                break
-            start = min(max(start + 0.75 * length, least), most)
-        taken.append(start)
-    return taken
+#: Nearness of two starts (seconds, share of a scene), steps by which one moves on (share of a scene), and how many of them.
+NEAR_SECONDS, NEAR_SHARE, STEP_SHARE, STEPS = 0.4, 0.35, 0.75, 6
 
 
-def chosen_scenes(scenes: list[list[tuple[float, bool, float]]]) -> list[float]:
-    """Of each scene's alternatives (start, bright, signature) the first bright one at least 2.5 from those chosen, else the first; by start."""
-    chosen: list[tuple[float, float]] = []
-    for options in scenes:
-        fits = [o for o in options if o[1] and all(abs(o[2] - s) >= 2.5 for _, s in chosen)]
-        if picked := (fits or options)[:1]:
-            chosen.append((picked[0][0], picked[0][2]))
-    return sorted(start for start, _ in chosen)
+def spaced_scenes(starts: Column, length: Column, least: Column, most: Column) -> Column:
+    """array<double>: for each of the starts the first of its places, one step on from the next, that is not too near to those taken; else the last place."""
+    near = F.greatest(F.lit(NEAR_SECONDS), NEAR_SHARE * length)
 
+    def taken_next(taken: Column, start: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: F.least(F.greatest(start, least) + k * STEP_SHARE * length, most))
+        free = F.filter(places, lambda at: ~F.exists(taken, lambda t: F.abs(t - at) < near))
+        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0)), F.element_at(places, -1))))
 
-@query("win_11_spaced_scenes")
+    return F.aggregate(starts, F.array().cast("array<double>"), taken_next)
+
+
+#: Fixed value: signatures nearer than this show the same picture.
+SAME_PICTURE = 2.5
+
+
+def chosen_scenes(scenes: Column) -> Column:
+    """array<double> of starts in order. scenes: array of arrays of (start, bright, signature); of each the first bright one unlike those chosen, else the first."""
+
+    def with_next(chosen: Column, options: Column) -> Column:
+        fits = F.filter(options, lambda o: o["bright"] & ~F.exists(chosen, lambda c: F.abs(c["signature"] - o["signature"]) < SAME_PICTURE))
+        return F.concat(chosen, F.slice(F.concat(fits, options), 1, 1))
+
+    none = F.array().cast("array<struct<start: double, bright: boolean, signature: double>>")
+    return F.array_sort(F.transform(F.aggregate(scenes, none, with_next), lambda c: c["start"]))
+
+
+@query("win_11_spaced_scenes", """WITH RECURSIVE v AS (SELECT id, CAST(duration AS DOUBLE) AS d, least(duration * 0.02, 1) AS low, greatest(0.0, duration - 1.5) AS high FROM video WHERE duration > 0),
+    s AS (SELECT id, 0 AS n, CAST([] AS DOUBLE[]) AS starts FROM v UNION ALL SELECT s.id, n + 1, list_append(starts, coalesce(list_filter(p.places, lambda x: len(list_filter(starts, lambda t: abs(t - x) < 0.42)) = 0)[1], p.places[7]))
+        FROM s JOIN v ON v.id = s.id, LATERAL (SELECT list_transform(range(0, 7), lambda k: least(greatest(d * (0.1 + 0.2 * n), low) + k * 0.75 * 1.2, high)) AS places) p WHERE n < 5)
+    SELECT id, list_transform(starts, lambda x: round(x, 6)) AS starts FROM s WHERE n = 5""")
 def spaced(lib: Library) -> DataFrame:
-    """Up to six scenes a video: a fold, so a small function; checked against cases by hand."""
-    move = F.udf(lambda d: [round(x, 6) for x in spaced_scenes([d * f for f in (0.1, 0.3, 0.5, 0.7, 0.9)], 1.2, min(d * 0.02, 1), max(0.0, d - 1.5))], "array<double>")
-    return lib.video.where("duration > 0").select("id", move(F.col("duration").cast("double")).alias("starts"))
+    """Up to five scenes a video."""
+    d = F.col("duration").cast("double")
+    starts = spaced_scenes(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: d * (0.1 + 0.2 * i)), F.lit(1.2), F.least(d * 0.02, F.lit(1.0)), F.greatest(F.lit(0.0), d - 1.5))
+    return lib.video.where("duration > 0").select("id", F.transform(starts, lambda x: F.round(x, 6)).alias("starts"))
 
 
 @query("win_12_greedy_scenes")
 def greedy_scenes(lib: Library) -> DataFrame:
-    options = F.collect_list(F.struct(F.col("idx").cast("double").alias("start"), F.col("keyframe").alias("bright"), (F.col("first_byte") / 1000).alias("signature")))
-    each = lib.fragment.where("idx <= 6").groupBy("stream").agg(F.array_sort(options).alias("o"))
-    pick = F.udf(lambda o: chosen_scenes([[tuple(x) for x in o[i : i + 2]] for i in range(0, len(o), 2)]), "array<double>")
-    return each.select("stream", pick("o").alias("starts"))
+    """Pairs of neighbouring fragments as the alternatives of a scene; checked by brute force."""
+    option = F.struct(F.col("idx").cast("double").alias("start"), F.col("keyframe").alias("bright"), (F.col("first_byte") / 1000).alias("signature"))
+    each = lib.fragment.groupBy("stream", F.floor((F.col("idx") - 1) / 2).alias("scene")).agg(F.array_sort(F.collect_list(option)).alias("options"))
+    scenes = each.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("scene", "options")))["options"].alias("scenes"))
+    return scenes.select("stream", chosen_scenes(F.col("scenes")).alias("starts"))
 
 
 @query("srt_01_recency", "SELECT id, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS pos FROM video ORDER BY pos LIMIT 24 OFFSET 24")
@@ -144,26 +158,10 @@ def page_clamp(lib: Library) -> DataFrame:
     return paged(lib.video, [F.col("id")], 0, 5000).select("id", "pos")
 
 
-@query("srt_10_seeded_permutation")
+@query("srt_10_seeded_permutation", f"SELECT id, row_number() OVER (ORDER BY md5('{SEED}' || id), id) AS pos FROM video WHERE account_id IS NULL")
 def seeded_permutation(lib: Library) -> DataFrame:
-    """Shuffle of a bounded list of ids on the driver by a seeded generator; large tables use srt_03."""
-    ids = [r["id"] for r in lib.video.where("account_id IS NULL").select("id").orderBy("id").limit(1000).collect()]
-    return lib.spark.createDataFrame([(i, p) for p, i in enumerate(permuted(ids, SEED))], "id long, pos int")
-
-
-def permuted(ids: list[int], seed: str) -> list[int]:
-    """Fisher-Yates from a 32-bit digest of the seed."""
-    state = 0x811C9DC5
-    for unit in seed.encode("utf-16-le")[::2]:
-        state = (state ^ unit) * 0x01000193 & 0xFFFFFFFF
-    out = list(ids)
-    for i in range(len(out) - 1, 0, -1):
-        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
-        t = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
-        t ^= t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF) & 0xFFFFFFFF
-        j = int(((t ^ t >> 14) & 0xFFFFFFFF) / 2**32 * (i + 1))
-        out[i], out[j] = out[j], out[i]
-    return out
+    """A place for every public row in the order of a seed; one seed gives one order, whichever page is read."""
+    return numbered(lib.video.where("account_id IS NULL").select("id"), shuffled(SEED)).select("id", "pos")
 
 
 @query("srt_11_brightest", "SELECT l_orderkey AS stream, coalesce(arg_min(l_linenumber, l_linenumber) FILTER (WHERE l_quantity >= 45), arg_max(l_linenumber, l_quantity * 100 - l_linenumber)) AS frame FROM lineitem GROUP BY l_orderkey")
@@ -195,8 +193,7 @@ def chained(parts: list[DataFrame], key: str) -> DataFrame:
 @query("set_02_ordered_union", """WITH p AS (SELECT 0 AS part, video_id AS id, row_number() OVER (ORDER BY ts DESC, video_id) AS pos FROM history WHERE user_id = 1 UNION ALL SELECT 1, video_id, row_number() OVER (ORDER BY ts DESC, video_id) FROM watchlist WHERE user_id = 1)
     SELECT id, min(part) AS part FROM p GROUP BY id""")
 def ordered_union(lib: Library) -> DataFrame:
-    order = Window.orderBy(F.desc("ts"), "video_id")  # one user's own list
-    part = lambda t: t.where("user_id = 1").select(F.col("video_id").alias("id"), F.row_number().over(order).alias("pos"))
+    part = lambda t: numbered(t.where("user_id = 1").select(F.col("video_id").alias("id"), "ts"), [F.desc("ts"), F.col("id")]).drop("ts")
     return chained([part(lib.history), part(lib.watchlist)], "id").select("id", "part")
 
 

@@ -30,7 +30,7 @@ class Library:
     @property
     def account(self) -> DataFrame:
         key = F.col("n_nationkey")
-        status = F.when(key >= 20, "DISCONNECTED").when(key >= 15, "ERROR").otherwise("SYNCED")
+        status = F.when(key >= 20, "DISCONNECTED").when(key >= 15, "ERROR").when(key >= 12, "SYNCING").otherwise("SYNCED")
         return self.raw("nation").select(key.alias("id"), F.col("n_regionkey").alias("user_id"), status.alias("status"), F.col("n_name").alias("label"), (key % 5).alias("failures"))
 
     @property
@@ -123,7 +123,7 @@ class Library:
 
 
 TABLES = {
-    "account": "SELECT n_nationkey AS id, n_regionkey AS user_id, CASE WHEN n_nationkey >= 20 THEN 'DISCONNECTED' WHEN n_nationkey >= 15 THEN 'ERROR' ELSE 'SYNCED' END AS status, n_name AS label, n_nationkey % 5 AS failures FROM nation",
+    "account": "SELECT n_nationkey AS id, n_regionkey AS user_id, CASE WHEN n_nationkey >= 20 THEN 'DISCONNECTED' WHEN n_nationkey >= 15 THEN 'ERROR' WHEN n_nationkey >= 12 THEN 'SYNCING' ELSE 'SYNCED' END AS status, n_name AS label, n_nationkey % 5 AS failures FROM nation",
     "video0": """SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(doc_id % 25 AS INTEGER) END AS account_id,
         substr(string_split(text, chr(10))[1], 1, 80) AS title, source, n_chars AS file_size,
         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars % 600 + doc_id % 5 END AS duration,
@@ -157,4 +157,6 @@ def sql(query: str) -> str:
     """query with the CTEs of all logical tables before it; ctes of its own follow after a leading WITH."""
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in TABLES.items())
     rest = query.strip()
+    if rest.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{rest[15:]}"
     return f"WITH {ctes},\n{rest[5:]}" if rest[:5].upper() == "WITH " else f"WITH {ctes}\n{rest}"

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import numbers as N
 from shelfwise.functions import text as T
-from shelfwise.plans.windows import chosen_scenes, permuted, spaced_scenes
+from shelfwise.plans.windows import chosen_scenes, spaced_scenes
 
 
 def value(spark, column, **inputs):
@@ -43,17 +43,70 @@ def test_merged_windows(spark):
     assert windows(spark, [(0, 100), (10, 20)], 100, 0) == [(0, 100)] and windows(spark, [], 1, 1) == []
 
 
-def test_folds():
-    assert spaced_scenes([1.0, 1.1, 1.2], 1.2, 0.5, 20.0) == [1.0, 2.0, pytest.approx(3.0)]
-    assert chosen_scenes([[(5.0, False, 1.0), (6.0, True, 1.0)], [(1.0, True, 2.0), (2.0, True, 9.0)], [(9.0, False, 0.0)]]) == [2.0, 6.0, 9.0]
-    out = permuted(list(range(50)), "seed")
-    assert sorted(out) == list(range(50)) and out == permuted(list(range(50)), "seed") != permuted(list(range(50)), "other")
+def test_folds(spark):
+    starts = value_of(spark, spaced_scenes(F.array(*map(F.lit, (1.0, 1.1, 1.2))), F.lit(1.2), F.lit(0.5), F.lit(20.0)))
+    assert starts == [1.0, 2.0, pytest.approx(3.0)]
+    scene = lambda *options: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("bright"), F.lit(c).alias("signature")) for a, b, c in options])
+    scenes = F.array(scene((5.0, False, 1.0), (6.0, True, 1.0)), scene((1.0, True, 2.0), (2.0, True, 9.0)), scene((9.0, False, 0.0)))
+    assert value_of(spark, chosen_scenes(scenes)) == [2.0, 6.0, 9.0]
 
 
-def test_montage():
+def value_of(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_montage(spark):
     from shelfwise.plans.montage import alternatives, montage
 
-    assert [s for s, _, _ in montage(100.0, 5, 1.2)] == [pytest.approx(x) for x in (10, 30, 50, 70, 90)]
-    assert montage(None, 3, 1.2) == [(10.0, 1.2, True), (30.0, 1.2, True), (50.0, 1.2, True)] and len(montage(None, 9, 1)) == 5
-    assert montage(1.5, 5, 1.2) == [(pytest.approx(0.27), pytest.approx(1.2), False)] and len(montage(5.0, 5, 1.2)) == 2
-    assert alternatives(10.0, 1.2, None, 2) == [10.0, 11.5, 8.5] and alternatives(0.0, 1.0, 1.3, 9) == [0.0]
+    planned = lambda d, n, s: [tuple(x) for x in value_of(spark, montage(F.lit(d).cast("double"), n, s))]
+    tried = lambda at, length, d, n: value_of(spark, alternatives(F.lit(at), F.lit(length), F.lit(d).cast("double"), n))
+    assert [s for s, _, _ in planned(100.0, 5, 1.2)] == [pytest.approx(x) for x in (10, 30, 50, 70, 90)]
+    assert planned(None, 3, 1.2) == [(10.0, 1.2, True), (30.0, 1.2, True), (50.0, 1.2, True)] and len(planned(None, 9, 1)) == 5
+    assert planned(1.5, 5, 1.2) == [(pytest.approx(0.27), pytest.approx(1.2), False)] and len(planned(5.0, 5, 1.2)) == 2
+    assert tried(10.0, 1.2, None, 2) == [10.0, 11.5, 8.5] and tried(0.0, 1.0, 1.3, 9) == [pytest.approx(0.0)]
+
+
+def test_greedy_scenes_by_brute_force(spark):
+    from shelfwise.plans.windows import greedy_scenes
+    from shelfwise.sources.catalog import Library
+
+    lib = Library(spark, "/root/testdata/sf0.001")
+    scenes = {}
+    for r in lib.fragment.orderBy("stream", "idx").collect():
+        scenes.setdefault(r["stream"], {}).setdefault((r["idx"] - 1) // 2, []).append((float(r["idx"]), r["keyframe"], r["first_byte"] / 1000))
+    want = {}
+    for stream, each in scenes.items():
+        chosen = []
+        for _, options in sorted(each.items()):
+            chosen.append(next((o for o in options if o[1] and all(abs(o[2] - c[2]) >= 2.5 for c in chosen)), options[0]))
+        want[stream] = sorted(c[0] for c in chosen)
+    assert {r["stream"]: r["starts"] for r in greedy_scenes(lib).collect()} == want
+
+
+def test_fnv_counts_utf16_units(spark):
+    def plain(text):
+        h = 0x811C9DC5
+        data = text.encode("utf-16-be")
+        for i in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[i : i + 2], "big")) * 0x01000193 & 0xFFFFFFFF
+        return f"{h:x}"
+
+    for text in ("abc", "Ünï", "漢字", "a🙂b"):
+        assert value(spark, T.fnv1a(F.col("n")), n=text) == plain(text)
+
+
+def test_order_by_brute_force(spark):
+    import random
+
+    from shelfwise.operators.order import numbered, running_total
+
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 20), rng.randint(0, 9)) for i in range(500)]
+    table = spark.createDataFrame(rows, "id long, a int, v long").repartition(7)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = {r["id"]: r["pos"] for r in numbered(table, [F.desc("a"), F.col("id")]).collect()}
+    assert got == {r[0]: p for p, r in enumerate(order, 1)}
+    total, want = 0, {}
+    for i, _, v in order:
+        want[i] = total = total + v
+    assert {r["id"]: r["s"] for r in running_total(table, [F.desc("a"), F.col("id")], F.col("v"), "s").collect()} == want
