@@ -45,27 +45,43 @@ _STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _WORDS = np.uint64(0x6C6974657261)
 
 
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
+#: The same where a text has no such letters, which is quicker.
+SPACED = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n。！？]")
+
+
 class Kinds(dict):
-    """(literal hash, template hash inside a sentence, kind) of each token: 0 word, 1 number, 2 maybe a name, 3 maybe a unit, 4 mark."""
+    """Numbers of tokens; by number a token's literal hash and kind: 0 word, 1 number, 2 maybe a name, 3 maybe a unit, 4 mark."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __init__(self):
+        super().__init__()
+        self.literal, self.kind = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8)
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        if number == len(self.literal):
+            self.literal, self.kind = np.concatenate([self.literal] * 2), np.concatenate([self.kind] * 2)
         if token in ".!?\n。！？":
-            found = (0, 4)
+            self.literal[number], self.kind[number] = 0, 4
         else:
             low = token.lower()
-            kind = 1 if token[0].isdigit() else 2 if token[0].isupper() and token[1:].islower() else 3 if low in UNITS else 0
-            found = (xxhash.xxh3_64_intdigest(low), kind)
-        if len(self) < 300_000:
-            self[token] = found
-        return found
+            self.literal[number] = xxhash.xxh3_64_intdigest(low)
+            self.kind[number] = 1 if token[0].isdigit() else 2 if token[0].isupper() and token[1:].islower() else 3 if low in UNITS else 0
+        return number
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > 300_000:
+            self.clear()
+        tokens = (TOKEN if not text.isascii() and UNSPACED_LETTER.search(text) else SPACED).findall(text)
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.literal[numbers], self.kind[numbers]
 
 
 def templates(text: str | None, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     """Literal and template hashes of the words of a text."""
-    tokens = TOKEN.findall(text or "")
-    if not tokens:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    literal, kind = (np.array(c, t) for c, t in zip(zip(*map(kinds.__getitem__, tokens), strict=True), (np.uint64, np.int8), strict=True))
+    literal, kind = kinds.of(text or "")
+    if not len(literal):
+        return literal, literal
     after = np.concatenate([[4], kind[:-1]])
     template = literal.copy()
     template[kind == 1] = NUMBER
@@ -75,6 +91,24 @@ def templates(text: str | None, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     return literal[word], template[word]
 
 
+class Index:
+    """Sorted hashes, behind a table of bits that most others fail."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        bits = min(26, max(16, (16 * len(known)).bit_length()))
+        self.shift, self.marks = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.marks[known.view(np.uint64) >> self.shift] = True
+
+    def hits(self, own: np.ndarray) -> np.ndarray:
+        """Places of own that are among the hashes."""
+        maybe = np.flatnonzero(self.marks[own.view(np.uint64) >> self.shift])
+        if not len(self.known):
+            return maybe[:0]
+        at = np.searchsorted(self.known, own[maybe])
+        return maybe[self.known[np.minimum(at, len(self.known) - 1)] == own[maybe]]
+
+
 def windows(literal: np.ndarray, template: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(width, places, hashes, plain): of the words of each window, and of its template if it has a placeholder and is not
     mostly placeholders. plain: the hash is that of the template (or the window has no placeholder)."""
@@ -149,18 +183,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = Kinds()
-        known = index.value if index is not None else None
+        known = Index(index.value) if index is not None else None
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "window": [], "place": [], "plain": [], "literal": []}
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 literal, template = templates(text, kinds)
                 for width, places, own, plain in windows(literal, template, widths):
-                    if known is not None:
-                        if not len(known):
-                            continue
-                        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
-                    else:
-                        hit = np.arange(len(own))
+                    hit = np.arange(len(own)) if known is None else known.hits(own)
                     for i in hit:
                         place = int(places[i])
                         out["doc_id"].append(doc)
