@@ -5,8 +5,12 @@ inside the chain are skipped. A document's fingerprint is the set of its signatu
 rising order. The set follows the running text and ignores what has few common words, such as menus.
 
 Similar sets have similar lengths, so a search splits fingerprints by length into ranges whose ends
-differ by the threshold's factor, compares only neighbouring ranges, and meets candidates on the first
-signatures of each set, of which a pair at the threshold must share one.
+differ by the threshold's factor, compares only neighbouring ranges, and meets candidates on the rarest
+signatures of each set, of which a pair at the threshold must share one; so a frequent signature, which
+many sets have, brings none of them together.
+
+compare_edited() compares given pairs; near_pairs(), near_duplicates() and near_classes() search.
+Texts are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import written
+from shelfwise.llm.jaccard_join import components
 
 CHAIN = 3
 #: Anchors: the most common words of the languages at hand (fixed values).
@@ -58,34 +63,39 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars): the next document in falling order of doc_id, after the last the first.
+    """(doc_id, digest, next_id, next_digest, n_chars): the next document in falling order of doc_id, after the last the first.
 
-    No task sees more than one range of the ids; across ranges only their first ids are put in order.
+    Documents of one doc_id follow each other by the digests of their texts. No task sees more than one range
+    of the ids; across ranges only their first ids are put in order.
     """
-    ids = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    ids = written(ids.repartitionByRange(F.desc("doc_id")).withColumn("part", F.spark_partition_id()), "id-ranges")
+    ids = docs.select("doc_id", "digest", F.length("text").cast("long").alias("n_chars")).distinct()
+    ids = written(ids.repartitionByRange(F.desc("doc_id"), "digest").withColumn("part", F.spark_partition_id()), "id-ranges")
+    own, order = F.struct("doc_id", "digest"), (F.desc("doc_id"), F.col("digest"))
     across = Window.orderBy("part")
-    bounds = ids.groupBy("part").agg(F.max("doc_id").alias("top"))
-    bounds = bounds.select("part", F.coalesce(F.lead("top").over(across), F.first("top").over(across)).alias("after"))
-    within = Window.partitionBy("part").orderBy(F.desc("doc_id"))
-    return ids.withColumn("inner", F.lead("doc_id").over(within)).join(bounds, "part").select("doc_id", F.coalesce("inner", "after").alias("next_id"), "n_chars")
+    bounds = ids.groupBy("part").agg(F.min_by(own, F.struct((-F.col("doc_id")).alias("i"), "digest")).alias("top"))
+    bounds = bounds.select("part", F.coalesce(F.lead("top").over(across), F.first("top").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    within = Window.partitionBy("part").orderBy(*order)
+    following = F.coalesce(F.lead(own).over(within), "after")
+    rows = ids.join(bounds, "part").withColumn("following", following)
+    return rows.select("doc_id", "digest", F.col("following.doc_id").alias("next_id"), F.col("following.digest").alias("next_digest"), "n_chars")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited, next_spots: each document beside its edited text and its next document's signatures.
 
     The edited text has the last third of the code points replaced by as many from the start of the next document.
-    Rows without doc_id have no next document and are left out; of rows that repeat a doc_id the one with the least text stays.
+    Rows without doc_id have no next document and are left out. Rows that repeat a doc_id with other texts are
+    documents of their own; exact repeats are one document, and each gets its row.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
     order = written(neighbours(docs), "neighbours")
-    said = docs.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "n_chars"), "doc_id")
-    said = with_spots(said, "text", "next_spots").select(F.col("to").alias("doc_id"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
+    asked = order.select(F.col("next_id").alias("doc_id"), F.col("next_digest").alias("digest"), F.col("doc_id").alias("to"), F.col("digest").alias("to_digest"), "n_chars")
+    said = with_spots(docs.join(asked, ["doc_id", "digest"]), "text", "next_spots")
+    said = said.select(F.col("to").alias("doc_id"), F.col("to_digest").alias("digest"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
     n = F.length("text")
     kept = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
-    return docs.join(said, "doc_id").select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_spots")
+    return docs.join(said.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"]).select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_spots")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -102,16 +112,54 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness): pairs of different fingerprints at or over the threshold, each named by its least doc_id (a < b)."""
-    rows = with_spots(docs.where("doc_id is not null").select("doc_id", "text"), "text", "spots")
-    sets = rows.groupBy("spots").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("spots"))
-    level = F.floor(F.log("n") / -F.log(F.lit(threshold)))
-    prefix = F.slice("spots", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    sets = written(sets.withColumn("level", level), "spot-sets")
-    left = sets.select("doc_id", "n", "level", F.explode(prefix).alias("spot"))
-    right = left.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), "spot")
-    pairs = left.join(right, ["level", "spot"]).where("doc_id < other and least(n, m) >= greatest(n, m) * " + repr(threshold)).select("doc_id", "other").distinct()
-    a, b = (sets.select(F.col("doc_id").alias(i), F.col("spots").alias(s)) for i, s in (("doc_id", "x"), ("other", "y")))
-    found = pairs.join(a, "doc_id").join(b, "other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), likeness(F.col("x"), F.col("y")).alias("likeness"))
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_id) of every row with a doc_id, and the different fingerprints: set_id (least doc_id of those that have it), spots, n, copies."""
+    rows = with_spots(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "spots").select("doc_id", "spots", F.md5(F.concat_ws(",", F.transform("spots", lambda x: x.cast("string")))).alias("key"))
+    rows = written(rows, "spot-rows")
+    sets = rows.groupBy("key").agg(F.min(F.struct("doc_id", "key")).alias("own"), F.first("spots").alias("spots"), F.count_distinct("doc_id").alias("copies"))
+    # A repeated doc_id may have several fingerprints: numbers tell sets apart, ids only name them.
+    sets = written(sets.select("key", F.col("own.doc_id").alias("set_id"), "spots", F.size("spots").alias("n"), "copies").withColumn("set", F.monotonically_increasing_id()), "spot-sets")
+    return rows.select("doc_id", "key").join(sets.select("key", "set", "set_id"), "key").select("doc_id", "set", "set_id"), sets
+
+
+def _alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, likeness): numbers of different sets at or over the threshold, a < b.
+
+    Signatures are put in order of the number of sets that have them, and only the first few of each set are
+    looked up: as many as a pair at the threshold cannot both miss. Sets meet only in their own or the next range of lengths.
+    """
+    each = sets.select("set", "n", F.explode("spots").alias("spot"))
+    ranked = each.join(each.groupBy("spot").agg(F.count("*").alias("df")), "spot").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
+    level = F.floor(F.log("n") / -F.log(F.lit(threshold)) + 1e-9)
+    few = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    left = written(ranked.select("set", "n", level.alias("level"), F.explode(F.transform(F.slice("order", F.lit(1), few), lambda x: x["spot"])).alias("spot")), "spot-prefixes")
+    right = left.select(F.col("set").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), "spot")
+    pairs = left.join(right, ["level", "spot"]).where(f"set < other and least(n, m) >= greatest(n, m) * {threshold!r} - 1e-9").select("set", "other").distinct()
+    a, b = (sets.select(F.col("set").alias(i), F.col("spots").alias(s)) for i, s in (("set", "x"), ("other", "y")))
+    found = pairs.join(a, "set").join(b, "other").select(F.col("set").alias("a"), F.col("other").alias("b"), likeness(F.col("x"), F.col("y")).alias("likeness"))
     return found.where(F.col("likeness") >= threshold)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, likeness): pairs of different fingerprints at or over the threshold, each named by its least doc_id (a <= b)."""
+    _, sets = _sets(docs)
+    names = sets.select("set", "set_id")
+    named = _alike(sets, threshold).join(names.withColumnsRenamed({"set": "a", "set_id": "x"}), "a").join(names.withColumnsRenamed({"set": "b", "set_id": "y"}), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, set_id, n_links, n_set_links) of every row with a doc_id.
+
+    class_id: least doc_id of all that are linked with it, over any number of links; set_id: least doc_id with the
+    same fingerprint; n_links: other documents at or over the threshold; n_set_links: other fingerprints so.
+    """
+    rows, sets = _sets(docs)
+    pairs = written(_alike(sets, threshold).select("a", "b"), "spot-pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = both.join(sets.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.count("*").alias("n_set_links"), F.sum("copies").alias("linked"))
+    root = components(pairs).withColumnRenamed("id", "set")
+    found = sets.join(root, "set", "left").join(counts, "set", "left").select("set", "set_id", "copies", F.coalesce("root", "set").alias("root"), F.coalesce("n_set_links", F.lit(0).cast("long")).alias("n_set_links"), F.coalesce("linked", F.lit(0).cast("long")).alias("linked"))
+    least = found.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    found = found.join(least, "root").select("set", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "n_set_links")
+    return rows.join(found, "set").select("doc_id", "class_id", "set_id", "n_links", "n_set_links")

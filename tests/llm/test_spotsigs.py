@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import regex
+
 from shelfwise.llm import spotsigs
 
 from .conftest import frame
@@ -39,7 +41,70 @@ def test_near_duplicates(spark):
 
 def test_odd_rows(spark, odd):
     out = spotsigs.compare_edited(odd).collect()
-    assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 9]
     assert spotsigs.compare_edited(frame(spark, [])).count() == 0
     alone = spotsigs.compare_edited(frame(spark, [(1, "abcdef")])).collect()[0]
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def brute_spots(text):
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split()
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    chains = {tuple(w for j, w in content if j > i)[: spotsigs.CHAIN] for i, w in enumerate(words) if w in spotsigs.ANCHORS}
+    return chains or {tuple(words[i : i + spotsigs.CHAIN]) for i in range(max(1, len(words)))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_likeness_by_brute_force(spark):
+    rng = random.Random(21)
+    small = lambda n: " ".join(rng.choice(["the", "of", "and", "la", "der", "Apple", "pear", "fig", "plum-tree", "Ünï"]) for _ in range(n))
+    rows = [(i, small(rng.randint(0, 60))) for i in range(80)] + [(100, "no anchor anywhere"), (101, None), (102, "the"), (103, "x the")]
+    out = {r["doc_id"]: r for r in spotsigs.compare_edited(frame(spark, rows).repartition(6)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for (doc, own), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        own, nxt = own or "", nxt or ""
+        edited = own[: len(own) - len(own) // 3] + nxt[: len(own) // 3]
+        assert abs(out[doc]["near_edited"] - jaccard(brute_spots(own), brute_spots(edited))) < 1e-12, doc
+        assert abs(out[doc]["near_next"] - jaccard(brute_spots(own), brute_spots(nxt))) < 1e-12, doc
+        assert len(out[doc]["fingerprint"].split(" ")) == len(brute_spots(own))
+
+
+def test_classes_by_brute_force(spark):
+    rng = random.Random(22)
+    rows = []
+    for family in range(8):
+        base = text(rng, 120).split()
+        for i in range(8):
+            own = list(base)
+            for _ in range(rng.randint(0, 8)):
+                own[rng.randrange(120)] = "".join(rng.choice("abcdefgh") for _ in range(5))
+            rows.append((family * 100 + i, " ".join(own)))
+    rows += [(900, rows[0][1]), (901, rows[9][1]), (902, ""), (903, None), (950, rows[20][1] + " and more text")]
+    sets = [(d, brute_spots(t)) for d, t in rows]
+    ids = sorted({d for d, _ in sets})
+    alike = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if a != b and jaccard(x, y) >= 0.8]
+    root = {d: d for d in ids}
+    for _ in ids:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    got = spotsigs.near_classes(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["class_id"] == root[r["doc_id"]] and r["n_links"] == len({x for e in alike for x in e if r["doc_id"] in e} - {r["doc_id"]}), r
+    found = {(r["a"], r["b"]) for r in spotsigs.near_duplicates(frame(spark, rows)).collect()}
+    assert all(root[a] == root[b] for a, b in found) and len(found) > 50
+
+
+def test_rows_of_one_id(spark):
+    rows = [(9, "abcdef"), (9, "ghijkl"), (9, "ghijkl"), (3, "mnopqr")]
+    out = spotsigs.compare_edited(frame(spark, rows)).collect()
+    assert len(out) == 4
+    by = sorted(rows[:2], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    order = [*by, rows[3]]
+    want = {}
+    for (_, own), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        want[own] = hashlib.sha256((own[:4] + nxt[:2]).encode()).hexdigest()
+    assert sorted(r["edited_sha256"] for r in out) == sorted([want["abcdef"], want["ghijkl"], want["ghijkl"], want["mnopqr"]])
