@@ -11,17 +11,21 @@ from shelfwise.sources.shared import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each is linked to. edges: a, b.
 
-    Every node takes the least label among its own, its neighbours' and its label's label, until nothing
-    changes; the labels of labels let long chains shrink by halves. Each round is a written table.
+    By turns of large and small stars: each node hands its larger neighbours to the least node around it, then its
+    smaller ones, until nothing changes. Every round is a written table. The minima are taken in part before they
+    are shuffled; the join with a hub's row is one that Spark splits by itself.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    before = None
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        step = labels.join(near, "node").join(jump, "root").select("node", F.least("root", "near", "jump").alias("new"), "root")
-        step = written(step, "labels")
-        changed = step.where("new <> root").limit(1).count()
-        labels = step.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: centre, b: neighbour
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        ends = F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
+        edges = written(large.join(least, "b").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            root = edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
+            return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+        before = now
