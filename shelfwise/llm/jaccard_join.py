@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import give_back, numbered, written
 from shelfwise.llm.shingles import WordHashes, mix, shingles
+from shelfwise.operators import graph
 
 COORDS, DEPTH, LARGE, AGAIN = 128, 3, 4096, 6
 #: Recall to be reached for pairs at the threshold, what one run reaches, and the runs that this takes (16).
@@ -205,20 +206,8 @@ def _alike(low: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tup
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id that each id is linked to through edges (a, b); by turns of large and small stars."""
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: centre, b: neighbour
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("id"), "root")
-        state = now
+    """(id, root): the least id that each id is linked to through edges (a, b), of all but the least ones themselves."""
+    return graph.components(edges).withColumnRenamed("node", "id").where("id <> root")
 
 
 def _onward(times: int):

@@ -49,3 +49,53 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_by_brute_force(spark, tmp_path):
+    """All stages but the classifier's score done again in plain Python."""
+    from tokenizers import Tokenizer
+
+    from shelfwise.llm import packing
+
+    from .test_jaccard_join import brute as near
+    from .test_line_dedup import brute as deduped
+
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    shared = [" ".join(word() for _ in range(10)) for _ in range(12)]
+    items = [" ".join(word() for _ in range(26)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(1, 5))] + rng.sample(shared, rng.randint(0, 2))
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    base = [[word() for _ in range(120)] for _ in range(4)]
+    rows += [(100 + 10 * k + i, " ".join(own[:60] + [f"copy{i}"] + own[60:])) for k, own in enumerate(base) for i in range(3)] + [(200 + i, rows[i + 20][1]) for i in range(3)]
+    rows += [(300 + i, " ".join(word() for _ in range(20)) + " " + items[i % 3] + " " + word()) for i in range(4)] + [(400 + i, "CHEAP!! NOW!! " * 30) for i in range(12)] + [(500, None), (501, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame(spark, [(*r, "en", "s", len(r[1] or "")) for r in rows], schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 400)) for i, _ in rows if i % 2 == 0], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).collect()]
+    assert {d for d, _ in good} >= set(range(60)) and not {d for d, _ in good} & set(range(400, 412))
+    lined = sorted(deduped(good).items())
+    classes = near(lined)
+    kept = [(d, t) for d, t in lined if classes[d][0] == d]
+    holds = lambda text, item: any(" ".join(item.split()[a : a + 13]) in " ".join(text.split()) for a in range(14))
+    clean = {d: t for d, t in kept if not any(holds(t, item) for item in items)}
+    assert len(lined) > len(kept) > len(clean)
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in clean.items()}
+    got: dict[int, int] = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
+
+
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    a, b = "the quick brown fox jumps over a lazy dog by the river", "an entirely other text that nobody has seen before today"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = frame(spark, [(1, a), (9, a), (9, b), (None, b), (None, a)], schema)
+    left = corpus_pipeline.keep_one_of_each_class(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, a), (9, b)]
