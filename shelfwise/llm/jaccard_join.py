@@ -11,8 +11,8 @@
    repeated AGAIN times (it loses 0.2 % of such pairs).
 3. Buckets are compared by brute force on one byte of each coordinate, large ones in pairs of parts; pairs
    that may reach the threshold join their sets into candidate groups.
-4. Within a group all sets are compared exactly, in blocks. Links are counted there and never written
-   as pairs: each block gives one row for each of its sets.
+4. Within a group all sets whose sizes allow it are compared exactly, in blocks. Links are counted there and
+   never written as pairs: each block gives one row for each of its sets.
 
 Texts without words have no shingles and link to nothing. A null text has no words.
 """
@@ -302,22 +302,35 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _blocks(member: DataFrame, threshold: float) -> DataFrame:
+    """member (root, rep, size ...) with side and near, the sides that a set has to be compared with.
+
+    A group's sets are dealt to levels of sizes, of which only equal and neighbouring ones can reach the threshold, and
+    within a level to sides of some BLOCK sets. Each two sides of such levels meet in one block, and each side with itself.
+    """
+    member = member.withColumn("level", F.floor(F.log("size") / -math.log(threshold - 1e-6)).cast("int"))
+    sides = member.groupBy("root", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("level", "g"))).alias("sides"))
+    member = member.join(sides, "root")
+    g = lambda level: F.coalesce(F.try_element_at("sides", level), F.lit(0))
+    code = lambda level, side: level.cast("long") * 2**32 + side
+    own = F.expr("cast(pmod(xxhash64(rep), element_at(sides, level)) as int)")
+    near = F.flatten(F.transform(F.array(F.col("level") - 1, "level", F.col("level") + 1), lambda level: F.when(g(level) > 0, F.transform(F.sequence(F.lit(0), g(level) - 1), lambda k: code(level, k))).otherwise(F.array().cast("array<bigint>"))))
+    return member.withColumns({"side": code(F.col("level"), own), "near": near}).drop("sides", "level", "size")
+
+
 def _exact(docs: DataFrame, member: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(rep, root, links, linked) from each block: links to other texts, the documents behind them. member: rep, copies, root."""
-    sizes = member.groupBy("root").agg(F.count("*").alias("n"))
-    member = member.join(sizes, "root").withColumn("g", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    """(rep, root, links, linked) from each block: links to other texts, the documents behind them. member: rep, copies, root, size."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             sets = pa.array([shingles(words.of(t), width).tobytes() for t in batch["text"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("root", "rep", "copies", "g", "d1", "d2")), sets], ["root", "rep", "copies", "g", "d1", "d2", "set"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("root", "rep", "copies", "side", "near", "d1", "d2")), sets], ["root", "rep", "copies", "side", "near", "d1", "d2", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(member, "rep")
-    sets = texts.select("root", "rep", "copies", "g", "d1", "d2", "text").mapInArrow(read, "root long, rep long, copies long, g int, d1 long, d2 long, set binary")
-    own = F.expr("cast(pmod(xxhash64(rep), g) as int)")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
-    sets = sets.withColumn("block", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).drop("g")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_blocks(member, threshold), "rep")
+    sets = texts.select("root", "rep", "copies", "side", "near", "d1", "d2", "text").mapInArrow(read, "root long, rep long, copies long, side long, near array<long>, d1 long, d2 long, set binary")
+    sets = sets.withColumn("other", F.explode("near")).drop("near")
+    sets = sets.withColumn("block", F.xxhash64("root", F.least("side", "other"), F.greatest("side", "other")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, "block"):
@@ -327,7 +340,7 @@ def _exact(docs: DataFrame, member: DataFrame, threshold: float, width: int) ->
             ids, first = np.unique(group["rep"][valid], return_index=True)
             first = valid[first]
             sets = [np.frombuffer(group["set"][i], np.uint64) for i in first]
-            copies, side, other = group["copies"][first], group["own"][first], group["other"][first]
+            copies, side, other = group["copies"][first], group["side"][first], group["other"][first]
             size = np.array([len(s) for s in sets], np.float64)
             both = overlaps(sets).astype(np.float64) if len(sets) > 1 else np.zeros((len(sets), len(sets)))
             link = both >= threshold * (size[:, None] + size - both) - 1e-9
@@ -351,7 +364,7 @@ def join(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
     sets = rows.where("size > 0").join(copies.where("rep is not null").withColumn("doc_id", F.col("rep")), ["d1", "d2", "doc_id"])
     alike = components(_buckets(sets.select("rep", "size", "bytes", "leaves"), threshold))
     least = alike.select(F.col("root").alias("id"), "root").distinct()
-    member = alike.unionByName(least).withColumnRenamed("id", "rep").join(copies, "rep")
+    member = alike.unionByName(least).withColumnRenamed("id", "rep").join(sets.select("rep", "size", "copies", "d1", "d2"), "rep")
     blocks = written(_exact(docs, member, threshold, width), "blocks")
     links = blocks.groupBy("rep").agg(F.sum("links").alias("n_text_links"), F.sum("linked").alias("linked"))
     edges = blocks.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b"))

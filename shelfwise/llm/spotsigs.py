@@ -130,7 +130,7 @@ def _alike(sets: DataFrame, threshold: float) -> DataFrame:
     """
     each = sets.select("set", "n", F.explode("spots").alias("spot"))
     ranked = each.join(each.groupBy("spot").agg(F.count("*").alias("df")), "spot").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
-    level = F.floor(F.log("n") / -F.log(F.lit(threshold)) + 1e-9)
+    level = F.floor(F.log("n") / -F.log(F.lit(threshold - 1e-6)))
     few = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     left = written(ranked.select("set", "n", level.alias("level"), F.explode(F.transform(F.slice("order", F.lit(1), few), lambda x: x["spot"])).alias("spot")), "spot-prefixes")
     right = left.select(F.col("set").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), "spot")
