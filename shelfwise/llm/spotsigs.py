@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import numbered, written
 from shelfwise.llm.jaccard_join import components
 
 CHAIN = 3
@@ -63,39 +63,35 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, next_id, next_digest, n_chars): the next document in falling order of doc_id, after the last the first.
+    """(row, next_row, n_chars): the row of the next document in falling order of doc_id, after the last the first. docs: row, doc_id, text.
 
     Documents of one doc_id follow each other by the digests of their texts. No task sees more than one range
     of the ids; across ranges only their first ids are put in order.
     """
-    ids = docs.select("doc_id", "digest", F.length("text").cast("long").alias("n_chars")).distinct()
-    ids = written(ids.repartitionByRange(F.desc("doc_id"), "digest").withColumn("part", F.spark_partition_id()), "id-ranges")
-    own, order = F.struct("doc_id", "digest"), (F.desc("doc_id"), F.col("digest"))
+    order = (F.desc("doc_id"), F.col("digest"), F.col("row"))
+    ids = docs.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    ids = written(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "id-ranges")
     across = Window.orderBy("part")
-    bounds = ids.groupBy("part").agg(F.min_by(own, F.struct((-F.col("doc_id")).alias("i"), "digest")).alias("top"))
-    bounds = bounds.select("part", F.coalesce(F.lead("top").over(across), F.first("top").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    within = Window.partitionBy("part").orderBy(*order)
-    following = F.coalesce(F.lead(own).over(within), "after")
-    rows = ids.join(bounds, "part").withColumn("following", following)
-    return rows.select("doc_id", "digest", F.col("following.doc_id").alias("next_id"), F.col("following.digest").alias("next_digest"), "n_chars")
+    bounds = ids.groupBy("part").agg(F.min_by("row", F.struct((-F.col("doc_id")).alias("i"), "digest", "row")).alias("top"))
+    bounds = bounds.select("part", F.coalesce(F.lead("top").over(across), F.first("top").over(across)).alias("after"))
+    following = F.coalesce(F.lead("row").over(Window.partitionBy("part").orderBy(*order)), "after")
+    return ids.join(bounds, "part").select("row", following.alias("next_row"), "n_chars")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited, next_spots: each document beside its edited text and its next document's signatures.
 
     The edited text has the last third of the code points replaced by as many from the start of the next document.
-    Rows without doc_id have no next document and are left out. Rows that repeat a doc_id with other texts are
-    documents of their own; exact repeats are one document, and each gets its row.
+    Rows without doc_id have no next document and are left out. Rows that repeat a doc_id are documents of their own.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = numbered(docs, "spot-texts").withColumnRenamed("__row", "row")
     order = written(neighbours(docs), "neighbours")
-    asked = order.select(F.col("next_id").alias("doc_id"), F.col("next_digest").alias("digest"), F.col("doc_id").alias("to"), F.col("digest").alias("to_digest"), "n_chars")
-    said = with_spots(docs.join(asked, ["doc_id", "digest"]), "text", "next_spots")
-    said = said.select(F.col("to").alias("doc_id"), F.col("to_digest").alias("digest"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
+    said = docs.select("row", "text").join(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "n_chars"), "row")
+    said = with_spots(said, "text", "next_spots").select(F.col("to").alias("row"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
     n = F.length("text")
     kept = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
-    return docs.join(said.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"]).select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_spots")
+    return docs.join(said, "row").select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_spots")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
