@@ -40,13 +40,15 @@ def limited(events: DataFrame, limit: int, window: int) -> DataFrame:
 
 
 def limited_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """The same over a stream; the state of a key is its count and the end of its window."""
+    """The same over a stream; the state of a key is its count and the end of its window.
+
+    A micro-batch's events of one key are put in order in memory; maxFilesPerTrigger or maxBytesPerTrigger of the source bounds them.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, reset = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         out = []
-        for event, t in zip(rows["event_id"], rows["t"], strict=True):
+        for t, event in sorted(pair for b in batches for pair in zip(b["t"], b["event_id"], strict=True)):
             count, reset, said = consume(count, reset, int(t), limit, window)
             out.append((event, key[0], t, *said))
         state.update((count, reset))
