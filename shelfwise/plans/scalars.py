@@ -202,9 +202,13 @@ def byte_windows(lib: Library) -> DataFrame:
     return titles(lib).select("id", w.alias("w")).select("id", "w.*")
 
 
-@query("mat_06_merged_windows")
+@query("mat_06_merged_windows", """WITH RECURSIVE w AS (SELECT stream, first_byte AS a, first_byte + (end_byte - first_byte) // 2 AS b, row_number() OVER (PARTITION BY stream ORDER BY first_byte, end_byte) AS n FROM fragment WHERE end_byte - first_byte >= 2),
+    m AS (SELECT stream, n, a, b, CAST(1 AS INTEGER) AS windows FROM w WHERE n = 1 UNION ALL
+        SELECT w.stream, w.n, CASE WHEN w.a - m.b <= 1500 AND greatest(m.b, w.b) - m.a <= 8000 THEN m.a ELSE w.a END, CASE WHEN w.a - m.b <= 1500 AND greatest(m.b, w.b) - m.a <= 8000 THEN greatest(m.b, w.b) ELSE w.b END,
+            windows + CASE WHEN w.a - m.b <= 1500 AND greatest(m.b, w.b) - m.a <= 8000 THEN 0 ELSE 1 END FROM m JOIN w ON w.stream = m.stream AND w.n = m.n + 1)
+    SELECT stream, max(windows) AS windows FROM m GROUP BY stream""")
 def merged(lib: Library) -> DataFrame:
-    """A greedy fold with a cap on the merged length, so no gaps-and-islands window; checked by brute force."""
+    """A greedy fold with a cap on the merged length, so no gaps-and-islands window."""
     each = lib.fragment.groupBy("stream").agg(F.collect_list(F.struct(F.col("first_byte").alias("start"), ((F.col("end_byte") - F.col("first_byte")) / 2).cast("long").alias("length"))).alias("w"))
     return each.select("stream", F.size(N.merged_windows(F.col("w"), 8000, 1500)).alias("windows"))
 
