@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import give_back
+from shelfwise.llm.common import give_back, written
 from shelfwise.llm.shingles import mix
 
 #: Rows of the embedding table (a power of two), its width, character n-grams in bytes.
@@ -166,6 +166,15 @@ def fold(doc_id) -> object:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by order, doc_id and digest. Digests are spread evenly, so those below a bound that about 4 n are expected to pass hold them; no task sees many more."""
+    total = rows.count()
+    if total > 8 * n:
+        few = rows.where(F.col("order") < f"{int(4 * n / total * 2**64):016x}")
+        rows = few if few.count() >= n else rows
+    return rows.orderBy("order", "doc_id", "digest").limit(n)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled documents outside fold 0, the first in the order of a digest of their ids.
 
@@ -179,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     named = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
     order = F.md5(F.concat(F.lit("quality"), F.col("doc_id").cast("string")))
     picked = named.select("doc_id", "digest").join(marks, "doc_id").select(order.alias("order"), "doc_id", "digest", "label").distinct()
-    picked = picked.orderBy("order", "doc_id", "digest").limit(sample)
+    picked = _first(written(picked, "labelled"), sample)
     chosen = named.join(F.broadcast(picked), ["doc_id", "digest"]).groupBy("order", "digest", "label").agg(F.min("text").alias("text"))  # at most sample rows of ids and digests
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -103,3 +103,10 @@ def test_held_out_accuracy(spark):
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).where(quality.fold(docs["doc_id"]) == 0).join(labels, "doc_id").collect()
     right = sum((r["score"] >= quality.ACCEPT) == (r["quality"] == 1) for r in scored)
     assert len(scored) >= 50 and right >= 0.97 * len(scored)
+
+
+def test_first_rows_of_many(spark):
+    rows = spark.range(3000).selectExpr("md5(concat('quality', cast(id as string))) AS order", "id AS doc_id", "'d' AS digest", "1 AS label")
+    for n in (1, 20, 300, 5000):
+        want = rows.orderBy("order", "doc_id").limit(n).collect()
+        assert sorted(quality._first(rows, n).collect()) == sorted(want)
