@@ -79,7 +79,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edited, next_spots: each document beside its edited text and its next document's signatures.
+    """doc_id, text, edited, next_id, next_spots: each document beside its edited text and its next document's signatures.
 
     The edited text has the last third of the code points replaced by as many from the start of the next document.
     Rows without doc_id have no next document and are left out. Rows that repeat a doc_id are documents of their own.
@@ -87,15 +87,15 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = numbered(docs, "spot-texts").withColumnRenamed("__row", "row")
     order = written(neighbours(docs), "neighbours")
-    said = docs.select("row", "text").join(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "n_chars"), "row")
-    said = with_spots(said, "text", "next_spots").select(F.col("to").alias("row"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
+    said = docs.join(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "n_chars"), "row")  # both joins take docs whole, so that it is shuffled once
+    said = with_spots(said, "text", "next_spots").select(F.col("to").alias("row"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
     n = F.length("text")
     kept = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
-    return docs.join(said, "row").select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_spots")
+    return docs.join(said, "row").select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_id", "next_spots")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see edited_and_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id; see edited_and_next."""
     rows = with_spots(with_spots(edited_and_next(docs), "text", "spots"), "edited", "edited_spots")
     return rows.select(
         "doc_id",
@@ -105,6 +105,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        "next_id",
     )
 
 
