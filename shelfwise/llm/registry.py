@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, packing, pitman_yor, quality, sharding, spotsigs
+from shelfwise.llm import chat, decontaminate, html_extract, jaccard_join, line_dedup, merkle, packing, pitman_yor, quality, sharding, simhash, spotsigs, whitening
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,55 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
+#: up and top: the nodes of all levels, of sources and above them. walk and climb: a row's way through them, with its proof so far.
+#: even: 2 divides CRC-32 (reflected polynomial 3988292384), which is counted bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE
+f AS (SELECT doc_id, text, coalesce('=' || source, '') AS grp,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+        coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        (list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+          lambda crc, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), CAST(4294967295 AS BIGINT)) & 1) = 1 AS even
+      FROM documents),
+d AS (SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, row_number() OVER () AS id,
+        sha256(head || coalesce(strlen(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END) || ':' || CASE WHEN even THEN replace(text, chr(10), '') ELSE text END, '-')) AS told FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
+up AS (SELECT 0 AS lv, grp, i, n, leaf AS h, CAST([] AS VARCHAR[]) AS kids FROM l
+       UNION ALL
+       SELECT lv + 1, grp, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)), list(h ORDER BY i) FROM up WHERE n > 1 GROUP BY lv, grp, i // 3),
+t AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lv, i, n, h, CAST([] AS VARCHAR[]) AS kids FROM t
+        UNION ALL
+        SELECT lv + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)), list(h ORDER BY i) FROM top WHERE n > 1 GROUP BY lv, i // 3),
+walk AS (SELECT id, grp, 0 AS lv, i, n, '' AS proof, told AS own FROM l
+         UNION ALL
+         SELECT w.id, w.grp, u.lv, u.i, u.n, w.proof || array_to_string(u.kids[1:w.i % 3], '') || array_to_string(u.kids[w.i % 3 + 2:], ''),
+                sha256(array_to_string(u.kids[1:w.i % 3], '') || w.own || array_to_string(u.kids[w.i % 3 + 2:], ''))
+         FROM walk w JOIN up u ON u.grp = w.grp AND u.lv = w.lv + 1 AND u.i = w.i // 3 WHERE w.n > 1),
+climb AS (SELECT w.id, t.h AS subroot, 0 AS lv, t.i, t.n, w.proof, w.own FROM walk w JOIN t USING (grp) WHERE w.n = 1
+          UNION ALL
+          SELECT w.id, w.subroot, u.lv, u.i, u.n, w.proof || array_to_string(u.kids[1:w.i % 3], '') || array_to_string(u.kids[w.i % 3 + 2:], ''),
+                 sha256(array_to_string(u.kids[1:w.i % 3], '') || w.own || array_to_string(u.kids[w.i % 3 + 2:], ''))
+          FROM climb w JOIN top u ON u.lv = w.lv + 1 AND u.i = w.i // 3 WHERE w.n > 1),
+r AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT d.doc_id, d.leaf, c.subroot, r.root, sha256(c.proof) AS proof_sha256, c.own AS folded_root, c.own = r.root AS verified
+FROM d JOIN climb c USING (id), r WHERE c.n = 1
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -117,8 +166,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_sharding": op10_sharding,
+        "op11_simhash_near_dedup": op11_simhash_near_dedup,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
