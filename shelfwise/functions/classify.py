@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.numbers import PLAYER_LADDER, ladder
+
 #: What a worker's message says (any of the phrases, in any case), the error code and whether it is tried again.
 OUTCOMES = (
     (("deadline exceeded", "aborted by worker shutdown"), "job_timeout", True),
@@ -60,3 +62,58 @@ def asset(status: Column) -> Column:
     for state, said in ASSETS.items():
         out = out.when(status == state, row(said))
     return out.otherwise(row(FAILED_ASSET))
+
+
+#: A transport stream has this byte every so many bytes, in four fifths of the places at least; what other files begin with.
+SYNC, PACKET, SYNCED = b"\x47", 188, 0.8
+MATROSKA, RIFF, AVI = b"\x1a\x45\xdf\xa3", b"RIFF", b"AVI "
+
+
+def sniffed_type(head: Column) -> Column:
+    """A file's media type by its first bytes, whatever its name says; null for what is not known."""
+    n = F.length(head)
+    part = lambda at, size: F.substring(head, at + 1, size)
+    synced = F.size(F.filter(F.sequence(F.lit(0), n - 1, F.lit(PACKET)), lambda i: F.substring(head, i + 1, F.lit(1)) == F.lit(SYNC)))
+    packets = F.when(n >= PACKET, synced >= F.floor(n / PACKET) * F.lit(SYNCED)).otherwise(False)
+    size = F.conv(F.hex(part(0, 4)), 16, 10).cast("long")
+    boxed = (n >= 8) & (size >= 8) & (size <= n)
+    return (
+        F.when(packets, "video/mp2t")
+        .when(boxed & (part(4, 4) == F.lit(b"ftyp")), "video/mp4")
+        .when(boxed & (part(4, 4) == F.lit(b"webm")), "video/webm")
+        .when((n >= 4) & (part(0, 4) == F.lit(MATROSKA)), "video/webm")
+        .when((n >= 12) & (part(0, 4) == F.lit(RIFF)) & (part(8, 4) == F.lit(AVI)), "video/x-msvideo")
+    )
+
+
+def container_of(head: Column) -> Column:
+    """ts, mp4 or unknown."""
+    found = sniffed_type(head)
+    return F.when(found == "video/mp2t", "ts").when(found == "video/mp4", "mp4").otherwise("unknown")
+
+
+def routed(stored: Column, seen: Column) -> Column:
+    """struct<verdict, corrected>: how a file is played and, where its bytes prove the stored label wrong, the right one. Unknown bytes leave the label in force."""
+    labelled = F.coalesce(stored == "video/mp2t", F.lit(False))
+    is_ts = F.when(seen == "ts", True).when(seen == "mp4", False).otherwise(labelled)
+    corrected = F.when((seen == "ts") & ~labelled, "video/mp2t").when((seen == "mp4") & labelled, "video/mp4")
+    return F.struct(F.when(is_ts, "mp2t").otherwise("mp4").alias("verdict"), corrected.alias("corrected"))
+
+
+#: The least and the longest wait in ms that a server may ask for, and what is said when a file cannot be played.
+WAIT_LEAST, WAIT_MOST, STILL_PREPARING = 1000, 30_000, "The video is still being prepared."
+
+
+def player_retry(status: Column, unreachable: Column, retry_after: Column, attempt: Column) -> Column:
+    """struct<action, delay, message> after a playback error, by what a probe of the address says: null status and not unreachable means no probe. attempt: from 0."""
+    wait = ladder(PLAYER_LADDER, attempt + 1)
+    asked = F.regexp_extract(F.trim(retry_after), r"^(\d+)\z", 1).try_cast("double") * 1000
+    asked = F.when(asked.isNotNull(), F.least(F.greatest(asked, F.lit(WAIT_LEAST)), F.lit(WAIT_MOST)).cast("long"))
+    told = lambda action, delay=None, message=None: F.struct(F.lit(action).alias("action"), F.lit(delay).cast("long").alias("delay") if delay is None else delay.alias("delay"), F.lit(message).cast("string").alias("message"))
+    waits = F.coalesce(unreachable, F.lit(False)) | status.between(500, 599) | status.isin(200, 206)
+    return (
+        F.when(~F.coalesce(unreachable, F.lit(False)) & (status == 410), told("unavailable"))
+        .when(~F.coalesce(unreachable, F.lit(False)) & status.isin(503, 429), told("retry", F.coalesce(asked, wait)))
+        .when(waits, told("retry", wait))
+        .otherwise(told("fatal", message=STILL_PREPARING))
+    )

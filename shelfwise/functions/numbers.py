@@ -22,17 +22,34 @@ def backoff(base: int, failures: Column, most: int) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(failures, F.lit(1)) - 1), F.lit(most)).cast("long")
 
 
+#: From here on a duration is in milliseconds, and from here on in microseconds.
+MILLISECONDS_FROM, MICROSECONDS_FROM = 1_000, 1_000_000
+
+
 def duration_seconds(value: Column) -> Column:
-    """Seconds from a number in microseconds, milliseconds or seconds, told by its magnitude."""
-    return F.when(value <= 0, None).when(value > 10_000_000, F.round(value / 1_000_000)).when(value > 100_000, F.round(value / 1000)).otherwise(F.round(value)).cast("long")
+    """Whole seconds (halves up) from a number in microseconds, milliseconds or seconds, told by its magnitude; null unless it is above 0 and finite."""
+    seconds = F.when(value >= MICROSECONDS_FROM, value / 1_000_000).when(value >= MILLISECONDS_FROM, value / 1_000).otherwise(value)
+    return F.when((value > 0) & (value.cast("double") < float("inf")), F.floor(seconds + 0.5).cast("long"))
+
+
+def size_bytes(text: Column, fallback: int) -> Column:
+    """"5GB", "1.5 mb" or "700" (bytes) in steps of 1024; the fallback for zero, nothing and anything else."""
+    pattern = r"^(\d+(?:\.\d+)?)\s*(B|KB|MB|GB|TB|)\z"
+    tidy = F.upper(F.trim(text))
+    number, unit = F.regexp_extract(tidy, pattern, 1), F.regexp_extract(tidy, pattern, 2)
+    power = F.when(unit == "KB", 1).when(unit == "MB", 2).when(unit == "GB", 3).when(unit == "TB", 4).otherwise(0)
+    value = F.when(number != "", number.try_cast("double"))
+    return F.coalesce(F.when(value > 0, F.floor(value * F.pow(F.lit(1024.0), power)).cast("long")), F.lit(fallback).cast("long"))
+
 
+#: Waits in ms after a failure: of a download that goes on where it broke off, and of the player.
+RESUME_LADDER, PLAYER_LADDER = (800, 2000, 5000, 10_000, 15_000), (1000, 2000, 4000)
 
-def size_bytes(text: Column) -> Column:
-    """"5GB" to bytes; null if it is no size."""
-    number = F.regexp_extract(F.upper(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*([KMGT]?)I?B?$", 1)
-    unit = F.regexp_extract(F.upper(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*([KMGT]?)I?B?$", 2)
-    power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
-    return F.floor(F.when(number != "", number.try_cast("double")) * F.pow(F.lit(1024.0), power)).cast("long")
+
+def ladder(steps: tuple[int, ...], failures: Column) -> Column:
+    """The wait after so many failures; the first step for none or one, the last from there on."""
+    at = F.least(F.greatest(failures, F.lit(1)), F.lit(len(steps))).cast("int")
+    return F.element_at(F.array(*map(F.lit, steps)), at).cast("long")
 
 
 def byte_range(header: Column, size: Column) -> Column:
@@ -89,6 +106,45 @@ def candidate_times(duration: Column, clip: int) -> Column:
     return F.when(duration > 0, F.array_distinct(quarters)).otherwise(F.array(*[F.lit(t).cast("long") for t in (10, 30, 60)]))
 
 
+#: Seconds at which a short or unknown file is looked at, and parts of a known one.
+SEEK_LADDER, SEEK_PARTS = (2, 10, 30, 60, 180), (0.05, 0.25, 0.5, 0.75)
+
+
+def candidate_seeks(duration: Column) -> Column:
+    """Where a picture is looked for again, in whole seconds from 1 on: parts of a duration over 4 s and 2 s before its end, else fixed seconds."""
+    known = F.array(*[duration * F.lit(p) for p in SEEK_PARTS], F.greatest(F.lit(0.0), duration - F.lit(2.0)))
+    seeks = F.when((duration > 4) & (duration.cast("double") < float("inf")), known).otherwise(F.array(*[F.lit(float(t)) for t in SEEK_LADDER]))
+    return F.array_distinct(F.transform(seeks, lambda t: F.greatest(F.lit(1), F.floor(t + 0.5)).cast("long")))
+
+
+#: A scene keeps so many seconds at the end of a file at least, and how far off 16:9 a picture may be.
+LEAST_TAIL, WIDE_TOLERANCE = 0.2, 0.1
+
+
+def clamped_start(start: Column, duration: Column, length: Column) -> Column:
+    """A scene's start inside the file; from 0 on where its duration is not known."""
+    tail = F.greatest(F.lit(LEAST_TAIL), F.least(length, duration))
+    inside = F.greatest(F.lit(0.0), F.least(start, F.greatest(F.lit(0.0), duration - tail)))
+    return F.when(duration > 0, inside).otherwise(F.greatest(F.lit(0.0), start))
+
+
+def scene_window(start: Column, length: Column, duration: Column, size: Column, fraction: Column, estimated: Column, most: int, step: int) -> Column:
+    """struct<at, start, length, estimated, fraction>: the bytes of a scene, by its time where the duration is known, else by its fraction of the file, which is an estimate."""
+    at = clamped_start(start, duration, length)
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction))
+    timed = timeline_window(at, duration, size, most, step, factor=1.6)
+    guessed = byte_window(F.coalesce(part, F.lit(0.0)), size, most, step)
+    known = F.coalesce(duration > 0, F.lit(False))
+    window = F.when(known, timed).otherwise(guessed)
+    told = F.when(known, F.coalesce(estimated, F.lit(False))).otherwise(True)
+    return F.struct(at.alias("at"), window["start"].alias("start"), window["length"].alias("length"), told.alias("estimated"), F.when(~known, part).alias("fraction"))
+
+
+def is_widescreen(width: Column, height: Column) -> Column:
+    """About 16:9."""
+    return F.coalesce((width > 0) & (height > 0) & (F.abs(F.try_divide(width, height) - F.lit(16 / 9)) <= WIDE_TOLERANCE), F.lit(False))
+
+
 def merged_windows(windows: Column, most: int, gap: int) -> Column:
     """Greedy merge of array<struct<start, length>>: neighbours within gap, while the merged one is not longer than most."""
     first = F.array_sort(F.filter(windows, lambda w: w["length"] > 0))

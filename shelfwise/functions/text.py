@@ -152,20 +152,55 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def download_name(name: Column, fallback: str = "video", most: int = 180) -> Column:
-    """A safe file name: no path or illegal characters, no control characters, at most so long with its extension kept."""
-    tidy = F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|]+', " "), r"[\x00-\x1F\x7F]", "")
-    tidy = F.regexp_replace(collapsed(tidy), r"^[. ]+|[. ]+\z", "")
-    ending = F.regexp_extract(tidy, r"(\.[A-Za-z0-9]{1,8})\z", 1)
-    short = F.concat(F.rtrim(F.substring(tidy, F.lit(1), F.lit(most) - F.length(ending))), ending)
-    return F.when(F.coalesce(tidy, F.lit("")) == "", fallback).when(F.length(tidy) > most, short).otherwise(tidy)
+#: Characters that no file system likes, invisible ones, the name that is given when nothing is left, and the longest name and extension.
+UNSAFE = r'[<>:"/\\|?*\x00-\x1f]'
+INVISIBLE = r"[\x7f-\x9f\u200b-\u200f\u2028-\u202f\ufeff]"
+FALLBACK_NAME, LONGEST_NAME, LONGEST_EXTENSION = "video.bin", 180, 10
+_EDGE = r"[\s\x{feff}]"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, rf"(?U)^{_EDGE}+|{_EDGE}+\z", "")
+
+
+def safe_name(name: Column) -> Column:
+    """The last part of a path without characters that are unsafe in a file name; '' if nothing is left."""
+    own = F.regexp_replace(F.regexp_replace(base_name(F.coalesce(name, F.lit(""))), UNSAFE, ""), INVISIBLE, "")
+    return F.regexp_replace(trimmed(F.regexp_replace(own, r"^\.+", "")), r"[. ]+\z", "")
+
+
+def short_ending(name: Column) -> Column:
+    """The extension with its dot, if it has up to 10 characters and a name before it; else ''."""
+    return F.regexp_extract(name, rf"(?s)^.+(\.[^.]{{1,{LONGEST_EXTENSION}}})\z", 1)
+
+
+def download_name(name: Column, title: Column | None = None, ending: Column | None = None) -> Column:
+    """A safe file name: of name, else of title (with ending, if it has none), else a fixed one; cut to 180 characters with its extension kept."""
+    own, other = safe_name(name), safe_name(F.lit(None).cast("string") if title is None else title)
+    tail = F.lower(trimmed(F.lit(None).cast("string") if ending is None else ending))
+    tail = F.coalesce(F.regexp_replace(F.regexp_replace(tail, r"^\.+", ""), "[^a-z0-9]", ""), F.lit(""))
+    with_tail = F.when(F.length(tail).between(1, LONGEST_EXTENSION) & (short_ending(other) == ""), F.concat(other, F.lit("."), tail)).otherwise(other)
+    full = F.when(own != "", own).when(other != "", with_tail).otherwise(FALLBACK_NAME)
+    last = short_ending(full)
+    stem_of = F.substring(full, F.lit(1), F.least(F.length(full) - F.length(last), LONGEST_NAME - F.length(last)))
+    return F.when(F.length(full) > LONGEST_NAME, F.concat(stem_of, last)).otherwise(full)
+
+
+def uri_encoded(text: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and - _ . ! ~ * ' ( ) stay."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
 def content_disposition(name: Column) -> Column:
-    """attachment with the plain name, or an ASCII stand-in and the percent-encoded one."""
-    encoded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
-    plain = F.regexp_replace(name, r'[^\x20-\x7E]|["\\]', "_")
-    return F.when(plain == name, F.concat(F.lit('attachment; filename="'), name, F.lit('"'))).otherwise(F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), encoded))
+    """attachment with the name without quotes and backslashes; of other than printable ASCII an underscore for each UTF-16 unit, and the encoded name beside it."""
+    plain = F.regexp_replace(name, r'["\\]', "")
+    ascii_name = F.regexp_replace(F.regexp_replace(plain, r"[\x{10000}-\x{10FFFF}]", "__"), r"[^\x20-\x7E]", "_")
+    both = F.concat(F.lit('attachment; filename="'), F.when(ascii_name == "", "download").otherwise(ascii_name), F.lit("\"; filename*=UTF-8''"), uri_encoded(name))
+    return F.when(plain.rlike(r"^[\x20-\x7E]+\z"), F.concat(F.lit('attachment; filename="'), plain, F.lit('"'))).otherwise(both)
 
 
 def safe_reason(text: Column, most: int = 240) -> Column:
@@ -187,10 +222,10 @@ def email_key(email: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """m:ss, or h:mm:ss from an hour on; '' for null or nothing."""
+    """m:ss, or h:mm:ss from an hour on; null for null, negative or endless times."""
     s = F.floor(seconds).cast("long")
     with_hours = F.format_string("%d:%02d:%02d", F.expr("0L") + F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
-    return F.when(s >= 3600, with_hours).when(s > 0, F.format_string("%d:%02d", F.floor(s / 60), s % 60)).otherwise("")
+    return F.when((seconds >= 0) & (seconds.cast("double") < float("inf")), F.when(s >= 3600, with_hours).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60)))
 
 
 def bytes_text(size: Column) -> Column:
@@ -232,24 +267,54 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
+#: Fixed value: a public file link, its file handle and its key.
+FILE_LINK = r"^https?://(?:www\.)?mega\.(?:nz|co\.nz)/file/([A-Za-z0-9_-]{8})#([A-Za-z0-9_-]{32,64})\z"
+
+
 def link_parts(url: Column) -> Column:
     """struct<id, key> of a file link, null fields for anything else."""
-    pattern = r"^https?://(?:www\.)?mega\.(?:nz|co\.nz|io)/(?:file|embed)/([A-Za-z0-9_-]{8})[#!]([A-Za-z0-9_-]{43})"
-    part = lambda i: F.nullif(F.regexp_extract(F.trim(url), pattern, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(trimmed(url), FILE_LINK, i), F.lit(""))
     return F.struct(part(1).alias("id"), part(2).alias("key"))
 
 
-def error_kind(text: Column) -> Column:
-    """First rule that matches."""
-    rules = (("timeout", r"timed? ?out|ETIMEDOUT"), ("auth", r"ESID|401|unauthor"), ("quota", r"quota|509|EOVERQUOTA"), ("missing", r"ENOENT|404|not found"))
-    out = F.when(F.lit(False), "")
-    for kind, pattern in rules:
-        out = out.when(text.rlike("(?i)" + pattern), kind)
-    return out.otherwise("network")
+def embed_url(url: Column, autoplay: bool = False, muted: bool = False) -> Column:
+    """The player's address of a file link, with its flags; null for anything else."""
+    flags = "1a" * autoplay + "1m" * muted
+    found = link_parts(url)
+    return F.concat(F.lit("https://mega.nz/embed/"), found["id"], F.lit("#"), found["key"], F.lit("!" + flags if flags else ""))
+
+
+def preview_url(url: Column) -> Column:
+    return embed_url(url, autoplay=True, muted=True)
+
+
+def named_handles(attributes: Column) -> Column:
+    """struct<thumbnail, preview, media>: the handles of types 0, 1 and 8."""
+    found = attribute_handles(attributes)
+    return F.struct(*[F.try_element_at(found, F.lit(k)).alias(n) for k, n in (("0", "thumbnail"), ("1", "preview"), ("8", "media"))])
+
+
+#: What the text of an account's error says, in this order.
+SESSION_GONE, SECOND_FACTOR, BAD_LOGIN = "-15", "-26", "(?i)(-9)|(-16)|invalid credentials"
+PASSING = "(?i)(-3)|(-4)|(-18)|(-19)|fetch failed|ECONNRESET|ECONNREFUSED|ETIMEDOUT|EAI_AGAIN|socket hang up|network|temporarily unavailable|aborted|timeout|server returned error|too busy"
+
+
+def error_kind(text: Column, login: Column) -> Column:
+    """session-expired, mfa, auth, transient or unknown. login: whether it came from logging in, where what is not known is the account's fault."""
+    return (
+        F.when(text.contains(SESSION_GONE), "session-expired")
+        .when(text.contains(SECOND_FACTOR), "mfa")
+        .when(login & text.rlike(BAD_LOGIN), "auth")
+        .when(text.rlike(PASSING), "transient")
+        .otherwise(F.when(login, "auth").otherwise("unknown"))
+    )
 
 
-#: Media types by extension.
-MIME = {"mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "mkv": "video/x-matroska", "mov": "video/quicktime", "avi": "video/x-msvideo", "ts": "video/mp2t"}
+#: Media types by extension; these are the extensions of video files.
+MIME = {
+    "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "mkv": "video/x-matroska", "webm": "video/webm", "avi": "video/x-msvideo", "mpg": "video/mpeg", "mpeg": "video/mpeg",
+    "wmv": "video/x-ms-wmv", "flv": "video/x-flv", "ts": "video/mp2t", "3gp": "video/3gpp", "3g2": "video/3gpp2",
+}
 
 
 def mime_of(name: Column) -> Column:

@@ -41,17 +41,15 @@ def total_pages(total: int, per_page: int = PER_PAGE) -> int:
     return max(1, -(-total // per_page))
 
 
-def page_strip(page: int, pages: int) -> list[int | None]:
-    """Page numbers to offer; None stands for a gap."""
-    if pages <= 7:
-        return list(range(1, pages + 1))
-    near = sorted({1, pages, *(p for p in (page - 1, page, page + 1) if 1 <= p <= pages)})
-    out: list[int | None] = []
-    for number in near:
-        if out and number - (out[-1] or 0) > 1:
-            out.append(None)
-        out.append(number)
-    return out
+#: Up to so many pages all are offered (fixed value).
+ALL_PAGES = 7
+
+
+def page_strips(page: Column, pages: Column) -> Column:
+    """Page numbers to offer, the first, the last and those next to page; null stands for a gap."""
+    near = F.array_sort(F.array_distinct(F.filter(F.array(F.lit(1).cast("long"), pages, page - 1, page, page + 1), lambda p: p.between(1, pages))))
+    gaps = F.transform(near, lambda p, i: F.when((i > 0) & (p - F.coalesce(F.get(near, i - 1), p) > 1), F.array(F.lit(None).cast("long"), p)).otherwise(F.array(p)))
+    return F.when(pages <= ALL_PAGES, F.sequence(F.lit(1).cast("long"), pages)).otherwise(F.flatten(gaps))
 
 
 def paged(rows: DataFrame, order: list[Column], page: int = 1, per_page: int = PER_PAGE) -> DataFrame:

@@ -98,24 +98,53 @@ def mean_and_vote(lib: Library) -> DataFrame:
     return lib.raw("lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg((F.count_if(F.col("l_quantity") >= 20) * 3 >= 2 * F.count("*")).alias("usable"), F.sum("l_quantity").cast("long").alias("total"))
 
 
-#: A clock of 33 bits at 90 kHz.
-CLOCK, HERTZ = 1 << 33, 90_000
-
-
-def clock_duration(ticks: DataFrame) -> DataFrame:
-    """stream, seconds: of the program with the most clock readings (then the least pid) that has two; a wrap counts as one turn."""
-    each = ticks.groupBy("stream", "pid").agg(F.count("*").alias("n"), F.min_by("ticks", "at").alias("first"), F.max_by("ticks", "at").alias("last"))
-    span = F.pmod(F.col("last") - F.col("first"), F.lit(CLOCK))
-    each = each.where("n >= 2").withColumn("seconds", span / HERTZ)
-    return each.groupBy("stream").agg(F.min(F.struct(-F.col("n"), "pid", "seconds")).alias("best")).select("stream", F.col("best.seconds").alias("seconds"))
-
-
-@query("agg_14_clock_duration", f"""WITH t AS (SELECT stream, idx % 2 AS pid, idx AS moment, (start_time * 90000 + {CLOCK} - 2000000) % {CLOCK} AS ticks FROM fragment),
-    e AS (SELECT stream, pid, count(*) AS n, arg_min(ticks, moment) AS a, arg_max(ticks, moment) AS b FROM t GROUP BY ALL HAVING count(*) >= 2)
-    SELECT stream, arg_min(((b - a + {CLOCK}) % {CLOCK}) / 90000, -n * 10 + pid) AS seconds FROM e GROUP BY stream""")
+#: A clock of 33 bits at 90 kHz; readings that either sample needs, how far from its edge the outermost may be (a part of the sample), durations (s) and bit rates (bit/s) that are believed.
+CLOCK_SECONDS, READINGS, EDGE = (1 << 33) / 90_000, 3, 0.5
+SHORTEST, LONGEST, SLOWEST, FASTEST = 1, 12 * 3600, 32_000, 40_000_000
+
+
+def clock_duration(ticks: DataFrame, samples: DataFrame) -> DataFrame:
+    """stream, pid, seconds of the first program whose readings can be believed, in the order of their number (then of the first seen).
+
+    ticks: stream, pid, at (byte), t (seconds). samples: stream, head_at, head_size, tail_at, tail_size, size (bytes). The duration lies between the
+    earliest reading of the head and the latest of the tail; a smaller one is of the clock's next turn. Streams without such a program are left out.
+    """
+    in_head, in_tail = F.col("at") < F.col("head_at") + F.col("head_size"), F.col("at") >= F.col("tail_at")
+    rows = ticks.join(samples, "stream")
+    each = rows.groupBy("stream", "pid").agg(
+        F.count("*").alias("n"), F.min("at").alias("seen"), F.count_if(in_head).alias("heads"), F.count_if(in_tail).alias("tails"),
+        F.min(F.when(in_head, F.struct("t", (-F.col("at")).alias("back")))).alias("first"), F.max(F.when(in_tail, F.struct("t", "at"))).alias("last"),
+        *[F.first(c).alias(c) for c in samples.columns if c != "stream"],
+    )
+    begin, end = F.col("first.t"), F.col("last.t")
+    seconds = F.when(end < begin, end + F.lit(CLOCK_SECONDS)).otherwise(end) - begin
+    covered = (-F.col("first.back") - F.col("head_at") <= F.col("head_size") * EDGE) & (F.col("tail_at") + F.col("tail_size") - F.col("last.at") <= F.col("tail_size") * EDGE)
+    each = each.where((F.col("heads") >= READINGS) & (F.col("tails") >= READINGS) & covered).withColumn("seconds", seconds)
+    rate = F.col("size") * 8 / F.col("seconds")
+    each = each.where((F.col("seconds") > SHORTEST) & (F.col("seconds") <= LONGEST)).where((rate > SLOWEST) & (rate < FASTEST))
+    return each.groupBy("stream").agg(F.min(F.struct(-F.col("n"), "seen", "pid", "seconds")).alias("best")).select("stream", F.col("best.pid").alias("pid"), F.round("best.seconds", 6).alias("seconds"))
+
+
+TICKS = """SELECT l_suppkey AS stream, CASE WHEN l_orderkey % 7 < l_suppkey % 5 THEN 257 ELSE 256 + l_orderkey % 2 * 2 END AS pid, l_orderkey * 188 AS place,
+    (l_orderkey / 100.0 + 95443.717 - CASE WHEN l_suppkey % 3 = 0 THEN 25 ELSE 2000 END) % CAST(8589934592 / 90000.0 AS DOUBLE) AS t FROM lineitem"""
+SAMPLES = """SELECT stream, 0 AS head_at, most * CASE WHEN stream % 4 = 0 THEN 1 ELSE 4 END // 10 AS head_size, most * 6 // 10 AS tail_at, most - most * 6 // 10 AS tail_size, most * CASE WHEN stream % 11 = 0 THEN 1000 ELSE 1 END AS size
+    FROM (SELECT l_suppkey AS stream, max(l_orderkey) * 188 + 188 AS most FROM lineitem GROUP BY l_suppkey)"""
+
+
+@query("agg_14_clock_duration", f"""WITH t AS ({TICKS}), s AS ({SAMPLES}), p AS (SELECT stream, pid, count(*) AS n, min(place) AS seen FROM t GROUP BY ALL),
+    h AS (SELECT t.stream, t.pid, count(*) AS heads, min(t.t) AS begin FROM t JOIN s USING (stream) WHERE place < head_at + head_size GROUP BY ALL), g AS (SELECT t.stream, t.pid, count(*) AS tails, max(t.t) AS finish FROM t JOIN s USING (stream) WHERE place >= tail_at GROUP BY ALL),
+    x AS (SELECT p.*, s.*, heads, tails, begin, finish, (SELECT max(place) FROM t WHERE t.stream = p.stream AND t.pid = p.pid AND t.t = begin AND place < head_at + head_size) AS first_at, (SELECT max(place) FROM t WHERE t.stream = p.stream AND t.pid = p.pid AND t.t = finish AND place >= tail_at) AS last_at,
+        CASE WHEN finish < begin THEN finish + 8589934592 / 90000.0 ELSE finish END - begin AS seconds FROM p JOIN h USING (stream, pid) JOIN g USING (stream, pid) JOIN s USING (stream)),
+    ok AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY n DESC, seen, pid) AS r FROM x WHERE heads >= 3 AND tails >= 3 AND first_at - head_at <= head_size * 0.5 AND tail_at + tail_size - last_at <= tail_size * 0.5 AND seconds > 1 AND seconds <= 43200 AND size * 8 / seconds > 32000 AND size * 8 / seconds < 40000000)
+    SELECT stream, pid, round(seconds, 6) AS seconds FROM ok WHERE r = 1""")
 def clock_durations(lib: Library) -> DataFrame:
-    ticks = lib.fragment.select("stream", (F.col("idx") % 2).alias("pid"), F.col("idx").alias("at"), ((F.col("start_time") * HERTZ + CLOCK - 2_000_000) % CLOCK).alias("ticks"))
-    return clock_duration(ticks)
+    """Lines stand for clock readings of a supplier's stream, with the clock's turn in every third one."""
+    t = F.expr(f"(l_orderkey / 100.0D + 95443.717D - CASE WHEN l_suppkey % 3 = 0 THEN 25 ELSE 2000 END) % {CLOCK_SECONDS!r}D")
+    lines = lib.raw("lineitem")
+    ticks = lines.select(F.col("l_suppkey").alias("stream"), F.expr("CASE WHEN l_orderkey % 7 < l_suppkey % 5 THEN 257 ELSE 256 + l_orderkey % 2 * 2 END").alias("pid"), (F.col("l_orderkey") * 188).alias("at"), t.alias("t"))
+    ends = lines.groupBy(F.col("l_suppkey").alias("stream")).agg((F.max("l_orderkey") * 188 + 188).alias("most"))
+    samples = ends.selectExpr("stream", "0 AS head_at", "most * CASE WHEN stream % 4 = 0 THEN 1 ELSE 4 END div 10 AS head_size", "most * 6 div 10 AS tail_at", "most - most * 6 div 10 AS tail_size", "most * CASE WHEN stream % 11 = 0 THEN 1000 ELSE 1 END AS size")
+    return clock_duration(ticks, samples)
 
 
 @query("agg_15_distinct", "SELECT DISTINCT video_id, error_code FROM job")

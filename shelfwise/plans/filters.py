@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import backoff
-from shelfwise.functions.text import extension
+from shelfwise.functions.text import MIME, extension
 from shelfwise.operators.scope import in_library, is_own, is_public, with_owner
 from shelfwise.registry import query
 from shelfwise.sources.catalog import NOW, Library
@@ -14,8 +14,6 @@ from shelfwise.sources.catalog import NOW, Library
 OWNED = "SELECT v.*, a.user_id AS owner, a.status AS owner_status FROM video v LEFT JOIN account a ON a.id = v.account_id"
 VISIBLE = "account_id IS NULL OR (owner = {0} AND owner_status <> 'DISCONNECTED')"
 OWN = "owner = {0} AND owner_status <> 'DISCONNECTED'"
-#: Extensions of video files.
-VIDEO_EXTENSIONS = ("mp4", "mkv", "webm", "mov", "avi", "m4v", "ts", "mpg", "mpeg", "wmv", "flv", "3gp", "ogv")
 now = lambda: F.lit(NOW).cast("timestamp_ntz")
 
 
@@ -87,35 +85,39 @@ def due_accounts(lib: Library) -> DataFrame:
 
 
 RUNNABLE = f"""SELECT j.* FROM job j JOIN video v ON v.id = j.video_id JOIN account a ON a.id = v.account_id
-    WHERE j.status = 'pending' AND j.next_retry_at <= TIMESTAMP '{NOW}' AND a.user_id <> 4 AND a.status NOT IN ('DISCONNECTED', 'REAUTH_REQUIRED')"""
+    WHERE j.status = 'pending' AND j.next_retry_at <= TIMESTAMP '{{0}}' AND a.user_id <> 4 AND a.status NOT IN ('DISCONNECTED', 'REAUTH_REQUIRED')
+    AND NOT EXISTS (SELECT 1 FROM job l WHERE l.status = 'generating' AND l.lease_expires_at IS NOT NULL AND l.lease_expires_at >= TIMESTAMP '{{0}}')""".replace("{{0}}", "{0}")
+#: A moment at which a worker still holds a lease (the last one of the table ends a minute before NOW).
+BUSY = "1998-06-16 23:50:00"
 
 
-def runnable(lib: Library, live: bool = False) -> DataFrame:
-    """Jobs that may be claimed: due, of an account in order and a user who has not paused (user 4 has); none while a lease lives.
-
-    live False leaves the lease rule out, which over these tables would leave nothing.
-    """
-    rows = lib.job.where(F.col("status").isin("pending", "queued") & (F.col("next_retry_at") <= now()))
+def runnable(lib: Library, moment=None) -> DataFrame:
+    """Jobs that may be claimed: due, of an account in order and a user who has not paused (user 4 has); none at all while any lease lives."""
+    moment = now() if moment is None else moment
+    rows = lib.job.where(F.col("status").isin("pending", "queued") & (F.col("next_retry_at") <= moment))
     account = lib.account.where("user_id <> 4 AND status NOT IN ('DISCONNECTED', 'REAUTH_REQUIRED')").select(F.col("id").alias("account_id"))
     video = lib.video.select(F.col("id").alias("video_id"), "account_id").join(account, "account_id", "left_semi").select("video_id")
-    rows = rows.join(video, "video_id", "left_semi")
-    if live:
-        leases = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= now()))
-        rows = rows.where(~leases.exists())
-    return rows
+    leases = lib.job.where((F.col("status") == "generating") & (F.col("lease_expires_at") >= moment))
+    return rows.join(video, "video_id", "left_semi").where(~leases.exists())
 
 
-@query("fil_13_runnable_jobs", f"SELECT id FROM ({RUNNABLE})")
+@query("fil_13_runnable_jobs", f"SELECT 'free' AS moment, id FROM ({RUNNABLE.format(NOW)}) UNION ALL SELECT 'busy', id FROM ({RUNNABLE.format(BUSY)})")
 def runnable_jobs(lib: Library) -> DataFrame:
-    return runnable(lib).select("id")
+    """At a moment without live leases, and at one with a live lease, when there are none."""
+    free, busy = runnable(lib), runnable(lib, F.lit(BUSY).cast("timestamp_ntz"))
+    return free.select(F.lit("free").alias("moment"), "id").unionByName(busy.select(F.lit("busy").alias("moment"), "id"))
+
+
+ENDINGS = ".MP4", ".txt", ".mkv", "", ".3g2", ".ogv", ".Ts", ".mpeg"
 
 
-@query("fil_14_video_nodes", """SELECT node_id FROM (SELECT *, name || CASE ts % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' WHEN 2 THEN '.mkv' ELSE '' END AS file FROM remote)
-    WHERE list_contains(['mp4', 'mkv', 'webm', 'mov', 'avi', 'm4v', 'ts', 'mpg', 'mpeg', 'wmv', 'flv', '3gp', 'ogv'], lower(regexp_extract(file, '^.+\\.([^.]+)$', 1))) OR (ts % 8 = 1 AND fa IS NOT NULL)""")
+@query("fil_14_video_nodes", """SELECT node_id FROM (SELECT *, name || (['.MP4', '.txt', '.mkv', '', '.3g2', '.ogv', '.Ts', '.mpeg'])[ts % 8 + 1] AS file FROM remote)
+    WHERE lower(regexp_extract(file, '^.+\\.([^.]+)$', 1)) IN ('mp4', 'm4v', 'mov', 'mkv', 'webm', 'avi', 'mpg', 'mpeg', 'wmv', 'flv', 'ts', '3gp', '3g2') OR (ts % 16 = 1 AND fa IS NOT NULL)""")
 def video_nodes(lib: Library) -> DataFrame:
     """By extension, or by a media attribute (type 8)."""
-    rows = lib.remote.withColumns({"file": F.concat("name", F.expr("CASE ts % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' WHEN 2 THEN '.mkv' ELSE '' END")), "fa": F.when(F.col("ts") % 8 == 1, F.concat("fa", F.lit("/2:8*m"))).otherwise(F.col("fa"))})
-    return rows.where(extension(F.col("file")).isin(*VIDEO_EXTENSIONS) | F.coalesce(F.col("fa").rlike(r"(^|/)\d+:8\*"), F.lit(False))).select("node_id")
+    file = F.concat("name", F.get(F.array(*map(F.lit, ENDINGS)), (F.col("ts") % 8).cast("int")))
+    rows = lib.remote.withColumns({"file": file, "fa": F.when(F.col("ts") % 16 == 1, F.concat("fa", F.lit("/2:8*m"))).otherwise(F.col("fa"))})
+    return rows.where(extension(F.col("file")).isin(*MIME) | F.coalesce(F.col("fa").rlike(r"(^|/)\d+:8\*."), F.lit(False))).select("node_id")
 
 
 @query("fil_15_in_list", "SELECT id, status FROM job WHERE status IN ('failed', 'unsupported') AND video_id IN (SELECT video_id FROM history WHERE user_id = 3)")

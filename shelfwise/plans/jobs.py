@@ -52,7 +52,7 @@ def ensure_jobs(lib: Library) -> DataFrame:
     return missing_jobs(lib.video.where("account_id IS NOT NULL").select("id"), latest(lib), now())
 
 
-@query("qry_20_claim_next", f"SELECT id, video_id, 'generating' AS status, TIMESTAMP '{NOW}' + INTERVAL 10 MINUTE AS lease_expires_at FROM ({RUNNABLE}) ORDER BY queued_at < TIMESTAMP '{NOW}' - INTERVAL 800 DAY DESC, priority DESC, queued_at, id LIMIT 1")
+@query("qry_20_claim_next", f"SELECT id, video_id, 'generating' AS status, TIMESTAMP '{NOW}' + INTERVAL 10 MINUTE AS lease_expires_at FROM ({RUNNABLE.format(NOW)}) ORDER BY queued_at < TIMESTAMP '{NOW}' - INTERVAL 800 DAY DESC, priority DESC, queued_at, id LIMIT 1")
 def claim_next(lib: Library) -> DataFrame:
     """The row that a claim takes, as it is written back; a table format with transactions makes it a compare-and-set."""
     aged = F.col("queued_at") < now() - F.expr("INTERVAL '800' DAY")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify as C
@@ -62,9 +62,9 @@ def parsed(lib: Library) -> DataFrame:
     return names(lib).select("id", T.parsed_name(F.col("name")).alias("p")).select("id", "p.*")
 
 
-@query("str_06_slug")
+@query("str_06_slug", "SELECT id, coalesce(nullif(substr(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120), ''), 'video') AS slug FROM video")
 def slugs(lib: Library) -> DataFrame:
-    """Needs compatibility decomposition, which SQL engines lack: checked by cases."""
+    """The twin takes accents away, which is all that compatibility decomposition does to these titles; more is checked by cases."""
     return titles(lib).select("id", T.slug(F.col("title")).alias("slug"))
 
 
@@ -99,18 +99,31 @@ def similarities(lib: Library) -> DataFrame:
     return titles(lib).join(nxt, "id").select("id", T.title_similarity(F.lower("title"), F.lower("other")).alias("similarity"))
 
 
-@query("str_13_download_name", """WITH n AS (SELECT id, CASE id % 4 WHEN 0 THEN 'a/b:c*' || id || '.mp4' WHEN 1 THEN repeat('long ', 50) || id || '.mkv' WHEN 2 THEN '  ..' ELSE filename END AS name FROM video),
-    t AS (SELECT id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|]+', ' ', 'g'), '[\\x00-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')), '^[. ]+|[. ]+$', '', 'g') AS t FROM n),
-    e AS (SELECT id, t, regexp_extract(t, '(\\.[A-Za-z0-9]{1,8})$', 1) AS e FROM t)
-    SELECT id, CASE WHEN t = '' THEN 'video' WHEN length(t) > 180 THEN rtrim(substr(t, 1, 180 - length(e))) || e ELSE t END AS name FROM e""")
+DOWNLOADS = "CASE id % 8 WHEN 0 THEN 'a/b:c*' || id || '.mp4' WHEN 1 THEN repeat('long ', 50) || id || '.mkv' WHEN 2 THEN '  ..' WHEN 3 THEN NULL WHEN 4 THEN '..hidden ' || id || '. .' WHEN 5 THEN repeat('x', 200) || '.elevenchars' WHEN 6 THEN 'tab' || chr(9) || chr(8203) || 'q\"' || id || '.MP4' ELSE filename END"
+SAFE = "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '^.*[/\\\\]', '', 's'), '[<>:\"/\\\\|?*\\x00-\\x1f]', '', 'g'), '[\\x{{7f}}-\\x{{9f}}\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202f}}\\x{{feff}}]', '', 'g'), '^\\.+', ''), ' ' || chr(9) || chr(160)), '[. ]+$', '')"
+
+
+def downloads(lib: Library) -> DataFrame:
+    return lib.video.select("id", F.expr(DOWNLOADS).alias("name"), F.expr("CASE WHEN id % 3 = 0 THEN 'Title: ' || id WHEN id % 3 = 1 THEN 'Title.v' || id END").alias("title"), F.expr("CASE id % 4 WHEN 0 THEN '.M-KV ' WHEN 2 THEN 'twelve_letters' WHEN 3 THEN 'mp4' END").alias("ending"))
+
+
+@query("str_13_download_name", f"""WITH n AS (SELECT id, {DOWNLOADS} AS name, CASE WHEN id % 3 = 0 THEN 'Title: ' || id WHEN id % 3 = 1 THEN 'Title.v' || id END AS title, CASE id % 4 WHEN 0 THEN 'mkv' WHEN 2 THEN '' WHEN 3 THEN 'mp4' ELSE '' END AS tail FROM video),
+    c AS (SELECT id, {SAFE.format('name')} AS own, {SAFE.format('title')} AS other, tail FROM n),
+    f AS (SELECT id, CASE WHEN own <> '' THEN own WHEN other = '' THEN 'video.bin' WHEN tail <> '' AND regexp_extract(other, '^.+(\\.[^.]{{1,10}})$', 1) = '' THEN other || '.' || tail ELSE other END AS name FROM c),
+    e AS (SELECT id, name, regexp_extract(name, '^.+(\\.[^.]{{1,10}})$', 1) AS e FROM f)
+    SELECT id, CASE WHEN length(name) > 180 THEN substr(name, 1, least(length(name) - length(e), 180 - length(e))) || e ELSE name END AS name FROM e""")
 def download_names(lib: Library) -> DataFrame:
-    rows = lib.video.select("id", F.expr("CASE id % 4 WHEN 0 THEN 'a/b:c*' || id || '.mp4' WHEN 1 THEN repeat('long ', 50) || id || '.mkv' WHEN 2 THEN '  ..' ELSE filename END").alias("name"))
-    return rows.select("id", T.download_name(F.col("name")).alias("name"))
+    return downloads(lib).select("id", T.download_name(F.col("name"), F.col("title"), F.col("ending")).alias("name"))
 
 
-@query("str_14_content_disposition")
+QUOTED = "CASE id % 6 WHEN 0 THEN 'a\"b' || chr(92) || id || '.mp4' WHEN 1 THEN 'é (' || id || ')!.mp4' WHEN 2 THEN '' WHEN 3 THEN '🙂' || id || '~*.mp4' WHEN 4 THEN '\"' ELSE filename END"
+
+
+@query("str_14_content_disposition", f"""WITH n AS (SELECT id, {QUOTED} AS name FROM video), s AS (SELECT id, name, replace(replace(name, chr(92), ''), '"', '') AS s FROM n),
+    a AS (SELECT *, coalesce(nullif(array_to_string(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN '__' WHEN c <> '' AND (unicode(c) < 32 OR unicode(c) > 126) THEN '_' ELSE c END), ''), ''), 'download') AS a FROM s)
+    SELECT id, CASE WHEN s <> '' AND a = s THEN 'attachment; filename="' || s || '"' ELSE 'attachment; filename="' || a || '"; filename*=UTF-8' || chr(39) || chr(39) || replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') END AS header FROM a""")
 def dispositions(lib: Library) -> DataFrame:
-    return titles(lib).select("id", T.content_disposition(F.col("filename")).alias("header"))
+    return lib.video.select("id", F.expr(QUOTED).alias("name"), "filename").select("id", T.content_disposition(F.col("name")).alias("header"))
 
 
 @query("str_15_safe_reason", "SELECT id, substr(trim(regexp_replace(regexp_replace('failed  at https://h/' || id || '?k=1 ' || title, 'https?://\\S+', '[url]', 'g'), '\\s+', ' ', 'g')), 1, 40) AS reason FROM video")
@@ -135,11 +148,11 @@ def emails(lib: Library) -> DataFrame:
     return lib.raw("customer").select(F.col("c_custkey").alias("id"), T.email_key(F.concat(F.lit("  "), "c_name", F.lit("@Example.COM "))).alias("email"))
 
 
-@query("str_19_clock_and_bytes", """SELECT id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) WHEN s > 0 THEN printf('%d:%02d', s // 60, s % 60) ELSE '' END AS clock,
+@query("str_19_clock_and_bytes", """SELECT id, CASE WHEN s IS NULL OR s < 0 THEN NULL WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock,
     CASE WHEN b >= 1048576 AND b / 1048576.0 < 10 THEN printf('%.1f MB', floor(b / 1048576.0 * 10 + 0.5) / 10) WHEN b >= 1048576 THEN printf('%d MB', CAST(floor(b / 1048576.0 + 0.5) AS BIGINT)) WHEN b >= 1024 AND b / 1024.0 < 10 THEN printf('%.1f KB', floor(b / 1024.0 * 10 + 0.5) / 10) WHEN b >= 1024 THEN printf('%d KB', CAST(floor(b / 1024.0 + 0.5) AS BIGINT)) ELSE printf('%d B', b) END AS size
-    FROM (SELECT id, duration * 7 AS s, file_size * (id % 100) AS b FROM video)""")
+    FROM (SELECT id, CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END AS s, file_size * (id % 100) AS b FROM video)""")
 def clocks(lib: Library) -> DataFrame:
-    return titles(lib).select("id", T.clock(F.col("duration") * 7).alias("clock"), T.bytes_text(F.col("file_size") * (F.col("id") % 100)).alias("size"))
+    return titles(lib).select("id", T.clock(F.expr("CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END")).alias("clock"), T.bytes_text(F.col("file_size") * (F.col("id") % 100)).alias("size"))
 
 
 @query("str_20_vtt_time", "SELECT id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS at FROM (SELECT id, file_size * 977 AS ms FROM video)")
@@ -147,15 +160,18 @@ def vtt(lib: Library) -> DataFrame:
     return titles(lib).select("id", T.vtt_time(F.col("file_size") * 977).alias("at"))
 
 
-@query("str_21_fnv1a")
+@query("str_21_fnv1a", """WITH u AS (SELECT id, list_transform(list_filter(string_split(title, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT)) AS points FROM video)
+    SELECT id, lower(to_hex(list_reduce(flatten(list_transform(points, lambda p: CASE WHEN p > 65535 THEN [55296 + (p - 65536) // 1024, 56320 + (p - 65536) % 1024] ELSE [p] END)), lambda h, p: (xor(h, p) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)))) AS hash FROM u""")
 def fnv(lib: Library) -> DataFrame:
     return titles(lib).select("id", T.fnv1a(F.col("title")).alias("hash"))
 
 
-@query("str_22_attribute_handles", "SELECT id, 't' || id AS thumb, 'new' AS media FROM video")
+ATTRIBUTES = "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '703:0*t' || id || '/703:1*p/715:8*m' WHEN 2 THEN '7:0*a/7:0*b' || id || '/x/:1*q/7:8*' WHEN 3 THEN '7:8*m/7:9*n' ELSE '7:1*p*' || id END"
+
+
+@query("str_22_attribute_handles", """SELECT id, CASE id % 5 WHEN 1 THEN 't' || id WHEN 2 THEN 'b' || id END AS thumbnail, CASE id % 5 WHEN 1 THEN 'p' WHEN 4 THEN 'p*' || id END AS preview, CASE WHEN id % 5 IN (1, 3) THEN 'm' END AS media FROM video""")
 def handles(lib: Library) -> DataFrame:
-    said = F.concat(F.lit("7:0*t"), F.col("id").cast("string"), F.lit("/7:8*old/bad/9:8*new"))
-    return lib.video.select("id", said.alias("fa")).select("id", T.attribute_handles(F.col("fa")).alias("m")).select("id", F.col("m")["0"].alias("thumb"), F.col("m")["8"].alias("media"))
+    return lib.video.select("id", F.expr(ATTRIBUTES).alias("fa")).select("id", T.named_handles(F.col("fa")).alias("h")).select("id", "h.*")
 
 
 TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -167,22 +183,42 @@ def trigram(lib: Library) -> DataFrame:
     return rows.select("id", F.round(T.trigram_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query("str_25_link_parts", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'AbCd' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') END AS node, CASE WHEN id % 3 = 0 THEN NULL ELSE repeat('k', 43) END AS key FROM video")
+LINK = "CASE id % 8 WHEN 0 THEN 'https://example.com/file/' || id WHEN 1 THEN ' https://mega.nz/file/AbCd' || lpad(CAST(id % 10000 AS STRING), 4, '0') || '#' || repeat('k', 43) || ' ' WHEN 2 THEN 'http://www.mega.co.nz/file/Ab-d_' || lpad(CAST(id % 1000 AS STRING), 3, '0') || '#' || repeat('k', 32 + CAST(id % 40 AS INT)) WHEN 3 THEN 'https://mega.nz/embed/AbCdEfGh#' || repeat('k', 43) WHEN 4 THEN 'https://mega.nz/file/AbCdEfGh!' || repeat('k', 43) WHEN 5 THEN 'https://mega.io/file/AbCdEfGh#' || repeat('k', 43) WHEN 6 THEN NULL ELSE 'https://mega.nz/file/AbCdEfGh#' || repeat('k', 43) || '/x' END"
+
+
+@query("str_25_link_parts", """WITH p AS (SELECT id, CASE id % 8 WHEN 1 THEN 'AbCd' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN CASE WHEN id % 40 <= 32 THEN 'Ab-d_' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') END END AS node, CASE id % 8 WHEN 1 THEN repeat('k', 43) WHEN 2 THEN CASE WHEN id % 40 <= 32 THEN repeat('k', CAST(32 + id % 40 AS INTEGER)) END END AS key FROM video)
+    SELECT id, node, key, 'https://mega.nz/embed/' || node || '#' || key AS embed, 'https://mega.nz/embed/' || node || '#' || key || '!1a' AS autoplay, 'https://mega.nz/embed/' || node || '#' || key || '!1a1m' AS preview FROM p""")
 def links(lib: Library) -> DataFrame:
-    url = F.expr("CASE WHEN id % 3 = 0 THEN concat('https://example.com/file/', id) ELSE concat(' https://mega.nz/', CASE WHEN id % 2 = 0 THEN 'file' ELSE 'embed' END, '/AbCd', lpad(CAST(id % 10000 AS STRING), 4, '0'), '#', repeat('k', 43), ' ') END")
-    return lib.video.select("id", T.link_parts(url).alias("p")).select("id", F.col("p.id").alias("node"), F.col("p.key").alias("key"))
+    url = F.col("url")
+    rows = lib.video.select("id", F.expr(LINK).alias("url"))
+    return rows.select("id", T.link_parts(url)["id"].alias("node"), T.link_parts(url)["key"].alias("key"), T.embed_url(url).alias("embed"), T.embed_url(url, autoplay=True).alias("autoplay"), T.preview_url(url).alias("preview"))
+
+
+FAULTS = ("ESID (-15): Invalid session", "EMFAREQUIRED (-26)", "ENOENT (-9): not found", "EBLOCKED (-16)", "Invalid Credentials given", "EAGAIN (-3): congestion", "Too Busy", "connect ECONNRESET 1.2.3.4", "EKEY (-14)", "Server returned error 500")
 
 
-@query("str_26_error_kind", "SELECT id, CASE id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'auth' WHEN 2 THEN 'quota' WHEN 3 THEN 'missing' ELSE 'network' END AS kind FROM video")
+@query("str_26_error_kind", """WITH f AS (SELECT id, id % 10 AS k, id % 3 = 0 AS login FROM video)
+    SELECT id, CASE WHEN k = 0 THEN 'session-expired' WHEN k = 1 THEN 'mfa' WHEN login AND k IN (2, 3, 4) THEN 'auth' WHEN k IN (5, 6, 7, 9) THEN 'transient' WHEN login THEN 'auth' ELSE 'unknown' END AS kind FROM f""")
 def error_kinds(lib: Library) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, ("Request timed out (401)", "ESID (-15)", "Bandwidth quota 509", "ENOENT not found", "socket hang up"))), (F.col("id") % 5 + 1).cast("int"))
-    return lib.video.select("id", T.error_kind(said).alias("kind"))
+    """What an account's error is depends on where it came from: -9 is a wrong password while logging in, a missing file later."""
+    said = F.concat(one_of(FAULTS, F.col("id") % 10), F.lit(" in "), F.coalesce(F.nullif(F.length("title"), F.lit(-1)), F.lit(0)).cast("string"), F.lit(" steps"))
+    return titles(lib).select("id", T.error_kind(said, F.col("id") % 3 == 0).alias("kind"))
 
 
-@query("mat_01_quotas", "SELECT unnest(['recent', 'history', 'related', 'random', 'variety']) AS source, unnest([4, 2, 4, 7, 7]) AS with_history, unnest([4, 0, 4, 8, 8]) AS without")
+@query("mat_01_quotas", """WITH c AS (SELECT u.user_id, count(h.video_id) > 0 AS watched FROM (SELECT r_regionkey AS user_id FROM region UNION ALL SELECT 9) u LEFT JOIN history h ON h.user_id = u.user_id GROUP BY u.user_id)
+    SELECT user_id, unnest(['recent', 'history', 'related', 'random', 'variety']) AS source, unnest(CASE WHEN watched THEN [4, 2, 4, 7, 7] ELSE [4, 0, 4, 8, 8] END) AS quota FROM c""")
 def feed_quotas(lib: Library) -> DataFrame:
-    a, b = N.quotas(24, True), N.quotas(24, False)
-    return lib.spark.createDataFrame([(s, a[s], b[s]) for s in N.FEED_SOURCES], "source string, with_history int, without int")
+    """A page's places by source for every user, with a watch history and without (user 9 has none)."""
+    users = lib.raw("region").select(F.col("r_regionkey").alias("user_id")).union(lib.spark.range(9, 10))
+    watched = users.join(lib.history.select("user_id", F.lit(True).alias("watched")).distinct(), "user_id", "left")
+    shares = lambda has: F.array(*[F.struct(F.lit(s).alias("source"), F.lit(n).alias("quota")) for s, n in N.quotas(24, has).items()])
+    return watched.select("user_id", F.explode(F.when(F.col("watched"), shares(True)).otherwise(shares(False))).alias("q")).select("user_id", "q.*")
+
+
+@query("mat_02_ladders", """SELECT id, [800, 800, 2000, 5000, 10000, 15000][CAST(least(attempts + recoveries, 5) AS INTEGER) + 1] AS resume, [1000, 2000, 4000][CAST(least(recoveries, 2) AS INTEGER) + 1] AS player FROM job""")
+def ladders(lib: Library) -> DataFrame:
+    """Fixed waits of a download that goes on and of the player, whose attempts count from 0."""
+    return lib.job.select("id", N.ladder(N.RESUME_LADDER, F.col("attempts") + F.col("recoveries")).alias("resume"), N.ladder(N.PLAYER_LADDER, F.col("recoveries") + 1).alias("player"))
 
 
 @query("mat_02_backoff", "SELECT id, CAST(least(300 * pow(2, greatest(attempts, 1) - 1), 1000) AS BIGINT) AS wait, CAST(least(60 * pow(2, greatest(recoveries + 1, 1) - 1), 600) AS BIGINT) AS recovery FROM job")
@@ -195,6 +231,12 @@ def candidate_times(lib: Library) -> DataFrame:
     return titles(lib).select("id", N.candidate_times(F.col("duration"), 4).alias("times"))
 
 
+@query("mat_03_candidate_seeks", """WITH d AS (SELECT id, CASE id % 5 WHEN 0 THEN duration / 40.0 ELSE duration END AS d FROM video), r AS (SELECT id, CASE WHEN d > 4 THEN [0.05 * d, 0.25 * d, 0.5 * d, 0.75 * d, d - 2] ELSE [2, 10, 30, 60, 180] END AS r FROM d),
+    s AS (SELECT id, unnest(list_transform(r, lambda t: CAST(greatest(1, floor(t + 0.5)) AS BIGINT))) AS t, generate_subscripts(r, 1) AS i FROM r), f AS (SELECT id, t, min(i) AS i FROM s GROUP BY id, t) SELECT id, list(t ORDER BY i) AS seeks FROM f GROUP BY id""")
+def candidate_seeks(lib: Library) -> DataFrame:
+    return titles(lib).select("id", N.candidate_seeks(F.expr("CASE id % 5 WHEN 0 THEN duration / 40.0D ELSE CAST(duration AS DOUBLE) END")).alias("seeks"))
+
+
 @query("mat_05_byte_window", """WITH w AS (SELECT id, file_size * 1000 AS size, (id % 11) / 10.0 AS f FROM video), x AS (SELECT id, size, f, least(greatest(ceil(size * 0.03), least(4194304, size)), 6000000, size) AS want FROM w)
     SELECT id, CAST(greatest(0, least(floor(least(1.0, f) * size) - floor(least(1.0, f) * size) % 752, (size - want) - (size - want) % 752)) AS BIGINT) AS start, CAST(least(want, size - greatest(0, least(floor(least(1.0, f) * size) - floor(least(1.0, f) * size) % 752, (size - want) - (size - want) % 752))) AS BIGINT) AS length FROM x""")
 def byte_windows(lib: Library) -> DataFrame:
@@ -214,10 +256,10 @@ def merged(lib: Library) -> DataFrame:
 
 
 @query("mat_08_canvas", """WITH p AS (SELECT p_partkey AS id, p_size * 40 AS w, p_partkey % 50 * 30 + 2 AS h FROM part), s AS (SELECT *, least(1.0, CASE WHEN h > w THEN 360 ELSE 640 END / greatest(w, 2), CASE WHEN h > w THEN 640 ELSE 360 END / greatest(h, 2)) AS s FROM p)
-    SELECT id, CAST(greatest(2, floor(greatest(w, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS width, CAST(greatest(2, floor(greatest(h, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS height, CAST(least(30, greatest(1, floor(CASE WHEN w % 7 > 0 THEN w % 7 * 11.99 ELSE 30 END + 0.01))) AS INTEGER) AS fps FROM s""")
+    SELECT id, CAST(greatest(2, floor(greatest(w, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS width, CAST(greatest(2, floor(greatest(h, 2) * s / 2 + 0.5) * 2) AS BIGINT) AS height, CAST(least(30, greatest(1, floor(CASE WHEN w % 7 > 0 THEN w % 7 * 11.99 ELSE 30 END + 0.01))) AS INTEGER) AS fps, coalesce(w > 0 AND h > 0 AND abs(w / h - 16 / 9) <= 0.1, FALSE) AS wide FROM s""")
 def canvases(lib: Library) -> DataFrame:
     rows = lib.raw("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 40).alias("w"), (F.col("p_partkey") % 50 * 30 + 2).alias("h"))
-    return rows.select("id", N.canvas(F.col("w"), F.col("h")).alias("c"), N.frame_rate(F.when(F.col("w") % 7 > 0, F.col("w") % 7 * F.lit(11.99)), 30).alias("fps")).select("id", "c.*", "fps")
+    return rows.select("id", N.canvas(F.col("w"), F.col("h")).alias("c"), N.frame_rate(F.when(F.col("w") % 7 > 0, F.col("w") % 7 * F.lit(11.99)), 30).alias("fps"), N.is_widescreen(F.col("w"), F.col("h")).alias("wide")).select("id", "c.*", "fps", "wide")
 
 
 @query("mat_09_sprite_grid", "SELECT stream, idx, (idx - 1) % 3 * 160 AS x, (idx - 1) // 3 * 90 AS y FROM fragment")
@@ -228,16 +270,47 @@ def sprites(lib: Library) -> DataFrame:
     return lib.fragment.select("stream", "idx").join(grid, ["stream", "idx"])
 
 
+def vtt_sheets(cues: DataFrame, columns: int, width: int, height: int) -> DataFrame:
+    """sheet, text: a WebVTT document for each sheet of pictures.
+
+    cues: sheet, url, k (picture's number from 0), start, interval and duration (ms), irregular (whether start is a time of its own, not a multiple of the
+    interval). A cue ends with the next one or the duration; the first that would not last ends the document.
+    """
+    own = Window.partitionBy("sheet").orderBy("k")
+    after = F.when(F.col("irregular"), F.coalesce(F.lead("start").over(own), F.col("duration"))).otherwise(F.col("start") + F.col("interval"))
+    rows = cues.withColumn("end", F.least(after, F.col("duration")))
+    rows = rows.withColumn("over", F.max((F.col("end") <= F.col("start")).cast("int")).over(own)).where("over = 0")
+    place = F.concat_ws(",", F.col("k") % columns * width, F.floor(F.col("k") / columns) * height, F.lit(width), F.lit(height))
+    cue = F.concat(T.vtt_time(F.col("start")), F.lit(" --> "), T.vtt_time(F.col("end")), F.lit("\n"), "url", F.lit("#xywh="), place)
+    texts = rows.groupBy("sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", cue.alias("cue")))), lambda c: c["cue"]), "\n\n").alias("cues"))
+    return cues.select("sheet").distinct().join(texts, "sheet", "left").select("sheet", F.concat(F.lit("WEBVTT\n\n"), F.coalesce("cues", F.lit("")), F.lit("\n")).alias("text"))
+
+
+@query("mat_09_sprite_vtt", """WITH c AS (SELECT stream, idx - 1 AS k, CASE WHEN stream % 2 = 0 THEN start_time * 977 ELSE (idx - 1) * 10500 END AS start, stream % 2 = 0 AS irregular, stream % 40 * 1500 AS duration FROM fragment),
+    e AS (SELECT *, least(CASE WHEN irregular THEN coalesce(lead(start) OVER w, duration) ELSE start + 10500 END, duration) AS finish FROM c WINDOW w AS (PARTITION BY stream ORDER BY k)), o AS (SELECT *, bool_or(finish <= start) OVER (PARTITION BY stream ORDER BY k) AS over FROM e),
+    t AS (SELECT stream, k, printf('%02d:%02d:%02d.%03d', start // 3600000, start // 60000 % 60, start // 1000 % 60, start % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', finish // 3600000, finish // 60000 % 60, finish // 1000 % 60, finish % 1000) || chr(10) || '/s/' || stream || '.jpg#xywh=' || (k % 3 * 160) || ',' || (k // 3 * 90) || ',160,90' AS cue FROM o WHERE NOT over)
+    SELECT s.stream AS sheet, 'WEBVTT' || chr(10) || chr(10) || coalesce((SELECT string_agg(cue, chr(10) || chr(10) ORDER BY k) FROM t WHERE t.stream = s.stream), '') || chr(10) AS text FROM (SELECT DISTINCT stream FROM fragment) s""")
+def sprite_vtt(lib: Library) -> DataFrame:
+    """Sheets with times of their own and with a fixed interval; one of no duration has no cues."""
+    rows = lib.fragment.select(
+        F.col("stream").alias("sheet"), F.concat(F.lit("/s/"), "stream", F.lit(".jpg")).alias("url"), (F.col("idx") - 1).alias("k"), F.expr("CASE WHEN stream % 2 = 0 THEN start_time * 977 ELSE (idx - 1) * 10500 END").alias("start"),
+        F.lit(10_500).alias("interval"), (F.col("stream") % 40 * 1500).alias("duration"), (F.col("stream") % 2 == 0).alias("irregular"),
+    )
+    return vtt_sheets(rows, 3, 160, 90)
+
+
 @query("mat_10_signature_distance", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE) - 0.5))) / len(embedding), 6) AS distance FROM embeddings")
 def distances(lib: Library) -> DataFrame:
     rows = lib.raw("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     return rows.select("id", F.round(N.signature_distance(F.col("a"), F.transform("a", lambda x: F.lit(0.5))), 6).alias("distance"))
 
 
-@query("mat_11_duration_units", "SELECT id, CAST(CASE WHEN v <= 0 THEN NULL WHEN v > 10000000 THEN round(v / 1000000) WHEN v > 100000 THEN round(v / 1000) ELSE v END AS BIGINT) AS seconds FROM (SELECT id, CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN file_size WHEN 2 THEN 100001 + file_size * 100 ELSE 10000001 + file_size * 100000 END AS v FROM video)")
+UNITS = "CASE id % 7 WHEN 0 THEN 0 WHEN 1 THEN file_size % 1000 WHEN 2 THEN 1000 + file_size WHEN 3 THEN 1000000 + file_size * 1000 WHEN 4 THEN 1000 WHEN 5 THEN 999999 WHEN 6 THEN NULL END"
+
+
+@query("mat_11_duration_units", f"SELECT id, CAST(CASE WHEN v > 0 THEN floor(CASE WHEN v >= 1000000 THEN v / 1000000 WHEN v >= 1000 THEN v / 1000 ELSE v END + 0.5) END AS BIGINT) AS seconds FROM (SELECT id, {UNITS} AS v FROM video)")
 def duration_units(lib: Library) -> DataFrame:
-    v = F.expr("CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN file_size WHEN 2 THEN 100001 + file_size * 100 ELSE 10000001 + file_size * 100000 END")
-    return lib.video.select("id", N.duration_seconds(v).alias("seconds"))
+    return lib.video.select("id", N.duration_seconds(F.expr(UNITS)).alias("seconds"))
 
 
 @query("mat_12_byte_range", """SELECT id, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN id END WHEN 1 THEN greatest(file_size - 10, 0) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END END AS start, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN least(id + 99, file_size - 1) END WHEN 1 THEN file_size - 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE file_size - 1 END END AS "end" FROM video""")
@@ -247,9 +320,11 @@ def byte_ranges(lib: Library) -> DataFrame:
     return rows.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
-@query("mat_13_size_text", "SELECT id, CASE id % 4 WHEN 0 THEN id * 1073741824 WHEN 1 THEN id WHEN 2 THEN CAST(floor((id + 0.5) * 1048576) AS BIGINT) END AS bytes FROM video")
+@query("mat_13_size_text", "SELECT id, CASE id % 8 WHEN 0 THEN CASE WHEN id = 0 THEN 5368709120 ELSE id * 1073741824 END WHEN 1 THEN id WHEN 2 THEN CAST(floor((id + 0.5) * 1048576) AS BIGINT) WHEN 3 THEN id * 1024 ELSE 5368709120 END AS bytes FROM video")
 def size_texts(lib: Library) -> DataFrame:
-    return lib.video.select("id", N.size_bytes(F.expr("CASE id % 4 WHEN 0 THEN concat(id, 'GB') WHEN 1 THEN concat(id, '') WHEN 2 THEN concat(id, '.5 mb') ELSE 'lots' END")).alias("bytes"))
+    """What cannot be read, and zero, give the fallback; "5G" and "5GiB" cannot."""
+    said = F.expr("CASE id % 8 WHEN 0 THEN concat(id, 'GB') WHEN 1 THEN concat(id, '') WHEN 2 THEN concat(id, '.5 mb') WHEN 3 THEN concat(' ', id, ' Kb ') WHEN 4 THEN concat(id, 'G') WHEN 5 THEN concat(id, 'GiB') WHEN 6 THEN '0' ELSE NULL END")
+    return lib.video.select("id", N.size_bytes(said, 5 << 30).alias("bytes"))
 
 
 @query("mat_15_timeline_window", """WITH w AS (SELECT id, duration AS d, file_size * 1000 AS size, duration * 0.7 AS t FROM video WHERE duration > 0), x AS (SELECT *, least(greatest(ceil(size * 18 * 1.6 / d), least(2097152, size)), 6000000) AS want FROM w),
@@ -259,6 +334,19 @@ def timeline_windows(lib: Library) -> DataFrame:
     return lib.video.where("duration > 0").select("id", w.alias("w")).select("id", "w.*")
 
 
+@query("mat_15_scene_window", """WITH v AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE duration END AS d, file_size * 1000 AS size, CAST(id % 700 AS DOUBLE) AS s, CASE WHEN id % 6 = 0 THEN NULL ELSE (id % 13) / 10.0 - 0.1 END AS f, id % 5 = 0 AS e FROM video),
+    w AS (SELECT *, coalesce(d > 0, FALSE) AS known, CASE WHEN d > 0 THEN greatest(0, least(s, greatest(0, d - greatest(0.2, least(4.0, d))))) ELSE greatest(0, s) END AS t, least(1.0, greatest(0.0, f)) AS g FROM v),
+    x AS (SELECT *, CASE WHEN known THEN least(greatest(ceil(size * 18 * 1.6 / d), least(2097152, size)), 6000000) ELSE least(greatest(ceil(size * 0.03), least(4194304, size)), 6000000, size) END AS want FROM w),
+    y AS (SELECT *, floor(CASE WHEN known THEN t / d * size ELSE coalesce(g, 0) * size END) AS p, greatest(0, size - want) AS q FROM x), z AS (SELECT *, CASE WHEN size > 0 THEN greatest(0, least(p - p % 752, q - q % 752)) ELSE 0 END AS start FROM y)
+    SELECT id, CAST(t AS DOUBLE) AS "at", CAST(start AS BIGINT) AS start, CAST(CASE WHEN size > 0 THEN least(want, size - start) ELSE 0 END AS BIGINT) AS length, NOT known OR e AS estimated, CASE WHEN NOT known THEN CAST(g AS DOUBLE) END AS fraction FROM z""")
+def scene_windows(lib: Library) -> DataFrame:
+    """A scene's bytes: clear of the end of a known duration, an estimate by fraction where it is not known."""
+    rows = titles(lib).withColumn("d", F.expr("CASE WHEN id % 4 = 0 THEN NULL ELSE duration END"))
+    fraction = F.expr("CASE WHEN id % 6 = 0 THEN NULL ELSE (id % 13) / 10.0D - 0.1D END")
+    w = N.scene_window((F.col("id") % 700).cast("double"), F.lit(4.0), F.col("d"), F.col("file_size") * 1000, fraction, F.col("id") % 5 == 0, 6_000_000, 752)
+    return rows.select("id", w.alias("w")).select("id", "w.*")
+
+
 @query("dat_01_daily_seed", "SELECT DISTINCT 'home-' || strftime(ts, '%Y-%m-%d') AS seed FROM events")
 def daily_seed(lib: Library) -> DataFrame:
     return lib.raw("events").select(F.concat(F.lit("home-"), F.date_format("ts", "yyyy-MM-dd")).alias("seed")).distinct()
@@ -276,13 +364,37 @@ def version_fingerprint(lib: Library) -> DataFrame:
     return lib.video.select("id", F.substring(F.sha2(F.to_json(F.struct(F.col("file_size").alias("size"), F.lit(2).alias("v"))), 256), 1, 10).alias("version"))
 
 
-@query("cls_01_mime_and_route", f"""WITH n AS (SELECT id, {NAMES} AS name FROM video), e AS (SELECT id, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS e FROM n)
-    SELECT id, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.MIME.items())} ELSE 'application/octet-stream' END AS mime, CASE WHEN e IN ('mp4', 'm4v', 'webm') THEN 'direct' WHEN e IN ('mkv', 'mov', 'ts') THEN 'remux' ELSE 'unsupported' END AS route FROM e""")
-def mime_and_route(lib: Library) -> DataFrame:
+@query("cls_01_media_type", f"""WITH n AS (SELECT id, CASE WHEN id % 2 = 0 THEN {NAMES} ELSE 'f' || id || '.' || (['MPG', 'mpeg', 'wmv', 'flv', '3gp', '3G2', 'ts', 'm4v', 'mov', 'webm', 'avi', 'ogv', 'mp4'])[id % 13 + 1] END AS name FROM video), e AS (SELECT id, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS e FROM n)
+    SELECT id, CASE WHEN e IN ('mp4', 'm4v') THEN 'video/mp4' WHEN e = 'mov' THEN 'video/quicktime' WHEN e = 'mkv' THEN 'video/x-matroska' WHEN e = 'webm' THEN 'video/webm' WHEN e = 'avi' THEN 'video/x-msvideo' WHEN e IN ('mpg', 'mpeg') THEN 'video/mpeg'
+        WHEN e = 'wmv' THEN 'video/x-ms-wmv' WHEN e = 'flv' THEN 'video/x-flv' WHEN e = 'ts' THEN 'video/mp2t' WHEN e = '3gp' THEN 'video/3gpp' WHEN e = '3g2' THEN 'video/3gpp2' END AS mime FROM e""")
+def media_types(lib: Library) -> DataFrame:
     """Lookup tables of a few entries as map literals."""
-    ext = T.extension(F.col("name"))
-    route = F.when(ext.isin("mp4", "m4v", "webm"), "direct").when(ext.isin("mkv", "mov", "ts"), "remux").otherwise("unsupported")
-    return names(lib).select("id", F.coalesce(T.mime_of(F.col("name")), F.lit("application/octet-stream")).alias("mime"), route.alias("route"))
+    rows = names(lib).withColumn("name", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("f"), "id", F.lit("."), one_of(("MPG", "mpeg", "wmv", "flv", "3gp", "3G2", "ts", "m4v", "mov", "webm", "avi", "ogv", "mp4"), F.col("id") % 13))))
+    return rows.select("id", T.mime_of(F.col("name")).alias("mime"))
+
+
+#: First bytes of files, in hex: a transport stream, one out of step, an MP4, a box longer than what was read, Matroska, RIFF, and too little.
+HEADS = ("47" + "00" * 187 + "47" + "00" * 187, "47" + "00" * 187 + "48" + "00" * 187, "0000001866747970" + "00" * 32, "0000FFFF66747970" + "00" * 32, "1A45DFA3" + "00" * 8, "5249464600000000415649200000", "47", "")
+
+
+@query("cls_01_route", """WITH s AS (SELECT id, id % 8 AS k, CASE id % 3 WHEN 0 THEN 'video/mp2t' WHEN 1 THEN 'video/mp4' END AS stored FROM video), c AS (SELECT *, CASE k WHEN 0 THEN 'ts' WHEN 2 THEN 'mp4' ELSE 'unknown' END AS seen FROM s)
+    SELECT id, seen, CASE WHEN seen = 'ts' THEN 'mp2t' WHEN seen = 'mp4' THEN 'mp4' WHEN stored = 'video/mp2t' THEN 'mp2t' ELSE 'mp4' END AS verdict,
+        CASE WHEN seen = 'ts' AND coalesce(stored, '') <> 'video/mp2t' THEN 'video/mp2t' WHEN seen = 'mp4' AND stored = 'video/mp2t' THEN 'video/mp4' END AS corrected FROM c""")
+def routes(lib: Library) -> DataFrame:
+    """How a file is played: by its first bytes, else by its stored label, which bytes may correct."""
+    rows = lib.video.select("id", F.unhex(one_of(HEADS, F.col("id") % 8)).alias("head"), F.expr("CASE id % 3 WHEN 0 THEN 'video/mp2t' WHEN 1 THEN 'video/mp4' END").alias("stored"))
+    return rows.select("id", "stored", C.container_of(F.col("head")).alias("seen")).select("id", "seen", C.routed(F.col("stored"), F.col("seen")).alias("r")).select("id", "seen", "r.*")
+
+
+@query("cls_02_player_retry", """WITH p AS (SELECT id, [410, 503, 429, 500, 200, 206, 404, 301, NULL, NULL, 599, 503][id % 12 + 1] AS status, id % 12 = 9 AS down, CASE id % 5 WHEN 0 THEN '7' WHEN 1 THEN '0' WHEN 2 THEN '90' WHEN 3 THEN 'soon' END AS after, id % 4 AS attempt FROM video),
+    w AS (SELECT *, [1000, 2000, 4000, 4000][attempt + 1] AS wait, CASE after WHEN '7' THEN 7000 WHEN '0' THEN 1000 WHEN '90' THEN 30000 END AS asked FROM p),
+    a AS (SELECT *, CASE WHEN down THEN 'retry' WHEN status = 410 THEN 'unavailable' WHEN status IN (503, 429, 500, 599, 200, 206) THEN 'retry' ELSE 'fatal' END AS action FROM w)
+    SELECT id, action, CAST(CASE WHEN action = 'retry' THEN CASE WHEN NOT down AND status IN (503, 429) THEN coalesce(asked, wait) ELSE wait END END AS BIGINT) AS delay, CASE WHEN action = 'fatal' THEN 'The video is still being prepared.' END AS message FROM a""")
+def player_retries(lib: Library) -> DataFrame:
+    """What a player does after an error, by a probe of the address: try again, and when, or give up."""
+    status = one_of((410, 503, 429, 500, 200, 206, 404, 301, None, None, 599, 503), F.col("id") % 12).cast("int")
+    after = one_of(("7", "0", "90", "soon", None), F.col("id") % 5)
+    return lib.video.select("id", C.player_retry(status, F.col("id") % 12 == 9, after, F.col("id") % 4).alias("r")).select("id", "r.*")
 
 
 @query("cls_02_retry_decision", "SELECT id, CASE WHEN status <> 'failed' THEN 'none' WHEN error_code IN ('max_attempts', 'worker_recovery_exhausted', 'unsupported_codec') THEN 'blocked' WHEN attempts >= 3 THEN 'exhausted' ELSE 'retry' END AS decision FROM job")

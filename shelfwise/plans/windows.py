@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import vtt_time
 from shelfwise.operators.order import numbered
-from shelfwise.operators.scope import in_library, newest, page_strip, paged, with_owner
+from shelfwise.operators.scope import in_library, newest, page_strips, paged, with_owner
 from shelfwise.plans.filters import OWNED, RUNNABLE, VISIBLE, now, runnable
 from shelfwise.registry import query
 from shelfwise.sources.catalog import NOW, Library
@@ -52,7 +52,7 @@ def numbered_keys(lib: Library) -> DataFrame:
     return lib.video.select("id", base.alias("k")).select("id", numbered_key(F.col("k"), F.col("id")).alias("key"))
 
 
-@query("win_09_starvation_order", f"SELECT id, CAST(row_number() OVER (ORDER BY queued_at < TIMESTAMP '{NOW}' - INTERVAL 800 DAY DESC, priority DESC, queued_at, id) AS INTEGER) AS pos FROM ({RUNNABLE}) ORDER BY pos LIMIT 24")
+@query("win_09_starvation_order", f"SELECT id, CAST(row_number() OVER (ORDER BY queued_at < TIMESTAMP '{NOW}' - INTERVAL 800 DAY DESC, priority DESC, queued_at, id) AS INTEGER) AS pos FROM ({RUNNABLE.format(NOW)}) ORDER BY pos LIMIT 24")
 def starvation_order(lib: Library) -> DataFrame:
     """Jobs that waited too long go before all priorities."""
     aged = F.col("queued_at") < now() - F.expr("INTERVAL '800' DAY")
@@ -171,9 +171,16 @@ def brightest(lib: Library) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("stream")).agg(F.coalesce(F.min(F.when(F.col("l_quantity") >= 45, F.col("l_linenumber"))), F.max_by("l_linenumber", F.col("l_quantity") * 100 - F.col("l_linenumber"))).alias("frame"))
 
 
-@query("srt_12_page_strip", "SELECT unnest([1, NULL, 4, 5, 6, NULL, 20]) AS page, unnest([0, 1, 2, 3, 4, 5, 6]) AS pos")
+@query("srt_12_page_strip", """WITH c AS (SELECT c.id, greatest(1, CAST(ceil(count(v.id) / 3.0) AS BIGINT)) AS pages FROM creator c LEFT JOIN video v ON v.creator_id = c.id GROUP BY c.id), a AS (SELECT *, id % pages + 1 AS page FROM c),
+    p AS (SELECT id, page, pages, unnest(range(1, pages + 1)) AS number FROM a), k AS (SELECT * FROM p WHERE pages <= 7 OR number IN (1, pages) OR abs(number - page) <= 1),
+    g AS (SELECT id, number, number - lag(number) OVER (PARTITION BY id ORDER BY number) > 1 AS gap FROM k), e AS (SELECT id, number, number AS page FROM g UNION ALL SELECT id, number - 0.5, NULL FROM g WHERE gap)
+    SELECT id, CAST(page AS BIGINT) AS page, row_number() OVER (PARTITION BY id ORDER BY number) - 1 AS pos FROM e""")
 def strip(lib: Library) -> DataFrame:
-    return lib.spark.createDataFrame([(p, i) for i, p in enumerate(page_strip(5, 20))], "page int, pos int")
+    """The strip below every creator's listing, at some page of it; null is a gap."""
+    counts = lib.video.groupBy(F.col("creator_id").alias("id")).agg(F.count("*").alias("n"))
+    pages = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / 3))
+    at = lib.creator.join(counts, "id", "left").select("id", pages.alias("pages")).withColumn("page", F.col("id") % F.col("pages") + 1)
+    return at.select("id", F.posexplode(page_strips(F.col("page"), F.col("pages"))).alias("pos", "page")).select("id", "page", F.col("pos").cast("long").alias("pos"))
 
 
 @query("set_01_exclusion", "SELECT video_id FROM watchlist WHERE user_id = 1 AND video_id NOT IN (SELECT video_id FROM history WHERE user_id = 1)")

@@ -85,7 +85,7 @@ class Library:
             (F.col("o_orderkey") % 4).alias("attempts"), (F.col("o_orderkey") % 6).alias("recoveries"),
             F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 7 AS INT))").alias("next_retry_at"),
         )
-        lease = F.expr("CASE WHEN status = 'generating' AND id % 5 <> 0 THEN queued_at + INTERVAL '1' DAY END")
+        lease = F.expr(f"CASE WHEN status = 'generating' AND id % 5 <> 0 THEN least(queued_at + INTERVAL '1' DAY, TIMESTAMP_NTZ '{NOW}' - INTERVAL '1' MINUTE) END")
         error = F.expr("CASE WHEN status = 'failed' THEN element_at(array('max_attempts', 'network', 'unsupported_codec'), CAST(id % 3 AS INT) + 1) END")
         return rows.withColumns({"lease_expires_at": lease, "error_code": error})
 
@@ -139,7 +139,7 @@ TABLES = {
     "job0": """SELECT o_orderkey AS id, o_orderkey % 200 AS video_id, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'failed' ELSE ['completed', 'generating', 'unsupported'][o_orderkey % 3 + 1] END AS status,
         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS queued_at, o_orderkey % 4 AS attempts, o_orderkey % 6 AS recoveries,
         o_orderdate + to_days(CAST(o_orderkey % 7 AS INTEGER)) AS next_retry_at FROM orders""",
-    "job": """SELECT *, CASE WHEN status = 'generating' AND id % 5 <> 0 THEN queued_at + INTERVAL 1 DAY END AS lease_expires_at,
+    "job": f"""SELECT *, CASE WHEN status = 'generating' AND id % 5 <> 0 THEN least(queued_at + INTERVAL 1 DAY, TIMESTAMP '{NOW}' - INTERVAL 1 MINUTE) END AS lease_expires_at,
         CASE WHEN status = 'failed' THEN ['max_attempts', 'network', 'unsupported_codec'][id % 3 + 1] END AS error_code FROM job0""",
     "remote": """SELECT 'p' || p_partkey AS node_id, CASE WHEN p_partkey % 13 = 0 THEN p_name || ' (new)' ELSE p_name END AS name,
         CAST(p_size AS BIGINT) * 1000 + CASE WHEN p_partkey % 19 = 0 THEN 1 ELSE 0 END AS size, 1700000000 + p_partkey + CASE WHEN p_partkey % 29 = 0 THEN 60 ELSE 0 END AS ts,

@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import quotas
-from shelfwise.operators.scope import page_strip
+from shelfwise.operators.scope import page_strips
 from shelfwise.operators.selection import by_quota, patterned, round_robin, up_next
 from shelfwise.plans.feed import Pools
 
@@ -26,8 +27,8 @@ def test_picks():
 
 
 @pytest.mark.parametrize(("page", "pages", "strip"), [(1, 5, [1, 2, 3, 4, 5]), (5, 20, [1, None, 4, 5, 6, None, 20]), (1, 20, [1, 2, None, 20]), (20, 20, [1, None, 19, 20])])
-def test_strip(page, pages, strip):
-    assert page_strip(page, pages) == strip
+def test_strip(spark, page, pages, strip):
+    assert spark.range(1).select(page_strips(F.lit(page).cast("long"), F.lit(pages).cast("long")).alias("s")).first()["s"] == strip
 
 
 @pytest.fixture(scope="module")

@@ -32,6 +32,53 @@ def test_text(spark):
     assert value(spark, T.safe_reason(F.col("n")), n="bad\n https://x.y/z?a=1  end") == "bad [url] end"
 
 
+@pytest.mark.parametrize(
+    ("name", "safe"),
+    [("a/b:c*1.mp4", "bc1.mp4"), ("../../etc/passwd", "passwd"), ("C:\\x\\My: Video?.mp4", "My Video.mp4"), ("...hidden.mp4", "hidden.mp4"), ("a\u200bb\u202e.mkv", "ab.mkv"), ("name. . ", "name"), ("...", "video.bin"), ("x/", "video.bin"), ("", "video.bin"), ("x" * 200 + ".mp4", "x" * 176 + ".mp4"), ("x" * 200 + ".elevenchars", "x" * 180)],
+)
+def test_download_names(spark, name, safe):
+    assert value(spark, T.download_name(F.col("n")), n=name) == safe
+
+
+def test_names_from_titles_and_headers(spark):
+    named = lambda title, ending: value(spark, T.download_name(F.lit(None).cast("string"), F.col("t"), F.col("e")), t=title, e=ending)
+    assert [named("My: Title", ".MKV"), named("v1.2", "mp4"), named("Plain", "toolongending"), named("//", "mp4")] == ["My Title.mkv", "v1.2", "Plain", "video.bin"]
+    said = lambda name: value(spark, T.content_disposition(F.col("n")), n=name)
+    assert said('a"b\\.mp4') == 'attachment; filename="ab.mp4"' and said('"') == "attachment; filename=\"download\"; filename*=UTF-8''%22"
+    assert said("🙂 (1)!.mp4") == "attachment; filename=\"__ (1)!.mp4\"; filename*=UTF-8''%F0%9F%99%82%20(1)!.mp4"
+
+
+def test_links(spark):
+    key = "k" * 43
+    parts = lambda url: tuple(value(spark, T.link_parts(F.col("u")), u=url))
+    assert parts(f" https://mega.nz/file/20oTQTBS#{key}\n") == ("20oTQTBS", key) and parts(f"http://www.mega.co.nz/file/20oTQTBS#{'k' * 32}")[1] == "k" * 32
+    for bad in (f"https://mega.nz/embed/20oTQTBS#{key}", f"https://mega.nz/file/20oTQTBS!{key}", f"https://mega.io/file/20oTQTBS#{key}", "https://mega.nz/file/20oTQTBS#short", f"https://mega.nz/file/20oTQTBS#{'k' * 65}"):
+        assert parts(bad) == (None, None)
+    assert value(spark, T.embed_url(F.col("u"), muted=True), u=f"https://mega.nz/file/20oTQTBS#{key}") == f"https://mega.nz/embed/20oTQTBS#{key}!1m"
+
+
+def test_numbers_told_by_their_size(spark):
+    seconds = lambda v: value(spark, N.duration_seconds(F.col("v")), v=v)
+    assert [seconds(v) for v in (0, -1, 999, 1000, 5000, 1500, 999_999, 1_000_000, 2_000_000)] == [None, None, 999, 1, 5, 2, 1000, 1, 2]
+    assert seconds(0.4) == 0 and seconds(float("inf")) is None and seconds(float("nan")) is None
+    size = lambda t: value(spark, N.size_bytes(F.col("t"), 7), t=t)
+    assert [size(t) for t in ("5GB", "1.5 kb", "700", " 2 B ", "5G", "5GiB", "0", "", "-1", "1e3")] == [5 << 30, 1536, 700, 2, 7, 7, 7, 7, 7, 7]
+    clock = lambda v: value(spark, T.clock(F.col("v")), v=v)
+    assert [clock(v) for v in (0, 59.9, 60, 3600, -1, float("inf"), float("nan"))] == ["0:00", "0:59", "1:00", "1:00:00", None, None, None]
+    assert value(spark, N.candidate_seeks(F.col("d")), d=100.0) == [5, 25, 50, 75, 98] and value(spark, N.candidate_seeks(F.col("d")), d=4.0) == [2, 10, 30, 60, 180] and value(spark, N.candidate_seeks(F.col("d")), d=5.0) == [1, 3, 4]
+
+
+def test_account_errors(spark):
+    from shelfwise.functions import classify as C
+
+    kind = lambda text, login: value(spark, T.error_kind(F.col("t"), F.lit(login)), t=text)
+    assert [kind("ESID (-15)", True), kind("(-26)", False), kind("ENOENT (-9)", True), kind("ENOENT (-9)", False), kind("fetch failed", True), kind("odd", True), kind("odd", False)] == ["session-expired", "mfa", "auth", "unknown", "transient", "auth", "unknown"]
+    sniffed = lambda data: spark.createDataFrame([(bytearray(data),)], "d binary").select(C.sniffed_type(F.col("d"))).first()[0]
+    packets = (b"G" + bytes(187)) * 5
+    assert sniffed(packets) == "video/mp2t" and sniffed(packets[:188] * 3 + bytes(376)) is None and sniffed(packets[:752] + bytes(188)) == "video/mp2t"
+    assert sniffed(b"\0\0\0\x10ftyp" + bytes(8)) == "video/mp4" and sniffed(b"\0\0\0\x11ftyp" + bytes(8)) is None and sniffed(b"\x1a\x45\xdf\xa3") == "video/webm" and sniffed(b"RIFF1234AVI ") == "video/x-msvideo" and sniffed(b"") is None
+
+
 def windows(spark, rows, most, gap):
     table = spark.createDataFrame([(rows,)], "w array<struct<start: bigint, length: bigint>>")
     return [(w["start"], w["length"]) for w in table.select(N.merged_windows(F.col("w"), most, gap).alias("m")).first()["m"]]
