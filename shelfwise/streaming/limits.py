@@ -40,21 +40,29 @@ def limited(events: DataFrame, limit: int, window: int) -> DataFrame:
 
 
 def limited_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """The same over a stream; the state of a key is its count and the end of its window.
+    """The same over a stream with a watermark; the state of a key is its count and the end of its window, and goes when the watermark passes that end.
 
-    A micro-batch's events of one key are put in order in memory; maxFilesPerTrigger or maxBytesPerTrigger of the source bounds them.
+    Only keys with a window that is not over are kept. Events (event_id, key, t, at: the same time as a timestamp) that are later than the watermark allows are not
+    decided on. A micro-batch's events of one key are put in order in memory; maxFilesPerTrigger or maxBytesPerTrigger of the source bounds them.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, reset = state.get if state.exists else (0, 0)
         out = []
         for t, event in sorted(pair for b in batches for pair in zip(b["t"], b["event_id"], strict=True)):
             count, reset, said = consume(count, reset, int(t), limit, window)
             out.append((event, key[0], t, *said))
-        state.update((count, reset))
+        if reset > state.getCurrentWatermarkMs():
+            state.update((count, reset))
+            state.setTimeoutTimestamp(reset)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["event_id", "key", "t", "allowed", "remaining", "retry_after"])
 
-    return events.groupBy("key").applyInPandasWithState(fold, DECISION, "count long, reset long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(fold, DECISION, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
