@@ -9,6 +9,9 @@ from shelfwise.operators.scope import paged
 from shelfwise.operators.sinks import insert_new, set_where, upsert_latest, without
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
+from shelfwise.sources.keyed import KeyedFiles
+from shelfwise.sources.shared import written
+from shelfwise.streaming.feeds import place
 
 
 @query("src_01_table_scan", "SELECT id, title, file_size, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS pos FROM video WHERE account_id IS NULL AND file_size > 1000 ORDER BY id LIMIT 24")
@@ -39,11 +42,19 @@ def derived_search_table(lib: Library) -> DataFrame:
     return search_table(lib.video, lib.creator).select("id", "alltext")
 
 
-def refreshed(search: DataFrame, video: DataFrame, creator: DataFrame, changed_video: DataFrame, changed_creator: DataFrame) -> DataFrame:
-    """The search table after changes: rows of changed videos, and of videos of changed creators, are made anew; those of deleted videos go."""
+def stored_search_table(rows: DataFrame, buckets: int = 16) -> KeyedFiles:
+    """The search table (id, alltext) as files by id."""
+    table = KeyedFiles(rows.sparkSession, place(rows.sparkSession, "search"), "id long, alltext string", ["id"], buckets)
+    table.change(rows, lambda old, new: old.unionByName(new))
+    return table
+
+
+def refresh_search_table(table: KeyedFiles, video: DataFrame, creator: DataFrame, changed_video: DataFrame, changed_creator: DataFrame) -> None:
+    """Rows of changed videos, and of videos of changed creators, are made anew, and those of deleted videos go; only their buckets are written."""
     touched = changed_video.select("id").union(video.join(changed_creator.select(F.col("id").alias("creator_id")), "creator_id", "left_semi").select("id")).distinct()
     fresh = search_table(video.join(touched, "id", "left_semi"), creator).select("id", "alltext")
-    return search.join(touched, "id", "left_anti").unionByName(fresh)
+    changes = written(touched.join(fresh, "id", "left"), "search-changes")
+    table.change(changes, lambda old, new: old.join(new, "id", "left_anti").unionByName(new.where("alltext IS NOT NULL")))
 
 
 @query("src_04_search_table_refresh", """WITH c2 AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed ' || name ELSE name END AS name FROM creator WHERE id % 10 <> 7),
@@ -52,7 +63,9 @@ def refreshed(search: DataFrame, video: DataFrame, creator: DataFrame, changed_v
 def refresh(lib: Library) -> DataFrame:
     video = lib.video.where("id % 31 <> 0").withColumn("title", F.expr("CASE WHEN id % 29 = 0 THEN 'edited' ELSE title END"))
     creator = lib.creator.where("id % 10 <> 7").withColumn("name", F.expr("CASE WHEN id % 3 = 0 THEN concat('renamed ', name) ELSE name END"))
-    return refreshed(derived_search_table(lib), video, creator, lib.video.where("id % 31 = 0 OR id % 29 = 0"), lib.creator.where("id % 3 = 0 OR id % 10 = 7"))
+    table = stored_search_table(derived_search_table(lib))
+    refresh_search_table(table, video, creator, lib.video.where("id % 31 = 0 OR id % 29 = 0"), lib.creator.where("id % 3 = 0 OR id % 10 = 7"))
+    return table.read()
 
 
 @query("src_05_snapshot_scan", "SELECT node_id, name, size, make_timestamp(ts * 1000000) AS modified_at FROM remote WHERE coalesce(parent, '') <> 'trash'")
@@ -132,6 +145,4 @@ def ndjson(lib: Library) -> DataFrame:
 @query("snk_08_atomic_publish", "SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM video")
 def atomic_publish(lib: Library) -> DataFrame:
     """Written through Spark's commit protocol, then read again: all rows or none."""
-    from shelfwise.sources.shared import written
-
     return written(lib.video.select("id"), "published").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))

@@ -13,6 +13,7 @@ from shelfwise.plans.scalars import TRIGRAMS
 from shelfwise.plans.windows import SEED, shuffled
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
+from shelfwise.sources.trigram_index import TrigramIndex
 
 #: The command that shows a shuffle instead of a search.
 RANDOM = "#random"
@@ -85,6 +86,27 @@ def short_term(lib: Library) -> DataFrame:
     return searchable(lib, 1).where(Q.predicate(("term", "st"))).select("id")
 
 
+def indexed(lib: Library, node: tuple) -> DataFrame:
+    """What user 1 sees of a query's matches, found by trigrams."""
+    seen = searchable(lib, 1).select("id", "title", "filename", "creator", "alltext")
+    return TrigramIndex.of(seen).matches(node).select("id")
+
+
+@query("fil_06_indexed_term", f"{BASE} SELECT id FROM t WHERE alltext ILIKE '%ntst%'")
+def indexed_long_term(lib: Library) -> DataFrame:
+    return indexed(lib, ("term", "NTST"))
+
+
+@query("fil_07_indexed_term", f"{BASE} SELECT id FROM t WHERE title ILIKE '%st%' OR filename ILIKE '%st%' OR creator ILIKE '%st%'")
+def indexed_short_term(lib: Library) -> DataFrame:
+    return indexed(lib, ("term", "st"))
+
+
+@query("fil_09_indexed_composition", f"{BASE} SELECT id FROM t WHERE (alltext ILIKE '%src1%' OR alltext ILIKE '%ntst%') AND NOT alltext ILIKE '%the%' AND (title ILIKE '%an%' OR filename ILIKE '%an%' OR creator ILIKE '%an%')")
+def indexed_composition(lib: Library) -> DataFrame:
+    return indexed(lib, Q.parse("(src1 || ntst) && !the && an"))
+
+
 @query("fil_08_escaped_pattern", "SELECT id FROM video WHERE contains(lower('100%_' || id || '\\' || title), '%_1') OR contains('\\' || title, '\\E')")
 def escaped(lib: Library) -> DataFrame:
     text = F.concat(F.lit("100%_"), F.col("id").cast("string"), F.lit("\\"), F.col("title"))
