@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.numbers import to_bool, to_utc
 from shelfwise.operators.scope import paged
 from shelfwise.operators.sinks import insert_new, set_where, upsert_latest, without
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 from shelfwise.sources.keyed import KeyedFiles
+from shelfwise.sources.media_store import scanned
 from shelfwise.sources.shared import written
+from shelfwise.sources.sqlite_store import read_store, write_store
 from shelfwise.streaming.feeds import place
 
 
@@ -83,18 +86,51 @@ def store_scan(lib: Library) -> DataFrame:
     return said.groupBy(kind.alias("class")).agg(F.count("*").alias("entries"), F.sum("p_size").alias("bytes"))
 
 
-@query("src_07_typed_etl", """SELECT c_custkey AS id, c_name AS name, CASE c_nationkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS flag,
-    CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c_custkey) ELSE make_timestamp((1700000000 + c_custkey) * 1000000) END AS at FROM customer""")
+def store_files(lib: Library) -> DataFrame:
+    """name, value: files of a store, one for each supplier, with sidecars that are right, wrong, broken, of another type or missing; every fifth file is not finished."""
+    rows = lib.raw("supplier").select(F.col("s_suppkey").alias("id"), F.expr("repeat('x', CAST(s_suppkey % 90 AS INT))").alias("value"))
+    name = F.expr("CASE WHEN id % 5 = 0 THEN concat(id, element_at(array('.ts.part', '.live.spool', '.part.mp4'), CAST(id div 5 % 3 AS INT) + 1)) WHEN id % 13 = 0 THEN concat(id, '.txt') ELSE concat(id, '.mp4') END")
+    said = F.expr("""CASE id % 7 WHEN 1 THEN concat('{"megaNodeId": "n', id, '", "outputSize": ', id % 90 + 2, '}') WHEN 2 THEN concat('{"megaNodeId": ', id, ', "outputSize": ', id % 90 + 1, '}')
+        WHEN 3 THEN concat('{"megaNodeId": "n', id, '", "outputSize": ') WHEN 4 THEN NULL ELSE concat('{"megaNodeId": "n', id, '", "outputSize": ', id % 90 + 1, ', "lastAccessedAt": "2026-01-01T00:00:00Z"}') END""")
+    beside = rows.select(F.concat("id", F.lit(".json")).alias("name"), said.alias("value")).where("value IS NOT NULL")
+    return rows.select(name.alias("name"), "value").unionByName(beside)
+
+
+@query("src_06_store_files", """SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'temp' WHEN s_suppkey % 7 IN (0, 5, 6) THEN 'valid' ELSE 'stale' END AS kind, count(*) AS entries, CAST(sum(s_suppkey % 90 + 1) AS BIGINT) AS bytes,
+    count(*) FILTER (WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 IN (0, 5, 6)) AS accessed FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 13 <> 0 GROUP BY ALL""")
+def scanned_store(lib: Library) -> DataFrame:
+    """Real files, listed without being opened, and their JSON sidecars; a line's end is a byte of a file, too."""
+    path = place(lib.spark, "store")
+    store_files(lib).write.partitionBy("name").text(path)
+    accessed = F.count_if(F.col("last_access") == F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return scanned(lib.spark, path).groupBy("kind").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), accessed.alias("accessed"))
+
+
+TYPED = """SELECT c_custkey AS id, c_name AS name, CASE c_nationkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS flag,
+    CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c_custkey) ELSE make_timestamp((1700000000 + c_custkey) * 1000000) END AS at FROM customer"""
+
+
+@query("src_07_typed_etl", TYPED)
 def typed_etl(lib: Library) -> DataFrame:
     """Loose source values (0/1/null flags, spaced or epoch-ms times as text) to typed columns."""
-    from shelfwise.functions.numbers import to_bool, to_utc
+    return loose_customers(lib).select("id", "name", to_bool(F.col("flag")).alias("flag"), to_utc(F.col("at")).alias("at"))
+
 
-    loose = lib.raw("customer").select(
+def loose_customers(lib: Library) -> DataFrame:
+    return lib.raw("customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.expr("CASE c_nationkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' END").alias("flag"),
         F.expr("CASE WHEN c_custkey % 2 = 0 THEN date_format(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, c_custkey), 'yyyy-MM-dd HH:mm:ss') ELSE CAST((1700000000 + c_custkey) * 1000 AS STRING) END").alias("at"),
     )
-    return loose.select("id", "name", to_bool(F.col("flag")).alias("flag"), to_utc(F.col("at")).alias("at"))
+
+
+@query("src_07_foreign_store", f"SELECT * FROM ({TYPED}) WHERE flag IS NOT NULL AND id > 20")
+def foreign_store(lib: Library) -> DataFrame:
+    """The same rows by way of a folder of SQLite files, read by key ranges; both filters are answered there."""
+    path = place(lib.spark, "sqlite")
+    write_store(loose_customers(lib).repartition(4), path, "Customer").agg(F.sum("n")).collect()
+    rows = read_store(lib.spark, path, "Customer", "id", "id long, name string, flag string, at string", range=300).where("flag IS NOT NULL AND id > 20")
+    return rows.select("id", "name", to_bool(F.col("flag")).alias("flag"), to_utc(F.col("at")).alias("at"))
 
 
 @query("snk_01_insert_skip_duplicates", """SELECT id, 'old' AS origin FROM job WHERE id % 3 = 0 UNION ALL SELECT id, 'new' FROM job WHERE id % 2 = 0 AND id % 3 <> 0""")
