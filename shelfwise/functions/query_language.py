@@ -138,22 +138,21 @@ WEIGHTS = {"title": 1.0, "filename": 0.4, "creator": 0.2}
 SIMILARITY = {"title": 2.0, "filename": 1.0, "creator": 1.0}
 
 
-def rank(node: tuple) -> Column | None:
-    """Smaller is better; null where no positive term matches; None if there is no such term.
-
-    Whole-word matches by field, over 1 + ln of the words in all fields, plus half the weighted trigram
-    similarity to the nearest term. A formula of our own with the weights that users see in the order.
-    """
-    terms = ranked_terms(node)
-    if not terms:
-        return None
+def score(terms: list[Column]) -> Column:
+    """Smaller is better: whole-word matches by field, over 1 + ln of the words in all fields, plus half the weighted trigram similarity to the nearest term."""
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    words = [reduce(Column.__add__, [F.when(F.contains(spaced(F.col(f)), spaced(F.lit(t))), w).otherwise(0.0) for f, w in WEIGHTS.items()]) for t in terms]
+    words = [reduce(Column.__add__, [F.when(F.contains(spaced(F.col(f)), spaced(t)), w).otherwise(0.0) for f, w in WEIGHTS.items()]) for t in terms]
     length = F.size(F.filter(F.split(spaced(F.col("alltext")), " "), lambda w: w != ""))
     near = []
     for field, weight in SIMILARITY.items():
-        each = [trigram_similarity(trigrams(F.col(field)), trigrams(F.lit(t))) for t in terms]
+        each = [trigram_similarity(trigrams(F.col(field)), trigrams(t)) for t in terms]
         near.append(F.lit(weight) * (F.greatest(*each) if len(each) > 1 else each[0]))
-    score = reduce(Column.__add__, words) / (1 + F.log(length)) + 0.5 * reduce(Column.__add__, near)
-    matches = reduce(Column.__or__, [F.col("alltext").ilike(pattern(t)) for t in terms])
-    return F.when(matches, F.round(-score, 6))
+    return F.round(-(reduce(Column.__add__, words) / (1 + F.log(length)) + 0.5 * reduce(Column.__add__, near)), 6)
+
+
+def rank(node: tuple) -> Column | None:
+    """The score of the terms that count; null where none matches; None if there is no such term. A formula of our own with the weights that users see in the order."""
+    terms = ranked_terms(node)
+    if not terms:
+        return None
+    return F.when(reduce(Column.__or__, [F.col("alltext").ilike(pattern(t)) for t in terms]), score([F.lit(t) for t in terms]))

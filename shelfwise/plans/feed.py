@@ -66,9 +66,10 @@ class Pools:
         for creator in dict.fromkeys(r["creator_id"] for r in seen if r["creator_id"] is not None):
             rows = self.rows.where((F.col("creator_id") == creator) & ~F.col("id").isin(*[r["id"] for r in seen], *without))
             out += fresh(self.ids(rows, newest(), clamped(limit)), taken, clamped(limit) - len(out))
+        before = frozenset(taken)  # what earlier titles give is passed over later, not left out of a search
         for row in seen:
             if len(out) < clamped(limit):
-                out += fresh(self.by_title(row["title"], taken, limit), taken, clamped(limit) - len(out))
+                out += fresh(self.by_title(row["title"], before, limit), taken, clamped(limit) - len(out))
         return out
 
     def video_pools(self, video: int) -> dict[str, list[int]]:

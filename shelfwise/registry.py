@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.sources.catalog import Library, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scans", "filters", "joins", "aggregates", "windows", "scalars", "library", "search", "feed", "duplicates", "sync", "jobs", "retention", "streams", "montage")
+MODULES = ("scans", "filters", "joins", "aggregates", "windows", "scalars", "library", "search", "feed", "feeds", "duplicates", "sync", "jobs", "retention", "streams", "montage")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -71,6 +71,17 @@ class TrigramIndex:
         both = F.aggregate(F.slice("lists", 2, PROBES), F.col("lists")[0]["ids"], lambda a, b: F.array_intersect(a, b["ids"]))
         return lists.select(F.explode(both).alias("id"), "shard")
 
+    def lookup_many(self, terms: DataFrame) -> DataFrame:
+        """(term, id) of the rows that may hold each of many terms (term, distinct): those of its rarest trigram. A join on trigrams, which Spark splits where one is hot."""
+        low = F.lower(F.col("term"))
+        own = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?s)(?=(...))"), F.lit(1)))
+        rarest = terms.where(F.length(low) >= WIDTH).select("term", F.explode(own).alias("gram")).join(self.counts.select("gram", "n"), "gram", "left")
+        rarest = rarest.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("term", "r.gram")
+        short = terms.where(F.length(low) < WIDTH).select("term", low.alias("low"))
+        begun = short.join(self.counts.select("gram", F.explode(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2))).alias("low")), "low").select("term", "gram")
+        asked = rarest.unionByName(begun).withColumn("folder", folder(F.col("gram")))
+        return asked.join(self.postings, ["folder", "gram"]).select("term", F.explode("ids").alias("id")).distinct()
+
     def candidates(self, node: tuple) -> DataFrame | None:
         """(id, shard) of the rows that may satisfy a query; None where all may."""
         if node[0] == "term":

@@ -58,3 +58,22 @@ def test_pools(library):
     pages = [pools.shuffled("x", p) for p in (1, 2, 3)]
     assert len(set(sum(pages, []))) == 65 and pages[0] == pools.shuffled("x", 1) != pools.shuffled("y", 1)
     assert Pools(library, 3).shuffled("x") and set(Pools(library, 3).shuffled("x")) == set(range(100, 105))
+
+
+def feeds_of(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["user_id"], r["page"], r["pos"])):
+        out.setdefault((r["user_id"], r["page"]), []).append((r["source"], r["id"]))
+    return out
+
+
+def test_all_feeds_are_those_of_each_user(library, spark):
+    from shelfwise.plans.feeds import home_feeds
+    from shelfwise.sources.catalog import Library
+
+    got = feeds_of(home_feeds(library, 3).collect())
+    assert got == {(u, p): picks for u in (1, 2, 3) for p in (1, 2, 3) if (picks := Pools(library, u).home(p))}
+    small = Library(spark, "/root/testdata/sf0.001")
+    got = feeds_of(home_feeds(small, 2).collect())
+    assert {u for u, _ in got} == {0, 1, 2, 3, 4}
+    assert got == {(u, p): Pools(small, u).home(p) for u in range(5) for p in (1, 2)}
