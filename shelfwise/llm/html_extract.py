@@ -6,9 +6,16 @@ passes them to the containers around it, half as many for each step up. The cont
 points, discounted by its own links, and those of its siblings that look like part of the same article
 are the main text.
 
-Elements that by tag, role or name look like adverts, notices, sidebars or comments weigh a fifth, and
-are left out, unless they hold most of the page's weighted points all the same: names alone never decide
-against the score. Menus, footers and what is never shown are left out in any case.
+Forms, asides and page headers weigh a fifth and are left out, unless they hold most of the page's weighted points
+all the same. So are elements that by role or name look like adverts or sidebars, but they come back only where
+nothing else on the page has text to speak of: names alone never decide against the score. Reader comments,
+notices and what is hidden count nothing and never come back; menus, footers and what is never shown neither.
+Comments are told by their names or by their shape: after the article's text, three or more siblings alike, each with
+an author or a date beside a block of text, and without headings of their own.
+
+A list or table of links is a menu, unless it stands in an article (or main) element or between paragraphs.
+Formulas and the lettering of drawings are text. A page whose only text is headings gives the headings. Character references are
+decoded in each run of text by itself.
 
 A page is read in time and memory in proportion to its length, however deep it is nested; nothing is cut.
 """
@@ -23,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, or is never shown.
-RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object textarea title select canvas audio video".split())
+#: Parts of drawings and formulas: inside the first only text in the second is shown.
+QUIET, LOUD = frozenset("svg annotation annotation-xml".split()), frozenset(("text", "foreignobject"))
 BLOCKS = frozenset("#root address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that points are passed to.
 CONTAINERS = frozenset("#root article aside body center details dialog div fieldset form header html main section td".split())
@@ -45,6 +54,14 @@ UNLIKELY = frozenset(
     "feedback pagination pager paging skip skiplink toolbar tags taglist search searchbox hidden paywall".split()
 )
 NEUTRAL = frozenset("site page main global top bottom left right upper lower primary secondary box bar block area section list container wrapper wrap inner outer slot unit item items link links button buttons icons media reader user form more posts stories text message policy".split())
+#: Of these, the names of reader comments, notices and hidden parts.
+HARD = frozenset("comment comments commentlist disqus reply replies respond responses discussion kommentare commentaires comentarios cookie cookies consent gdpr notice notices notification alert hidden".split())
+#: Names, and a tag, of an author or a date.
+SIGN = re.compile(r"(?:^|[-_\s])(?:author|user|username|avatar|byline|nick|nickname|commenter|poster|date|time|timestamp|posted|published|ago)(?:$|[-_\s])")
+#: Siblings alike, share of them that is signed, characters of paragraphs before them, and characters beside them and their heading, of comments.
+ALIKE, SIGNED, TOLD, LEFT_OVER = 3, 0.8, 80, 60
+#: Why an element is unwanted: by its tag, by its role or name, and for good.
+TAGGED, NAMED, BARRED = 1, 2, 3
 #: What an element start closes if it is still open; the search ends at the list, table or choice around it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FRAMES = frozenset("ul ol menu dl table".split())
@@ -54,14 +71,15 @@ UNWANTED, MOST, LEAST_CHARS, ARTICLE, STEPS, SIBLING_SHARE = 0.2, 0.5, 250, 1.5,
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "block", "up", "part", "items", "drop", "unwanted", "gone", "inside", "in_link", "weight", "own", "own_linked", "commas", "points", "score", "length", "linked", "total", "heads")
+    __slots__ = ("tag", "name", "parent", "block", "up", "part", "items", "drop", "why", "path", "quiet", "sign", "gone", "inside", "in_link", "weight", "own", "own_linked", "commas", "points", "score", "length", "linked", "total", "heads", "titles", "headed", "plain")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.parent = tag, name, parent
         self.items: list[Node | str] = []
-        self.unwanted = self.gone = False
+        self.gone = self.quiet = self.sign = False
+        self.why = self.path = 0
         #: own text of a block; sums over all that is inside
-        self.own = self.own_linked = self.commas = self.length = self.linked = self.heads = 0
+        self.own = self.own_linked = self.commas = self.length = self.linked = self.heads = self.titles = self.headed = self.plain = 0
         self.points = self.score = self.total = 0.0
         if parent is None:
             self.block, self.up, self.part, self.drop, self.inside, self.in_link, self.weight = self, None, None, False, False, False, 1.0
@@ -69,37 +87,43 @@ class Node:
         self.block = self if tag in BLOCKS else parent.block
         self.up = parent if parent.tag in CONTAINERS else parent.up
         self.part = self if tag in PARTS else parent.part
-        self.drop, self.weight = parent.drop, parent.weight
+        self.drop, self.weight, self.path = parent.drop, parent.weight, parent.path
+        self.quiet = tag not in LOUD and (parent.quiet or tag in QUIET)
         self.inside = parent.inside or tag in ("article", "main")
         self.in_link = tag == "a" or (parent.in_link and self.block is parent.block)
 
 
-def _unlikely(names: str) -> bool:
+def _unlikely(names: str) -> int:
+    """Why an element of these names is unwanted, 0 if it is not."""
+    why = 0
     for name in names.split():
         parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", name) if p and not p.isdigit()]
-        if any(p in UNLIKELY for p in parts) and all(p in UNLIKELY or p in NEUTRAL for p in parts):
-            return True
-    return False
+        if any(p in UNLIKELY or p in HARD for p in parts) and all(p in UNLIKELY or p in HARD or p in NEUTRAL for p in parts):
+            why = max(why, BARRED if any(p in HARD for p in parts) else NAMED)
+    return why
 
 
-def _looks(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
-    """(never article text, unwanted, class). inside: within an article or main element."""
-    never, unwanted, found = tag in NEVER, tag in SELDOM or (tag == "header" and not inside), ""
+def _looks(tag: str, attrs: str, inside: bool) -> tuple[bool, int, str, bool]:
+    """(never article text, why it is unwanted, class, sign of an author or a date). inside: within an article or main element."""
+    never, why, found, sign = tag in NEVER, TAGGED * (tag in SELDOM or (tag == "header" and not inside)), "", tag == "time"
     if not attrs.strip("/ \t\r\n") or tag in ("html", "body"):
-        return never, unwanted, found
+        return never, why, found, sign
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role":
-            never, unwanted = never or value in NEVER_ROLES, unwanted or value in SELDOM_ROLES
+            never, why = never or value in NEVER_ROLES, max(why, NAMED * (value in SELDOM_ROLES))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            unwanted = True
+            why = BARRED
+        elif name in ("rel", "itemprop"):
+            sign = sign or bool(SIGN.search(value))
         elif name in ("class", "id"):
             found = value if name == "class" else found
+            sign = sign or bool(SIGN.search(value))
             if tag == "header" and re.search(r"\b(?:article|entry|post|story)\b", value):
-                unwanted = False
-            elif tag != "main" and tag not in HEADINGS and _unlikely(value):
-                unwanted = True
-    return never, unwanted, found
+                why = 0 if why == TAGGED else why
+            elif tag != "main" and tag not in HEADINGS:
+                why = max(why, _unlikely(value))
+    return never, why, found, sign
 
 
 class _Tree:
@@ -110,8 +134,11 @@ class _Tree:
         self.nodes = [self.root]
         self.open: dict[str, list[Node]] = {}
 
-    def text(self, data: str) -> None:
+    def text(self, data: str, decode: bool = True) -> None:
         at = self.at
+        if at.quiet:
+            return
+        data = html.unescape(data) if decode and "&" in data else data
         at.items.append(data)
         block = at.block
         if not at.drop and at.weight == block.weight and (n := len(data.strip())):
@@ -140,11 +167,11 @@ class _Tree:
             if last is not None:
                 self.leave(last)
         at = self.at
-        never, unwanted, name = _looks(tag, attrs, at.inside)
+        never, why, name, sign = _looks(tag, attrs, at.inside)
         node = Node(tag, name, at)
-        node.drop, node.unwanted = node.drop or never, unwanted
-        if unwanted:
-            node.weight *= UNWANTED
+        node.drop, node.why, node.path, node.sign = node.drop or never, why, max(node.path, why), sign
+        if why:
+            node.weight *= 0 if why == BARRED else UNWANTED
         at.items.append(node)
         self.nodes.append(node)
         if tag != "hr" and (not attrs.endswith("/") or tag in BLOCKS):
@@ -172,7 +199,7 @@ def parse(page: str) -> list[Node]:
         tag = found[2] or found[5]
         if tag is None:
             if found[0].startswith("<![CDATA["):
-                tree.text(html.escape(found[0][9:].removesuffix("]]>")))
+                tree.text(found[0][9:].removesuffix("]]>"), decode=False)
             continue
         tag, attrs = tag.lower(), found[3] or found[6] or ""
         if found[1] or found[4]:
@@ -191,10 +218,64 @@ def parse(page: str) -> list[Node]:
     return tree.nodes
 
 
-def score(nodes: list[Node]) -> Node | None:
-    """Points of all nodes; gives the best container. Children come after their parents in nodes."""
+def _best(nodes: list[Node], named: bool) -> Node | None:
+    """The best container; named: whether what is unwanted by name may come back."""
+    whole, best, most = nodes[0].total, None, 0.0
+    for node in nodes:
+        kept = node.why < (BARRED if named else NAMED) and node.total > MOST * whole and node.length >= LEAST_CHARS
+        node.gone = node.drop or (node.why > 0 and not kept) or (node.parent is not None and node.parent.gone)
+        node.plain = 0 if node.gone or node.tag in HEADINGS else node.own - node.own_linked
+        if not node.gone and node.score:
+            value = node.score * (1 - node.linked / max(1, node.length)) * (ARTICLE if node.tag in ("article", "main") else 1)
+            if value > most:
+                best, most = node, value
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.plain += node.plain
+    return best
+
+
+def _bar_remarks(nodes: list[Node]) -> None:
+    """Bars what has the shape of reader comments (see above), with the heading over them."""
+    told: dict[int, int] = {}  # characters of paragraphs before a node
+    count = 0
+    for node in nodes:
+        told[id(node)] = count
+        if node.tag == "p" and not node.drop and node.path < BARRED and not node.sign:
+            count += node.own - node.own_linked
+    for node in nodes:
+        runs: dict[tuple[str, str], list[Node]] = {}
+        for item in node.items:
+            if not isinstance(item, str) and item.sign and item.tag in BLOCKS:
+                runs.setdefault((item.tag, item.name), []).append(item)
+        for (tag, name), run in runs.items():
+            alike = [n for n in node.items if not isinstance(n, str) and (n.tag, n.name) == (tag, name) and n.length]
+            signed = sum(n.sign and not n.titles and n.own < n.length for n in alike)
+            if len(alike) >= ALIKE and signed >= SIGNED * len(alike) and told[id(run[0])] >= TOLD:
+                for item in alike:
+                    item.why = BARRED
+                around, lost = node, sum(n.length for n in alike)
+                while around.tag not in ("#root", "body", "main", "article") and around.length - lost - around.headed <= LEFT_OVER:
+                    around.why = BARRED
+                    around = around.parent
+    for node in nodes:
+        if node.why == BARRED or (node.parent is not None and node.parent.weight == 0):
+            node.weight = 0.0
+
+
+def score(nodes: list[Node], headings: bool = False) -> Node | None:
+    """Points of all nodes, from headings only where asked for; gives the best container. Children come after their parents in nodes."""
+    for node in reversed(nodes):
+        node.length, node.linked = node.length + node.own, node.linked + node.own_linked
+        is_heading = node.tag in HEADINGS
+        node.heads, node.titles, node.headed = node.heads + (node.tag == "h1"), node.titles + is_heading, node.headed + node.own * is_heading
+        if (up := node.parent) is not None:
+            up.length, up.linked, up.sign = up.length + node.length, up.linked + node.linked, up.sign or node.sign
+            up.heads, up.titles, up.headed = up.heads + node.heads, up.titles + node.titles, up.headed + node.headed
+    if any(node.sign for node in nodes):
+        _bar_remarks(nodes)
     for node in nodes:
-        if node.own and node.tag not in HEADINGS and not node.drop:
+        if node.own and (headings or node.tag not in HEADINGS) and not node.drop:
             node.points = node.weight * (min(1, node.own / 25) + node.commas + min(node.own / 100, 3)) * (1 - node.own_linked / node.own)
             up, share = (node if node.tag in CONTAINERS and node.tag != "td" else node.up), 1.0
             for _ in range(STEPS):
@@ -203,23 +284,17 @@ def score(nodes: list[Node]) -> Node | None:
                 up.score += node.points * share
                 up, share = up.up, share / 2
     for node in reversed(nodes):
-        node.length, node.linked, node.total, node.heads = node.length + node.own, node.linked + node.own_linked, node.total + node.points, node.heads + (node.tag == "h1")
-        if (up := node.parent) is not None:
-            up.length, up.linked, up.total, up.heads = up.length + node.length, up.linked + node.linked, up.total + node.total, up.heads + node.heads
-    best, most, whole = None, 0.0, nodes[0].total
-    for node in nodes:
-        holds = node.total > MOST * whole and node.length >= LEAST_CHARS
-        node.gone = node.drop or (node.unwanted and not holds) or (node.parent is not None and node.parent.gone)
-        if not node.gone and node.score:
-            value = node.score * (1 - node.linked / max(1, node.length)) * (ARTICLE if node.tag in ("article", "main") else 1)
-            if value > most:
-                best, most = node, value
-    return best
+        node.total += node.points
+        if node.parent is not None:
+            node.parent.total += node.total
+    best = _best(nodes, named=False)
+    return best if best is not None and best.plain >= LEAST_CHARS else _best(nodes, named=True)
 
 
-def _menu(node: Node) -> bool:
-    """A list or table that is nearly all links."""
-    return node.tag in ("ul", "ol", "dl", "table") and node.length > 0 and node.linked / node.length > 0.8 and sum(not isinstance(i, str) for i in node.items) > 1
+def _menu(node: Node, told: bool, more: bool) -> bool:
+    """A list or table that is nearly all links, outside articles and not between paragraphs. told, more: whether text comes before and after it."""
+    links = node.tag in ("ul", "ol", "dl", "table") and node.length > 0 and node.linked / node.length > 0.8 and sum(not isinstance(i, str) for i in node.items) > 1
+    return links and not node.inside and not (told and more)
 
 
 def _belongs(item: Node, best: Node) -> bool:
@@ -233,43 +308,53 @@ def _belongs(item: Node, best: Node) -> bool:
     return alike or text or item.heads > 0 or item.score >= SIBLING_SHARE * best.score
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """Texts of the blocks below node, in page order."""
+def _blocks(tops: list[Node]) -> list[str]:
+    """Texts of the blocks below tops, in page order."""
     held: list[str] = []
+    out: list[str] = []
+    left = sum(n.plain for n in tops)  # characters to come
 
     def flush() -> None:
-        if text := " ".join(html.unescape("".join(held)).split()):
+        if text := " ".join("".join(held).split()):
             out.append(text)
         held.clear()
 
-    stack: list[object] = [node]
+    told = 0
+    stack: list[object] = list(reversed(tops))
     while stack:
         item = stack.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
             held.append(item)
-        elif not item.gone and not _menu(item):
+        elif not item.gone:
+            own = item.own - item.own_linked if item.tag not in HEADINGS else 0
+            if _menu(item, told > 0, left - told > 0):
+                continue
+            told += own
             block = item.tag in BLOCKS
             if block:
                 flush()
                 stack.append(None)
             stack.extend(reversed(item.items))
     flush()
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; '' for a null or empty page, or one without article text."""
     if not page:
         return ""
-    best = score(parse(page))
+    nodes = parse(page)
+    best = score(nodes)
+    if best is None:
+        nodes = parse(page)
+        best = score(nodes, headings=True)
     if best is None:
         return ""
-    out: list[str] = []
-    for item in [best] if best.parent is None or best.tag in ("body", "html") else best.parent.items:
-        if not isinstance(item, str) and _belongs(item, best):
-            _blocks(item, out)
-    return "\n".join(out)
+    alone = best.parent is None or best.tag in ("body", "html")
+    tops = [best] if alone else [item for item in best.parent.items if not isinstance(item, str) and _belongs(item, best)]
+    return "\n".join(_blocks(tops))
 
 
 def extract(pages: DataFrame) -> DataFrame:
