@@ -9,7 +9,7 @@ differ by the threshold's factor, compares only neighbouring ranges, and meets c
 signatures of each set, of which a pair at the threshold must share one; so a frequent signature, which
 many sets have, brings none of them together.
 
-compare_edited() compares given pairs; near_pairs(), near_duplicates() and near_classes() search.
+compare_edited() compares given pairs, exactly; near_duplicates() and near_classes() search.
 Texts are read whole, however long they are.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import numbered, written
+from shelfwise.llm.common import written
 from shelfwise.llm.jaccard_join import components
 
 CHAIN = 3
@@ -62,42 +62,48 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(row, next_row, n_chars): the row of the next document in falling order of doc_id, after the last the first. docs: row, doc_id, text.
+def neighbours(keys: DataFrame) -> DataFrame:
+    """keys with next_key: the key that follows in falling order of doc_id (no doc_id comes last), then of digest; after the last the first. keys: key, doc_id, digest.
 
-    Documents of one doc_id follow each other by the digests of their texts. No task sees more than one range
-    of the ids; across ranges only their first ids are put in order.
+    No task sees more than one range of the order; across ranges only their first keys are put in order.
     """
-    order = (F.desc("doc_id"), F.col("digest"), F.col("row"))
-    ids = docs.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n_chars"))
-    ids = written(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "id-ranges")
+    order = (F.desc("doc_id"), F.col("digest"))
+    keys = written(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "spot-ranges")
     across = Window.orderBy("part")
-    bounds = ids.groupBy("part").agg(F.min_by("row", F.struct((-F.col("doc_id")).alias("i"), "digest", "row")).alias("top"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.expr("~doc_id").alias("back"), "digest")
+    bounds = keys.groupBy("part").agg(F.min_by("key", place).alias("top"))
     bounds = bounds.select("part", F.coalesce(F.lead("top").over(across), F.first("top").over(across)).alias("after"))
-    following = F.coalesce(F.lead("row").over(Window.partitionBy("part").orderBy(*order)), "after")
-    return ids.join(bounds, "part").select("row", following.alias("next_row"), "n_chars")
+    following = F.coalesce(F.lead("key").over(Window.partitionBy("part").orderBy(*order)), "after")
+    return keys.join(bounds, "part").withColumn("next_key", following).drop("part", "after")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edited, next_id, next_spots: each document beside its edited text and its next document's signatures.
+    """doc_id, text, spots, edited, next_id, next_spots: each document beside its edited text and its next document, with the signatures of both texts.
 
     The edited text has the last third of the code points replaced by as many from the start of the next document.
-    Rows without doc_id have no next document and are left out. Rows that repeat a doc_id are documents of their own.
+    Rows without doc_id come after all others. Rows that repeat a doc_id are documents of their own; rows that repeat the
+    text as well are worked on once: all but the last of them have the next one's, that is their own, text beside them.
+    Signatures are made once, before the only shuffle of whole texts, which serves both joins.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = numbered(docs, "spot-texts").withColumnRenamed("__row", "row")
-    order = written(neighbours(docs), "neighbours")
-    said = docs.join(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "n_chars"), "row")  # both joins take docs whole, so that it is shuffled once
-    said = with_spots(said, "text", "next_spots").select(F.col("to").alias("row"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), "next_spots")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    docs = docs.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "digest").cast("binary")))
+    keys = docs.groupBy("key", "doc_id", "digest").agg(F.count("*").alias("times"), F.max(F.length("text")).cast("long").alias("n_chars"))
+    order = neighbours(keys)
+    pairs = F.array(F.struct("next_key", F.lit(1).cast("long").alias("times")), F.struct(F.col("key").alias("next_key"), (F.col("times") - 1).alias("times")))
+    order = written(order.select("key", "n_chars", F.inline(pairs)).where("times > 0"), "spot-neighbours")
+    texts = with_spots(docs.select("key", "doc_id", "text"), "text", "spots").dropDuplicates(["key"])
+    said = texts.join(order.withColumnRenamed("key", "to").withColumnRenamed("next_key", "key"), "key")
+    said = said.select(F.col("to").alias("key"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.expr("cast(n_chars div 3 as int)")).alias("head"), F.col("spots").alias("next_spots"), "times")
     n = F.length("text")
     kept = F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int"))
-    return docs.join(said, "row").select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_id", "next_spots")
+    found = texts.join(said, "key").select("doc_id", "text", "spots", F.concat(kept, "head").alias("edited"), "next_id", "next_spots", "times")
+    return found
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id; see edited_and_next."""
-    rows = with_spots(with_spots(edited_and_next(docs), "text", "spots"), "edited", "edited_spots")
-    return rows.select(
+    rows = with_spots(edited_and_next(docs), "edited", "edited_spots")
+    found = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -106,7 +112,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
         "next_id",
+        "times",
     )
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("__copy", "times")
 
 
 def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,13 @@ def test_near_duplicates(spark):
 
 def test_odd_rows(spark, odd):
     out = spotsigs.compare_edited(odd).collect()
-    assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 9]
+    assert sorted((r["doc_id"] for r in out), key=lambda i: (i is None, i)) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 9, None, None]
+    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), hashlib.md5((r.text or "").encode()).hexdigest()))
+    want = []
+    for own, nxt in zip(rows, [*rows[1:], rows[0]], strict=True):
+        text, then = own.text or "", nxt.text or ""
+        want.append((own.doc_id, hashlib.sha256((text[: len(text) - len(text) // 3] + then[: len(text) // 3]).encode()).hexdigest(), nxt.doc_id))
+    assert sorted(((r["doc_id"], r["edited_sha256"], r["next_id"]) for r in out), key=repr) == sorted(want, key=repr)
     assert spotsigs.compare_edited(frame(spark, [])).count() == 0
     alone = spotsigs.compare_edited(frame(spark, [(1, "abcdef")])).collect()[0]
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
@@ -99,6 +105,14 @@ def test_classes_by_brute_force(spark):
     assert found == {(min(name[a], name[b]), max(name[a], name[b])) for a, b in alike if name[a] != name[b]} and len(found) > 3
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    """Copies are worked on once, and each has its own row."""
+    rows = [(None, "abc def ghi")] * 300 + [(5, "the cat sat on it")] * 3 + [(None, "xyz")]
+    out = spotsigs.compare_edited(frame(spark, rows).repartition(4)).collect()
+    assert len(out) == 304 and sum(r["near_next"] == 1 for r in out) == 299 + 2
+    assert sorted(r["next_id"] is None for r in out if r["doc_id"] == 5) == [False, False, True] and sum(r["next_id"] == 5 for r in out) == 3
+
+
 def test_rows_of_one_id(spark):
     rows = [(9, "abcdef"), (9, "ghijkl"), (9, "ghijkl"), (3, "mnopqr")]
     out = spotsigs.compare_edited(frame(spark, rows)).collect()
