@@ -1,16 +1,17 @@
 """Benchmark decontamination by templates.
 
-Words are canonicalised to templates: numbers, names (capitalised words inside a sentence) and units
-(a word from a list after a number) become typed placeholders. Windows of WINDOW template words of the
-benchmark items are hash-joined with those of the documents, so a question asked again with other
+Words are canonicalised to template tokens: a number with the unit behind it, and a run of names (capitalised words inside a
+sentence, with one that begins it before them), are one typed placeholder each, however many words they have; other
+words stand for themselves. Units are a list and what the benchmark itself puts behind its numbers; numbers may be written as words.
+Windows of WINDOW tokens of the benchmark items are hash-joined with those of the documents, so a question asked again with other
 numbers, names or units still meets its item. Windows of the words themselves, in lower case, are joined
-beside them: a verbatim copy is found whatever its words are and wherever its capitals stand. Of each pair the matched windows are put into runs with
-one shift between item and document, and a run counts only as far as its slots are consistent: one
-value of the item always stands for one value of the document.
+beside them: a verbatim copy is found whatever its words are and wherever its capitals stand. Of each pair the matched windows
+of words, and those of tokens, are put into runs with one shift between item and document. A run of tokens counts only as far as its
+slots are consistent: one value of the item always stands for one value of the document.
 
 A document is contaminated by an item if consistent runs cover MIN_COVER of the item's words, or one of
 them is MIN_RUN words long. An item shorter than a window is one window as long as itself; one of fewer than
-LEAST words says too little: it contaminates nothing, and undecidable() names it.
+LEAST words says too little: it contaminates nothing, and undecidable() names it. Tokens of an item count from LEAST on, too.
 
 Words are runs of letters, of scripts without spaces single characters. Where every noun has a capital letter
 all nouns count as names; then a template says little, and windows of the words themselves find the copies.
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,16 @@ WINDOW, MIN_RUN, MIN_COVER, LITERAL, LEAST = 8, 13, 0.5, 4, 4
 #: Windows of the benchmark up to which their hashes go to every worker (8 bytes each); beyond it all windows are shuffled.
 INDEX_WINDOWS = 4_000_000
 UNITS = frozenset("mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles g mg kg t ton tons lb lbs oz pound pounds ounce ounces ml cl dl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp kmh mph hz khz mhz ghz kb mb gb tb w kw kwh v a k c f degree degrees".split())
-NUMBER, NAME, UNIT = (xxhash.xxh3_64_intdigest(f"slot {kind}") for kind in ("number", "name", "unit"))
+#: Numbers as words (fixed values).
+COUNTED = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil".split()
+)
+#: Units that are learned from the benchmark: the most frequent words behind its numbers, this many at most, each in so many items at least.
+LEARNED, LEARNED_ITEMS = 5_000, 2
+NUMBER, NAME = (xxhash.xxh3_64_intdigest(f"slot {kind}") for kind in ("number", "name"))
 #: Letters of scripts that write no spaces between words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Words, and the marks that end a sentence.
@@ -51,10 +63,11 @@ SPACED = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n。！？]")
 
 
 class Kinds(dict):
-    """Numbers of tokens; by number a token's literal hash and kind: 0 word, 1 number, 2 maybe a name, 3 maybe a unit, 4 mark."""
+    """Numbers of tokens; by number a token's literal hash and kind: 0 word, 1 number, 2 maybe a name, 3 maybe a unit, 4 mark. units: the words that are one behind a number."""
 
-    def __init__(self):
+    def __init__(self, units: frozenset[str] = UNITS):
         super().__init__()
+        self.units = units
         self.literal, self.kind = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8)
 
     def __missing__(self, token: str) -> int:
@@ -66,7 +79,7 @@ class Kinds(dict):
         else:
             low = token.lower()
             self.literal[number] = xxhash.xxh3_64_intdigest(low)
-            self.kind[number] = 1 if token[0].isdigit() else 2 if token[0].isupper() and token[1:].islower() else 3 if low in UNITS else 0
+            self.kind[number] = 1 if token[0].isdigit() or low in COUNTED else 2 if token[0].isupper() and token[1:].islower() else 3 if low in self.units else 0
         return number
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +90,35 @@ class Kinds(dict):
         return self.literal[numbers], self.kind[numbers]
 
 
-def templates(text: str | None, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
-    """Literal and template hashes of the words of a text."""
+class Words(NamedTuple):
+    """A text's words, by hash, and its template tokens: each one's value (the hash of a name's words, of a number, of a word), its
+    unit (0: none), what stands for it in a window, its first word, whether it is a slot."""
+
+    literal: np.ndarray
+    value: np.ndarray
+    unit: np.ndarray
+    template: np.ndarray
+    start: np.ndarray
+    slot: np.ndarray
+
+
+def templates(text: str | None, kinds: Kinds) -> Words:
     literal, kind = kinds.of(text or "")
     if not len(literal):
-        return literal, literal
-    after = np.concatenate([[4], kind[:-1]])
-    template = literal.copy()
-    template[kind == 1] = NUMBER
-    template[(kind == 2) & (after != 4)] = NAME
-    template[(kind == 3) & (after == 1)] = UNIT
+        return Words(literal, literal, literal, literal, np.empty(0, np.int64), np.empty(0, bool))
+    before = np.concatenate([[4], kind[:-1]])
+    behind = np.concatenate([kind[1:], [4]])
+    name = (kind == 2) & ((before != 4) | (behind == 2))
+    unit = (kind == 3) & (before == 1)
     word = kind != 4
-    return literal[word], template[word]
+    goes_on = unit | (name & np.concatenate([[False], name[:-1]]))  # of the token before; marks are no names, so they part runs
+    literal, name, number, unit, goes_on = literal[word], name[word], (kind == 1)[word], unit[word], goes_on[word]
+    start = np.flatnonzero(~goes_on)
+    place = np.arange(len(literal)) - np.repeat(start, np.diff(np.append(start, len(literal))))
+    value = np.add.reduceat(np.where(unit, np.uint64(0), np.where(place > 0, mix(literal + place.astype(np.uint64)), literal)), start)
+    units = np.add.reduceat(np.where(unit, literal, np.uint64(0)), start)
+    template = np.where(name[start], np.uint64(NAME), np.where(number[start], np.uint64(NUMBER), literal[start]))
+    return Words(literal, value, units, template, start, name[start] | number[start])
 
 
 class Index:
@@ -109,40 +139,59 @@ class Index:
         return maybe[self.known[np.minimum(at, len(self.known) - 1)] == own[maybe]]
 
 
-def windows(literal: np.ndarray, template: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(width, places, hashes, plain): of the words of each window, and of its template if it has a placeholder and is not
-    mostly placeholders. plain: the hash is that of the template (or the window has no placeholder)."""
-    slot = (template == NUMBER) | (template == NAME) | (template == UNIT)
-    before = np.concatenate([[0], np.cumsum(slot)])
-    total, masked = np.zeros(len(literal), np.uint64), np.zeros(len(literal), np.uint64)
+def windows(own: Words, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, word places, token places, hashes) of all windows of words, and of those of tokens that have a slot and are not mostly
+    slots. A window of words without slots is one of tokens as well; a place is -1 where it is not one."""
+    n, m = len(own.literal), len(own.value)
+    spans = np.diff(np.append(own.start, n))
+    slot_words = np.concatenate([[0], np.cumsum(np.repeat(own.slot, spans))])
+    token_of = np.repeat(np.arange(m), spans)
+    slots = np.concatenate([[0], np.cumsum(own.slot)])
+    total, masked = np.zeros(n, np.uint64), np.zeros(m, np.uint64)
     for width in range(1, max(widths, default=0) + 1):
-        n = len(literal) - width + 1
+        n, m = n - (width > 1), max(0, m - (width > 1))
         if n <= 0:
             return
-        total = total[:n] + literal[width - 1 :] * _STEPS[width - 1]
-        masked = masked[:n] + template[width - 1 :] * _STEPS[width - 1]
+        total = total[:n] + own.literal[width - 1 :] * _STEPS[width - 1]
+        masked = masked[:m] + own.template[width - 1 : width - 1 + m] * _STEPS[width - 1]
         if width in widths:
-            slots = before[width:] - before[:-width]
-            some = np.flatnonzero((slots > 0) & (width - slots >= min(LITERAL, max(1, width // 2))))
+            among = slots[width : width + m] - slots[:m]
+            some = np.flatnonzero((among > 0) & (width - among >= min(LITERAL, max(1, width // 2))))
+            free = slot_words[width : width + n] == slot_words[:n]
             hashes = np.concatenate([mix(total + _WORDS + np.uint64(width)), mix(masked[some] + np.uint64(width))])
-            yield width, np.concatenate([np.arange(n), some]), hashes.view(np.int64), np.concatenate([slots == 0, np.ones(len(some), bool)])
+            yield width, np.concatenate([np.arange(n), np.full(len(some), -1)]), np.concatenate([np.where(free, token_of[:n], -1), some]), hashes.view(np.int64)
 
 
 def _values(literal: np.ndarray) -> list[int]:
     return literal.view(np.int64).tolist()
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_literal, item_template: the words of each row of the benchmark that has an item_id, and their templates."""
+def _units(benchmark: DataFrame) -> frozenset[str]:
+    """UNITS and the learned ones; a list of fixed length at most."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = Kinds()
+        for batch in batches:
+            out: list[str] = []
+            for text in batch["text"]:
+                tokens = TOKEN.findall(text or "")
+                out += {b.lower() for a, b in pairwise(tokens) if (a[0].isdigit() or a.lower() in COUNTED) and b[0].isalpha() and b.lower() not in COUNTED}
+            yield pd.DataFrame({"word": pd.Series(out, dtype=object)})
+
+    counts = benchmark.where("item_id is not null").select("text").mapInPandas(read, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    return UNITS | {r["word"] for r in counts.where(F.col("n") >= LEARNED_ITEMS).orderBy(F.desc("n"), "word").limit(LEARNED).collect()}
+
+
+def _items(benchmark: DataFrame, units: frozenset[str] = UNITS) -> DataFrame:
+    """item_id and the words and tokens of each row of the benchmark that has an item_id."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = Kinds(units)
         for batch in batches:
             found = [templates(t, kinds) for t in batch["text"]]
-            yield pd.DataFrame({"item_id": batch["item_id"], "item_literal": [_values(a) for a, _ in found], "item_template": [_values(b) for _, b in found]})
+            yield pd.DataFrame({"item_id": batch["item_id"], **{f"item_{c}": [_values(getattr(w, c)) for w in found] for c in ("literal", "value", "unit", "template")}, "item_start": [w.start.tolist() for w in found], "item_slot": [w.slot.tolist() for w in found]})
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
-    return rows.mapInPandas(read, "item_id long, item_literal array<long>, item_template array<long>")
+    return rows.mapInPandas(read, "item_id long, item_literal array<long>, item_value array<long>, item_unit array<long>, item_template array<long>, item_start array<int>, item_slot array<boolean>")
 
 
 def undecidable(benchmark: DataFrame) -> DataFrame:
@@ -151,18 +200,40 @@ def undecidable(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """window, item_id, at, words (of the item), width, item_plain (the window has no placeholder, or its hash is the template's)."""
+    """window, item_id, word_at, token_at (-1: none), words (of the item), width."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for item, *words in zip(batch["item_id"], batch["item_literal"], batch["item_template"], strict=True):
-                literal, template = (np.array(w, np.int64).view(np.uint64) for w in words)
-                for width, places, hashes, plain in windows(literal, template, [min(WINDOW, len(template))]):
-                    out += [(window, item, at, len(template), width, own) for window, at, own in zip(hashes.tolist(), places.tolist(), plain.tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["window", "item_id", "at", "words", "width", "item_plain"])
-
-    return items.mapInPandas(read, "window long, item_id long, at int, words int, width int, item_plain boolean")
+            for item, literal, value, unit, template, start, slot in zip(*[batch[c] for c in ("item_id", "item_literal", "item_value", "item_unit", "item_template", "item_start", "item_slot")], strict=True):
+                own = Words(*[np.array(x, np.int64).view(np.uint64) for x in (literal, value, unit, template)], np.array(start, np.int64), np.array(slot, bool))
+                by_words, by_tokens = min(WINDOW, len(literal)), min(WINDOW, len(value)) if len(value) >= LEAST else 0
+                for width, words, tokens, hashes in windows(own, sorted({by_words, by_tokens} - {0})):
+                    words = words if width == by_words else np.full(len(words), -1)
+                    tokens = tokens if width == by_tokens else np.full(len(tokens), -1)
+                    out += [(window, item, w, t, len(literal), width) for window, w, t in zip(hashes.tolist(), words.tolist(), tokens.tolist(), strict=True) if w >= 0 or t >= 0]
+            yield pd.DataFrame(out, columns=["window", "item_id", "word_at", "token_at", "words", "width"])
+
+    return items.mapInPandas(read, "window long, item_id long, word_at int, token_at int, words int, width int")
+
+
+def _runs(found: list, width: int, values: list[int] = (), units: list[int] = (), slots: list[bool] = ()) -> Iterator[list[int]]:
+    """Runs of neighbouring places of an item that windows of some width cover; of tokens, a slot whose value or unit clashes with those before it in its run begins a new one."""
+    here = {w["at"] + i: (w["values"][i], w["values"][width + i] if len(w["values"]) > width else 0) for w in found for i in range(width)}
+    run: list[int] = []
+    there: dict[tuple[int, int], int] = {}
+    for at in sorted(here):
+        ties = []
+        if len(slots) and slots[at]:
+            a, b = (values[at], units[at]), here[at]
+            ties = [((kind, side), x, y) for kind in (0, 1) if a[kind] and b[kind] for side, x, y in ((0, a[kind], b[kind]), (1, b[kind], a[kind]))]
+        if run and (at != run[-1] + 1 or any(there.get((*key, x), y) != y for key, x, y in ties)):
+            yield run
+            run, there = [], {}
+        there |= {(*key, x): y for key, x, y in ties}
+        run.append(at)
+    if run:
+        yield run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -172,7 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts have no words; rows without doc_id or item_id are left out. Documents that repeat a doc_id count together.
     Items of fewer than LEAST words and an empty benchmark find nothing.
     """
-    items = written(_items(benchmark).where(F.size("item_literal") >= LEAST), "benchmark-items")
+    units = _units(benchmark)
+    items = written(_items(benchmark, units).where(F.size("item_literal") >= LEAST), "benchmark-items")
     found = written(_item_windows(items), "benchmark-windows")
     n = found.count()
     widths = sorted(r[0] for r in found.select("width").distinct().collect())  # at most WINDOW of them
@@ -182,65 +254,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Kinds()
+        kinds = Kinds(units)
         known = Index(index.value) if index is not None else None
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "window": [], "place": [], "plain": [], "literal": []}
+            out: dict[str, list] = {"doc_id": [], "window": [], "word": [], "token": [], "values": []}
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                literal, template = templates(text, kinds)
-                for width, places, own, plain in windows(literal, template, widths):
-                    hit = np.arange(len(own)) if known is None else known.hits(own)
-                    for i in hit:
-                        place = int(places[i])
+                own = templates(text, kinds)
+                for width, words, tokens, hashes in windows(own, widths):
+                    hit = np.arange(len(hashes)) if known is None else known.hits(hashes)
+                    for i in hit.tolist():
+                        word, token = int(words[i]), int(tokens[i])
                         out["doc_id"].append(doc)
-                        out["window"].append(int(own[i]))
-                        out["place"].append(place)
-                        out["plain"].append(bool(plain[i]))
-                        out["literal"].append(_values(literal[place : place + width]))
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["place"], pa.int32()), pa.array(out["plain"], pa.bool_()), pa.array(out["literal"], pa.list_(pa.int64()))], list(out))
+                        out["window"].append(int(hashes[i]))
+                        out["word"].append(word)
+                        out["token"].append(token)
+                        out["values"].append(_values(own.literal[word : word + width] if word >= 0 else np.concatenate([own.value[token : token + width], own.unit[token : token + width]])))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["window"], pa.int64()), pa.array(out["word"], pa.int32()), pa.array(out["token"], pa.int32()), pa.array(out["values"], pa.list_(pa.int64()))], list(out))
         kinds.clear()
         give_back()
 
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    hits = narrow.mapInArrow(read, "doc_id long, window long, place int, plain boolean, literal array<long>").join(found, "window")
-    # A run keeps one shift between document and item; its rows are the matched windows of one pair, at most one per word of the item and place of the document.
-    shifts = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "width", "literal", (F.col("plain") & F.col("item_plain")).alias("template")))).alias("found"), F.max("words").alias("words"))
+    hits = narrow.mapInArrow(read, "doc_id long, window long, word int, token int, values array<long>").join(found, "window")
+    # Runs of words and of tokens are told apart. A run keeps one shift between document and item; its rows are the matched windows of one pair, at most one per place of the item.
+    kind = lambda tokens, place, at: F.when((place >= 0) & (at >= 0), F.struct(F.lit(tokens).alias("tokens"), (place - at).alias("shift"), at.alias("at")))
+    both = F.array_compact(F.array(kind(False, F.col("word"), F.col("word_at")), kind(True, F.col("token"), F.col("token_at"))))
+    hits = hits.select("doc_id", "item_id", "words", "values", F.inline(both))
+    shifts = hits.groupBy("doc_id", "item_id", "tokens", "shift").agg(F.sort_array(F.collect_set(F.struct("at", "values"))).alias("found"), F.max("words").alias("words"))
     pairs = shifts.join(items, "item_id")
 
     @F.pandas_udf("at array<int>, longest int")
-    def consistent(found: pd.Series, item_literal: pd.Series, item_template: pd.Series) -> pd.DataFrame:
-        slots = {np.uint64(s).astype(np.int64).item() for s in (NUMBER, NAME, UNIT)}
-
-        def runs(own: list, literal: np.ndarray, template: np.ndarray) -> tuple[list[int], int]:
-            here: dict[int, int] = {}
-            for window in own:
-                for i, value in enumerate(window["literal"]):
-                    here[window["at"] + i] = value
-            best: list[int] = []
-            longest, run, map_to, map_from = 0, [], {}, {}
-            for at in sorted(here):
-                ok = True
-                if template[at] in slots:
-                    a, b = literal[at], here[at]
-                    ok = map_to.setdefault(a, b) == b and map_from.setdefault(b, a) == a
-                if run and (at != run[-1] + 1 or not ok):
-                    best += run if len(run) >= min(WINDOW, len(literal)) else []
-                    longest, run, map_to, map_from = max(longest, len(run)), [], {}, {}
-                    if template[at] in slots:
-                        map_to[literal[at]], map_from[here[at]] = here[at], literal[at]
-                run.append(at)
-            best += run if len(run) >= min(WINDOW, len(literal)) else []
-            return best, max(longest, len(run))
-
+    def consistent(found: pd.Series, tokens: pd.Series, item_literal: pd.Series, item_value: pd.Series, item_unit: pd.Series, item_start: pd.Series, item_slot: pd.Series) -> pd.DataFrame:
         rows = []
-        for own, literal, template in zip(found, item_literal, item_template, strict=True):
-            # A verbatim window that closes a gap may make slots of both sides clash: each kind of window counts by itself, too.
-            verbatim = [w for w in own if list(w["literal"]) == list(literal[w["at"] : w["at"] + len(w["literal"])])]
-            kinds = [runs(k, literal, template) for k in (own, [w for w in own if w["template"]], verbatim)]
-            rows.append((sorted({at for best, _ in kinds for at in best}), max(longest for _, longest in kinds)))
+        for own, by_tokens, literal, value, unit, start, slot in zip(found, tokens, item_literal, item_value, item_unit, item_start, item_slot, strict=True):
+            ends = [*start[1:], len(literal)]
+            least = min(WINDOW, len(value if by_tokens else literal))
+            kept: list[int] = []
+            longest = 0
+            for run in _runs(own, least, value, unit, slot) if by_tokens else _runs(own, least):
+                words = [w for at in run for w in range(start[at], ends[at])] if by_tokens else run
+                longest = max(longest, len(words)) if len(run) >= least else longest
+                kept += words if len(run) >= least else []
+            rows.append((sorted(set(kept)), longest))
         return pd.DataFrame(rows, columns=["at", "longest"])
 
-    runs = pairs.withColumn("c", consistent("found", "item_literal", "item_template"))
+    runs = pairs.withColumn("c", consistent("found", "tokens", "item_literal", "item_value", "item_unit", "item_start", "item_slot"))
     whole = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("c.at")))).alias("covered"), F.max("c.longest").alias("longest"), F.max("words").alias("words"))
     return whole.where((F.col("covered") >= MIN_COVER * F.col("words")) | (F.col("longest") >= MIN_RUN)).select("doc_id", "item_id", "covered", "longest", "words")
 

@@ -127,3 +127,113 @@ def test_rows_of_one_id_are_judged_by_themselves(spark):
     docs = frame(spark, [(9, "x " + item), (9, "clean text"), (None, item), (None, None)])
     left = clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (9, "clean text")]
+
+
+def test_slots_of_several_words(spark):
+    """Names of one word become names of two, units come and go, numbers are written as words."""
+    item = "Yesterday in the evening John sells 12 kg of fresh apples at the old market for 30 euros and then with Ann he gives three baskets away to a friend of John"
+    asked = [
+        "Yesterday in the evening Mary Lou sells 55.5 g of fresh apples at the old market for 71 and then with Tom Ford he gives 99 baskets away to a friend of Mary Lou",
+        "Yesterday in the evening Mary Lou Smith sells 55 pounds of fresh apples at the old market for two dollars and then with Bo he gives seventeen baskets away to a friend of Mary Lou Smith",
+    ]
+    other = "Yesterday in the evening Mary Lou sells 55 g of fresh apples at the old market for 71 euros and then with Tom Ford he gives 99 baskets away to a friend of Tom Ford"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r["doc_id"]: r for r in contaminated(frame(spark, [*enumerate(asked), (7, other)]), bench).collect()}
+    assert out[0]["covered"] == out[1]["covered"] == 32 and out[7]["covered"] < 32
+    short = spark.createDataFrame([(2, "How far does Ann run if she runs 5 km"), (3, "Ann Bob 5 km")], "item_id long, text string")
+    found = contaminated(frame(spark, [(1, "So tell me how far does Tom Ford run if she runs 7.5 miles today"), (2, "Cid Dan 7 km and so on")]), short).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 2)]
+
+
+def test_units_are_learned(spark):
+    items = [(1, "She has 3 flurbs and 4 more flurbs in the red box by the door"), (2, "He sold 9 flurbs for each green hat that the two men had left behind them")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert "flurbs" in decontaminate._units(bench) and "more" not in decontaminate._units(bench)
+    (found,) = contaminated(frame(spark, [(1, "He sold 12 for each green hat that the two men had left behind them")]), bench).collect()
+    assert found["item_id"] == 2 and found["covered"] == 16
+
+
+def tokens_of(text, units):
+    """[(kind, value, unit, words)] by rules over words and marks, one at a time."""
+    import re
+
+    parts = re.findall(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]", text)
+    kinds = ["mark" if p in ".!?\n" else "number" if p[0].isdigit() or p.lower() in decontaminate.COUNTED else "name" if p[0].isupper() and p[1:].islower() else "unit" if p.lower() in units else "word" for p in parts]
+    out = []
+    for i, (part, kind) in enumerate(zip(parts, kinds, strict=True)):
+        before, behind = kinds[i - 1] if i else "mark", kinds[i + 1] if i + 1 < len(kinds) else "mark"
+        if kind == "mark":
+            out.append(None)
+        elif kind == "unit" and before == "number":
+            out[-1] = ("number", out[-1][1], part.lower(), 2)
+        elif kind == "name" and (before != "mark" or behind == "name"):
+            if out and out[-1] and out[-1][0] == "name":
+                out[-1] = ("name", out[-1][1] + " " + part.lower(), "", out[-1][3] + 1)
+            else:
+                out.append(("name", part.lower(), "", 1))
+        else:
+            out.append(("number" if kind == "number" else "word", part.lower(), "", 1))
+    return [t for t in out if t]
+
+
+def brute(item, doc, units):
+    """(covered, longest) of a pair by comparing all windows of words and of tokens."""
+    spread = lambda toks: [w for k, v, u, _ in toks for w in (*v.split(" "), *([u] if u else []))]
+    kept, longest = set(), 0
+    for by_tokens in (False, True):
+        a, b = tokens_of(item, units), tokens_of(doc, units)
+        firsts = [sum(t[3] for t in a[:i]) for i in range(len(a) + 1)]
+        if not by_tokens:
+            a, b = ([("word", w, "", 1) for w in spread(x)] for x in (a, b))
+            firsts = list(range(len(a) + 1))
+        elif len(a) < 4:
+            continue
+        width = min(8, len(a))
+        key = lambda t: t[1] if t[0] == "word" else t[0]
+        shifts = {}
+        for p in range(len(b) - width + 1):
+            for q in range(len(a) - width + 1):
+                slots = sum(t[0] != "word" for t in a[q : q + width])
+                if [key(t) for t in a[q : q + width]] == [key(t) for t in b[p : p + width]] and [t[0] != "word" for t in a[q : q + width]] == [t[0] != "word" for t in b[p : p + width]] and width - slots >= min(4, max(1, width // 2)):
+                    shifts.setdefault(p - q, set()).update(range(q, q + width))
+        for shift, places in shifts.items():
+            run, runs = [], []
+            for at in sorted(places):
+                pairs = [(i, a[x][i], b[x + shift][i]) for x in [*run, at] if a[x][0] != "word" for i in (1, 2) if a[x][i] and b[x + shift][i]]
+                fits = all((x == u) == (y == v) for i, x, y in pairs for j, u, v in pairs if i == j)
+                if run and (at != run[-1] + 1 or not fits):
+                    runs.append(run)
+                    run = []
+                run.append(at)
+            for one in [*runs, run]:
+                words = {w for x in one for w in range(firsts[x], firsts[x + 1])}
+                if len(one) >= width:
+                    kept |= words
+                    longest = max(longest, len(words))
+    return len(kept), longest
+
+
+def test_templates_slots_and_runs_by_brute_force(spark):
+    rng = random.Random(31)
+    pool = ["alpha", "beta", "gamma", "delta", "Ann", "Bob", "Cid", "5", "7", "19", "seven", "km", "kg", "."]
+
+    def varied(text):
+        out = []
+        for w in text.split():
+            r = rng.random()
+            out += [] if r < 0.04 else [rng.choice(pool)] if r < 0.08 else [w, rng.choice(["Ann", "Bob", "km"])] if r < 0.12 else [{"Ann": "Dan", "Bob": "Eva Fay", "5": "6", "km": "kg"}.get(w, w) if r < 0.6 else w]
+        return " ".join(out)
+
+    items = [(i, " ".join(rng.choices(pool, k=rng.randint(4, 30)))) for i in range(25)]
+    rows = [(i, " ".join(rng.choices(pool, k=10)) + " " + varied(items[i % 25][1]) + " " + " ".join(rng.choices(pool, k=10))) for i in range(150)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    units = decontaminate._units(bench)
+    want = {}
+    for d, doc in rows:
+        for i, item in items:
+            n = sum(t[3] for t in tokens_of(item, units))
+            covered, longest = brute(item, doc, units)
+            if n >= 4 and (covered >= 0.5 * n or longest >= 13):
+                want[d, i] = (covered, longest, n)
+    got = {(r["doc_id"], r["item_id"]): (r["covered"], r["longest"], r["words"]) for r in contaminated(frame(spark, rows), bench).collect()}
+    assert got == want and len(want) > 30
