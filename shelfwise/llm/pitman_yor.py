@@ -5,12 +5,12 @@ of one follow the end). All context restaurants share one parent restaurant, who
 vocabulary and one unknown word. Customers of a context are the training tokens after it; each table of a
 context is a customer of the parent.
 
-Seating is sampled by Gibbs. A move takes a random customer of a dish from its table and seats it again by the
-restaurant's rule; a sweep makes ceil(2 sqrt(n)) moves for every dish of n customers, of whatever n, so it moves
-every customer of a rare dish and a random choice of those of a frequent one. Order: the parent is seated for one
-table a dish and context; the contexts then make BURN_IN and SAMPLES sweeps under its probabilities; the parent is
-seated anew for their last tables and makes as many sweeps. Dishes move side by side: within a round of moves the
-dishes of a restaurant see its number of tables as the round began. Discounts are set from the counts of counts,
+Seating is sampled by Gibbs, a dish at a time: a sweep takes all n customers of every dish of every restaurant from their tables
+and seats them again, whatever n is. Up to SMALL customers the number of tables is drawn from its exact law; above, a seating is
+proposed and accepted by Metropolis and Hastings, TRIES times in a sweep, which keeps the exact law as well. Order: the parent is
+seated for one table a dish and context; the contexts then make BURN_IN and SAMPLES sweeps under its probabilities; the parent is
+seated anew for their last tables and makes as many sweeps. Dishes move side by side, in GROUPS groups by chance: the
+dishes of a group see their restaurant's number of tables as the groups before have left it. Discounts are set from the counts of counts,
 the strength is STRENGTH. A token's probability is the mean over the sampled seatings, of the contexts and then of
 the parent, so that the probabilities after a context add up to one.
 
@@ -44,7 +44,11 @@ from shelfwise.llm.common import give_back, shared_dir, written
 
 #: Tokens of a block, bytes of text for each part, and the share of a part, as its inverse, from which a context is dealt to several.
 BLOCK_TOKENS, PART_BYTES, FREQUENT = 2_500_000, 20 << 20, 16
-BURN_IN, SAMPLES, STRENGTH = 2, 2, 1.0
+BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
+#: Customers up to which a dish's law is tabulated, proposals of a sweep above, groups of dishes of a sweep.
+SMALL, TRIES, GROUPS = 128, 4, 4
+#: Buckets of a table (Spark refuses more than 100,000) and frequent contexts, at most: lists that the driver holds.
+MOST_BUCKETS, MOST_HOT = 50_000, 250_000
 END = xxhash.xxh3_64_intdigest(b"\x00end")
 ROWS = "part int, kind int, source long, data binary, n1 long, n2 long, asked binary"
 
@@ -79,7 +83,7 @@ def _from_steps(planes: tuple[str, bytes]) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> tuple[str, bytes]:
-    return _planes(x.astype("<u4"))
+    return _planes(x.astype("<u4" if not len(x) or x.max() < 1 << 32 else "<u8"))
 
 
 def _counts(planes: tuple[str, bytes]) -> np.ndarray:
@@ -98,79 +102,142 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 # ------------------------------------------------------------------------------------------- seating
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function, for x above 0."""
+    shift = np.ones_like(x)
+    for _ in range(8):
+        low = x < 8
+        shift = np.where(low, shift * x, shift)
+        x = np.where(low, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x - np.log(shift)
+
+
+def partitions(discount: float, most: int) -> np.ndarray:
+    """[n, t]: the logarithm of the weights of all ways to seat n customers at t tables, by the recurrence of generalised Stirling numbers."""
+    table = np.full((most + 1, most + 1), -np.inf)
+    table[0, 0] = 0.0
+    for n in range(most):
+        t = np.arange(1, n + 1)
+        table[n + 1, 1 : n + 1] = table[n, 1 : n + 1] + np.log(n - discount * t)
+        table[n + 1, 1 : n + 2] = np.logaddexp(table[n + 1, 1 : n + 2], table[n, : n + 1])
+    return table
+
+
 class Seating:
-    """Tables of many dishes: occ[i] customers at a table of dish own[i], tables in order of dishes. Dishes by falling number of moves."""
+    """Numbers of tables of many dishes, and of those of over SMALL customers when each table was opened: opened[i] is the place, from 1, of
+    the customer who opened a table of dish own[i]; tables stand in order of dishes and places. A table's customers after the first are not told apart: the
+    law needs only how many there are in all.
+    """
 
-    def __init__(self, customers: np.ndarray, weight: np.ndarray, discount: float):
-        """customers: two at least. The first seating has about the expected number of tables, all but one of a single customer; sweeps go on from there."""
+    def __init__(self, customers: np.ndarray, discount: float, tables: np.ndarray | None = None, opened: np.ndarray | None = None):
+        """customers: two at least. They start at one table of their dish, which the first sweep leaves whatever it is worth, or as they were kept."""
         self.customers, self.discount = customers, discount
-        want = 1 + weight * np.log1p((customers - 1) / (1 - discount + weight))
-        tables = np.clip(np.round(want), 1, customers).astype(np.int64)
-        self.own = np.repeat(np.arange(len(customers)), tables)
-        first = np.cumsum(tables) - tables
-        self.occ = np.ones(len(self.own), np.int64)
-        self.occ[first] += customers - tables
-
-    @property
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.own, minlength=len(self.customers))
+        self.tables = np.ones(len(customers), np.int64) if tables is None else tables.copy()
+        self.many = np.flatnonzero(customers > SMALL)
+        self.opened = np.ones(len(self.many), np.int64) if opened is None else opened
+        self.known = partitions(discount, SMALL)
+        self.begun = np.full(len(self.many), opened is not None)
 
     def sweep(self, at: np.ndarray, total: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
-        """at: each dish's restaurant, total: tables of the restaurants (kept up to date), base: the parent's probability of each dish."""
-        n = np.ceil(2 * np.sqrt(self.customers)).astype(np.int64)
-        order = np.argsort(-n, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        by = np.argsort(place[self.own], kind="stable")
-        occ, own = self.occ[by], place[self.own][by]
-        customers, base, at, n = self.customers[order], base[order], at[order], n[order]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        active = held = len(n)
-        for turn in range(int(n[0]) if len(n) else 0):
-            active = int(np.searchsorted(-n[:active], -turn, side="left"))
-            if not active:
-                break
-            if active < 0.8 * held or len(occ) > 2 * held + 1000:  # set aside what moves no more, drop empty tables
-                cut = np.searchsorted(own, active)
-                done.append((occ[cut:], own[cut:]))
-                occ, own, held = occ[:cut], own[:cut], active
-                occ, own = occ[occ > 0], own[occ > 0]
-            occ, own = self._moved(occ, own, active, customers, base, at, total, rng)
-        occ, own = (np.concatenate([x, *(d[i] for d in reversed(done))]) for i, x in enumerate((occ, own)))
-        own = order[own]
-        by = np.argsort(own, kind="stable")
-        by = by[occ[by] > 0]
-        self.occ, self.own = occ[by], own[by]
-
-    def _moved(self, occ: np.ndarray, own: np.ndarray, active: int, customers: np.ndarray, base: np.ndarray, at: np.ndarray, total: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """One move for each of the first active dishes."""
+        """Seat the customers of every dish anew. at: each dish's restaurant, total: tables of the restaurants (kept up to date), base: the parent's probability of each dish."""
+        group = rng.integers(GROUPS, size=len(self.customers))
+        place = np.full(len(self.customers), -1)
+        place[self.many] = np.arange(len(self.many))
+        for g in range(GROUPS):
+            own = np.flatnonzero(group == g)
+            others = STRENGTH + self.discount * (total[at[own]] - self.tables[own])
+            small = self.customers[own] <= SMALL
+            before = self.tables[own]
+            self.tables[own[small]] = self._drawn(self.customers[own[small]], others[small], base[own[small]], rng)
+            if not small.all():
+                self._proposed(own[~small], place[own[~small]], others[~small], base[own[~small]], rng)
+            np.add.at(total, at[own], self.tables[own] - before)
+
+    def _drawn(self, n: np.ndarray, others: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Numbers of tables by their exact law, the dishes of one n side by side."""
+        out = np.ones(len(n), np.int64)
+        u = rng.random(len(n))
+        for size in np.unique(n).tolist():
+            which = np.flatnonzero(n == size)
+            for a in range(0, len(which), (1 << 20) // size):
+                some = which[a : a + (1 << 20) // size]
+                fresh = np.log((others[some, None] + self.discount * np.arange(size)) * base[some, None])
+                log = self.known[size, 1 : size + 1] + np.cumsum(fresh, axis=1)
+                law = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+                out[some] = 1 + (law < u[some, None] * law[:, -1:]).sum(axis=1)
+        return np.minimum(out, n)
+
+    def _proposed(self, dish: np.ndarray, place: np.ndarray, others: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
+        """TRIES independent proposals for dishes of many customers, each taken with the chance of Metropolis and Hastings.
+
+        A proposal opens tables at customers j with the survival of _since: about the hazard of the law, in which a new table of the weight w must outweigh the
+        seats there are, and be worth its discount to all who come after. The exact chance of a proposal and the law's weight
+        of the same history are both closed forms, so their quotient is exact.
+        """
+        n, d = self.customers[dish].astype(np.float64), self.discount
+        first = np.concatenate([[0], np.cumsum(self.tables[self.many])])
+        size = self.tables[self.many[place]]
+        history = self.opened[np.repeat(first[place], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].astype(np.float64)
+        owner = np.repeat(np.arange(len(dish)), size)
+        weight = self._weight(owner, history, size, n, others, base)
+        weight[~self.begun[place]] = -np.inf
+        self.begun[place] = True
+        for _ in range(TRIES):
+            new_owner, new_history, new_size = self._history(n, others, base, rng)
+            new_weight = self._weight(new_owner, new_history, new_size, n, others, base)
+            taken = np.log(rng.random(len(dish))) < new_weight - weight
+            keep, take = ~taken[owner], taken[new_owner]
+            owner, history = np.concatenate([owner[keep], new_owner[take]]), np.concatenate([history[keep], new_history[take]])
+            order = np.lexsort((history, owner))
+            owner, history = owner[order], history[order]
+            size, weight = np.where(taken, new_size, size), np.where(taken, new_weight, weight)
+        rest = ~np.isin(np.repeat(np.arange(len(self.many)), self.tables[self.many]), place)
+        every = np.concatenate([np.repeat(np.arange(len(self.many)), self.tables[self.many])[rest], place[owner]])
+        places = np.concatenate([self.opened[rest], history.astype(np.int64)])
+        self.opened = places[np.lexsort((places, every))]
+        self.tables[dish] = size
+
+    def _bent(self, i: np.ndarray, t: np.ndarray | int, w: np.ndarray, n: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shift, power and factor of the hazard after the table t was opened at i: factor x power x (x + shift)^(power - 1)."""
+        shift = np.maximum(0.45 * w - self.discount * t - 0.5, 0.5 - i)
+        power = np.maximum(self.discount * (1 - base), 0.02)
+        return shift, power, w / power / (n + shift) ** power
+
+    def _history(self, n: np.ndarray, others: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(dish, place) of the tables opened, in order, and how many each dish has."""
+        left = np.arange(len(n))
+        last = np.ones(len(n))
+        owners, places = [left], [last]
+        t = 1
+        while len(left):
+            w = (others[left] + self.discount * t) * base[left]
+            shift, power, factor = self._bent(last, t, w, n[left], base[left])
+            reach = (last + shift) ** power - np.log(rng.random(len(left))) / factor
+            on = reach < (n[left] + shift) ** power
+            left = left[on]
+            last = np.clip(np.ceil(reach[on] ** (1 / power[on]) - shift[on]), last[on] + 1, n[left])
+            owners.append(left)
+            places.append(last)
+            t += 1
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        order = np.lexsort((place, owner))
+        return owner[order], place[order], np.bincount(owner, minlength=len(n))
+
+    def _weight(self, owner: np.ndarray, place: np.ndarray, size: np.ndarray, n: np.ndarray, others: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """By dish the logarithm of the law's weight of a history over the chance that it is proposed."""
         d = self.discount
-        bound = np.searchsorted(own, np.arange(active + 1))
-        m = bound[-1]
-        start, end = bound[:-1], bound[1:]
-        sums = np.concatenate([[0], np.cumsum(occ[:m])])
-        out = np.searchsorted(sums, sums[start] + (rng.random(active) * customers[:active]).astype(np.int64), side="right") - 1
-        occ[out] -= 1
-        gone = occ[out] == 0
-        sums = np.concatenate([[0.0], np.cumsum(np.where(occ[:m] > 0, occ[:m] - d, 0))])
-        rest = sums[end] - sums[start]
-        fresh = (STRENGTH + d * (total[at[:active]] - gone)) * base[:active]
-        new = rng.random(active) * (fresh + rest) < fresh
-        old = ~new
-        into = np.searchsorted(sums, sums[start[old]] + rng.random(old.sum()) * rest[old], side="right") - 1
-        into = np.clip(into, start[old], end[old] - 1)
-        empty = occ[into] == 0
-        if empty.any():  # rounding led to a table just left: the customer sits down there again
-            np.add.at(total, at[:active][old][empty], 1)
-        occ[into] += 1
-        reuse = new & gone
-        occ[out[reuse]] = 1
-        added = np.flatnonzero(new & ~gone)
-        np.add.at(total, at[added], 1)
-        np.subtract.at(total, at[np.flatnonzero(gone & old)], 1)
-        if len(added):
-            occ, own = np.insert(occ, end[added], 1), np.insert(own, end[added], added)
-        return occ, own
+        t = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + 1.0  # tables from this one on
+        ends = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.empty(0, bool)
+        after = np.where(ends, n[owner] + 1, np.append(place[1:], 0))
+        w = (others[owner] + d * t) * base[owner]
+        joins = log_gamma(after - 1 - d * t) - log_gamma(place - d * t)
+        shift, power, factor = self._bent(place, t, w, n[owner], base[owner])
+        step = factor * ((after - 1 + shift) ** power - (place + shift) ** power)  # nobody opens one before
+        here = factor * ((after + shift) ** power - (after - 1 + shift) ** power)
+        with np.errstate(divide="ignore"):
+            chance = np.where(ends, 0.0, np.log(-np.expm1(-here))) - step
+        fresh = np.where(ends, 0.0, np.log(w))
+        return np.bincount(owner, joins + fresh - chance, len(n))
 
 
 def discount_of(ones: int, twos: int) -> float:
@@ -189,13 +256,13 @@ class Hot:
 
     @classmethod
     def of(cls, texts: DataFrame, parts: int) -> Hot:
-        """From word counts over a 64th of the texts: those with over 1 / FREQUENT of a part's share of all tokens."""
+        """From word counts over a 64th of the texts: those with over 1 / FREQUENT of a part's share of all tokens, the MOST_HOT most frequent ones of them."""
         lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         some = texts.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).select(F.split(lower, r"[\x20\x09-\x0D]+").alias("words"))
         counts = written(some.select(F.explode("words").alias("word")).where("word <> ''").groupBy("word").count(), "lm-frequent")
         texts_, words = some.count(), counts.agg(F.sum("count")).first()[0] or 0
         total = max(1, texts_ + words)
-        found = counts.where(F.col("count") * FREQUENT * parts > total).collect()  # fewer than FREQUENT * parts
+        found = counts.where(F.col("count") * FREQUENT * parts > total).orderBy(F.desc("count"), "word").limit(MOST_HOT).collect()
         shares = {xxhash.xxh3_64_intdigest(r["word"].encode("utf-8", "surrogatepass")): r["count"] / total for r in found}
         return cls(shares | ({END: texts_ / total} if texts_ * FREQUENT * parts > total else {}), parts)
 
@@ -280,16 +347,16 @@ class _Block:
         yield -1, 1, _pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), lengths)
 
 
-def _gather(docs: DataFrame, labels: list[int], hot: Hot) -> DataFrame:
+def _gather(docs: DataFrame, parts: Parts, hot: Hot) -> DataFrame:
     """(part, kind, source: the block, data), see _Block.messages. docs: doc_id, text, trains."""
-    most, parts = BLOCK_TOKENS, len(labels)
+    most = BLOCK_TOKENS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 24, _Block()
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for part, kind, data in block.messages(parts, hot):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([labels[part if kind == 0 else number % parts]], pa.int32()), "kind": pa.array([kind], pa.int32()), "source": pa.array([number], pa.int64()), "data": pa.array([data], pa.binary())})
+            for part, kind, data in block.messages(parts.n, hot):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([parts.label(part if kind == 0 else number % parts.n)], pa.int32()), "kind": pa.array([kind], pa.int32()), "source": pa.array([number], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -363,16 +430,37 @@ def _merged(messages: list[tuple[int, bytes]], parts: int, hot: Hot) -> tuple[by
     return model, pickle.dumps(asked, protocol=5), words, shared, int((count == 1).sum()), int((count == 2).sum())
 
 
-def _bucketed(df: DataFrame, parts: int, name: str) -> DataFrame:
+class Parts:
+    """How many parts there are, and the number that stands for each in a table: chosen so that a hash partitioning gives every task one part. Beyond MOST_BUCKETS
+    parts the numbers are the parts' own, nothing is listed, and a task has several parts, one after the other."""
+
+    def __init__(self, spark, wanted: int):
+        self.labels, self.numbers, self.n = None, None, wanted
+        if wanted <= MOST_BUCKETS:
+            slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(wanted))
+            self.labels = [r["id"] for r in spark.range(64 * wanted).groupBy(slot.alias("slot")).agg(F.min("id").alias("id")).orderBy("slot").collect()]
+            self.numbers, self.n = {p: i for i, p in enumerate(self.labels)}, len(self.labels)
+
+    @property
+    def buckets(self) -> int:
+        return min(self.n, MOST_BUCKETS)
+
+    def label(self, number: int) -> int:
+        return number if self.labels is None else self.labels[number]
+
+    def number(self, label: int) -> int:
+        return label if self.numbers is None else self.numbers[label]
+
+
+def _bucketed(df: DataFrame, parts: Parts, name: str) -> DataFrame:
     """Written in buckets of part, so that what meets it by part needs no shuffle of it."""
     spark, table = df.sparkSession, f"lm_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, "part").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/shelfwise/{table}").format("parquet").saveAsTable(table)
+    df.write.bucketBy(parts.buckets, "part").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/shelfwise/{table}").format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
-def _restaurants(blocks: DataFrame, labels: list[int], hot: Hot) -> DataFrame:
+def _restaurants(blocks: DataFrame, parts: Parts, hot: Hot) -> DataFrame:
     """Kind 0: the restaurants of a part; kind 1: documents of a block; kind 2: words of a part for their owner (n1); kind 3: customers and tables here of a shared context."""
-    parts, number = len(labels), {p: i for i, p in enumerate(labels)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
@@ -382,15 +470,15 @@ def _restaurants(blocks: DataFrame, labels: list[int], hot: Hot) -> DataFrame:
             messages = [(source, data) for kind, source, data in rows if kind == 0]
             rows.clear()
             if messages:
-                model, asked, words, shared, ones, twos = _merged(messages, parts, hot)
-                yield _rows([(part, 0, number[part], model, ones, twos, asked)])
+                model, asked, words, shared, ones, twos = _merged(messages, parts.n, hot)
+                yield _rows([(part, 0, parts.number(part), model, ones, twos, asked)])
                 for owner, data in words:
-                    yield _rows([(part, 2, owner, data, labels[owner], 0)])
+                    yield _rows([(part, 2, owner, data, parts.label(owner), 0)])
                 for context, customers, tables in shared:
                     yield _rows([(part, 3, context, None, customers, tables)])
         give_back()
 
-    return _bucketed(blocks.repartition(parts, "part").sortWithinPartitions("part", "source").mapInArrow(read, ROWS), parts, "model")
+    return _bucketed(blocks.repartition(parts.buckets, "part").sortWithinPartitions("part", "source").mapInArrow(read, ROWS), parts, "model")
 
 
 # ------------------------------------------------------------------------------------------ the parent
@@ -415,16 +503,15 @@ class Totals:
 ROOT = "part int, data binary, tokens long, words long, guests long, tables long, ones long, twos long"
 
 
-def _root_row(part: int, known: bytes, count: np.ndarray, guests: np.ndarray, tables: np.ndarray, occ: np.ndarray) -> pa.RecordBatch:
+def _root_row(part: int, known: bytes, count: np.ndarray, guests: np.ndarray, tables: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
     numbers = [count.sum(), (guests > 0).sum(), guests.sum(), tables.sum(), (guests == 1).sum(), (guests == 2).sum()]
-    data = _pack(known, _small(count), _small(guests), _small(tables), _small(occ))
+    data = _pack(known, _small(count), _small(guests), _small(tables), _small(opened))
     columns = [pa.array([part], pa.int32()), pa.array([data], pa.binary()), *(pa.array([int(x)], pa.int64()) for x in numbers)]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROOT.split(", ")])
 
 
-def _root(up: DataFrame, labels: list[int]) -> DataFrame:
+def _root(up: DataFrame, parts: Parts) -> DataFrame:
     """One row per owner of words: which words each part asks for, their training counts and customers, all at one table."""
-    number = {p: i for i, p in enumerate(labels)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
@@ -437,49 +524,36 @@ def _root(up: DataFrame, labels: list[int]) -> DataFrame:
                 at = np.searchsorted(words, own)
                 count[at] += tokens
                 guests[at] += tables
-                known.append((number[source], _steps(at.astype("<u4"))))
-            yield _root_row(part, _pack(known), count, guests, np.minimum(guests, 1), guests[guests > 1])
+                known.append((parts.number(source), _steps(at.astype("<u4"))))
+            yield _root_row(part, _pack(known), count, guests, np.minimum(guests, 1), np.ones((guests > SMALL).sum(), np.int64))
         give_back()
 
     return written(up.mapInArrow(read, ROOT), "lm-root")
 
 
-def _tables_at(occ: np.ndarray, guests: np.ndarray, tables: np.ndarray) -> Seating:
-    """The seating of the words with two customers at least, as it was kept."""
-    many = guests > 1
-    seating = Seating.__new__(Seating)
-    seating.customers, seating.occ, seating.own = guests[many], occ, np.repeat(np.arange(many.sum()), tables[many])
-    return seating
-
-
 def _root_sweep(root: DataFrame, totals: Totals, turn: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in zip(batch["part"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 known, *planes = _unpack(data)
-                count, guests, tables, occ = map(_counts, planes)
+                count, guests, tables, opened = map(_counts, planes)
                 many = guests > 1
                 base = np.full(many.sum(), 1 / (totals.words + 1))
-                if turn == 0:
-                    seating = Seating(guests[many], (STRENGTH + totals.top * totals.tables) * base, totals.top)
-                else:
-                    seating = _tables_at(occ, guests, tables)
-                    seating.discount = totals.top
+                seating = Seating(guests[many], totals.top) if turn == 0 else Seating(guests[many], totals.top, tables[many], opened)
                 all_tables = np.array([totals.tables], np.int64)
                 seating.sweep(np.zeros(many.sum(), np.int64), all_tables, base, np.random.default_rng([turn, part]))
                 tables[many] = seating.tables
-                yield _root_row(part, known, count, guests, tables, seating.occ)
+                yield _root_row(part, known, count, guests, tables, seating.opened)
 
     return written(root.mapInArrow(read, ROOT), f"lm-root-{turn}")
 
 
-def _answers(roots: list[DataFrame], totals: list[Totals], labels: list[int], parts: int) -> DataFrame:
+def _answers(roots: list[DataFrame], totals: list[Totals], parts: Parts) -> DataFrame:
     """(part, source: the owner, data): the mean probability of each word that a part asks for, and its training count."""
     tagged = [r.select("part", F.lit(i).alias("kind"), F.lit(0).cast("long").alias("source"), "data") for i, r in enumerate(roots)]
     both = tagged[0]
     for more in tagged[1:]:
         both = both.unionByName(more)
-    number = {p: i for i, p in enumerate(labels)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
@@ -490,16 +564,16 @@ def _answers(roots: list[DataFrame], totals: list[Totals], labels: list[int], pa
                 mean = mean + totals[kind].parent(guests, tables) / len(totals)
             for asker, places in _unpack(known)[0]:
                 at = _from_steps(places).astype(np.int64)
-                yield _rows([(labels[asker], 0, number[part], _pack(_planes(mean[at].astype("<f4")), _small(count[at]), places))])
+                yield _rows([(parts.label(asker), 0, parts.number(part), _pack(_planes(mean[at].astype("<f4")), _small(count[at]), places))])
 
     if len(roots) > 1:
-        both = both.repartition(parts, "part").sortWithinPartitions("part", "kind")
+        both = both.repartition(parts.buckets, "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(read, ROWS)
 
 
-def _met(model: DataFrame, answers: DataFrame, parts: int, *more: str) -> DataFrame:
+def _met(model: DataFrame, answers: DataFrame, parts: Parts, *more: str) -> DataFrame:
     """One row for each part: data (its restaurants), answers, an array of (kind, source, data), and more of its columns."""
-    said = answers.repartition(parts, "part").groupBy("part").agg(F.collect_list(F.struct("kind", "source", F.col("data").alias("said"))).alias("answers"))
+    said = answers.repartition(parts.buckets, "part").groupBy("part").agg(F.collect_list(F.struct("kind", "source", F.col("data").alias("said"))).alias("answers"))
     return model.where("kind = 0").select("part", "data", *more).join(said, "part").select("part", "data", "answers", *more)
 
 
@@ -522,11 +596,8 @@ def seat_contexts(at: np.ndarray, count: np.ndarray, base: np.ndarray, n: int, d
     mean = last.astype(float)
     many = np.flatnonzero(count > 1)
     if len(many):
-        weight = (STRENGTH + discount * of_all(np.bincount(at, last, n))[at[many]]) * base[many]
-        seating = Seating(count[many], weight, discount)
-        before = np.bincount(at, last, n)
-        last[many] = seating.tables
-        total = np.round(of_all(before) + np.bincount(at, last, n) - before).astype(np.int64)
+        seating = Seating(count[many], discount)
+        total = np.round(of_all(np.bincount(at, last, n))).astype(np.int64)
         kept = np.zeros(len(many))
         for turn in range(BURN_IN + SAMPLES):
             seating.sweep(at[many], total, base[many], rng)
@@ -536,7 +607,7 @@ def seat_contexts(at: np.ndarray, count: np.ndarray, base: np.ndarray, n: int, d
     return last, mean
 
 
-def _sampled(model: DataFrame, answers: DataFrame, labels: list[int], discount: float, shared: Shared) -> DataFrame:
+def _sampled(model: DataFrame, answers: DataFrame, parts: Parts, discount: float, shared: Shared) -> DataFrame:
     """Kind 1: the mean tables of a part's dishes of two customers at least; kind 2: the last tables by word for their owner; kind 3: mean tables here of a shared context, times SAMPLES."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,17 +623,17 @@ def _sampled(model: DataFrame, answers: DataFrame, labels: list[int], discount:
                 yield _rows([(row["part"], 1, -1, _pack(_small(np.round(mean[count > 1] * SAMPLES))))])
                 tables, start = np.bincount(word, last, len(base)).astype(np.int64), 0
                 for owner, places, n in owners:
-                    yield _rows([(labels[owner], 2, row["part"], _pack(places, _small(tables[start : start + n])))])
+                    yield _rows([(parts.label(owner), 2, row["part"], _pack(places, _small(tables[start : start + n])))])
                     start += n
         give_back()
 
-    return written(_met(model, answers, len(labels)).mapInArrow(read, ROWS), "lm-sampled")
+    return written(_met(model, answers, parts).mapInArrow(read, ROWS), "lm-sampled")
 
 
-def _root_again(root: DataFrame, up: DataFrame, parts: int) -> DataFrame:
+def _root_again(root: DataFrame, up: DataFrame, parts: Parts) -> DataFrame:
     """The parent's customers after the contexts' sweeps, all at one table."""
     old = root.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("source"), "data")
-    both = old.unionByName(up.select("part", "kind", "source", "data")).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    both = old.unionByName(up.select("part", "kind", "source", "data")).repartition(parts.buckets, "part").sortWithinPartitions("part", "kind")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
@@ -572,7 +643,7 @@ def _root_again(root: DataFrame, up: DataFrame, parts: int) -> DataFrame:
             for _, _, data in rows[1:]:
                 places, tables = _unpack(data)
                 guests[_from_steps(places).astype(np.int64)] += _counts(tables)
-            yield _root_row(part, known, count, guests, np.minimum(guests, 1), guests[guests > 1])
+            yield _root_row(part, known, count, guests, np.minimum(guests, 1), np.ones((guests > SMALL).sum(), np.int64))
 
     return written(both.mapInArrow(read, ROOT), "lm-root-again")
 
@@ -589,7 +660,7 @@ def predictive(at: np.ndarray, count: np.ndarray, tables: np.ndarray, base: np.n
     return (count - discount * tables + (STRENGTH + discount * of_all(np.bincount(at, tables, n), "tables"))[at] * base) / below[at]
 
 
-def _sums(model: DataFrame, answers: DataFrame, parts: int, discount: float, totals: Totals, shared: Shared) -> DataFrame:
+def _sums(model: DataFrame, answers: DataFrame, parts: Parts, discount: float, totals: Totals, shared: Shared) -> DataFrame:
     """(source: the block, data): by document the sums over one part's tokens."""
     tokens, words = totals.tokens, totals.words
 
@@ -631,21 +702,18 @@ def score(docs: DataFrame, trains) -> DataFrame:
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(trains, F.lit(False)).alias("trains"))
     bytes_ = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-bytes_ // PART_BYTES))
-    slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
-    labels = [r["id"] for r in spark.range(64 * parts).groupBy(slot.alias("slot")).agg(F.min("id").alias("id")).orderBy("slot").collect()]  # one number for each task of a hash partitioning
-    parts = len(labels)
-    hot = Hot.of(marked, parts)
-    model = _restaurants(_gather(marked, labels, hot), labels, hot)
+    parts = Parts(spark, max(4, -(-bytes_ // PART_BYTES)))
+    hot = Hot.of(marked, parts.n)
+    model = _restaurants(_gather(marked, parts, hot), parts, hot)
     shared = Shared(hot, model)
     up = model.where("kind = 2").select(F.col("n1").cast("int").alias("part"), F.lit(0).alias("kind"), F.col("part").cast("long").alias("source"), "data")
-    root = _root(up.repartition(parts, "part").sortWithinPartitions("part", "source"), labels)
+    root = _root(up.repartition(parts.buckets, "part").sortWithinPartitions("part", "source"), parts)
     totals = Totals(root)
     row = model.where("kind = 0").agg(F.sum("n1"), F.sum("n2")).first()
     discount = discount_of(row[0] or 0, row[1] or 0)
     first = _root_sweep(root, totals, 0)
     totals = Totals(first, totals)
-    sampled = _sampled(model, _answers([first], [totals], labels, parts), labels, discount, shared)
+    sampled = _sampled(model, _answers([first], [totals], parts), parts, discount, shared)
     root = _root_again(root, sampled.where("kind = 2"), parts)
     totals = Totals(root)
     roots, kept = [], []
@@ -655,7 +723,7 @@ def score(docs: DataFrame, trains) -> DataFrame:
         if turn >= BURN_IN:
             roots.append(root)
             kept.append(totals)
-    answers = _answers(roots, kept, labels, parts).unionByName(sampled.where("kind = 1"))
+    answers = _answers(roots, kept, parts).unionByName(sampled.where("kind = 1"))
     seated = Shared(hot, sampled, SAMPLES)
     seated.customers = shared.customers
     sums = _sums(model, answers, parts, discount, totals, seated)

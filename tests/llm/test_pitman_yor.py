@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shelfwise.llm import pitman_yor
-from shelfwise.llm.pitman_yor import STRENGTH, Seating, predictive, seat_contexts, words_of
+from shelfwise.llm.pitman_yor import STRENGTH, Seating, partitions, predictive, seat_contexts, words_of
 
 from .conftest import frame
 
@@ -34,33 +34,74 @@ def test_base_scores_and_better_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def stirling(discount, most):
-    """log weights of seating n customers at k tables, by the recurrence."""
-    table = np.full((most + 1, most + 2), -np.inf)
-    table[0, 0] = 0
-    for n in range(most):
-        k = np.arange(1, n + 1)
-        table[n + 1, 1:] = table[n, :-1]
-        table[n + 1, 1 : n + 1] = np.logaddexp(table[n + 1, 1 : n + 1], table[n, 1 : n + 1] + np.log(n - discount * k))
-    return table
-
-
-def test_moves_keep_the_exact_law_at_every_count():
-    """Numbers of tables of one dish against S(n, k) times the rising factor of the restaurant, from the first seating on."""
+def test_sweeps_keep_the_exact_law_at_every_count():
+    """Numbers of tables of one dish against the weights of all partitions times the rising factor of the restaurant, below and above the tabulated counts."""
     rng = np.random.default_rng(0)
-    for n, d, base, copies, sweeps in ((2, 0.5, 0.3, 20_000, 12), (6, 0.5, 0.8, 20_000, 30), (60, 0.7, 0.05, 4000, 60), (400, 0.6, 0.2, 800, 700)):
-        seating = Seating(np.full(copies, n), np.full(copies, base), d)
-        total = seating.tables.astype(np.int64)  # each copy has a restaurant of its own
+    for n, d, base, others, copies, sweeps in ((2, 0.5, 0.3, 0, 20_000, 1), (24, 0.5, 0.8, 3, 20_000, 1), (128, 0.5, 0.8, 3, 20_000, 1), (129, 0.5, 0.8, 3, 20_000, 8), (160, 0.7, 0.05, 40, 20_000, 8), (400, 0.6, 0.2, 2, 8000, 8), (1200, 0.9, 0.5, 9, 4000, 12), (1200, 0.05, 0.9, 1, 4000, 8), (600, 0.4, 1e-6, 0, 4000, 8), (900, 0.6, 0.02, 2000, 4000, 12)):
+        seating = Seating(np.full(copies, n), d)
+        total = seating.tables + others  # each copy has a restaurant of its own
         for _ in range(sweeps):
             seating.sweep(np.arange(copies), total, np.full(copies, base), rng)
-            assert (total == seating.tables).all() and (np.bincount(seating.own, seating.occ, copies) == n).all()
+            assert (total == seating.tables + others).all() and len(seating.opened) == (seating.tables.sum() if n > pitman_yor.SMALL else 0)
         k = np.arange(1, n + 1)
-        log = stirling(d, n)[n, 1 : n + 1] + np.cumsum(np.log((STRENGTH + d * np.arange(n)) * base))
+        log = partitions(d, n)[n, 1:] + np.cumsum(np.log((STRENGTH + d * (others + np.arange(n))) * base))
         want = np.exp(log - log.max())
         want /= want.sum()
         got = np.bincount(seating.tables, minlength=n + 1)[1:] / copies
-        assert abs((got * k).sum() - (want * k).sum()) < (0.02 if n < 100 else 0.06) * (want * k).sum() + 0.02, (n, (got * k).sum(), (want * k).sum())
-        assert np.abs(np.cumsum(got) - np.cumsum(want)).max() < 0.02 + 1.5 / np.sqrt(copies), n
+        assert abs((got * k).sum() - (want * k).sum()) < 0.02 * (want * k).sum() + 0.02, (n, d, (got * k).sum(), (want * k).sum())
+        assert np.abs(np.cumsum(got) - np.cumsum(want)).max() < 0.015 + 1.2 / np.sqrt(copies), (n, d)
+
+
+def test_partitions_by_brute_force():
+    def ways(n, t, d):
+        return float(n == t) if n == 0 or t == 0 else ways(n - 1, t - 1, d) + (n - 1 - d * t) * ways(n - 1, t, d)
+
+    table = partitions(0.3, 9)
+    for n in range(10):
+        for t in range(n + 1):
+            assert math.isclose(math.exp(table[n, t]), ways(n, t, 0.3), rel_tol=1e-12, abs_tol=1e-300)
+    x = np.array([1e-3, 0.4, 1.0, 2.5, 7.9, 30.0, 1e6])
+    assert np.allclose(pitman_yor.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+
+
+def test_histories_are_proposed_with_their_chance():
+    """The chance that is taken into account is the one with which histories come."""
+    rng = np.random.default_rng(3)
+    seating = Seating(np.full(60_000, 150), 0.5)
+    n, others, base = np.full(60_000, 150.0), np.full(60_000, 4.0), np.full(60_000, 0.2)
+    owner, place, size = seating._history(n, others, base, rng)
+    weight = seating._weight(owner, place, size, n, others, base)
+    log = partitions(0.5, 150)[150, 1:] + np.cumsum(np.log((4 + 0.5 * np.arange(150)) * 0.2))
+    # the mean of law over chance is the sum of the law's weights, without the factor of the first table
+    top = log.max()
+    assert math.isclose(np.exp(weight - top).mean(), np.exp(log - top).sum() / 0.8, rel_tol=0.02)
+
+
+def test_large_counts_take_no_longer():
+    rng = np.random.default_rng(2)
+    n = np.array([10**3, 10**6, 10**9, 10**12])
+    seating = Seating(n, 0.7)
+    total = np.array([4])
+    for _ in range(30):
+        seating.sweep(np.zeros(4, np.int64), total, np.full(4, 0.01), rng)
+    assert total[0] == seating.tables.sum() < 200 and (seating.opened <= 10**12).all()
+
+
+def test_parts_beyond_the_bucket_limit(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "MOST_BUCKETS", 3)
+    many = pitman_yor.Parts(spark, 5_000_000)
+    assert many.labels is None and many.buckets == 3 and many.number(many.label(4_999_999)) == 4_999_999
+    few = pitman_yor.Parts(spark, 3)
+    assert few.buckets == 3 == few.n and [few.number(few.label(i)) for i in range(3)] == [0, 1, 2]
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(60)]
+    docs = frame(spark, [(i, " ".join(rng.choices(pool, [1 / (k + 1) for k in range(60)], k=80))) for i in range(120)])
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 1500)
+    cut = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") % 5 != 1).collect()}
+    monkeypatch.setattr(pitman_yor, "MOST_BUCKETS", 50_000)
+    whole = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") % 5 != 1).collect()}
+    for doc, r in whole.items():
+        assert r["n_known"] == cut[doc]["n_known"] and math.isclose(r["base_score"], cut[doc]["base_score"], rel_tol=1e-9) and abs(r["score"] - cut[doc]["score"]) < 0.02 * abs(r["score"])
 
 
 def test_probabilities_of_a_context_add_up_to_one():
