@@ -91,34 +91,43 @@ class Kinds(dict):
 
 
 class Words(NamedTuple):
-    """A text's words, by hash, and its template tokens: each one's value (the hash of a name's words, of a number, of a word), its
-    unit (0: none), what stands for it in a window, its first word, whether it is a slot."""
+    """A text's words, by hash, the token of each and whether that is a slot; and its template tokens: each one's value (the hash of a
+    name's words, of a number, of a word), its unit (0: none), what stands for it in a window, its first word."""
 
     literal: np.ndarray
+    token: np.ndarray
+    slot: np.ndarray
     value: np.ndarray
     unit: np.ndarray
     template: np.ndarray
     start: np.ndarray
-    slot: np.ndarray
 
 
 def templates(text: str | None, kinds: Kinds) -> Words:
     literal, kind = kinds.of(text or "")
     if not len(literal):
-        return Words(literal, literal, literal, literal, np.empty(0, np.int64), np.empty(0, bool))
-    before = np.concatenate([[4], kind[:-1]])
-    behind = np.concatenate([kind[1:], [4]])
-    name = (kind == 2) & ((before != 4) | (behind == 2))
+        none = np.empty(0, np.int64)
+        return Words(literal, none, none.astype(bool), literal, literal, literal, none)
+    before = np.empty_like(kind)
+    before[0], before[1:] = 4, kind[:-1]
+    capital = kind == 2
+    name = capital & (before != 4)
+    name[:-1] |= capital[:-1] & capital[1:]
     unit = (kind == 3) & (before == 1)
+    goes_on = unit.copy()  # of the token before; marks are no names, so they part runs
+    goes_on[1:] |= name[1:] & name[:-1]
     word = kind != 4
-    goes_on = unit | (name & np.concatenate([[False], name[:-1]]))  # of the token before; marks are no names, so they part runs
-    literal, name, number, unit, goes_on = literal[word], name[word], (kind == 1)[word], unit[word], goes_on[word]
+    literal, name, number, unit, goes_on = literal[word], name[word], kind[word] == 1, unit[word], goes_on[word]
     start = np.flatnonzero(~goes_on)
-    place = np.arange(len(literal)) - np.repeat(start, np.diff(np.append(start, len(literal))))
-    value = np.add.reduceat(np.where(unit, np.uint64(0), np.where(place > 0, mix(literal + place.astype(np.uint64)), literal)), start)
-    units = np.add.reduceat(np.where(unit, literal, np.uint64(0)), start)
-    template = np.where(name[start], np.uint64(NAME), np.where(number[start], np.uint64(NUMBER), literal[start]))
-    return Words(literal, value, units, template, start, name[start] | number[start])
+    token = np.cumsum(~goes_on) - 1
+    value, units = literal[start], np.zeros(len(start), np.uint64)
+    template = np.where(name[start], np.uint64(NAME), np.where(number[start], np.uint64(NUMBER), value))
+    if len(more := np.flatnonzero(goes_on)):
+        own, is_unit = token[more], unit[more]
+        units[own[is_unit]] = literal[more[is_unit]]
+        more, own = more[~is_unit], own[~is_unit]
+        np.add.at(value, own, mix(literal[more] + (more - start[own]).astype(np.uint64)))
+    return Words(literal, token, name | number | unit, value, units, template, start)
 
 
 class Index:
@@ -143,10 +152,9 @@ def windows(own: Words, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np
     """(width, word places, token places, hashes) of all windows of words, and of those of tokens that have a slot and are not mostly
     slots. A window of words without slots is one of tokens as well; a place is -1 where it is not one."""
     n, m = len(own.literal), len(own.value)
-    spans = np.diff(np.append(own.start, n))
-    slot_words = np.concatenate([[0], np.cumsum(np.repeat(own.slot, spans))])
-    token_of = np.repeat(np.arange(m), spans)
-    slots = np.concatenate([[0], np.cumsum(own.slot)])
+    slot_words, slots = np.zeros(n + 1, np.int32), np.zeros(m + 1, np.int32)
+    np.cumsum(own.slot, out=slot_words[1:])
+    np.cumsum(own.slot[own.start], out=slots[1:])
     total, masked = np.zeros(n, np.uint64), np.zeros(m, np.uint64)
     for width in range(1, max(widths, default=0) + 1):
         n, m = n - (width > 1), max(0, m - (width > 1))
@@ -159,7 +167,7 @@ def windows(own: Words, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np
             some = np.flatnonzero((among > 0) & (width - among >= min(LITERAL, max(1, width // 2))))
             free = slot_words[width : width + n] == slot_words[:n]
             hashes = np.concatenate([mix(total + _WORDS + np.uint64(width)), mix(masked[some] + np.uint64(width))])
-            yield width, np.concatenate([np.arange(n), np.full(len(some), -1)]), np.concatenate([np.where(free, token_of[:n], -1), some]), hashes.view(np.int64)
+            yield width, np.concatenate([np.arange(n), np.full(len(some), -1)]), np.concatenate([np.where(free, own.token[:n], -1), some]), hashes.view(np.int64)
 
 
 def _values(literal: np.ndarray) -> list[int]:
@@ -188,7 +196,7 @@ def _items(benchmark: DataFrame, units: frozenset[str] = UNITS) -> DataFrame:
         kinds = Kinds(units)
         for batch in batches:
             found = [templates(t, kinds) for t in batch["text"]]
-            yield pd.DataFrame({"item_id": batch["item_id"], **{f"item_{c}": [_values(getattr(w, c)) for w in found] for c in ("literal", "value", "unit", "template")}, "item_start": [w.start.tolist() for w in found], "item_slot": [w.slot.tolist() for w in found]})
+            yield pd.DataFrame({"item_id": batch["item_id"], **{f"item_{c}": [_values(getattr(w, c)) for w in found] for c in ("literal", "value", "unit", "template")}, "item_start": [w.start.tolist() for w in found], "item_slot": [w.slot[w.start].tolist() for w in found]})
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     return rows.mapInPandas(read, "item_id long, item_literal array<long>, item_value array<long>, item_unit array<long>, item_template array<long>, item_start array<int>, item_slot array<boolean>")
@@ -206,7 +214,10 @@ def _item_windows(items: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for item, literal, value, unit, template, start, slot in zip(*[batch[c] for c in ("item_id", "item_literal", "item_value", "item_unit", "item_template", "item_start", "item_slot")], strict=True):
-                own = Words(*[np.array(x, np.int64).view(np.uint64) for x in (literal, value, unit, template)], np.array(start, np.int64), np.array(slot, bool))
+                literal, value, unit, template = (np.array(x, np.int64).view(np.uint64) for x in (literal, value, unit, template))
+                start = np.array(start, np.int64)
+                spans = np.diff(np.append(start, len(literal)))
+                own = Words(literal, np.repeat(np.arange(len(value)), spans), np.repeat(np.array(slot, bool), spans), value, unit, template, start)
                 by_words, by_tokens = min(WINDOW, len(literal)), min(WINDOW, len(value)) if len(value) >= LEAST else 0
                 for width, words, tokens, hashes in windows(own, sorted({by_words, by_tokens} - {0})):
                     words = words if width == by_words else np.full(len(words), -1)
