@@ -53,13 +53,20 @@ def ladder(steps: tuple[int, ...], failures: Column) -> Column:
 
 
 def byte_range(header: Column, size: Column) -> Column:
-    """struct<start, end, ok> of a Range header: null without one, ok false if it cannot be met."""
-    first = F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 1), F.lit("")).cast("long")
-    last = F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 2), F.lit("")).cast("long")
-    start = F.when(first.isNull(), F.greatest(size - last, F.lit(0))).otherwise(first)
-    end = F.when(first.isNull() | last.isNull(), size - 1).otherwise(F.least(last, size - 1))
-    ok = header.rlike(r"^bytes=(\d+-\d*|-[1-9]\d*)$") & (start <= end) & (start < size)
-    return F.when(header.isNotNull(), F.struct(F.when(ok, start).alias("start"), F.when(ok, end).alias("end"), F.coalesce(ok, F.lit(False)).alias("ok")))
+    """struct<start, end, ok> of a Range header: null without one, ok false if it cannot be read or met."""
+    number = lambda text: F.least(F.nullif(text, F.lit("")).try_cast("double"), F.lit(2.0**62)).cast("long")
+    parts = F.split(F.regexp_extract(header, r"^bytes=(\d*-\d*)\z", 1), "-")  # bound once: each lambda's argument is worked out before its body
+    bounds = F.transform(F.array(parts), lambda p: F.struct(F.when(F.get(p, F.lit(0)) != "", number(F.get(p, F.lit(0)))).alias("first"), F.when(F.get(p, F.lit(1)) != "", number(F.get(p, F.lit(1)))).alias("last")))
+
+    def met(b: Column) -> Column:
+        first, last = b["first"], b["last"]
+        start = F.when(first.isNull() & (last > 0), F.greatest(size - last, F.lit(0))).otherwise(first)
+        end = F.when(first.isNull() | last.isNull(), size - 1).otherwise(F.least(last, size - 1))
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.coalesce((start <= F.coalesce(last, end)) | first.isNull(), F.lit(False)).alias("fits"))
+
+    said = F.transform(F.transform(bounds, met), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.coalesce(r["fits"] & (r["start"] <= r["end"]) & (r["start"] < size), F.lit(False)).alias("ok")))
+    shown = F.transform(said, lambda r: F.struct(F.when(r["ok"], r["start"]).alias("start"), F.when(r["ok"], r["end"]).alias("end"), r["ok"].alias("ok")))
+    return F.when(header != "", F.get(shown, F.lit(0)))
 
 
 def even(value: Column) -> Column:
@@ -68,7 +75,7 @@ def even(value: Column) -> Column:
 
 def canvas(width: Column, height: Column, landscape: tuple[int, int] = (640, 360), portrait: tuple[int, int] = (360, 640)) -> Column:
     """struct<width, height>: scaled down into the bounds of its orientation, never up, both even."""
-    w, h = F.greatest(width, F.lit(2)), F.greatest(height, F.lit(2))
+    w, h = F.greatest(F.floor(width), F.lit(2)), F.greatest(F.floor(height), F.lit(2))
     tall = h > w
     scale = F.least(F.lit(1.0), F.when(tall, portrait[0]).otherwise(landscape[0]) / w, F.when(tall, portrait[1]).otherwise(landscape[1]) / h)
     return F.struct(even(w * scale).alias("width"), even(h * scale).alias("height"))
@@ -101,7 +108,7 @@ def timeline_window(at: Column, duration: Column, size: Column, most: int, step:
 
 def candidate_times(duration: Column, clip: int) -> Column:
     """Where to look for a picture: quarters of a known duration, clear of the end, else fixed seconds."""
-    last = F.greatest(F.lit(0), duration - clip - 1)
+    last = F.greatest(F.lit(0), duration - max(1, clip) - 1)
     quarters = F.transform(F.array(*map(F.lit, (0.25, 0.5, 0.75))), lambda f: F.greatest(F.lit(0), F.least(F.floor(duration * f + 0.5), last)).cast("long"))
     return F.when(duration > 0, F.array_distinct(quarters)).otherwise(F.array(*[F.lit(t).cast("long") for t in (10, 30, 60)]))
 
@@ -161,8 +168,10 @@ def merged_windows(windows: Column, most: int, gap: int) -> Column:
 
 
 def signature_distance(a: Column, b: Column) -> Column:
-    """Mean absolute difference of two pictures' brightness arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    """Mean absolute difference of two pictures' brightness arrays, over the length of the shorter; endless if one is empty."""
+    n = F.least(F.size(a), F.size(b))
+    total = F.aggregate(F.zip_with(F.slice(a, F.lit(1), F.greatest(n, F.lit(0))), F.slice(b, F.lit(1), F.greatest(n, F.lit(0))), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n > 0, total / n).when(n == 0, F.lit(float("inf")))
 
 
 #: Quota shares of the home feed's sources, in their order, with and without a watch history.

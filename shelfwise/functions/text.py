@@ -147,6 +147,14 @@ def similarity(a: str, b: str) -> int:
     return int((jaro + shared * 0.1 * (1 - jaro)) * 100 + 0.5)
 
 
+def similarity_bound(a: str, b: str) -> Column:
+    """No less than similarity() of two columns, as a part of one: as if all characters that the other text has anywhere were matched in order."""
+    shared = F.expr(f"least(length({a}) - length(translate({a}, {b}, '')), length({b}) - length(translate({b}, {a}, '')))")
+    jaro = (F.try_divide(shared, F.length(a)) + F.try_divide(shared, F.length(b)) + 1) / 3
+    prefix = sum((F.when(F.substring(a, 1, k) == F.substring(b, 1, k), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
 @F.pandas_udf(T.IntegerType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
@@ -207,9 +215,14 @@ def safe_reason(text: Column, most: int = 240) -> Column:
     return F.substring(collapsed(F.regexp_replace(text, r"https?://\S+", "[url]")), 1, most)
 
 
+#: Fixed value: an account's label where neither it nor its address gives one.
+NO_LABEL = "MEGA account"
+
+
 def label_of(label: Column, email: Column) -> Column:
-    """A label cut to 50, or the part of the address before the @."""
-    return F.coalesce(F.nullif(F.trim(F.substring(F.trim(label), 1, 50)), F.lit("")), F.substring_index(email, "@", 1))
+    """A label cut to 50, or the part of the address before the @, or a fixed one."""
+    own, local = F.substring(trimmed(label), 1, 50), F.substring_index(email, "@", 1)
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(local, F.lit("")), F.lit(NO_LABEL))
 
 
 def folder_name(name: Column) -> Column:
@@ -229,11 +242,12 @@ def clock(seconds: Column) -> Column:
 
 
 def bytes_text(size: Column) -> Column:
-    """In steps of 1024; one decimal below ten and above bytes."""
+    """In steps of 1024; one decimal below ten and above bytes; null for null, negative or endless sizes."""
+    known = (size >= 0) & (size.cast("double") < float("inf"))
     step = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log2(F.greatest(size, F.lit(1))) / 10))).cast("int")
     value = size / F.pow(F.lit(1024.0), step)
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1)
-    return F.when((step > 0) & (value < 10), F.format_string("%.1f %s", value, unit)).otherwise(F.format_string("%.0f %s", value, unit))
+    return F.when(known, F.when((step > 0) & (value < 10), F.format_string("%.1f %s", value, unit)).otherwise(F.format_string("%.0f %s", value, unit)))
 
 
 def vtt_time(ms: Column) -> Column:

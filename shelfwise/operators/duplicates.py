@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import extension, fnv1a, normal_title, title_similarity
+from shelfwise.functions.text import extension, fnv1a, normal_title, similarity_bound, title_similarity
 from shelfwise.operators.graph import components
 from shelfwise.sources.shared import written
 
@@ -23,7 +23,7 @@ def edges(items: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs that may be duplicates.
 
     Titles are compared only among files of one size, and of sizes with over PAIRWISE files only equal
-    keys count. Equal keys are never paired off: sorted by duration, neighbours within the tolerance are
+    keys count; an upper bound of the similarity leaves out most pairs before. Equal keys are never paired off: sorted by duration, neighbours within the tolerance are
     linked, and files of unknown duration link their whole group, which gives the same groups.
     """
     items = items.where((F.col("size").isNotNull()) & (F.length("key") >= LEAST_KEY))
@@ -38,6 +38,7 @@ def edges(items: DataFrame) -> DataFrame:
     right = small.select("size", F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("duration").alias("duration_b"))
     agree = F.coalesce(F.abs(F.col("duration") - F.col("duration_b")) <= SECONDS, F.lit(True))
     pairs = small.join(right, "size").where((F.col("id") < F.col("b")) & (F.col("key") != F.col("key_b")) & agree & (F.least(F.length("key"), F.length("key_b")) >= SHORT_KEY))
+    pairs = pairs.where(similarity_bound("key", "key_b") >= (LEAST - 0.5) / 100 - 1e-9)  # most pairs never reach Python
     alike = pairs.select(F.col("id").alias("a"), "b", title_similarity("key", "key_b").alias("similarity")).where(f"similarity >= {LEAST}")
     return same.unionByName(alike)
 

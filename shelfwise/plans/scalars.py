@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import classify as C
 from shelfwise.functions import numbers as N
 from shelfwise.functions import text as T
+from shelfwise.plans import twins
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 
@@ -62,9 +63,8 @@ def parsed(lib: Library) -> DataFrame:
     return names(lib).select("id", T.parsed_name(F.col("name")).alias("p")).select("id", "p.*")
 
 
-@query("str_06_slug", "SELECT id, coalesce(nullif(substr(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120), ''), 'video') AS slug FROM video")
+@query("str_06_slug", f"SELECT id, {twins.slug('title')} AS slug FROM video")
 def slugs(lib: Library) -> DataFrame:
-    """The twin takes accents away, which is all that compatibility decomposition does to these titles; more is checked by cases."""
     return titles(lib).select("id", T.slug(F.col("title")).alias("slug"))
 
 
@@ -81,9 +81,9 @@ def creator_names(lib: Library) -> DataFrame:
     return rows.select("id", T.creator_name(F.col("name")).alias("name"))
 
 
-@query("str_09_comparison_key")
+@query("str_09_comparison_key", f"WITH n AS (SELECT id, {NAMES} AS name FROM video) SELECT id, {twins.comparison_key('name')} AS key FROM n")
 def comparison_keys(lib: Library) -> DataFrame:
-    """Compatibility normalisation and a fixpoint of stripped markers (str_10): checked by cases."""
+    """Compatibility normalisation and a fixpoint of stripped markers (str_10); odd characters are checked by cases."""
     return names(lib).select("id", T.normal_title(F.col("name")).alias("key"))
 
 
@@ -92,9 +92,9 @@ def extensions(lib: Library) -> DataFrame:
     return names(lib).select("id", T.extension(F.col("name")).alias("extension"))
 
 
-@query("str_12_title_similarity")
+@query("str_12_title_similarity", f"WITH v AS (SELECT a.id, lower(a.title) AS a, lower(b.title) AS b FROM video a JOIN video b ON b.id = a.id + 1) SELECT v.id, s.percent AS similarity FROM v JOIN {twins.similarity('v')} s ON s.a = v.a AND s.b = v.b")
 def similarities(lib: Library) -> DataFrame:
-    """Neighbours by id; Jaro-Winkler here is not the one of SQL engines: checked by brute force and cases."""
+    """Neighbours by id."""
     nxt = lib.video.select((F.col("id") - 1).alias("id"), F.col("title").alias("other"))
     return titles(lib).join(nxt, "id").select("id", T.title_similarity(F.lower("title"), F.lower("other")).alias("similarity"))
 
@@ -132,9 +132,9 @@ def reasons(lib: Library) -> DataFrame:
     return titles(lib).select("id", T.safe_reason(said, 40).alias("reason"))
 
 
-@query("str_16_label", "SELECT c_custkey AS id, coalesce(nullif(trim(substr(trim(CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name || repeat('!', 60) END), 1, 50)), ''), 'user' || c_custkey) AS label FROM customer")
+@query("str_16_label", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 2 THEN substr(c_name || repeat('!', 60), 1, 50) WHEN 3 THEN 'MEGA account' ELSE 'user' || c_custkey END AS label FROM customer")
 def labels(lib: Library) -> DataFrame:
-    rows = lib.raw("customer").select(F.col("c_custkey").alias("id"), F.expr("CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE c_name || repeat('!', 60) END").alias("label"), F.expr("concat('user', c_custkey, '@example.com')").alias("email"))
+    rows = lib.raw("customer").select(F.col("c_custkey").alias("id"), F.expr("CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(' ', c_name, repeat('!', 60)) ELSE '' END").alias("label"), F.expr("concat(CASE WHEN c_custkey % 4 = 3 THEN '' ELSE concat('user', c_custkey) END, '@example.com')").alias("email"))
     return rows.select("id", T.label_of(F.col("label"), F.col("email")).alias("label"))
 
 
@@ -149,10 +149,10 @@ def emails(lib: Library) -> DataFrame:
 
 
 @query("str_19_clock_and_bytes", """SELECT id, CASE WHEN s IS NULL OR s < 0 THEN NULL WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock,
-    CASE WHEN b >= 1048576 AND b / 1048576.0 < 10 THEN printf('%.1f MB', floor(b / 1048576.0 * 10 + 0.5) / 10) WHEN b >= 1048576 THEN printf('%d MB', CAST(floor(b / 1048576.0 + 0.5) AS BIGINT)) WHEN b >= 1024 AND b / 1024.0 < 10 THEN printf('%.1f KB', floor(b / 1024.0 * 10 + 0.5) / 10) WHEN b >= 1024 THEN printf('%d KB', CAST(floor(b / 1024.0 + 0.5) AS BIGINT)) ELSE printf('%d B', b) END AS size
-    FROM (SELECT id, CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END AS s, file_size * (id % 100) AS b FROM video)""")
+    CASE WHEN b IS NULL OR b < 0 THEN NULL WHEN b >= 1048576 AND b / 1048576.0 < 10 THEN printf('%.1f MB', floor(b / 1048576.0 * 10 + 0.5) / 10) WHEN b >= 1048576 THEN printf('%d MB', CAST(floor(b / 1048576.0 + 0.5) AS BIGINT)) WHEN b >= 1024 AND b / 1024.0 < 10 THEN printf('%.1f KB', floor(b / 1024.0 * 10 + 0.5) / 10) WHEN b >= 1024 THEN printf('%d KB', CAST(floor(b / 1024.0 + 0.5) AS BIGINT)) ELSE printf('%d B', b) END AS size
+    FROM (SELECT id, CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END AS s, CASE id % 19 WHEN 3 THEN NULL WHEN 4 THEN -1 ELSE file_size * (id % 100) END AS b FROM video)""")
 def clocks(lib: Library) -> DataFrame:
-    return titles(lib).select("id", T.clock(F.expr("CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END")).alias("clock"), T.bytes_text(F.col("file_size") * (F.col("id") % 100)).alias("size"))
+    return titles(lib).select("id", T.clock(F.expr("CASE id % 17 WHEN 3 THEN 0 WHEN 5 THEN -id - 1 ELSE duration * 7 END")).alias("clock"), T.bytes_text(F.expr("CASE id % 19 WHEN 3 THEN NULL WHEN 4 THEN -1 ELSE file_size * (id % 100) END")).alias("size"))
 
 
 @query("str_20_vtt_time", "SELECT id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS at FROM (SELECT id, file_size * 977 AS ms FROM video)")
@@ -299,10 +299,12 @@ def sprite_vtt(lib: Library) -> DataFrame:
     return vtt_sheets(rows, 3, 160, 90)
 
 
-@query("mat_10_signature_distance", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE) - 0.5))) / len(embedding), 6) AS distance FROM embeddings")
+@query("mat_10_signature_distance", "SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE round(list_sum(list_transform(embedding[1:greatest(1, vec_id % 80)], lambda x: abs(CAST(x AS DOUBLE) - 0.5))) / least(len(embedding), greatest(1, vec_id % 80)), 6) END AS distance FROM embeddings")
 def distances(lib: Library) -> DataFrame:
-    rows = lib.raw("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-    return rows.select("id", F.round(N.signature_distance(F.col("a"), F.transform("a", lambda x: F.lit(0.5))), 6).alias("distance"))
+    """Against a picture of another length; one of no length is like nothing."""
+    other = F.expr("CASE WHEN vec_id % 9 = 0 THEN CAST(array() AS array<double>) ELSE array_repeat(0.5D, CAST(greatest(1, vec_id % 80) AS INT)) END")
+    rows = lib.raw("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("a"), other.alias("b"))
+    return rows.select("id", F.round(N.signature_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 UNITS = "CASE id % 7 WHEN 0 THEN 0 WHEN 1 THEN file_size % 1000 WHEN 2 THEN 1000 + file_size WHEN 3 THEN 1000000 + file_size * 1000 WHEN 4 THEN 1000 WHEN 5 THEN 999999 WHEN 6 THEN NULL END"
@@ -313,11 +315,15 @@ def duration_units(lib: Library) -> DataFrame:
     return lib.video.select("id", N.duration_seconds(F.expr(UNITS)).alias("seconds"))
 
 
-@query("mat_12_byte_range", """SELECT id, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN id END WHEN 1 THEN greatest(file_size - 10, 0) WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END END AS start, CASE WHEN file_size > 0 THEN CASE id % 5 WHEN 0 THEN CASE WHEN id < file_size THEN least(id + 99, file_size - 1) END WHEN 1 THEN file_size - 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE file_size - 1 END END AS "end" FROM video""")
+RANGES = "CASE id % 11 WHEN 0 THEN 'bytes=' || id || '-' || (id + 99) WHEN 1 THEN 'bytes=-10' WHEN 2 THEN NULL WHEN 3 THEN 'bytes=9-2' WHEN 4 THEN 'bytes=0-' WHEN 5 THEN '' WHEN 6 THEN 'bytes=-0' WHEN 7 THEN 'bytes=-' WHEN 8 THEN 'bytes=0-99999999999999999999' WHEN 9 THEN 'bytes=99999999999999999999-' ELSE 'bytes=5-6,8-9' END"
+
+
+@query("mat_12_byte_range", """SELECT id, k NOT IN (2, 5) AS asked, ok AS met, CASE WHEN ok THEN CASE k WHEN 0 THEN id WHEN 1 THEN greatest(file_size - 10, 0) ELSE 0 END END AS start, CASE WHEN ok THEN CASE k WHEN 0 THEN least(id + 99, file_size - 1) ELSE file_size - 1 END END AS "end"
+    FROM (SELECT id, file_size, id % 11 AS k, CASE WHEN id % 11 IN (2, 5) THEN NULL ELSE file_size > 0 AND (id % 11 IN (1, 4, 8) OR (id % 11 = 0 AND id < file_size)) END AS ok FROM video)""")
 def byte_ranges(lib: Library) -> DataFrame:
-    header = F.expr("CASE id % 5 WHEN 0 THEN concat('bytes=', id, '-', id + 99) WHEN 1 THEN 'bytes=-10' WHEN 2 THEN NULL WHEN 3 THEN 'bytes=9-2' ELSE 'bytes=0-' END")
-    rows = lib.video.select("id", N.byte_range(header, F.col("file_size")).alias("r"))
-    return rows.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    """Without a header all is sent; a range that cannot be read or met is not."""
+    rows = lib.video.select("id", N.byte_range(F.expr(RANGES), F.col("file_size")).alias("r"))
+    return rows.select("id", F.col("r").isNotNull().alias("asked"), F.col("r.ok").alias("met"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
 @query("mat_13_size_text", "SELECT id, CASE id % 8 WHEN 0 THEN CASE WHEN id = 0 THEN 5368709120 ELSE id * 1073741824 END WHEN 1 THEN id WHEN 2 THEN CAST(floor((id + 0.5) * 1048576) AS BIGINT) WHEN 3 THEN id * 1024 ELSE 5368709120 END AS bytes FROM video")

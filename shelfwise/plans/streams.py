@@ -123,7 +123,7 @@ WARM_MS, WARM_ITEMS, NEARLY = 4000, 5, 3
 def eta(span, done, left):
     """struct<kind, ms>: no estimate before the warm-up; nearly done with at most NEARLY items left."""
     ready = (span >= WARM_MS) & (done >= WARM_ITEMS)
-    kind = F.when(left <= NEARLY, "almost-done").when(ready, "estimate").otherwise("calculating")
+    kind = F.when(left <= NEARLY, "almost-done").when(ready & left.isNotNull(), "estimate").otherwise("calculating")
     return F.struct(kind.alias("kind"), F.when(kind == "estimate", F.ceil(left * span / done)).alias("ms"))
 
 
@@ -200,17 +200,20 @@ def last_states(decided: DataFrame) -> DataFrame:
     return decided.groupBy("job").agg(F.max_by(F.struct("state", "claims"), "event_id").alias("s")).select(F.col("job").alias("user_id"), "s.state", "s.claims")
 
 
-@query("stm_08_job_states", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 6 AS k, (event_id % 97) // 24 AS claim FROM events),
+STATES_SQL = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 6 AS k, (event_id % 97) // 24 AS claim FROM events),
     s AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, CAST(0 AS BIGINT) AS n, 'pending' AS state, CAST(0 AS BIGINT) AS claims FROM events UNION ALL
         SELECT s.user_id, e.n, CASE WHEN state = 'pending' AND k = 0 THEN 'generating' WHEN state = 'failed' AND k = 4 THEN 'pending' WHEN state <> 'generating' OR claim <> claims OR k IN (0, 4) THEN state WHEN k = 1 THEN 'completed' WHEN k = 2 THEN 'failed' WHEN k = 3 THEN 'pending' ELSE 'unsupported' END,
             claims + CASE WHEN state = 'pending' AND k = 0 THEN 1 ELSE 0 END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
-    SELECT user_id, arg_max(state, n) AS state, max(claims) AS claims FROM s GROUP BY user_id""")
+    SELECT user_id, arg_max(state, n) AS state, max(claims) AS claims FROM s GROUP BY user_id"""
+
+
+@query("stm_08_job_states", STATES_SQL)
 def job_states(lib: Library) -> DataFrame:
     """Events of a job folded into its state, in order; what a worker says counts only under the claim that is in force."""
     return last_states(folded_jobs(job_events(lib.raw("events"))))
 
 
-@query("stm_08_job_states_stream")
+@query("stm_08_job_states_stream", STATES_SQL)
 def job_states_stream(lib: Library) -> DataFrame:
     """The same as a stream, whose state is kept by job; checked against the batch."""
     return last_states(run_once(folded_jobs_stream(job_events(event_stream(lib))), "jobs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import attribute_handles, creator_name, mime_of, parsed_name, slug, title_of
 from shelfwise.operators.reconcile import plan_changes
+from shelfwise.plans import twins
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 from shelfwise.sources.keyed import union_all
@@ -78,13 +79,19 @@ def unique_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return numbered.select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "k")).alias("slug"))
 
 
-@query("qry_17_unique_slugs")
+@query("qry_17_unique_slugs", f"""WITH s AS (SELECT id, {twins.slug('title')} AS base FROM video), u AS (SELECT regexp_replace(base, '-\\d+$', '') AS base, max(coalesce(TRY_CAST(nullif(regexp_extract(base, '-(\\d+)$', 1), '') AS INTEGER), 1)) AS n FROM s WHERE id % 2 = 1 GROUP BY ALL),
+    k AS (SELECT id, s.base, coalesce(n, 0) + row_number() OVER (PARTITION BY s.base ORDER BY id) AS k FROM s LEFT JOIN u ON u.base = s.base WHERE id % 2 = 0) SELECT id, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM k""")
 def slugs(lib: Library) -> DataFrame:
     rows = lib.video.where("id % 2 = 0").select("id", slug(F.col("title")).alias("base"))
     return unique_slugs(rows, lib.video.where("id % 2 = 1").select(slug(F.col("title")).alias("slug")).distinct())
 
 
-@query("qry_18_creator_reconcile")
+WANTED = """SELECT id, account_id % 5 AS user_id, creator_id, CASE WHEN contains(f, ' - ') AND trim(substr(f, instr(f, ' - ') + 3)) <> '' AND instr(f, ' - ') > 1 THEN trim(regexp_replace(substr(f, 1, instr(f, ' - ') - 1), '_+', ' ', 'g')) ELSE '' END AS name
+    FROM (SELECT *, regexp_replace(regexp_replace(filename, '^.*[/\\\\]', '', 's'), '\\.[^.]+$', '') AS f FROM video WHERE account_id IS NOT NULL)"""
+
+
+@query("qry_18_creator_reconcile", f"""WITH w AS ({WANTED}), s AS (SELECT *, {twins.slug("coalesce(nullif(name, ''), 'Unknown Creator')")} AS slug FROM w), k AS (SELECT id AS known_id, user_id, {twins.slug('name')} AS slug FROM creator WHERE id % 3 <> 0)
+    SELECT s.user_id, CASE WHEN known_id IS NULL THEN 'create' WHEN known_id IS NOT DISTINCT FROM creator_id THEN 'keep' ELSE 'assign' END AS outcome, count(*) AS videos FROM s LEFT JOIN k ON k.user_id = s.user_id AND k.slug = s.slug GROUP BY ALL""")
 def creator_reconcile(lib: Library) -> DataFrame:
     """What reconciling creators with file names would do (a dry run): keep, assign or create, by user. The name comes from the file; manual assignments would stay."""
     rows = lib.video.where("account_id IS NOT NULL").select("id", (F.col("account_id") % 5).alias("user_id"), "creator_id", F.coalesce(parsed_name(F.col("filename"))["creator"], F.lit("")).alias("name"))

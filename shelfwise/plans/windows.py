@@ -110,9 +110,12 @@ def spaced(lib: Library) -> DataFrame:
     return lib.video.where("duration > 0").select("id", F.transform(starts, lambda x: F.round(x, 6)).alias("starts"))
 
 
-@query("win_12_greedy_scenes")
+@query("win_12_greedy_scenes", """WITH RECURSIVE o AS (SELECT stream, (idx - 1) // 2 AS scene, list({'start': CAST(idx AS DOUBLE), 'bright': keyframe, 'sign': first_byte / 1000.0} ORDER BY idx) AS options FROM fragment GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY scene) AS n FROM o),
+    s AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS starts, CAST([] AS DOUBLE[]) AS signs FROM o UNION ALL
+        SELECT stream, n, list_append(starts, c.start), list_append(signs, CAST(c.sign AS DOUBLE)) FROM (SELECT s.stream, n.n, starts, signs, coalesce(list_filter(options, lambda x: x.bright AND len(list_filter(signs, lambda g: abs(g - x.sign) < 2.5)) = 0)[1], options[1]) AS c FROM s JOIN n ON n.stream = s.stream AND n.n = s.n + 1))
+    SELECT stream, list_sort(arg_max(starts, n)) AS starts FROM s GROUP BY stream""")
 def greedy_scenes(lib: Library) -> DataFrame:
-    """Pairs of neighbouring fragments as the alternatives of a scene; checked by brute force."""
+    """Pairs of neighbouring fragments as the alternatives of a scene."""
     option = F.struct(F.col("idx").cast("double").alias("start"), F.col("keyframe").alias("bright"), (F.col("first_byte") / 1000).alias("signature"))
     each = lib.fragment.groupBy("stream", F.floor((F.col("idx") - 1) / 2).alias("scene")).agg(F.array_sort(F.collect_list(option)).alias("options"))
     scenes = each.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("scene", "options")))["options"].alias("scenes"))
@@ -164,11 +167,11 @@ def seeded_permutation(lib: Library) -> DataFrame:
     return numbered(lib.video.where("account_id IS NULL").select("id"), shuffled(SEED)).select("id", "pos")
 
 
-@query("srt_11_brightest", "SELECT l_orderkey AS stream, coalesce(arg_min(l_linenumber, l_linenumber) FILTER (WHERE l_quantity >= 45), arg_max(l_linenumber, l_quantity * 100 - l_linenumber)) AS frame FROM lineitem GROUP BY l_orderkey")
+@query("srt_11_brightest", "SELECT l_orderkey AS stream, arg_max(l_linenumber, l_quantity * 100 - l_linenumber) FILTER (WHERE l_linenumber % 5 <> 4) AS frame, coalesce(max(l_quantity) FILTER (WHERE l_linenumber % 5 <> 4) >= 45, FALSE) AS usable FROM lineitem GROUP BY l_orderkey")
 def brightest(lib: Library) -> DataFrame:
-    """The first frame that is bright enough, else the brightest (of equals the first)."""
-    rows = lib.raw("lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("stream")).agg(F.coalesce(F.min(F.when(F.col("l_quantity") >= 45, F.col("l_linenumber"))), F.max_by("l_linenumber", F.col("l_quantity") * 100 - F.col("l_linenumber"))).alias("frame"))
+    """The brightest frame (of equals the first) that could be read, whether it clears the floor or is the best there is."""
+    rows = lib.raw("lineitem").withColumn("bright", F.when(F.col("l_linenumber") % 5 != 4, F.col("l_quantity")))
+    return rows.groupBy(F.col("l_orderkey").alias("stream")).agg(F.max_by("l_linenumber", F.col("bright") * 100 - F.col("l_linenumber")).alias("frame"), F.coalesce(F.max("bright") >= 45, F.lit(False)).alias("usable"))
 
 
 @query("srt_12_page_strip", """WITH c AS (SELECT c.id, greatest(1, CAST(ceil(count(v.id) / 3.0) AS BIGINT)) AS pages FROM creator c LEFT JOIN video v ON v.creator_id = c.id GROUP BY c.id), a AS (SELECT *, id % pages + 1 AS page FROM c),

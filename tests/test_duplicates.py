@@ -70,3 +70,13 @@ def test_components(spark):
     want = {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_the_bound_is_never_below_the_similarity(spark):
+    from shelfwise.functions.text import similarity_bound
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcde ]-^") for _ in range(rng.randint(1, 14)))
+    rows = [(a, "".join(c if rng.random() < 0.8 else rng.choice("abcde") for c in a) if rng.random() < 0.7 else word()) for a in (word() for _ in range(600))]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity_bound("a", "b").alias("bound")).collect()
+    assert all(r["bound"] * 100 + 0.5 + 1e-9 >= similarity(r["a"], r["b"]) for r in got) and sum(r["bound"] < 0.895 for r in got) > 200
