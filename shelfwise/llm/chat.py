@@ -27,23 +27,25 @@ def unescaped(text: Column) -> Column:
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """conv_id, example (from 0), n_turns, formatted, loss_start, loss_length (code points of formatted; null without a target).
+    """conv_id, alone, example (from 0), n_turns, formatted, loss_start, loss_length (code points of formatted; null without a target).
 
     turns: conv_id, turn, role, text. A null role or text is empty; turns of one number follow each other
-    by role and text, null numbers come first; all rows with a null conv_id are one conversation.
-    One conversation's turns meet in one row, as each example has to hold all of them anyway.
+    by role and text, null numbers come first. A row without conv_id is a conversation of its own: alone tells it apart, and
+    is null for the others. One conversation's turns meet in one row, as each example has to hold all of them anyway; texts of any length are whole.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    one = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    one = turns.select("conv_id", alone.alias("alone"), F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    whole = one.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"))
-    whole = whole.select("conv_id", "turns", F.transform("turns", lambda t: F.concat(head(t), escaped(t["text"]), F.lit(f"{END}\n"))).alias("shown"))
+    whole = whole.select("conv_id", "alone", "turns", F.transform("turns", lambda t: F.concat(head(t), escaped(t["text"]), F.lit(f"{END}\n"))).alias("shown"))
     last = F.size("turns") - 1
     targets = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(F.col("turns"), i)["role"] == "assistant") | (i == last))
-    each = whole.select("conv_id", "turns", "shown", F.posexplode(targets).alias("example", "at"))
+    each = whole.select("conv_id", "alone", "turns", "shown", F.posexplode(targets).alias("example", "at"))
     target = F.get("turns", F.col("at"))
     return each.select(
         "conv_id",
+        "alone",
         "example",
         (F.col("at") + 1).alias("n_turns"),
         F.array_join(F.slice("shown", F.lit(1), F.col("at") + 1), "").alias("formatted"),
@@ -55,8 +57,8 @@ def expand(turns: DataFrame) -> DataFrame:
 def read_back(examples: DataFrame) -> DataFrame:
     """conv_id, turns (array of role and text, from the longest example), losses (all masked text, unescaped, in order), formatted_chars."""
     masked = unescaped(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_length")))
-    parts = examples.select("conv_id", "example", "formatted", F.length("formatted").cast("long").alias("chars"), F.coalesce(masked, F.lit("")).alias("masked"))
-    whole = parts.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("last"), F.array_sort(F.collect_list(F.struct("example", "masked"))).alias("masked"), F.sum("chars").alias("formatted_chars"))
+    parts = examples.select("conv_id", "alone", "example", "formatted", F.length("formatted").cast("long").alias("chars"), F.coalesce(masked, F.lit("")).alias("masked"))
+    whole = parts.groupBy("conv_id", "alone").agg(F.max_by("formatted", "example").alias("last"), F.array_sort(F.collect_list(F.struct("example", "masked"))).alias("masked"), F.sum("chars").alias("formatted_chars"))
     pieces = F.slice(F.split("last", r"<\|im_start\|>"), F.lit(2), F.size(F.split("last", r"<\|im_start\|>")))
     cut = lambda p: F.struct(
         F.url_decode(F.substring_index(p, "\n", 1)).alias("role"),

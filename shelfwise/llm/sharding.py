@@ -9,7 +9,8 @@ from its digest, so that sources of a few rows do not all ask for the same place
 
 No source, however large, is ranked in one task: a row's rank is the number of rows of its source in
 earlier hash buckets (a small table of counts) plus its place in its own bucket. The place in the
-whole order is found in the same way over buckets of fractions.
+whole order is found in the same way over buckets of fractions. Rows are written once, with their digests; a row that
+stands more often than a bucket may hold gets digests of its own for each share of its copies.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import written
+
 #: Rows that one window is meant to hold; more rows mean more buckets. Buckets whose counts one window adds up.
 BUCKET_ROWS, RUN = 20_000, 4096
 
@@ -42,19 +45,23 @@ def interleave(rows: DataFrame, stratum: str, order: list[str], n_shards: int =
     """rows with the columns shard and slot (place in the shard, from 0), which replace columns of those names.
 
     order: columns whose values set the seeded order; rows that agree in all of them and in stratum
-    are interchangeable copies and get neighbouring places. A null stratum counts as the stratum ''.
+    are interchangeable copies and get neighbouring places, up to BUCKET_ROWS of them together. A null stratum counts as the stratum ''.
     An empty table gives an empty result. All other columns stay, whatever their names are.
     """
     rest = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in order]))
-    ties = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    rows = rows.select(F.struct(*rest).alias("row"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("source"), digest.alias("digest"), ties.alias("ties"))
-    n = rows.select("source").count()
+    rows = rows.select(F.struct(*rest).alias("row"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("source"), digest.alias("digest"), F.monotonically_increasing_id().alias("at"))
+    rows = written(rows, "shard-rows")
+    n = rows.count()
+    often = rows.groupBy("source", "digest").agg(F.count("*").alias("copies")).where(F.col("copies") > BUCKET_ROWS)  # fewer than n / BUCKET_ROWS
+    if often.limit(1).count():
+        share = F.pmod(F.xxhash64("at"), F.ceil(F.col("copies") / (BUCKET_ROWS / 2)))
+        rows = rows.join(often, ["source", "digest"], "left").withColumn("digest", F.when(F.col("copies").isNull(), F.col("digest")).otherwise(F.md5(F.concat_ws("\x1f", "digest", share)))).drop("copies")
     digits = max(2, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
     rows = rows.withColumn("b", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
     counts = rows.groupBy("source", "b").agg(F.count("*").alias("n"))
     before = earlier(counts, ["source"], "b", "n").drop("n").withColumnRenamed("__before", "before").join(counts.groupBy("source").agg(F.sum("n").alias("of")), "source")
-    own = Window.partitionBy("source", "b").orderBy("digest", "ties")
+    own = Window.partitionBy("source", "b").orderBy("digest", "at")
     ranked = rows.join(before, ["source", "b"]).withColumn("k", F.col("before") + F.row_number().over(own))
     ranked = ranked.withColumn("f", (F.col("k") - shift(F.col("source"))) / F.col("of")).withColumn("j", F.floor(F.col("f") * max(64, 16**digits)).cast("long"))
     starts = earlier(ranked.groupBy("j").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), ["all"], "j", "n").select("j", F.col("__before").alias("start"))

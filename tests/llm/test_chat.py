@@ -25,3 +25,19 @@ def test_round_trip_and_mask(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.expand(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_rows_without_conversation_are_each_their_own(spark):
+    rows = [(None, i % 3, "assistant" if i % 2 else "user", f"t{i % 5}") for i in range(200)] + [(None, 0, "user", "same")] * 50
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(4)
+    examples = chat.expand(turns)
+    back = chat.read_back(examples).collect()
+    assert len(back) == 250 and all(len(r["turns"]) == 1 for r in back)
+    assert sorted((r["turns"][0]["role"], r["turns"][0]["text"], r["losses"]) for r in back) == sorted((role, text, text if role == "assistant" else "") for _, _, role, text in rows)
+
+
+def test_very_long_texts(spark):
+    long = "ab\\c <|im_end|> 漢🙂\n" * 60_000
+    turns = spark.createDataFrame([(1, 0, "user", long, None), (1, 1, "assistant", long * 2, None)], SCHEMA)
+    (back,) = chat.read_back(chat.expand(turns)).collect()
+    assert [t["text"] for t in back["turns"]] == [long, long * 2] and back["losses"] == long * 2

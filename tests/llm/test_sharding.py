@@ -59,3 +59,19 @@ def test_columns_of_any_name_stay(spark):
     out = sharding.interleave(rows, "source", ["doc_id"], 2).collect()
     assert {(r["doc_id"], r["__s"], r["__before"], r["row"], r["k"]) for r in out} == {(i, f"s{i}", i, i, i) for i in range(10)}
     assert Counter(r["shard"] for r in out) == {0: 5, 1: 5}
+
+
+def test_equal_rows_are_spread_over_buckets(spark, monkeypatch):
+    """Rows of no doc_id, text and source have one digest; no window may hold them all."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 40)
+    rows = [(None, None, None, None)] * 900 + [(i, f"t{i}", None, "a") for i in range(300)]
+    out = shard_documents(frame(spark, rows).repartition(6), 8).collect()
+    assert len(out) == 1200 and set(Counter(r["shard"] for r in out).values()) == {150}
+    assert all(112 <= sum(r["doc_id"] is None for r in out if r["shard"] == s) <= 114 for s in range(8))
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(150))
+    seen = []
+    real = sharding.earlier
+    monkeypatch.setattr(sharding, "earlier", lambda counts, keys, bucket, n: seen.append(counts) or real(counts, keys, bucket, n))
+    shard_documents(frame(spark, rows), 8).count()
+    assert all(max(r["n"] for r in counts.collect()) <= 60 for counts in seen)
