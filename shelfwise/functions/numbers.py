@@ -167,6 +167,14 @@ def merged_windows(windows: Column, most: int, gap: int) -> Column:
     return F.aggregate(first, empty, add)
 
 
+def sprite_plan(duration: Column, columns: int, most: int, least_interval: int) -> Column:
+    """struct<interval, count, rows>: pictures of a sheet, one every interval seconds, as many as fit the duration and the sheet, one at least."""
+    d = F.greatest(F.lit(0.5), duration)
+    interval = F.greatest(F.lit(least_interval), F.ceil(d / most))
+    count = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(d / interval)))
+    return F.struct(interval.cast("long").alias("interval"), count.cast("long").alias("count"), F.ceil(count / columns).cast("long").alias("rows"))
+
+
 def signature_distance(a: Column, b: Column) -> Column:
     """Mean absolute difference of two pictures' brightness arrays, over the length of the shorter; endless if one is empty."""
     n = F.least(F.size(a), F.size(b))

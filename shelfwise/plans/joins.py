@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.reconcile import plan_changes
@@ -132,3 +132,38 @@ def prioritised_lookup(lib: Library) -> DataFrame:
     rows = lib.raw("customer").select(F.col("c_custkey").alias("id")).join(link, "id", "left").join(mail, "id", "left")
     conflict = (F.col("id") % 5 == 0) & F.col("by_mail").isNotNull()
     return rows.select("id", F.when(~conflict, F.coalesce("by_link", "by_mail")).alias("found"))
+
+
+def sample_offsets(sizes: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """stream, sample, at: where each sample of a file begins.
+
+    sizes: stream, sample (from 0), size. chunks: stream, chunk (from 1), offset. runs: stream, chunk, samples: from this chunk on each holds so many.
+    A chunk takes the last run at or before it, a sample the chunk that its number falls into. Streams whose chunks hold other than their samples are left out.
+    """
+    held = asof(chunks.withColumn("at", F.col("chunk")), runs.withColumn("at", F.col("chunk")).select("stream", "at", "samples"), ["stream"], "at", ["samples"]).drop("at")
+    upto = F.sum("samples").over(Window.partitionBy("stream").orderBy("chunk"))
+    held = held.withColumn("first", upto - F.col("samples"))
+    total = held.groupBy("stream").agg(F.sum("samples").alias("held"), F.count_if(F.col("samples").isNull()).alias("none"))
+    whole = sizes.groupBy("stream").agg(F.count("*").alias("n")).join(total, "stream").where("n = held AND none = 0").select("stream")
+    rows = asof(sizes.join(whole, "stream", "left_semi").withColumn("at", F.col("sample")), held.where("samples > 0").withColumn("at", F.col("first")).select("stream", "at", "chunk", "offset"), ["stream"], "at", ["chunk", "offset"])
+    before = F.sum("size").over(Window.partitionBy("stream", "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("stream", "sample", (F.col("offset") + F.coalesce(before, F.lit(0))).alias("at"))
+
+
+RUNS = "SELECT stream, unnest([1, 4, 6]) AS chunk, unnest([2 + stream % 3, 1, 1]) AS samples FROM (SELECT DISTINCT l_suppkey AS stream FROM lineitem)"
+
+
+@query("mat_14_sample_offsets", f"""WITH s AS (SELECT l_suppkey AS stream, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS sample, CAST(l_quantity * 10 AS BIGINT) AS size FROM lineitem), r AS ({RUNS}),
+    n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream), c AS (SELECT stream, unnest(range(1, n - 3 * (2 + stream % 3) - 2 + 5 + CASE WHEN stream % 7 = 0 THEN 2 ELSE 1 END)) AS chunk FROM n),
+    h AS (SELECT c.stream, c.chunk, (SELECT arg_max(r.samples, r.chunk) FROM r WHERE r.stream = c.stream AND r.chunk <= c.chunk) AS samples FROM c), f AS (SELECT *, sum(samples) OVER (PARTITION BY stream ORDER BY chunk) - samples AS first FROM h),
+    w AS (SELECT stream FROM f GROUP BY stream HAVING sum(samples) = (SELECT n FROM n WHERE n.stream = f.stream))
+    SELECT s.stream, s.sample, CAST(f.chunk * 5000 + s.stream + coalesce(sum(size) OVER (PARTITION BY s.stream, f.chunk ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "at" FROM s JOIN w USING (stream) JOIN f ON f.stream = s.stream AND s.sample >= f.first AND s.sample < f.first + f.samples""")
+def offsets(lib: Library) -> DataFrame:
+    """The tables of a supplier's file, made of its lines; every seventh file has a chunk too many."""
+    lines = lib.raw("lineitem")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    sizes = lines.select(F.col("l_suppkey").alias("stream"), (F.row_number().over(order) - 1).alias("sample"), (F.col("l_quantity") * 10).cast("long").alias("size"))
+    streams = lines.groupBy(F.col("l_suppkey").alias("stream")).agg(F.count("*").alias("n"))
+    runs = streams.select("stream", F.inline(F.expr("array(named_struct('chunk', 1, 'samples', 2 + stream % 3), named_struct('chunk', 4, 'samples', 1L), named_struct('chunk', 6, 'samples', 1L))")))
+    chunks = streams.select("stream", F.explode(F.expr("sequence(1, CAST(n - 3 * (2 + stream % 3) - 2 + 5 + CASE WHEN stream % 7 = 0 THEN 1 ELSE 0 END AS INT))")).alias("chunk"))
+    return sample_offsets(sizes, chunks.withColumn("offset", F.col("chunk").cast("long") * 5000 + F.col("stream")), runs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import classify as C
 from shelfwise.functions import numbers as N
 from shelfwise.functions import text as T
+from shelfwise.functions.movie import movie_header
 from shelfwise.plans import twins
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
@@ -270,6 +271,39 @@ def sprites(lib: Library) -> DataFrame:
     return lib.fragment.select("stream", "idx").join(grid, ["stream", "idx"])
 
 
+@query("mat_09_sprite_plan", """WITH d AS (SELECT id, greatest(0.5, CASE id % 5 WHEN 0 THEN 0.2 WHEN 1 THEN duration * 20.5 ELSE duration END) AS d FROM video WHERE duration IS NOT NULL), i AS (SELECT *, greatest(2, ceil(d / 60)) AS i FROM d), c AS (SELECT *, greatest(1, least(60, floor(d / i))) AS c FROM i)
+    SELECT id, CAST(i AS BIGINT) AS interval, CAST(c AS BIGINT) AS count, CAST(ceil(c / 8.0) AS BIGINT) AS rows FROM c""")
+def sprite_plans(lib: Library) -> DataFrame:
+    seconds = F.expr("CASE id % 5 WHEN 0 THEN 0.2D WHEN 1 THEN duration * 20.5D ELSE CAST(duration AS DOUBLE) END")
+    return titles(lib).where("duration IS NOT NULL").select("id", N.sprite_plan(seconds, 8, 60, 2).alias("p")).select("id", "p.*")
+
+
+BOX = "concat(lpad(hex(8 + length({1}) div 2), 8, '0'), '{0}', {1})"
+_LONG = "lpad(hex(CAST({0} AS BIGINT)), {1}, '0')"
+
+
+def _box(kind: str, body: str) -> str:
+    return BOX.format(kind.encode().hex().upper(), f"({body})")
+
+
+def films(lib: Library) -> DataFrame:
+    """id, data: the first bytes of files with headers of both versions, with media before or behind them, cut short, without a duration, and none at all."""
+    scale, length = _LONG.format("600 + id % 7", 8), "duration * (600 + id % 7)"
+    header = f"CASE WHEN id % 2 = 0 THEN concat('00000000', repeat('00', 8), {scale}, {_LONG.format(length, 8)}) ELSE concat('01000000', repeat('00', 16), {scale}, {_LONG.format(length, 16)}) END"
+    track = lambda number, ticks: _box("trak", f"concat({_box('tkhd', f'concat(repeat(chr(48), 24), {_LONG.format(number, 8)})')}, {_box('mdia', _box('mdhd', f'concat(repeat(chr(48), 24), {_LONG.format(ticks, 8)})'))})")
+    movie = _box("moov", f"concat({_box('mvhd', header)}, {track('id % 5 + 1', '90000')}, {track('9', '48000')})")
+    media, kind = _box("mdat", "repeat('AB', CAST(id % 30 AS INT))"), _box("ftyp", "'69736F6D'")
+    whole = f"CASE id % 6 WHEN 0 THEN concat({kind}, {media}, {movie}) WHEN 1 THEN concat({kind}, {movie}, {media}) WHEN 2 THEN left(concat({kind}, {movie}), 60) WHEN 3 THEN {kind} WHEN 4 THEN NULL ELSE {movie} END"
+    return titles(lib).where("duration IS NOT NULL").withColumn("duration", F.expr("CASE WHEN id % 11 = 0 THEN 0 ELSE duration END")).select("id", F.unhex(F.expr(whole)).alias("data"))
+
+
+@query("mat_14_movie_header", """SELECT id, CASE WHEN id % 6 IN (0, 1, 5) AND id % 11 <> 0 AND duration > 0 THEN CAST(duration AS DOUBLE) END AS seconds, CASE WHEN id % 6 = 0 THEN 'not-faststart' WHEN id % 6 IN (1, 5) THEN 'faststart' ELSE 'unknown' END AS faststart,
+    CASE WHEN id % 6 IN (0, 1, 5) THEN CAST(id % 5 + 1 AS INTEGER) END AS video, CASE WHEN id % 6 IN (0, 1, 5) THEN 48000 END AS sound FROM video WHERE duration IS NOT NULL""")
+def movie_headers(lib: Library) -> DataFrame:
+    """Durations, the order of boxes and the tracks' clocks from files' first bytes."""
+    return films(lib).select("id", movie_header("data").alias("h")).select("id", "h.seconds", "h.faststart", "h.video", F.try_element_at("h.clocks", F.lit(9)).alias("sound"))
+
+
 def vtt_sheets(cues: DataFrame, columns: int, width: int, height: int) -> DataFrame:
     """sheet, text: a WebVTT document for each sheet of pictures.
 
