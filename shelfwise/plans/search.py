@@ -64,6 +64,21 @@ def rank_sql(terms: list[str]) -> str:
     return f"CASE WHEN {match} THEN round(-(CAST({words} AS DOUBLE) / (1 + ln({length})) + 0.5 * ({similar})), 6) END"
 
 
+def score_sql(term: str) -> str:
+    """The rank of a term that is an expression, over rows that hold it; null if it has a word of under three characters."""
+    spaced = lambda x: f"' ' || regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    words = " + ".join(f"CASE WHEN contains({spaced(f)}, {spaced(term)}) THEN {w} ELSE 0.0 END" for f, w in Q.WEIGHTS.items())
+    length = f"len(list_filter(string_split({spaced('alltext')}, ' '), lambda w: w <> ''))"
+
+    def near(field: str) -> str:
+        a, b = TRIGRAMS.format(field), TRIGRAMS.format(term)
+        return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0), 0.0)"
+
+    similar = " + ".join(f"{w} * {near(f)}" for f, w in Q.SIMILARITY.items())
+    whole = f"len(list_filter(string_split({term}, ' '), lambda w: length(w) < 3)) = 0"
+    return f"CASE WHEN {whole} THEN round(-(CAST({words} AS DOUBLE) / (1 + ln({length})) + 0.5 * ({similar})), 6) END"
+
+
 @query("qry_01_search_ranked", f"{BASE}, m AS (SELECT *, {rank_sql(['tion', 'the'])} AS rank FROM t WHERE alltext ILIKE '%tion%' OR alltext ILIKE '%the%' OR NOT alltext ILIKE '%src%') SELECT {PAGE.format('id, rank', 'rank NULLS LAST, created_at DESC, id DESC', 'm')}")
 def search_ranked(lib: Library) -> DataFrame:
     """Ranked alternatives; str_24: weights by field."""
