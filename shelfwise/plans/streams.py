@@ -12,7 +12,7 @@ from shelfwise.streaming.feeds import laid_down, place, run_to_end, stream_of
 from shelfwise.streaming.fragments import indexed_stream
 from shelfwise.streaming.jobs import folded_jobs, folded_jobs_stream
 from shelfwise.streaming.leases import lapsed, lapsed_stream
-from shelfwise.streaming.limits import latest_value, limited, limited_stream, run_once
+from shelfwise.streaming.limits import latest_value, limited, limited_stream
 from shelfwise.streaming.progress import PATCH, lines_of, merged_patches, merged_patches_stream, read_progress, status_changes_stream, trailing_stream, write_progress
 
 
@@ -21,11 +21,6 @@ def requests(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_millis(at).alias("t"), at.alias("at"))
 
 
-def event_stream(lib: Library) -> DataFrame:
-    """The events table as a stream of files."""
-    return lib.spark.readStream.schema(lib.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(lib.path)
-
-
 def arrivals(rows: DataFrame, at: str, key: str, name: str, parts: int = 3) -> DataFrame:
     """rows as a stream of several micro-batches, in the order of at: so many equal spans of it, one after the other."""
     ends = rows.agg(F.min(at).cast("double").alias("a"), F.max(at).cast("double").alias("b")).first()
@@ -190,10 +185,14 @@ def fragment_index_stream(lib: Library) -> DataFrame:
 NAMED = ("claim", "complete", "fail", "release", "retry", "unsupported")
 
 
-def job_events(rows: DataFrame) -> DataFrame:
-    """job, event_id, name, claim."""
+#: How long a job that is done stays known to the stream, in ms.
+KEPT = 60 * 86_400_000
+
+
+def job_events(rows: DataFrame, *more: str) -> DataFrame:
+    """job, event_id, name, claim, and more columns."""
     name = F.get(F.array(*map(F.lit, NAMED)), (F.col("event_id") % 6).cast("int"))
-    return rows.select(F.col("user_id").cast("long").alias("job"), F.col("event_id").cast("long").alias("event_id"), name.alias("name"), F.floor(F.col("event_id") % 97 / 24).cast("long").alias("claim"))
+    return rows.select(F.col("user_id").cast("long").alias("job"), F.col("event_id").cast("long").alias("event_id"), name.alias("name"), F.floor(F.col("event_id") % 97 / 24).cast("long").alias("claim"), *more)
 
 
 def last_states(decided: DataFrame) -> DataFrame:
@@ -216,7 +215,10 @@ def job_states(lib: Library) -> DataFrame:
 @query("stm_08_job_states_stream", STATES_SQL)
 def job_states_stream(lib: Library) -> DataFrame:
     """The same as a stream, whose state is kept by job; checked against the batch."""
-    return last_states(run_once(folded_jobs_stream(job_events(event_stream(lib))), "jobs"))
+    at = F.col("ts").cast("timestamp")
+    rows = lib.raw("events").select("*", F.unix_millis(at).alias("t"), at.alias("at"))
+    events = job_events(arrivals(rows, "at", "user_id", "job-events").withWatermark("at", "0 seconds"), "t", "at")
+    return last_states(run_to_end(folded_jobs_stream(events, KEPT), "jobs")[0])
 
 
 LEASE = 43_200_000

@@ -40,16 +40,30 @@ def folded_jobs(events: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, DECIDED)
 
 
-def folded_jobs_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream. A micro-batch's events of one job are put in order in memory; maxFilesPerTrigger or maxBytesPerTrigger of the source bounds them."""
+#: States that no event changes.
+FINAL = frozenset(("completed", "unsupported"))
+
+
+def folded_jobs_stream(events: DataFrame, keep: int) -> DataFrame:
+    """The same over a stream with a watermark. The state of a job that is done goes keep ms after its last event, so that jobs that are done long since need no room; an event that comes later
+    still would begin a new job of that name.
+
+    events: job, event_id, name, claim, t (ms). A micro-batch's events of one job are put in order in memory; maxFilesPerTrigger or maxBytesPerTrigger of the source bounds them.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, claims = held.get if held.exists else ("pending", 0)
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state, claims, last = held.get if held.exists else ("pending", 0, 0)
         out = []
-        for event, name, claim in sorted(row for b in batches for row in zip(b["event_id"], b["name"], b["claim"], strict=True)):
+        for event, name, claim, t in sorted(row for b in batches for row in zip(b["event_id"], b["name"], b["claim"], b["t"], strict=True)):
             state, claims, applied = step(state, claims, name, claim)
+            last = max(last, int(t))
             out.append((key[0], event, state, claims, applied))
-        held.update((state, claims))
+        held.update((state, claims, last))
+        if state in FINAL:
+            held.setTimeoutTimestamp(max(last + keep, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=COLUMNS)
 
-    return events.groupBy("job").applyInPandasWithState(fold, DECIDED, "state string, claims long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job").applyInPandasWithState(fold, DECIDED, "state string, claims long, last long", "append", GroupStateTimeout.EventTimeTimeout)

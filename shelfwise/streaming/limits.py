@@ -65,22 +65,6 @@ def limited_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(fold, DECISION, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, to a table in the shared folder; the checkpoint lies beside it. Complete output replaces the table each time."""
-    import uuid
-
-    from shelfwise.sources.shared import shared_dir
-
-    root = f"{shared_dir(stream.sparkSession)}/shelfwise/stream-{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", f"{root}/out")
-    else:
-        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/out"))
-    writer.start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
-
-
 def latest_value(column: str, order: str):
     """The last value of a group that is not null; an explicit null never resets one."""
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order)))

@@ -234,3 +234,14 @@ def test_progress_lines_in_order(spark):
     none = place(spark, "lines")
     write_progress(spark.createDataFrame([], "id long, title string, status string, elapsed long"), none)
     assert sorted(r["type"] for r in read_progress(spark, none).collect()) == ["started", "summary"]
+
+
+def test_jobs_that_are_done_leave_the_state(spark):
+    from shelfwise.streaming.jobs import folded_jobs, folded_jobs_stream
+
+    rows = [(job, 10 * job + i, name, claim, 100_000 * job + i) for job in range(40) for i, (name, claim) in enumerate((("claim", 0), ("complete", 1), ("retry", 1)) if job % 4 else (("claim", 0), ("fail", 1)))]
+    table, stream, _ = timed(spark, rows, "job long, event_id long, name string, claim long, t long", 5)
+    out, ended = run_to_end(folded_jobs_stream(stream, 200_000), "done")
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in folded_jobs(table).collect()}
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in ended.recentProgress]
+    assert kept[-1] <= 10 + 3 and max(kept) < 30, kept  # the failed ones, and those that were done lately
