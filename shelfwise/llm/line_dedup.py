@@ -147,15 +147,19 @@ def postings_of(docs: DataFrame, shards: int, min_chars: int = 10) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = {k for k in line_keys(text, min_chars) if k}
-                ids += [doc] * len(own)
-                keys += own
-            shard = (_digests(keys)[:, 1] % np.uint64(shards)).astype(np.int32) if keys else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"])
+            for start in range(0, batch.num_rows, 500):
+                yield some(batch.slice(start, 500))
         give_back()
 
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, keys = [], []
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            own = {k for k in line_keys(text.as_py(), min_chars) if k}
+            ids += [doc] * len(own)
+            keys += own
+        shard = (_digests(keys)[:, 1] % np.uint64(shards)).astype(np.int32) if keys else np.empty(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"])
+
     narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return narrow.mapInArrow(emit, "shard int, key binary, doc_id long")
 
