@@ -36,8 +36,8 @@ from shelfwise.operators import graph
 SEED, WIDTH, BITS, RADIUS = 42, 3, 64, 2
 #: Nodes of a tree at most; trees that are broadcast in a turn, of more than POPULAR nodes each: 64 times 4,096 nodes of 16 bytes are 4 MB.
 MOST, TREES, POPULAR = 1 << 12, 64, 1 << 9
-#: Pairs of node and tree node that a search may hold at once.
-HELD = 2_000_000
+#: Pairs of node and tree node that a search may hold at once, and nodes whose trees a task holds at once.
+HELD, PLANTED = 2_000_000, 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -132,10 +132,12 @@ def linked(trees: Trees, fps: np.ndarray, root: np.ndarray, size: np.ndarray) ->
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges within the shards whose nodes are a row each."""
     for batch in batches:
-        counts = np.diff(batch["fps"].offsets.to_numpy())
-        fps = batch["fps"].flatten().to_numpy().view(np.uint64)
-        shard = np.repeat(np.arange(len(counts)), counts)
-        yield from linked(Trees(shard, fps), fps, shard, counts[shard])
+        sizes = np.diff(batch["fps"].offsets.to_numpy())
+        cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(0, int(sizes.sum()) + PLANTED, PLANTED)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):  # so many nodes at a time, and one shard more
+            counts, fps = sizes[a:b], batch["fps"].slice(a, b - a).flatten().to_numpy().view(np.uint64)
+            shard = np.repeat(np.arange(len(counts)), counts)
+            yield from linked(Trees(shard, fps), fps, shard, counts[shard])
     give_back()
 
 

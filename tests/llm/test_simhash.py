@@ -110,12 +110,13 @@ def test_every_near_pair_shares_a_shard_at_each_turn():
     assert max(64 - m.bit_count() for m in free) <= 10
 
 
-@pytest.mark.parametrize(("most", "popular", "trees", "held"), [(4096, 512, 64, 2_000_000), (60, 8, 3, 500), (40, 10, 0, 100)])
-def test_components_by_brute_force(spark, monkeypatch, most, popular, trees, held):
+@pytest.mark.parametrize(("most", "popular", "trees", "held", "planted"), [(4096, 512, 64, 2_000_000, 400_000), (60, 8, 3, 500, 100), (40, 10, 0, 100, 7)])
+def test_components_by_brute_force(spark, monkeypatch, most, popular, trees, held, planted):
     """All trees in tasks; some broadcast and large shards dealt anew, some turns deep; none broadcast."""
     monkeypatch.setattr(simhash, "MOST", most)
     monkeypatch.setattr(simhash, "POPULAR", popular)
     monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "PLANTED", planted)
     fps = nodes(300)
     frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(5)
     from shelfwise.operators import graph
