@@ -153,7 +153,7 @@ def sample_offsets(sizes: DataFrame, chunks: DataFrame, runs: DataFrame) -> Data
 RUNS = "SELECT stream, unnest([1, 4, 6]) AS chunk, unnest([2 + stream % 3, 1, 1]) AS samples FROM (SELECT DISTINCT l_suppkey AS stream FROM lineitem)"
 
 
-@query("mat_14_sample_offsets", f"""WITH s AS (SELECT l_suppkey AS stream, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS sample, CAST(l_quantity * 10 AS BIGINT) AS size FROM lineitem), r AS ({RUNS}),
+@query("mat_14_sample_offsets", f"""WITH s AS (SELECT l_suppkey AS stream, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS sample, CAST(l_quantity * 10 AS BIGINT) AS size FROM lineitem), r AS ({RUNS}),
     n AS (SELECT stream, count(*) AS n FROM s GROUP BY stream), c AS (SELECT stream, unnest(range(1, n - 3 * (2 + stream % 3) - 2 + 5 + CASE WHEN stream % 7 = 0 THEN 2 ELSE 1 END)) AS chunk FROM n),
     h AS (SELECT c.stream, c.chunk, (SELECT arg_max(r.samples, r.chunk) FROM r WHERE r.stream = c.stream AND r.chunk <= c.chunk) AS samples FROM c), f AS (SELECT *, sum(samples) OVER (PARTITION BY stream ORDER BY chunk) - samples AS first FROM h),
     w AS (SELECT stream FROM f GROUP BY stream HAVING sum(samples) = (SELECT n FROM n WHERE n.stream = f.stream))
@@ -161,7 +161,7 @@ RUNS = "SELECT stream, unnest([1, 4, 6]) AS chunk, unnest([2 + stream % 3, 1, 1]
 def offsets(lib: Library) -> DataFrame:
     """The tables of a supplier's file, made of its lines; every seventh file has a chunk too many."""
     lines = lib.raw("lineitem")
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
     sizes = lines.select(F.col("l_suppkey").alias("stream"), (F.row_number().over(order) - 1).alias("sample"), (F.col("l_quantity") * 10).cast("long").alias("size"))
     streams = lines.groupBy(F.col("l_suppkey").alias("stream")).agg(F.count("*").alias("n"))
     runs = streams.select("stream", F.inline(F.expr("array(named_struct('chunk', 1, 'samples', 2 + stream % 3), named_struct('chunk', 4, 'samples', 1L), named_struct('chunk', 6, 'samples', 1L))")))

@@ -25,7 +25,10 @@ class Library:
     seen: dict[str, DataFrame] = field(default_factory=dict)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A generic table; its files are listed and their schema is read once a query."""
+        if name not in self.seen:
+            self.seen[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.seen[name]
 
     @property
     def account(self) -> DataFrame:
