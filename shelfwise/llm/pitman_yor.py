@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import give_back, shared_dir, written
 
 #: Tokens of a block, bytes of text for each part, and the share of a part, as its inverse, from which a context is dealt to several.
-BLOCK_TOKENS, PART_BYTES, FREQUENT = 2_500_000, 20 << 20, 16
+BLOCK_TOKENS, PART_BYTES, FREQUENT = 1_800_000, 16 << 20, 16
 BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
 #: Customers up to which a dish's law is tabulated, proposals of a sweep above, groups of dishes of a sweep.
 SMALL, TRIES, GROUPS = 128, 4, 4
