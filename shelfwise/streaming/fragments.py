@@ -101,7 +101,7 @@ def indexed_stream(pieces: DataFrame, scales: dict[int, int], video: int | None)
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         offset, pending, n = state.get if state.exists else (0, b"", 0)
         pending, ended, out = bytes(pending), False, []
-        for at, _, data, last in sorted(row for b in batches for row in zip(b["first_byte"], range(len(b)), b["data"], b["last"], strict=True)):
+        for at, _, data, last in sorted(row for b in batches for row in zip(b["first_byte"].tolist(), range(len(b)), b["data"].tolist(), b["last"].tolist(), strict=True)):
             offset, pending = taken_in(offset, pending, bytes(data), int(at))
             found, offset, pending = advanced(offset, pending, scales, video)
             out += [(key[0], n + i, *f) for i, f in enumerate(found)]
@@ -110,6 +110,10 @@ def indexed_stream(pieces: DataFrame, scales: dict[int, int], video: int | None)
             state.remove()
         else:
             state.update((offset, pending, n))
-        yield pd.DataFrame(out, columns=COLUMNS).astype({"sequence": "Int64"})
+        if out:
+            columns = dict(zip(COLUMNS, map(list, zip(*out, strict=True)), strict=True))
+            if None in columns["sequence"]:
+                columns["sequence"] = pd.array(columns["sequence"], "Int64")
+            yield pd.DataFrame(columns, copy=False)
 
     return pieces.groupBy("stream").applyInPandasWithState(fold, FOUND, STATE, "append", GroupStateTimeout.NoTimeout)
