@@ -60,10 +60,13 @@ def parsed_name(name: Column) -> Column:
 
 
 def guessed_creator(name: Column) -> Column:
-    """The two site conventions: Creator_-Title and _Creator__Title; null for others."""
+    """The two site conventions: Creator_-Title and _Creator__Title; null for others.
+
+    Runs without underscores are taken whole, single underscores join them: there is one way only to read a name, so none takes longer than its length.
+    """
     own = stem(name)
-    first = F.regexp_extract(own, r"^_?([^_]+(?:[ _][^_]+)*?)_[–—-]\s*", 1)
-    second = F.regexp_extract(own, r"^_([^_]+(?:[ _][^_]+)*?)__", 1)
+    first = F.regexp_extract(own, r"^_?([^_]++(?:_[^_]++)*?)_[–—-]", 1)
+    second = F.regexp_extract(own, r"^_([^_]++(?:_[^_]++)*?)__", 1)
     return F.when(first != "", F.trim(first)).when(second != "", F.trim(second))
 
 
