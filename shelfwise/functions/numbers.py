@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,15 +94,16 @@ def aligned(offset: Column, step: int) -> Column:
 
 def byte_window(fraction: Column, size: Column, most: int, step: int, floor: int = 4 << 20) -> Column:
     """struct<start, length>: a bounded window at a fraction of a file, its start aligned down and its end inside."""
-    want = F.least(F.greatest(F.ceil(size * 0.03), F.least(F.lit(floor), size)), F.lit(most), size)
+    want = F.least(F.greatest(F.ceil(size * F.lit(Decimal("0.03"))), F.least(F.lit(floor), size)), F.lit(most), size)
     at = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)) * size)
     start = F.greatest(F.lit(0), F.least(aligned(at, step), aligned(size - want, step)))
     return F.when(size > 0, F.struct(start.cast("long").alias("start"), F.least(want, size - start).cast("long").alias("length"))).otherwise(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length")))
 
 
 def timeline_window(at: Column, duration: Column, size: Column, most: int, step: int, cover: float = 18, factor: float = 1.8, floor: int = 2 << 20) -> Column:
-    """The same for a time in a file of known duration; otherwise at is taken for a fraction."""
-    want = F.least(F.greatest(F.ceil(size * cover * factor / duration), F.least(F.lit(floor), size)), F.lit(most))
+    """The same for a time in a file of known duration; otherwise at is taken for a fraction. Factors are decimals: their products are rounded once, before the division."""
+    wanted = (size * F.lit(Decimal(str(cover))) * F.lit(Decimal(str(factor)))).cast("double")
+    want = F.least(F.greatest(F.ceil(wanted / duration), F.least(F.lit(floor), size)), F.lit(most))
     start = F.greatest(F.lit(0), F.least(aligned(F.floor(at / duration * size), step), aligned(F.greatest(F.lit(0), size - want), step)))
     known = F.struct(start.cast("long").alias("start"), F.least(want, size - start).cast("long").alias("length"))
     return F.when((size > 0) & (duration > 0), known).otherwise(byte_window(F.when(at.between(0, 1), at).otherwise(0.0), size, most, step))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -370,7 +372,7 @@ def size_texts(lib: Library) -> DataFrame:
 @query("mat_15_timeline_window", """WITH w AS (SELECT id, duration AS d, file_size * 1000 AS size, duration * 0.7 AS t FROM video WHERE duration > 0), x AS (SELECT *, least(greatest(ceil(size * 18 * 1.6 / d), least(2097152, size)), 6000000) AS want FROM w),
     y AS (SELECT *, greatest(0, least(floor(t / d * size) - floor(t / d * size) % 752, greatest(0, size - want) - greatest(0, size - want) % 752)) AS s FROM x) SELECT id, CAST(s AS BIGINT) AS start, CAST(least(want, size - s) AS BIGINT) AS length FROM y""")
 def timeline_windows(lib: Library) -> DataFrame:
-    w = N.timeline_window(F.col("duration") * F.lit(0.7), F.col("duration"), F.col("file_size") * 1000, 6_000_000, 752, factor=1.6)
+    w = N.timeline_window((F.col("duration") * F.lit(Decimal("0.7"))).cast("double"), F.col("duration"), F.col("file_size") * 1000, 6_000_000, 752, factor=1.6)
     return lib.video.where("duration > 0").select("id", w.alias("w")).select("id", "w.*")
 
 

@@ -4,8 +4,10 @@ import random
 import re
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+from shelfwise import registry
 from shelfwise.functions import text as T
 
 
@@ -29,3 +31,20 @@ def test_guessed_creator_reads_as_before(spark):
     rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.guessed_creator(F.col("name")).alias("c")).collect()
     want = {n: before(n) for n in names}
     assert {r["name"]: r["c"] for r in rows} == want and sum(c is not None for c in want.values()) > 500
+
+
+def test_timeline_windows_round_as_decimals(spark, tmp_path):
+    """Sizes and durations where a product in binary lies one step below the decimal one: a start fell into the block before."""
+    cases = [(7896, 5), (9212, 10), (10528, 6), (11656, 11), (10716, 12), (10904, 17), (8836, 8), (11280, 13), (9400, 9), (11844, 19)]
+    rows = [(i, "t", "src1", n) for n, i in cases] + [(1000 + i, "t", "src1", 188 * k) for k in range(1, 400) for i in [k]]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    for name in ("mat_15_timeline_window",):
+        text = registry.oracle_sql()[name]
+        for table in "region nation customer supplier part orders lineitem events".split():
+            engine.execute(f"CREATE VIEW IF NOT EXISTS {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+        want = sorted(engine.execute(text).fetchall())
+        got = sorted(tuple(r) for r in registry.queries()[name](spark, path).collect())
+        assert got == want and len(got) > 300
