@@ -5,15 +5,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from shelfwise.streaming.shards import SHARDS, folded_by_shard
 
 #: Fixed values of the format: bytes of a box's header, with a long size, and of what a fragment is made of.
 HEADER, LONG_HEADER, MOVIE, MEDIA = 8, 16, b"moof", b"mdat"
 FOUND = "stream long, idx long, start_time double, first_byte long, end_byte long, sequence long"
-COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
-STATE = "offset long, pending binary, found long"
 
 
 def box(data: bytes, at: int) -> tuple[int, bytes] | None:
@@ -90,30 +88,22 @@ def advanced(offset: int, pending: bytes, scales: dict[int, int], video: int | N
     return found, offset + at, pending[at:]
 
 
-def indexed_stream(pieces: DataFrame, scales: dict[int, int], video: int | None) -> DataFrame:
+def indexed_stream(pieces: DataFrame, scales: dict[int, int], video: int | None, shards: int = SHARDS) -> DataFrame:
     """Fragments of streams as they become whole. pieces: stream, first_byte, data, last (whether the stream ends with it).
 
-    State is kept by stream: where parsing stands, the bytes that wait (less than a fragment, unless a size is broken, when the
+    State is kept by stream, in shards: where parsing stands, the bytes that wait (less than a fragment, unless a size is broken, when the
     stream stands still as there is no way to know where it goes on) and the number of fragments; it goes with a last piece. A micro-batch's pieces of
-    one stream are put in order in memory; maxFilesPerTrigger of the source bounds them.
+    one shard are put in order in memory.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        offset, pending, n = state.get if state.exists else (0, b"", 0)
-        pending, ended, out = bytes(pending), False, []
-        for at, _, data, last in sorted(row for b in batches for row in zip(b["first_byte"].tolist(), range(len(b)), b["data"].tolist(), b["last"].tolist(), strict=True)):
+    def fold(stream: int | None, rows: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple | None]:
+        offset, pending, n = state or (0, b"", 0)
+        ended, out = False, []
+        for at, data, last in sorted(rows, key=lambda r: r[0]):
             offset, pending = taken_in(offset, pending, bytes(data), int(at))
             found, offset, pending = advanced(offset, pending, scales, video)
-            out += [(key[0], n + i, *f) for i, f in enumerate(found)]
+            out += [(stream, n + i, *f) for i, f in enumerate(found)]
             n, ended = n + len(found), ended or bool(last)
-        if ended:
-            state.remove()
-        else:
-            state.update((offset, pending, n))
-        if out:
-            columns = dict(zip(COLUMNS, map(list, zip(*out, strict=True)), strict=True))
-            if None in columns["sequence"]:
-                columns["sequence"] = pd.array(columns["sequence"], "Int64")
-            yield pd.DataFrame(columns, copy=False)
-
-    return pieces.groupBy("stream").applyInPandasWithState(fold, FOUND, STATE, "append", GroupStateTimeout.NoTimeout)
+        return out, None if ended else (offset, pending, n)
+
+    return folded_by_shard(pieces, "stream", ["first_byte", "data", "last"], fold, FOUND, shards)

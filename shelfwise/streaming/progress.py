@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfwise.operators.order import numbered
 from shelfwise.sources.shared import written
+from shelfwise.streaming.shards import SHARDS, folded_by_shard
 
 #: What a key's row begins with.
 BEGIN = {"phase": "starting", "total": None, "processed": 0}
@@ -29,57 +26,40 @@ def merged_patches(patches: DataFrame) -> DataFrame:
 
 
 def merged_patches_stream(patches: DataFrame) -> DataFrame:
-    """The same over a stream, in update mode: a row for each key of a micro-batch. State is one row a key."""
-    fields = list(BEGIN)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip((*fields, "last"), state.get, strict=True)) if state.exists else BEGIN | {"last": -1}
-        for event, *values in sorted((row for b in batches for row in zip(b["event_id"], *[b[f] for f in fields], strict=True)), key=lambda r: r[0]):
-            now |= {f: v for f, v in zip(fields, values, strict=True) if not pd.isna(v)} | {"last": event}
-        row = tuple(None if v is None or pd.isna(v) else v if f == "phase" else int(v) for f, v in now.items())
-        state.update(row)
-        yield pd.DataFrame([(key[0], *row)], columns=["key", *fields, "last"]).astype({"total": "Int64"})
-
-    return patches.groupBy("key").applyInPandasWithState(fold, "key long, phase string, total long, processed long, last long", "phase string, total long, processed long, last long", "update", GroupStateTimeout.NoTimeout)
+    """The same over a stream, in update mode: a row for each key of a micro-batch. State is one row a key, kept by Spark's own aggregation."""
+    return merged_patches(patches)
 
 
-def status_changes_stream(events: DataFrame) -> DataFrame:
+def status_changes_stream(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     """status, change: what each micro-batch adds to and takes from the number of keys in a status, so that sums of change are the counters.
 
     events: key, event_id, status (null: no news). A key that moves on is taken back from where it was.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        said = sorted(row for b in batches for row in zip(b["event_id"], b["status"], strict=True) if row[1] is not None)
-        after = said[-1][1] if said else before
-        moves = [] if after == before else [(after, 1), *([(before, -1)] if before is not None else [])]
-        if after is not None:
-            state.update((after,))
-        yield pd.DataFrame(moves, columns=["status", "change"])
+    def fold(key: object, rows: list[tuple], before: str | None) -> tuple[list[tuple], str | None]:
+        said = [row for row in rows if row[1] is not None]
+        after = max(said)[1] if said else before
+        return [] if after == before else [(after, 1), *([(before, -1)] if before is not None else [])], after
 
-    return events.groupBy("key").applyInPandasWithState(fold, "status string, change long", "status string", "append", GroupStateTimeout.NoTimeout)
+    return folded_by_shard(events, "key", ["event_id", "status"], fold, "status string, change long", shards)
 
 
-def trailing_stream(events: DataFrame, window: int) -> DataFrame:
+def trailing_stream(events: DataFrame, window: int, shards: int = SHARDS) -> DataFrame:
     """key, event_id, done, span: items since the oldest sample that is kept, and the ms since then. events: key, event_id, t; each is one item.
 
     A key's samples lie in its state: those of the last window ms, the last one before them, and two at least.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, kept = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        out, first = [], 0
-        for t, event in sorted(row for b in batches for row in zip(b["t"], b["event_id"], strict=True)):
-            total += 1
-            kept.append(int(t))
+    def fold(key: object, rows: list[tuple], kept: list[int] | None) -> tuple[list[tuple], list[int]]:
+        kept, out, first = kept or [], [], 0
+        for t, event in sorted(rows):
+            kept.append(t)
             while len(kept) - first > 2 and kept[first + 1] < t - window:
                 first += 1
-            out.append((key[0], event, len(kept) - first - 1, t - kept[first]))
-        state.update((total, kept[first:]))
-        yield pd.DataFrame(out, columns=["key", "event_id", "done", "span"])
+            out.append((key, event, len(kept) - first - 1, t - kept[first]))
+        return out, kept[first:]
 
-    return events.groupBy("key").applyInPandasWithState(fold, "key long, event_id long, done long, span long", "total long, kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    return folded_by_shard(events, "key", ["t", "event_id"], fold, "key long, event_id long, done long, span long", shards)
 
 
 #: What becomes of a picture that is repaired, and which counter of the summary it adds to.
