@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 from shelfwise.sources.keyed import KeyedFiles
-from shelfwise.streaming.feeds import laid_down, place, run_to_end, stream_of
+from shelfwise.sources.shared import written
+from shelfwise.streaming.feeds import Slices, place, run_in_turns
 from shelfwise.streaming.fragments import indexed_stream
 from shelfwise.streaming.jobs import folded_jobs, folded_jobs_stream
 from shelfwise.streaming.leases import lapsed, lapsed_stream
 from shelfwise.streaming.limits import latest_value, limited, limited_stream
 from shelfwise.streaming.progress import PATCH, lines_of, merged_patches, merged_patches_stream, read_progress, status_changes_stream, trailing_stream, write_progress
+from shelfwise.streaming.shards import shards_for
 
 
 def requests(rows: DataFrame) -> DataFrame:
@@ -21,13 +23,12 @@ def requests(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.unix_millis(at).alias("t"), at.alias("at"))
 
 
-def arrivals(rows: DataFrame, at: str, key: str, name: str, parts: int = 3) -> DataFrame:
-    """rows as a stream of several micro-batches, in the order of at: so many equal spans of it, one after the other."""
+def arrivals(rows: DataFrame, at: str, key: str, parts: int = 3) -> Slices:
+    """rows as they arrive in the order of at: so many equal spans of it, one after the other."""
     ends = rows.agg(F.min(at).cast("double").alias("a"), F.max(at).cast("double").alias("b")).first()
     step = max((ends["b"] - ends["a"]) / parts, 1e-9) if ends["a"] is not None else 1.0
     span = F.least(F.floor((F.col(at).cast("double") - F.lit(ends["a"] or 0.0)) / step), F.lit(parts - 1))
-    path = laid_down(rows, key, [span == k for k in range(parts)], name)
-    return stream_of(rows.sparkSession, path, rows.schema, 4)
+    return Slices(rows, key, [span == k for k in range(parts)])
 
 
 LIMIT_SQL = """WITH RECURSIVE e AS (SELECT event_id, event_type || ':' || (user_id % 20) AS key, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type, user_id % 20 ORDER BY ts, event_id) AS n FROM events),
@@ -45,8 +46,8 @@ def request_limit(lib: Library) -> DataFrame:
 @query("stm_01_request_limit_stream", LIMIT_SQL)
 def request_limit_stream(lib: Library) -> DataFrame:
     """In several micro-batches; a key's state goes when its window is over."""
-    events = arrivals(requests(lib.raw("events")), "at", "key", "requests").withWatermark("at", "0 seconds")
-    return run_to_end(limited_stream(events, 3, 3_600_000), "limit")[0]
+    events = arrivals(requests(lib.raw("events")), "at", "key")
+    return run_in_turns(events, "limit", lambda stream: limited_stream(stream.withWatermark("at", "0 seconds"), 3, 3_600_000))
 
 
 @query("stm_02_latest_per_key", "SELECT CAST(user_id % 5 AS INTEGER) AS user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS video_id, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY ALL")
@@ -54,8 +55,8 @@ def latest_per_key(lib: Library) -> DataFrame:
     """The history as it stands after the stream of views: each micro-batch is upserted into the buckets that it touches."""
     views = lib.raw("events").where("event_type = 'view'").select((F.col("user_id") % 5).cast("int").alias("user_id"), F.get_json_object("props", "$.k").cast("long").alias("video_id"), "ts")
     history = KeyedFiles(lib.spark, place(lib.spark, "history"), "user_id int, video_id long, ts timestamp_ntz", ["user_id", "video_id"], 8)
-    stream = arrivals(views.withColumn("at", F.col("ts").cast("timestamp")), "at", "video_id", "views").drop("at")
-    run_to_end(stream, "history", lambda rows, number: history.upsert(rows, "ts", number), "append")
+    source = arrivals(views.withColumn("at", F.col("ts").cast("timestamp")), "at", "video_id")
+    run_in_turns(source, "history", lambda stream: stream.drop("at"), lambda rows, number: history.upsert(rows, "ts", number))
     return history.read()
 
 
@@ -84,14 +85,16 @@ def merged(lib: Library) -> DataFrame:
     return merged_patches(patches(lib))
 
 
-def json_lines(lib: Library, name: str) -> DataFrame:
+def json_lines(lib: Library) -> Slices:
     """The patches as lines of JSON that arrive in files, some of them broken; broken ones are passed over."""
     rows = lines_of(patches(lib)).withColumn("value", F.expr("CASE WHEN event_id % 97 = 5 THEN left(value, length(value) - 3) ELSE value END"))
     ends = rows.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
     cut = [((ends["b"] or 0) - (ends["a"] or 0)) * k // 3 + (ends["a"] or 0) for k in (1, 2)]
     parts = [F.col("event_id") <= cut[0], F.col("event_id").between(cut[0] + 1, cut[1]), F.col("event_id") > cut[1]]
-    path = laid_down(rows, "key", parts, name, "text", ["value"])
-    lines = stream_of(lib.spark, path, f"{PATCH}, broken string", 4, "json", mode="PERMISSIVE", columnNameOfCorruptRecord="broken")
+    return Slices(rows, "key", parts, ("text", "json"), ["value"], f"{PATCH}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def whole_lines(lines: DataFrame) -> DataFrame:
     return lines.where("broken IS NULL AND key IS NOT NULL").drop("broken")
 
 
@@ -99,15 +102,16 @@ def json_lines(lib: Library, name: str) -> DataFrame:
 def progress_stream(lib: Library) -> DataFrame:
     """Lines of JSON merged by key over several micro-batches, each of which upserts the rows that it changed."""
     table = KeyedFiles(lib.spark, place(lib.spark, "progress"), "key long, phase string, total long, processed long, last long", ["key"], 8)
-    run_to_end(merged_patches_stream(json_lines(lib, "patches")), "progress", lambda rows, number: table.upsert(rows, "last", number), "update")
+    upsert = lambda rows, number: table.upsert(written(rows, "progress-changes"), "last", number)  # noqa: E731  a change reads its rows twice
+    run_in_turns(json_lines(lib), "progress", lambda lines: merged_patches_stream(whole_lines(lines)), upsert, "update")
     return table.read()
 
 
 @query("stm_14_live_counters_stream", f"WITH p AS (SELECT * FROM ({PATCHES}) WHERE event_id % 97 <> 5), s AS (SELECT key, arg_max(phase, event_id) FILTER (WHERE phase IS NOT NULL) AS status FROM p GROUP BY key) SELECT status, count(*) AS n FROM s WHERE status IS NOT NULL GROUP BY status")
 def live_counters_stream(lib: Library) -> DataFrame:
     """Keys counted by their last status, kept up to date: one that moves on is taken back from where it was."""
-    lines = json_lines(lib, "lines").select("key", "event_id", F.col("phase").alias("status"))
-    changes = run_to_end(status_changes_stream(lines), "counters")[0]
+    shards = shards_for(lib.raw("events").count())
+    changes = run_in_turns(json_lines(lib), "counters", lambda lines: status_changes_stream(whole_lines(lines).select("key", "event_id", F.col("phase").alias("status")), shards))
     return changes.groupBy("status").agg(F.sum("change").alias("n")).where("n <> 0")
 
 
@@ -175,10 +179,10 @@ def pieces(lib: Library) -> DataFrame:
     FROM b WHERE NOT (stream % 13 = 0 AND idx = 3) AND NOT (stream % 10 = 3 AND idx = 2 AND most > 2)""")
 def fragment_index_stream(lib: Library) -> DataFrame:
     """The picture's clock tells a fragment's time, where it has one; fragments of which bytes are lost, or no clock is known, are not found."""
-    rows = pieces(lib)
-    path = laid_down(rows, "stream", [F.col("slice") == k for k in range(4)], "pieces", columns=["stream", "first_byte", "data", "last"])
-    stream = stream_of(lib.spark, path, "stream long, first_byte long, data binary, last boolean", 4)
-    return run_to_end(indexed_stream(stream, SCALES, VIDEO), "fragments")[0]
+    rows = written(pieces(lib), "pieces")
+    source = Slices(rows, "stream", [F.col("slice") == k for k in range(4)], columns=["stream", "first_byte", "data", "last"], schema="stream long, first_byte long, data binary, last boolean")
+    shards = shards_for(lib.raw("lineitem").count())
+    return run_in_turns(source, "fragments", lambda stream: indexed_stream(stream, SCALES, VIDEO, shards))
 
 
 #: The names that events of the test table stand for; the claim that an event belongs to follows from its number, so that some come too late.
@@ -217,8 +221,8 @@ def job_states_stream(lib: Library) -> DataFrame:
     """The same as a stream, whose state is kept by job; checked against the batch."""
     at = F.col("ts").cast("timestamp")
     rows = lib.raw("events").select("*", F.unix_millis(at).alias("t"), at.alias("at"))
-    events = job_events(arrivals(rows, "at", "user_id", "job-events").withWatermark("at", "0 seconds"), "t", "at")
-    return last_states(run_to_end(folded_jobs_stream(events, KEPT), "jobs")[0])
+    events = lambda stream: job_events(stream.withWatermark("at", "0 seconds"), "t", "at")
+    return last_states(run_in_turns(arrivals(rows, "at", "user_id"), "jobs", lambda stream: folded_jobs_stream(events(stream), KEPT)))
 
 
 LEASE = 43_200_000
@@ -255,8 +259,7 @@ def lapsed_leases(lib: Library) -> DataFrame:
 @query("stm_09_lapsed_leases_stream", LEASE_SQL)
 def lapsed_leases_stream(lib: Library) -> DataFrame:
     """The same by timers: a job goes back when the watermark passes its lease."""
-    events = arrivals(lease_events(lib), "at", "job", "leases").withWatermark("at", "0 seconds")
-    return run_to_end(lapsed_stream(events, LEASE), "leases")[0]
+    return run_in_turns(arrivals(lease_events(lib), "at", "job"), "leases", lambda stream: lapsed_stream(stream.withWatermark("at", "0 seconds"), LEASE))
 
 
 @query("stm_11_resume_point", "SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN 'restart' WHEN p_size * 10 > p_partkey THEN 'resume' ELSE 'trust-file' END AS action, CASE WHEN p_size % 7 = 0 THEN 0 ELSE least(p_size * 10, p_partkey) END AS frontier FROM part")
@@ -287,7 +290,8 @@ def trailing_rate_stream(lib: Library) -> DataFrame:
     """The same over several micro-batches, with the samples of the trailing day in each key's state."""
     at = F.col("ts").cast("timestamp")
     rows = lib.raw("events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_millis(at).alias("t"), at.alias("at"))
-    found = run_to_end(trailing_stream(arrivals(rows, "at", "key", "samples"), 86_400_000), "samples")[0]
+    shards = shards_for(lib.raw("events").count())
+    found = run_in_turns(arrivals(rows, "at", "key"), "samples", lambda stream: trailing_stream(stream, 86_400_000, shards))
     return found.select(F.col("key").alias("user_id"), "event_id", "done")
 
 
