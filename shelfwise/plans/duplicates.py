@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.duplicates import edges, groups, prepared, wiped_out
-from shelfwise.operators.graph import components
+from shelfwise.operators.duplicates import groups, linked, wiped_out
 from shelfwise.operators.scope import with_owner
 from shelfwise.plans import twins
 from shelfwise.plans.filters import OWNED
@@ -34,7 +33,7 @@ GROUPS = f"""WITH RECURSIVE {ITEMS}, both_ways AS (SELECT a, b FROM linked UNION
 @query("joi_10_duplicate_pairs", f"WITH RECURSIVE {ITEMS}, both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reach AS (SELECT DISTINCT a AS node, a AS root FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node) SELECT node, min(root) AS root FROM reach GROUP BY node")
 def pairs(lib: Library) -> DataFrame:
     """What the links between possible duplicates bring together: each file and the least one of its group."""
-    return components(edges(prepared(files(lib))))
+    return linked(files(lib))[0].select(F.col("id").alias("node"), "root")
 
 
 @query("qry_13_duplicate_groups", f"{GROUPS} SELECT root, members, copies, savings, CAST(similarity AS INTEGER) AS similarity, confidence, duration_status, known[len(known) // 2 + 1] AS duration, title FROM found")
