@@ -140,7 +140,7 @@ SAMPLES = """SELECT stream, 0 AS head_at, most * CASE WHEN stream % 4 = 0 THEN 1
 def clock_durations(lib: Library) -> DataFrame:
     """Lines stand for clock readings of a supplier's stream, with the clock's turn in every third one."""
     t = F.expr(f"(l_orderkey / 100.0D + 95443.717D - CASE WHEN l_suppkey % 3 = 0 THEN 25 ELSE 2000 END) % {CLOCK_SECONDS!r}D")
-    lines = lib.raw("lineitem")
+    lines = lib.raw("lineitem").select("l_suppkey", "l_orderkey").repartition(lib.parts("lineitem"), "l_suppkey")
     ticks = lines.select(F.col("l_suppkey").alias("stream"), F.expr("CASE WHEN l_orderkey % 7 < l_suppkey % 5 THEN 257 ELSE 256 + l_orderkey % 2 * 2 END").alias("pid"), (F.col("l_orderkey") * 188).alias("at"), t.alias("t"))
     ends = lines.groupBy(F.col("l_suppkey").alias("stream")).agg((F.max("l_orderkey") * 188 + 188).alias("most"))
     samples = ends.selectExpr("stream", "0 AS head_at", "most * CASE WHEN stream % 4 = 0 THEN 1 ELSE 4 END div 10 AS head_size", "most * 6 div 10 AS tail_at", "most - most * 6 div 10 AS tail_size", "most * CASE WHEN stream % 11 = 0 THEN 1000 ELSE 1 END AS size")

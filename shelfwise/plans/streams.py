@@ -146,7 +146,7 @@ def indexed(fragments: DataFrame) -> DataFrame:
 def fragment_index(lib: Library) -> DataFrame:
     """Streams of which some fragments are missing and some come twice."""
     rows = lib.fragment.where("(stream + idx) % 5 <> 0")
-    return indexed(rows.unionByName(rows.where("idx % 3 = 0")))
+    return indexed(rows.unionByName(rows.where("idx % 3 = 0")).repartition(lib.parts("lineitem"), "stream"))
 
 
 #: Bytes of a piece, clocks of the tracks, and the track of the picture, in the streams that stand for files here.
