@@ -11,7 +11,7 @@ from shelfwise.operators.sinks import insert_new, set_where, upsert_latest, with
 from shelfwise.registry import query
 from shelfwise.sources.catalog import Library
 from shelfwise.sources.keyed import KeyedFiles
-from shelfwise.sources.media_store import scanned
+from shelfwise.sources.media_store import scanned, write_files
 from shelfwise.sources.shared import written
 from shelfwise.sources.sqlite_store import read_store, write_store
 from shelfwise.streaming.feeds import place
@@ -100,10 +100,10 @@ def store_files(lib: Library) -> DataFrame:
     count(*) FILTER (WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 IN (0, 5, 6)) AS accessed FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 13 <> 0 GROUP BY ALL""")
 def scanned_store(lib: Library) -> DataFrame:
     """Real files, listed without being opened, and their JSON sidecars; a line's end is a byte of a file, too."""
-    path = place(lib.spark, "store")
-    store_files(lib).write.partitionBy("name").text(path)
+    path, tasks = place(lib.spark, "store"), lib.parts("supplier")
+    write_files(store_files(lib), path, 2 * lib.raw("supplier").count(), tasks).agg(F.sum("n")).collect()
     accessed = F.count_if(F.col("last_access") == F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    return scanned(lib.spark, path).groupBy("kind").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), accessed.alias("accessed"))
+    return scanned(lib.spark, path, tasks).groupBy("kind").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), accessed.alias("accessed"))
 
 
 TYPED = """SELECT c_custkey AS id, c_name AS name, CASE c_nationkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS flag,
