@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Keys of one partition of a read, and rows that are handed over at once.
 RANGE, BATCH = 50_000, 5_000
+#: Ranges of a file are at most so many times as many as its rows would fill.
+SPARSE = 4
 #: Filters that SQLite answers as Spark does; others stay with Spark.
 COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
@@ -79,13 +81,17 @@ class SqliteReader(DataSourceReader):
                 yield one
 
     def partitions(self) -> list[Keys]:
-        """Key ranges of each file; only the least and the greatest key of a file are read here."""
+        """Key ranges of each file, wider where keys lie far apart; only the least and the greatest key and the last row's number of a file are read here."""
         out = []
         for name in sorted(f for f in os.listdir(self.folder) if f.endswith(".sqlite") and not f.startswith(".")):
             with sqlite3.connect(f"file:{self.folder}/{name}?mode=ro", uri=True) as store:
-                least, most = store.execute(f'SELECT min("{self.key}"), max("{self.key}") FROM "{self.table}"').fetchone()
+                # each by itself, or SQLite goes through the whole index
+                least, most, rows = (store.execute(f'SELECT {one} FROM "{self.table}"').fetchone()[0] for one in (f'min("{self.key}")', f'max("{self.key}")', "max(rowid)"))
             store.close()
-            starts = [None] if least is None else list(range(least, most + 1, self.range))
+            starts = [None]
+            if least is not None:
+                step = max(self.range, (most - least) // (SPARSE * rows // self.range + 1) + 1)
+                starts = list(range(least, most + 1, step))
             out += [Keys(name, start if i else None, starts[i + 1] if i + 1 < len(starts) else None) for i, start in enumerate(starts)]
         return out
 

@@ -3,10 +3,12 @@
 import os
 from urllib.parse import urlparse
 
+import duckdb
 import pytest
 
+from shelfwise import registry
 from shelfwise.plans import scans
-from shelfwise.sources import media_store
+from shelfwise.sources import media_store, sqlite_store
 from shelfwise.sources.catalog import Library
 from shelfwise.streaming.feeds import place
 
@@ -66,3 +68,27 @@ def test_bytes_are_handed_over_in_parts(spark, tmp_path, monkeypatch):
         (tmp_path / f"{i}.json").write_bytes(b"\xc3\xa4\r\n" * i)
     rows = media_store.contents(media_store.listing(spark, str(tmp_path)), str(tmp_path), 2).collect()
     assert {(r["name"], r["value"]) for r in rows} == {(f"{i}.json", "ä\r\n" * i) for i in range(20)}
+
+
+@pytest.mark.parametrize("apart", [1, 1_001])
+def test_tasks_of_a_foreign_store_grow_with_its_rows(spark, tmp_path, apart):
+    """Four files had all keys each, read by 300 keys: 268 tasks for 20,000 rows, and more where keys lie apart."""
+    rows, name = 20_000 if apart == 1 else 2_000, "src_07_foreign_store"
+    spark.range(rows).selectExpr(f"id * {apart} AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 20
+    engine = duckdb.connect()
+    for table in "region nation supplier part orders lineitem events documents".split():
+        engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    engine.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = engine.execute(registry.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > rows / 2
+
+
+def test_ranges_of_keys_far_apart(spark):
+    path = place(spark, "sqlite")
+    table = spark.range(100).selectExpr("IF(id = 7, NULL, id * id * 1000000000) AS id", "concat('n', id) AS name")
+    assert sqlite_store.write_store(table.repartitionByRange(2, "id"), path, "T").selectExpr("sum(n)").first()[0] == 100
+    rows = sqlite_store.read_store(spark, path, "T", "id", "id long, name string", range=10)
+    assert rows.rdd.getNumPartitions() <= 2 * (4 * 50 // 10 + 3)
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, table.collect()))
