@@ -20,8 +20,8 @@ def files(lib: Library) -> DataFrame:
 
 
 ITEMS = f"""items AS (SELECT id, node_id, title || '.mp4' AS name, title, CASE WHEN file_size > 0 THEN file_size END AS size, CASE WHEN duration > 0 THEN duration END AS duration, {twins.comparison_key("title || '.mp4'")} AS key FROM video),
-    sized AS (SELECT *, count(*) OVER (PARTITION BY size) AS of_size FROM items WHERE size IS NOT NULL AND length(key) >= 4),
-    mates AS (SELECT least(l.id, r.id) AS a, greatest(l.id, r.id) AS b, l.key AS x, r.key AS y FROM sized l JOIN sized r ON l.size = r.size AND l.id < r.id WHERE coalesce(abs(l.duration - r.duration) <= 2, TRUE) AND (l.key = r.key OR (l.of_size <= 500 AND least(length(l.key), length(r.key)) >= 8))),
+    sized AS (SELECT * FROM items WHERE size IS NOT NULL AND length(key) >= 4),
+    mates AS (SELECT least(l.id, r.id) AS a, greatest(l.id, r.id) AS b, l.key AS x, r.key AS y FROM sized l JOIN sized r ON l.size = r.size AND l.id < r.id WHERE coalesce(abs(l.duration - r.duration) <= 2, TRUE) AND (l.key = r.key OR least(length(l.key), length(r.key)) >= 8)),
     linked AS (SELECT m.a, m.b, percent AS similarity FROM mates m JOIN {twins.similarity('(SELECT x AS a, y AS b FROM mates)')} s ON s.a = m.x AND s.b = m.y WHERE percent >= 90)"""
 #: A group's links are all its pairs here; the plan links neighbours only, which gives the same groups and the same least similarity.
 GROUPS = f"""WITH RECURSIVE {ITEMS}, both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reach AS (SELECT DISTINCT a AS node, a AS root FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node),
